@@ -22,7 +22,7 @@ def _c(col) -> Column:
 
 def tokens(text) -> Column:
     """ARRAY<STRING> of lower-case tokens, empty strings removed."""
-    return F.filter(F.split(F.lower(_c(text)), TOKEN_SPLIT), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(_c(text)), TOKEN_SPLIT), "")
 
 
 def strip_ws(text) -> Column:

@@ -8,10 +8,10 @@ Plan shape of ``bm25`` (one scan of the corpus, one large shuffle):
 2. Only terms of the query vocabulary survive (broadcast semi-join, the
    vocabulary's size is checked first), plus one header row per
    document that carries its length for the collection statistics.
-3. Those rows are hash-partitioned on ``docno`` once. The statistics
-   (N, avgdl, df) and the scoring read the same exchange (Spark reuses
-   it), and the per-(query, document) sum needs no second shuffle
-   because the rows are already clustered by ``docno``.
+3. Those rows are hash-partitioned on ``docno`` once and persisted. The
+   statistics (N, avgdl, df) and the scoring read the same rows, and the
+   per-(query, document) sum needs no second shuffle because the rows
+   are already clustered by ``docno``.
 4. Top-k per query is ``row_number() <= k``, which Spark plans as a
    partial ``WindowGroupLimit`` before the shuffle on the query key, so
    a query that matches a third of the corpus still ships only k rows
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,15 @@ K3 = 8.0
 SCORE_DIGITS = 6
 
 
+_PERSISTED: list = []
+
+
+def release() -> None:
+    """Unpersist the intermediate tables kept by earlier ``bm25`` calls."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+
+
 @dataclass(frozen=True)
 class BM25Params:
     k1: float = K1
@@ -166,43 +176,75 @@ def bm25_hits(prepared: DataFrame, vocab: DataFrame, text_col: str = "text") ->
             .repartition("docno"))
 
 
-def bm25_scores(prepared: DataFrame, topics: DataFrame, params: BM25Params | None = None,
-                text_col: str = "text", keys=("variant", "qid"),
-                max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """All matching ``(*keys, docno, score)`` for the topics, unranked."""
-    p = params or BM25Params()
-    keys = [k for k in keys if k in topics.columns]
-    # The query side is measured once; vocabulary and query weights have at
-    # most as many rows as the query terms, so the same bound covers them.
+def _query_keys(qt: DataFrame, keys) -> DataFrame:
+    """``(*keys, _q)``: a dense BIGINT surrogate per query.
+
+    The heavy join, aggregate and window then hash and compare one long
+    instead of (string, long) pairs. The table has at most as many rows as
+    the measured query-term table, so its single-partition window is
+    bounded.
+    """
+    w = Window.orderBy(*keys)
+    return qt.select(*keys).distinct().withColumn("_q", F.row_number().over(w).cast("long"))
+
+
+def _bm25_q(prepared: DataFrame, topics: DataFrame, p: BM25Params, text_col: str,
+            keys, max_broadcast_rows: int):
+    """``(_q, docno, score)`` plus the ``(*keys, _q)`` table and its broadcast hint."""
+    # The query side is measured once; vocabulary, query keys and query
+    # weights have at most as many rows as the query terms, so the same
+    # bound covers all of them.
     qt, small = measured(query_terms(topics, keys), max_broadcast_rows)
     bc = F.broadcast if small else (lambda d: d)
+    qkeys = _query_keys(qt, keys).cache()
+    _PERSISTED.append(qkeys)
     vocab = bc(qt.select("term").distinct())
-    hits = bm25_hits(prepared, vocab, text_col)
+    # One pass over the corpus feeds three consumers (N/avgdl, df, scores).
+    # Spark does not reuse the exchange across them (column pruning makes
+    # the branches differ), so the restricted hits are persisted; the
+    # cached relation keeps its docno partitioning.
+    hits = bm25_hits(prepared, vocab, text_col).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(hits)
     coll = hits.filter(F.col("term").isNull()).agg(
         F.count(F.lit(1)).cast("double").alias("n_docs"),
         F.avg("dl").cast("double").alias("avgdl"))
     postings_q = hits.filter(F.col("term").isNotNull())
     dfs = postings_q.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     k1, b, k3 = F.lit(float(p.k1)), F.lit(float(p.b)), F.lit(float(p.k3))
-    # Query-side weights: (keys, term) -> idf * qtf factor; small, broadcast.
-    qw = (qt.join(dfs, "term").crossJoin(coll)  # coll has exactly one row
-          .select(*keys, "term", "avgdl",
+    # Query-side weights: (_q, term) -> idf * qtf factor; small, broadcast.
+    qw = (qt.join(bc(qkeys), list(keys)).join(dfs, "term").crossJoin(coll)  # coll: one row
+          .select("_q", "term", "avgdl",
                   (_idf(F.col("n_docs"), F.col("df"), p.idf)
                    * ((k3 + 1) * F.col("qtf") / (k3 + F.col("qtf")))).alias("qweight")))
-    qw = bc(qw)
     kk = k1 * ((F.lit(1.0) - b) + b * F.col("dl") / F.col("avgdl"))
     contrib = F.col("qweight") * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
-    return (postings_q.join(qw, "term")
-            .groupBy(*keys, "docno")
-            .agg(F.sum(contrib).alias("score")))
+    scores = (postings_q.join(bc(qw), "term")
+              .groupBy("_q", "docno")
+              .agg(F.sum(contrib).alias("score")))
+    return scores, qkeys, bc
+
+
+def bm25_scores(prepared: DataFrame, topics: DataFrame, params: BM25Params | None = None,
+                text_col: str = "text", keys=("variant", "qid"),
+                max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """All matching ``(*keys, docno, score)`` for the topics, unranked."""
+    keys = [k for k in keys if k in topics.columns]
+    scores, qkeys, bc = _bm25_q(prepared, topics, params or BM25Params(), text_col, keys,
+                                max_broadcast_rows)
+    return scores.join(bc(qkeys), "_q").select(*keys, "docno", "score")
 
 
 def bm25(prepared: DataFrame, topics: DataFrame, k: int | None = 1000,
          params: BM25Params | None = None, text_col: str = "text",
-         keys=("variant", "qid")) -> DataFrame:
+         keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
     """Run ``(*keys, docno, score, rank)``, top ``k`` per query.
 
-    ``k=None`` returns every matching document (no cutoff).
+    ``k=None`` returns every matching document (no cutoff). Ranking runs
+    on the surrogate query key; the keys are joined back to the (at most
+    k rows per query) result.
     """
     keys = [c for c in keys if c in topics.columns]
-    return ranked(bm25_scores(prepared, topics, params, text_col, keys), keys, k)
+    scores, qkeys, bc = _bm25_q(prepared, topics, params or BM25Params(), text_col, keys,
+                                max_broadcast_rows)
+    top = ranked(scores, ["_q"], k)
+    return top.join(bc(qkeys), "_q").select(*keys, "docno", "score", "rank")

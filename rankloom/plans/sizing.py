@@ -23,3 +23,20 @@ def measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Cache ``df``, count it once, and say whether it is within ``max_rows``."""
     cached = df.cache()
     return cached, cached.count() <= max_rows
+
+
+def spread_small(df: DataFrame, max_rows: int = 2_000_000, key: str | None = None) -> DataFrame:
+    """Spread a small input over all cores before per-row heavy work.
+
+    A small table often arrives as one file with one row group, i.e. one
+    task. When the (metadata-cheap) row count is at most ``max_rows`` the
+    rows are hash-partitioned (on ``key`` if given) over the default
+    parallelism; the shuffle is small by construction. Larger inputs are
+    returned unchanged: their scan is already split across many tasks,
+    and shuffling them whole would cost more than it buys.
+    """
+    n = df.count()
+    if n > max_rows:
+        return df
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts, key) if key else df.repartition(parts)

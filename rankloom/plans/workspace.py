@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import lexical, textprep
 from ..sources import collection as coll
+from .sizing import spread_small
 
 _WORKSPACES: dict = {}
 
@@ -27,9 +28,14 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return coll.table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def documents(self) -> DataFrame:
+        """The document table, spread over all cores when it is small."""
+        return spread_small(self.table("documents"))
+
     @cached_property
     def corpus(self) -> DataFrame:
-        return coll.corpus_from_documents(self.table("documents"))
+        return coll.corpus_from_documents(self.documents)
 
     @cached_property
     def prepared(self) -> DataFrame:
@@ -41,7 +47,7 @@ class Workspace:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        return coll.qrels_from_containment(self.table("documents"), self.table("benchmark"),
+        return coll.qrels_from_containment(self.documents, self.table("benchmark"),
                                            self.table("labels")).cache()
 
     def bm25(self, k: int | None = 100, params: lexical.BM25Params | None = None) -> DataFrame:
@@ -72,3 +78,4 @@ def reset() -> None:
             if isinstance(v, DataFrame) and v.is_cached:
                 v.unpersist()
     _WORKSPACES.clear()
+    lexical.release()
