@@ -188,9 +188,17 @@ def _query_keys(qt: DataFrame, keys) -> DataFrame:
     return qt.select(*keys).distinct().withColumn("_q", F.row_number().over(w).cast("long"))
 
 
-def _bm25_q(prepared: DataFrame, topics: DataFrame, p: BM25Params, text_col: str,
-            keys, max_broadcast_rows: int):
-    """``(_q, docno, score)`` plus the ``(*keys, _q)`` table and its broadcast hint."""
+def bm25_features(prepared: DataFrame, topics: DataFrame, text_col: str = "text",
+                  keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000):
+    """Parameter-free BM25 inputs, one row per (query, document, term) hit.
+
+    Returns ``(feats, qkeys, bc)``: ``feats`` is ``(_q, docno, term, tf, dl,
+    df, n_docs, avgdl, qtf)``, ``qkeys`` maps ``(*keys) -> _q`` and ``bc``
+    is the broadcast hint that the size check allowed. Any BM25 parameter
+    setting (or a grid of them, M12) is a projection plus one aggregate
+    over these rows.
+    """
+    keys = list(keys)
     # The query side is measured once; vocabulary, query keys and query
     # weights have at most as many rows as the query terms, so the same
     # bound covers all of them.
@@ -210,17 +218,26 @@ def _bm25_q(prepared: DataFrame, topics: DataFrame, p: BM25Params, text_col: str
         F.avg("dl").cast("double").alias("avgdl"))
     postings_q = hits.filter(F.col("term").isNotNull())
     dfs = postings_q.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    # Query side: (_q, term, qtf, df, n_docs, avgdl); small, broadcast.
+    qside = (qt.join(bc(qkeys), keys).join(dfs, "term").crossJoin(coll)  # coll: one row
+             .select("_q", "term", "qtf", "df", "n_docs", "avgdl"))
+    feats = postings_q.join(bc(qside), "term")
+    return feats, qkeys, bc
+
+
+def bm25_contribution(p: BM25Params) -> Column:
+    """One hit's share of the score, from ``bm25_features`` columns."""
     k1, b, k3 = F.lit(float(p.k1)), F.lit(float(p.b)), F.lit(float(p.k3))
-    # Query-side weights: (_q, term) -> idf * qtf factor; small, broadcast.
-    qw = (qt.join(bc(qkeys), list(keys)).join(dfs, "term").crossJoin(coll)  # coll: one row
-          .select("_q", "term", "avgdl",
-                  (_idf(F.col("n_docs"), F.col("df"), p.idf)
-                   * ((k3 + 1) * F.col("qtf") / (k3 + F.col("qtf")))).alias("qweight")))
+    qweight = _idf(F.col("n_docs"), F.col("df"), p.idf) * ((k3 + 1) * F.col("qtf") / (k3 + F.col("qtf")))
     kk = k1 * ((F.lit(1.0) - b) + b * F.col("dl") / F.col("avgdl"))
-    contrib = F.col("qweight") * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
-    scores = (postings_q.join(bc(qw), "term")
-              .groupBy("_q", "docno")
-              .agg(F.sum(contrib).alias("score")))
+    return qweight * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
+
+
+def _bm25_q(prepared: DataFrame, topics: DataFrame, p: BM25Params, text_col: str,
+            keys, max_broadcast_rows: int):
+    """``(_q, docno, score)`` plus the ``(*keys, _q)`` table and its broadcast hint."""
+    feats, qkeys, bc = bm25_features(prepared, topics, text_col, keys, max_broadcast_rows)
+    scores = feats.groupBy("_q", "docno").agg(F.sum(bm25_contribution(p)).alias("score"))
     return scores, qkeys, bc
 
 

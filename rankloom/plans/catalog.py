@@ -46,3 +46,4 @@ def ws(spark, sf_dir):
 # Import the modules that register queries (order = catalogue order).
 from . import q_collection  # noqa: E402,F401
 from . import q_dense  # noqa: E402,F401
+from . import q_tuning  # noqa: E402,F401

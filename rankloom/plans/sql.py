@@ -89,7 +89,8 @@ def with_(*ctes: str) -> str:
 BASE = (CORPUS, PREPARED, TOPICS)
 
 
-def metric_ctes(run: str, keys: list[str], measures: list[str], name: str = "ev") -> str:
+def metric_ctes(run: str, keys: list[str], measures: list[str], name: str = "ev",
+                qrels: str = "qrels") -> str:
     """CTEs ending in ``{name}(*keys, metric, value)`` -- means over judged queries.
 
     ``run`` has ``(*keys, qid, docno, rank)``; ``qrels`` must be defined.
@@ -131,7 +132,7 @@ def metric_ctes(run: str, keys: list[str], measures: list[str], name: str = "ev"
     return f"""{name}_judged AS (
   SELECT {rkc}r.qid, r.docno, r.rank, coalesce(q.rel, 0)::DOUBLE AS rel,
          CASE WHEN coalesce(q.rel, 0) >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS isrel
-  FROM {run} r LEFT JOIN qrels q ON q.qid = r.qid AND q.docno = r.docno),
+  FROM {run} r LEFT JOIN {qrels} q ON q.qid = r.qid AND q.docno = r.docno),
 {name}_cum AS (
   SELECT *, sum(isrel) OVER ({part} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumrel
   FROM {name}_judged),
@@ -141,12 +142,12 @@ def metric_ctes(run: str, keys: list[str], measures: list[str], name: str = "ev"
   FROM {name}_cum GROUP BY {kc}qid),
 {name}_ideal AS (
   SELECT qid, sum(CASE WHEN rel >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS R{ideal_cols}
-  FROM (SELECT qid, docno, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docno DESC) AS pos FROM qrels) x
+  FROM (SELECT qid, docno, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docno DESC) AS pos FROM {qrels}) x
   GROUP BY qid),
 {name}_pq AS (
   SELECT {kc}s.qid,
          {per_q}
   FROM {name}_sums s JOIN {name}_ideal USING (qid)),
-{name}_nq AS (SELECT count(DISTINCT qid)::DOUBLE AS n FROM qrels),
+{name}_nq AS (SELECT count(DISTINCT qid)::DOUBLE AS n FROM {qrels}),
 {name} AS (
     {means})"""
