@@ -47,3 +47,4 @@ def ws(spark, sf_dir):
 from . import q_collection  # noqa: E402,F401
 from . import q_dense  # noqa: E402,F401
 from . import q_tuning  # noqa: E402,F401
+from . import q_analysis  # noqa: E402,F401
