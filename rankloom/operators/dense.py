@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import tokens, with_term_counts
+from ..functions.text import strip_ws, tokens, with_term_counts
 from ..functions.vectors import dot, norm
 from ..plans.sizing import measured
 from .lexical import explode_terms, ranked
@@ -175,23 +175,24 @@ def rerank_by(cands: DataFrame, score_col: str, keys=("variant", "qid"), k: int
 def passages(corpus_text: DataFrame, text_col: str = "text") -> DataFrame:
     """D5 input: ``(docno, psg, text)``, one row per non-blank line."""
     return (corpus_text.select("docno", F.posexplode_outer(F.split(text_col, "\n")).alias("psg", "text"))
-            .filter(F.col("text").isNotNull() & (F.trim(F.col("text")) != ""))
+            .filter(F.col("text").isNotNull() & (strip_ws(F.col("text")) != ""))
             .withColumn("psg", F.col("psg").cast("long")))
 
 
 def maxp_scores(cands: DataFrame, qvecs: DataFrame, psg_vecs: DataFrame, qkeys=("variant", "qid"),
                 out_col: str = "dense_score", max_rows: int = 10_000_000) -> DataFrame:
-    """Forward-index MAXP -- max over a document's passages of the dot.
+    """Forward-index MAXP -- max over a document's passages of the cosine.
 
-    ``psg_vecs`` is ``(docno, psg, vec, norm)``. Candidates x passages is
-    joined on docno; the max is one aggregate by (query, docno).
+    ``psg_vecs`` is ``(docno, psg, vec, norm)`` for the candidates'
+    documents. Candidates x passages is an equi-join on docno; the max is
+    one aggregate by (query, docno). A candidate without passages scores 0.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
     c = _with_query_vectors(cands.select(*qkeys, "docno"), qvecs, qkeys, max_rows)
-    pv = psg_vecs.select("docno", F.col("vec").alias("pvec"))
-    scored = (c.join(pv, "docno")
-              .groupBy(*qkeys, "docno")
-              .agg(F.max(dot(F.col("qvec"), F.col("pvec"))).alias(out_col)))
+    pv = psg_vecs.select("docno", F.col("vec").alias("pvec"), F.col("norm").alias("pnorm"))
+    cos = F.when((F.col("qnorm") > 0) & (F.col("pnorm") > 0),
+                 dot(F.col("qvec"), F.col("pvec")) / (F.col("qnorm") * F.col("pnorm"))).otherwise(0.0)
+    scored = c.join(pv, "docno").groupBy(*qkeys, "docno").agg(F.max(cos).alias(out_col))
     return (cands.join(scored, [*qkeys, "docno"], "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0.0))))
 

@@ -188,8 +188,9 @@ def _query_keys(qt: DataFrame, keys) -> DataFrame:
     return qt.select(*keys).distinct().withColumn("_q", F.row_number().over(w).cast("long"))
 
 
-def bm25_features(prepared: DataFrame, topics: DataFrame, text_col: str = "text",
-                  keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000):
+def bm25_features(prepared: DataFrame, topics: DataFrame | None, text_col: str = "text",
+                  keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000,
+                  qterms: DataFrame | None = None):
     """Parameter-free BM25 inputs, one row per (query, document, term) hit.
 
     Returns ``(feats, qkeys, bc)``: ``feats`` is ``(_q, docno, term, tf, dl,
@@ -202,7 +203,10 @@ def bm25_features(prepared: DataFrame, topics: DataFrame, text_col: str = "text"
     # The query side is measured once; vocabulary, query keys and query
     # weights have at most as many rows as the query terms, so the same
     # bound covers all of them.
-    qt, small = measured(query_terms(topics, keys), max_broadcast_rows)
+    # ``qterms`` (keys, term, qtf) may be given directly, e.g. an expanded
+    # query with fractional weights.
+    qt, small = measured(qterms if qterms is not None else query_terms(topics, keys),
+                         max_broadcast_rows)
     bc = F.broadcast if small else (lambda d: d)
     qkeys = _query_keys(qt, keys).cache()
     _PERSISTED.append(qkeys)
@@ -233,10 +237,10 @@ def bm25_contribution(p: BM25Params) -> Column:
     return qweight * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
 
 
-def _bm25_q(prepared: DataFrame, topics: DataFrame, p: BM25Params, text_col: str,
-            keys, max_broadcast_rows: int):
+def _bm25_q(prepared: DataFrame, topics: DataFrame | None, p: BM25Params, text_col: str,
+            keys, max_broadcast_rows: int, qterms: DataFrame | None = None):
     """``(_q, docno, score)`` plus the ``(*keys, _q)`` table and its broadcast hint."""
-    feats, qkeys, bc = bm25_features(prepared, topics, text_col, keys, max_broadcast_rows)
+    feats, qkeys, bc = bm25_features(prepared, topics, text_col, keys, max_broadcast_rows, qterms)
     scores = feats.groupBy("_q", "docno").agg(F.sum(bm25_contribution(p)).alias("score"))
     return scores, qkeys, bc
 
@@ -265,3 +269,14 @@ def bm25(prepared: DataFrame, topics: DataFrame, k: int | None = 1000,
                                 max_broadcast_rows)
     top = ranked(scores, ["_q"], k)
     return top.join(bc(qkeys), "_q").select(*keys, "docno", "score", "rank")
+
+
+def bm25_weighted(prepared: DataFrame, qterms: DataFrame, k: int | None = 1000,
+                  params: BM25Params | None = None, text_col: str = "text",
+                  keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
+    """BM25 for explicit ``(*keys, term, qtf)`` query terms (qtf may be fractional)."""
+    keys = [c for c in keys if c in qterms.columns]
+    scores, qkeys, bc = _bm25_q(prepared, None, params or BM25Params(), text_col, keys,
+                                max_broadcast_rows, qterms)
+    top = ranked(scores, ["_q"], k)
+    return top.join(bc(qkeys), "_q").select(*keys, "docno", "score", "rank")
