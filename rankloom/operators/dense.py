@@ -292,7 +292,8 @@ def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int = 16, nprob
     from pyspark.ml.functions import array_to_vector
 
     qkeys = list(qkeys)
-    unit = normalized(dvecs).select("docno", array_to_vector("vec").alias("features"), "vec", "norm")
+    unit = (normalized(dvecs).select("docno", array_to_vector("vec").alias("features"))
+            .join(dvecs.select("docno", "vec", "norm"), "docno"))  # raw vectors for exact rescoring
     model = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(unit)
     cells = model.transform(unit).select("docno", "vec", "norm", F.col("cell").cast("long"))
     centers = dvecs.sparkSession.createDataFrame(

@@ -13,6 +13,7 @@ that each fit, and one pass per chunk is made. Results stay exact.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +24,8 @@ DEFAULT_MAX_PATTERN_BYTES = 64 * 1024 * 1024
 _AUTOMATA: dict = {}
 
 
-def _automaton(bc):
-    """One automaton per broadcast per Python worker."""
-    key = bc.id if hasattr(bc, "id") else id(bc)
+def _automaton(bc, key: str):
+    """One automaton per pattern chunk per Python worker (``key`` is unique per chunk)."""
     auto = _AUTOMATA.get(key)
     if auto is None:
         import ahocorasick
@@ -39,11 +39,11 @@ def _automaton(bc):
     return auto
 
 
-def _scan(bc, doc_key: str, pat_key: str):
+def _scan(bc, token: str, doc_key: str, pat_key: str):
     import pandas as pd
 
     def run(batches):
-        auto = _automaton(bc)
+        auto = _automaton(bc, token)
         for pdf in batches:
             out_doc, out_pat = [], []
             for docno, text in zip(pdf[doc_key].tolist(), pdf["text"].tolist()):
@@ -85,7 +85,8 @@ def contains_pairs(docs: DataFrame, patterns: DataFrame,
         for row in chunk.select(pat_key, "text").toLocalIterator():
             mapping.setdefault(row["text"], []).append(row[pat_key])
         bc = spark.sparkContext.broadcast(mapping)
-        parts.append(docs.select(doc_key, "text").mapInPandas(_scan(bc, doc_key, pat_key), schema))
+        token = uuid.uuid4().hex
+        parts.append(docs.select(doc_key, "text").mapInPandas(_scan(bc, token, doc_key, pat_key), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
