@@ -31,7 +31,7 @@ class Workspace:
     @cached_property
     def documents(self) -> DataFrame:
         """The document table, spread over all cores when it is small."""
-        return spread_small(self.table("documents"))
+        return spread_small(self.table("documents"), key="doc_id")
 
     @cached_property
     def corpus(self) -> DataFrame:
