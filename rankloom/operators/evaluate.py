@@ -61,26 +61,33 @@ def _within(k: int | None) -> Column:
 
 def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
               keys=("method", "variant"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """M8: ``(*keys, qid, <one column per measure>)`` for queries with results
-    that are also in the judgments."""
+    """M8: ``(*keys, qid, <one column per measure>)``.
+
+    Every measure depends only on the retrieved documents that are judged
+    relevant (plus R, the ideal DCG and, for uncut P, the run length), so
+    the run is inner-joined with the relevant judgments first and only
+    those rows reach the window (running relevant count for AP) and the
+    aggregates. A query that retrieved a third of the corpus still puts
+    at most R rows into its window. Queries without any relevant retrieved
+    document have no row here; they count 0 in ``evaluate``'s means.
+    """
     ms = [parse_measure(m) if isinstance(m, str) else m for m in measures]
     keys = [k for k in keys if k in run.columns]
     if "rank" not in run.columns:
         from .lexical import ranked
         run = ranked(run, [*keys, "qid"], None)
     qrels, small = measured(qrels.select("qid", "docno", "rel"), max_broadcast_rows)
-    jq = F.broadcast(qrels) if small else qrels
-    judged = (run.select(*keys, "qid", "docno", "rank")
-              .join(jq, ["qid", "docno"], "left")
-              .withColumn("rel", F.coalesce(F.col("rel"), F.lit(0)).cast("double"))
-              .withColumn("isrel", (F.col("rel") >= 1).cast("double")))
+    rel_q = qrels.filter(F.col("rel") >= 1)
+    jq = F.broadcast(rel_q) if small else rel_q
+    hits = (run.select(*keys, "qid", "docno", "rank")
+            .join(jq, ["qid", "docno"])
+            .withColumn("rel", F.col("rel").cast("double")))
     if any(m.kind == "AP" for m in ms):
-        w = (Window.partitionBy(*keys, "qid").orderBy("rank")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        judged = judged.withColumn("cumrel", F.sum("isrel").over(w))
+        w = Window.partitionBy(*keys, "qid").orderBy("rank")
+        hits = hits.withColumn("cumrel", F.row_number().over(w).cast("double"))
     sums = []
     for i, m in enumerate(ms):
-        cond = _within(m.k) & (F.col("isrel") > 0)
+        cond = _within(m.k)
         if m.kind == "RR":
             e = F.max(F.when(cond, F.lit(1.0) / F.col("rank")).otherwise(F.lit(0.0)))
         elif m.kind in ("P", "R"):
@@ -88,10 +95,9 @@ def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
         elif m.kind == "AP":
             e = F.sum(F.when(cond, F.col("cumrel") / F.col("rank")).otherwise(F.lit(0.0)))
         else:  # nDCG
-            e = F.sum(F.when(_within(m.k) & (F.col("rel") > 0),
-                             F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(F.lit(0.0)))
+            e = F.sum(F.when(cond, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(F.lit(0.0)))
         sums.append(e.alias(f"_s{i}"))
-    agg = judged.groupBy(*keys, "qid").agg(*sums)
+    agg = hits.groupBy(*keys, "qid").agg(*sums)
     ideal = _ideal(qrels, ms)
     stats = F.broadcast(ideal) if small else ideal
     joined = agg.join(stats, "qid")
@@ -115,17 +121,29 @@ def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
 
 
 def _ideal(qrels: DataFrame, ms) -> DataFrame:
-    """Per judged query: ``_R`` and the ideal DCG for each nDCG measure."""
+    """Per judged query: ``_R`` and the ideal DCG of each nDCG measure.
+
+    R is a plain aggregate. The ideal DCG ranks a query's judgments by
+    grade; with a cutoff only the first k positions are kept, which Spark
+    plans as a partial top-k before the shuffle, so a query holding a
+    third of all judgments does not sort them in one task.
+    """
+    r = qrels.groupBy("qid").agg(
+        F.sum(F.when(F.col("rel") >= 1, F.lit(1.0)).otherwise(F.lit(0.0))).alias("_R"))
+    nd = [(i, m) for i, m in enumerate(ms) if m.kind == "nDCG"]
+    if not nd:
+        return r
+    cut = None if any(m.k is None for _, m in nd) else max(m.k for _, m in nd)
     w = Window.partitionBy("qid").orderBy(F.col("rel").desc(), F.col("docno").desc())
-    q = qrels.withColumn("_pos", F.row_number().over(w))
-    cols = [F.sum(F.when(F.col("rel") >= 1, F.lit(1.0)).otherwise(F.lit(0.0))).alias("_R")]
-    for i, m in enumerate(ms):
-        if m.kind == "nDCG":
-            within = F.lit(True) if m.k is None else F.col("_pos") <= m.k
-            cols.append(F.sum(F.when(within & (F.col("rel") > 0),
-                                     F.col("rel") / F.log2(F.col("_pos") + 1)).otherwise(F.lit(0.0)))
-                        .alias(f"_i{i}"))
-    return q.groupBy("qid").agg(*cols)
+    q = qrels.filter(F.col("rel") > 0).withColumn("_pos", F.row_number().over(w))
+    if cut is not None:
+        q = q.filter(F.col("_pos") <= cut)
+    cols = []
+    for i, m in nd:
+        within = F.lit(True) if m.k is None else F.col("_pos") <= m.k
+        cols.append(F.sum(F.when(within, F.col("rel") / F.log2(F.col("_pos") + 1))
+                          .otherwise(F.lit(0.0))).alias(f"_i{i}"))
+    return r.join(q.groupBy("qid").agg(*cols), "qid", "left").fillna(0.0, [f"_i{i}" for i, _ in nd])
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
@@ -136,6 +154,11 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
     pq = per_query(run, qrels, measures, keys)
     n_q = qrels.agg(F.countDistinct("qid").cast("double").alias("_nq"))
     sums = pq.groupBy(*keys).agg(*[F.sum(F.col(f"`{n}`")).alias(n) for n in names])
+    if keys:
+        # Every run group is reported, also one that retrieved nothing relevant.
+        groups = run.select(*keys).distinct()
+        sums = groups.join(sums, keys, "left").select(
+            *keys, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
     means = sums.crossJoin(F.broadcast(n_q))  # n_q is a single row
     long = means.select(
         *keys,

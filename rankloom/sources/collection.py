@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_tokens, strip_ws
+from ..plans.sizing import measured
 from .containment import contains_pairs
 
 # The three query wordings and the number of leading
@@ -80,12 +81,17 @@ def repair_query_column(topics: DataFrame, source_column: str = "description") -
 
 
 def qrels_from_containment(documents: DataFrame, benchmark: DataFrame,
-                           labels: DataFrame) -> DataFrame:
+                           labels: DataFrame, max_rows: int = 10_000_000) -> DataFrame:
     """``(qid, docno, rel)``; rel 2, or 1 where the label's quality is 0."""
     pairs = contains_pairs(documents.select(F.col("doc_id").alias("docno"), "text"),
                            benchmark.select(F.col("item_id").alias("qid"), "text"))
-    lab = labels.select(F.col("doc_id").alias("docno"), "quality")
-    return (pairs.join(lab, "docno", "left")
+    pairs, small = measured(pairs, max_rows)
+    # Only the labels of matched documents are needed: filter the label
+    # scan by the (measured, broadcast) matched docnos before the join.
+    matched = pairs.select("docno").distinct()
+    lab = (labels.select(F.col("doc_id").alias("docno"), "quality")
+           .join(F.broadcast(matched) if small else matched, "docno", "left_semi"))
+    return (pairs.join(F.broadcast(lab) if small else lab, "docno", "left")
             .select("qid", "docno",
                     F.when(F.col("quality") == 0, F.lit(1)).otherwise(F.lit(2)).cast("long").alias("rel")))
 
