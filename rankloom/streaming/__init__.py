@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The surveyed experiments read finite inputs only (corpus, topics,
+judgments); they have no stream, watermark, window over time or state
+(SURVEY section 2.8). No streaming operator is built, so that the engine
+does only what the reference does. Every operator here is a batch
+DataFrame -> DataFrame function and can be applied to micro-batches with
+``DataFrame.writeStream.foreachBatch`` by a caller that needs it.
+"""
