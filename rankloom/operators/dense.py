@@ -130,9 +130,10 @@ def _with_query_vectors(cands: DataFrame, qvecs: DataFrame, qkeys, max_rows: int
     return cands.join(F.broadcast(qv) if small else qv, list(qkeys), "left")
 
 
-def _with_doc_vectors(cands: DataFrame, dvecs: DataFrame) -> DataFrame:
-    dv = dvecs.select("docno", F.col("vec").alias("dvec"), F.col("norm").alias("dnorm"))
-    return cands.join(dv, "docno", "left")
+def _with_doc_vectors(cands: DataFrame, dvecs: DataFrame, max_rows: int = 10_000_000) -> DataFrame:
+    dv, small = measured(dvecs.select("docno", F.col("vec").alias("dvec"), F.col("norm").alias("dnorm")),
+                         max_rows)
+    return cands.join(F.broadcast(dv) if small else dv, "docno", "left")
 
 
 def candidate_vectors(cands: DataFrame, texts: DataFrame, dim: int = DIM,
@@ -154,7 +155,7 @@ def score_vectors(cands: DataFrame, qvecs: DataFrame, dvecs: DataFrame, how: str
     cosine = dot / (|q| |d|), 0 when either norm is 0 or a vector is missing.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    j = _with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_rows), dvecs)
+    j = _with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_rows), dvecs, max_rows)
     d = dot(F.col("qvec"), F.col("dvec"))
     if how == "cosine":
         s = F.when((F.col("qnorm") > 0) & (F.col("dnorm") > 0), d / (F.col("qnorm") * F.col("dnorm")))

@@ -13,8 +13,8 @@ query, ranks start at 1, order = rounded score desc, docno desc):
   counts 0, a query without judgments is ignored, R = 0 gives 0.
 
 All metrics of all runs (keys such as ``method`` and ``variant``) come out
-of one pass: one window over ``(keys, qid)`` for the running relevant
-count, one group-by for the per-query sums, one group-by for the means.
+of one pass over the run: one group-by for the per-query sums (AP from the
+sorted ranks of the relevant hits), one group-by for the means.
 """
 
 from __future__ import annotations
@@ -61,15 +61,15 @@ def _within(k: int | None) -> Column:
 
 def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
               keys=("method", "variant"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """M8: ``(*keys, qid, <one column per measure>)``.
-
-    Every measure depends only on the retrieved documents that are judged
-    relevant (plus R, the ideal DCG and, for uncut P, the run length), so
-    the run is inner-joined with the relevant judgments first and only
-    those rows reach the window (running relevant count for AP) and the
-    aggregates. A query that retrieved a third of the corpus still puts
-    at most R rows into its window. Queries without any relevant retrieved
-    document have no row here; they count 0 in ``evaluate``'s means.
+    """M8: ``(*keys, qid, <one column per measure>)`` for every query of the
+    run that is also judged.
+
+    One pass over the run: a left join with the (measured, broadcast)
+    relevant judgments, then one aggregate per (keys, qid). AP needs the
+    running count of relevant hits; it comes from the sorted list of the
+    ranks of relevant hits, which has at most R entries per query, so no
+    window over the run is needed and a query that retrieved a third of
+    the corpus adds no more than R values to its group's state.
     """
     ms = [parse_measure(m) if isinstance(m, str) else m for m in measures]
     keys = [k for k in keys if k in run.columns]
@@ -77,27 +77,35 @@ def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
         from .lexical import ranked
         run = ranked(run, [*keys, "qid"], None)
     qrels, small = measured(qrels.select("qid", "docno", "rel"), max_broadcast_rows)
-    rel_q = qrels.filter(F.col("rel") >= 1)
+    rel_q = qrels.filter(F.col("rel") >= 1).withColumn("rel", F.col("rel").cast("double"))
     jq = F.broadcast(rel_q) if small else rel_q
-    hits = (run.select(*keys, "qid", "docno", "rank")
-            .join(jq, ["qid", "docno"])
-            .withColumn("rel", F.col("rel").cast("double")))
-    if any(m.kind == "AP" for m in ms):
-        w = Window.partitionBy(*keys, "qid").orderBy("rank")
-        hits = hits.withColumn("cumrel", F.row_number().over(w).cast("double"))
+    judged = run.select(*keys, "qid", "docno", "rank").join(jq, ["qid", "docno"], "left")
+    isrel = F.col("rel").isNotNull()
     sums = []
     for i, m in enumerate(ms):
-        cond = _within(m.k)
+        cond = _within(m.k) & isrel
         if m.kind == "RR":
             e = F.max(F.when(cond, F.lit(1.0) / F.col("rank")).otherwise(F.lit(0.0)))
         elif m.kind in ("P", "R"):
             e = F.sum(F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0)))
         elif m.kind == "AP":
-            e = F.sum(F.when(cond, F.col("cumrel") / F.col("rank")).otherwise(F.lit(0.0)))
+            e = F.lit(0.0)  # from the rank list below
         else:  # nDCG
             e = F.sum(F.when(cond, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(F.lit(0.0)))
         sums.append(e.alias(f"_s{i}"))
-    agg = hits.groupBy(*keys, "qid").agg(*sums)
+    extra = []
+    if any(m.kind == "AP" for m in ms):
+        extra.append(F.sort_array(F.collect_list(F.when(isrel, F.col("rank")))).alias("_rr"))
+    if any(m.kind == "P" and m.k is None for m in ms):
+        extra.append(F.count(F.lit(1)).alias("_n"))
+    agg = judged.groupBy(*keys, "qid").agg(*sums, *extra)
+    for i, m in enumerate(ms):
+        if m.kind == "AP":
+            # sum over the j-th relevant hit (1-based) at rank r <= k of j / r
+            ap = F.aggregate(
+                F.transform(F.col("_rr"), lambda r, j: F.when(_rank_ok(r, m.k), (j + 1) / r).otherwise(0.0)),
+                F.lit(0.0), lambda a, x: a + x)
+            agg = agg.withColumn(f"_s{i}", ap.cast("double"))
     ideal = _ideal(qrels, ms)
     stats = F.broadcast(ideal) if small else ideal
     joined = agg.join(stats, "qid")
@@ -114,12 +122,13 @@ def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
         else:
             v = F.when(F.col(f"_i{i}") > 0, s / F.col(f"_i{i}")).otherwise(F.lit(0.0))
         outs.append(v.cast("double").alias(m.name))
-    if any(m.kind == "P" and m.k is None for m in ms):
-        n = run.groupBy(*keys, "qid").agg(F.count(F.lit(1)).alias("_n"))
-        joined = joined.join(n, [*keys, "qid"])
     return joined.select(*keys, "qid", *outs)
 
 
+def _rank_ok(r, k):
+    return F.lit(True) if k is None else r <= k
+
+
 def _ideal(qrels: DataFrame, ms) -> DataFrame:
     """Per judged query: ``_R`` and the ideal DCG of each nDCG measure.
 
@@ -154,11 +163,6 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
     pq = per_query(run, qrels, measures, keys)
     n_q = qrels.agg(F.countDistinct("qid").cast("double").alias("_nq"))
     sums = pq.groupBy(*keys).agg(*[F.sum(F.col(f"`{n}`")).alias(n) for n in names])
-    if keys:
-        # Every run group is reported, also one that retrieved nothing relevant.
-        groups = run.select(*keys).distinct()
-        sums = groups.join(sums, keys, "left").select(
-            *keys, *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n) for n in names])
     means = sums.crossJoin(F.broadcast(n_q))  # n_q is a single row
     long = means.select(
         *keys,

@@ -20,7 +20,7 @@ def metrics_long(ws: Workspace, digits: int = 6) -> DataFrame:
     def build():
         res = ev.evaluate(M.experiment_run(ws), ws.qrels, EXP_METRICS, keys=("method", "variant"))
         return res.withColumn("value", F.round("value", digits))
-    return ws.memo("metrics_long", build)
+    return ws.memo("metrics_long", build, settle=True)
 
 
 def measure_mrt(ws: Workspace) -> DataFrame:

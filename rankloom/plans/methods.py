@@ -79,12 +79,19 @@ def method_runs(ws: Workspace, k: int = 100) -> dict[str, DataFrame]:
 
 
 def experiment_run(ws: Workspace, k: int = 100, variants=None) -> DataFrame:
-    """All methods in one run table ``(method, variant, qid, docno, score, rank)``."""
-    runs = method_runs(ws, k)
-    parts = [r.select(F.lit(name).alias("method"), *RUN_COLS) for name, r in runs.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All methods in one run table ``(method, variant, qid, docno, score, rank)``.
+
+    Cached: it has at most methods x queries x k rows and is read by the
+    evaluation more than once.
+    """
+    def build():
+        runs = method_runs(ws, k)
+        parts = [r.select(F.lit(name).alias("method"), *RUN_COLS) for name, r in runs.items()]
+        union = parts[0]
+        for p in parts[1:]:
+            union = union.unionByName(p)
+        return union
+    out = ws.memo(("experiment_run", k), build, settle=True)
     if variants is not None:
         out = out.filter(F.col("variant").isin(list(variants)))
     return out

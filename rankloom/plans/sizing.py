@@ -12,17 +12,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Used where many stages have been stacked (the union of all methods'
+    runs, the metrics table): a checkpointed table is a plain scan for
+    the plans that read it, it survives the loss of the executors that
+    computed it, and later plans stay shallow, which keeps planning time
+    flat. Shallow small frames are only cached.
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)  # read from the session; set only when unset
+    # Persist first: the reliable checkpoint writes in a second job, which
+    # would otherwise recompute the whole plan.
+    kept = df.persist()
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
+
+
 def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when ``df.count() <= max_rows``, else ``df``."""
-    cached = df.cache()
-    n = cached.count()
-    return F.broadcast(cached) if n <= max_rows else cached
+    out, small = measured(df, max_rows)
+    return F.broadcast(out) if small else out
 
 
 def measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     """Cache ``df``, count it once, and say whether it is within ``max_rows``."""
-    cached = df.cache()
-    return cached, cached.count() <= max_rows
+    out = df.cache()
+    return out, out.count() <= max_rows
 
 
 def spread_small(df: DataFrame, max_rows: int = 2_000_000, key: str | None = None) -> DataFrame:

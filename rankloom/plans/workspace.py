@@ -3,8 +3,9 @@
 Several registered queries start from the same derived tables (corpus,
 topics, judgments) and the same BM25 first stage. A ``Workspace`` builds
 each of them once per (session, input folder). The small ones (topics,
-judgments, a top-k run) are cached; the corpus stays a lazy scan so
-column pruning and pushdown reach Parquet for every consumer.
+judgments, a top-k run) are cached, the deep ones (all methods' runs,
+the metrics table) checkpointed to the shared folder; the corpus stays a
+lazy scan so column pruning and pushdown reach Parquet for every consumer.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import lexical, textprep
 from ..sources import collection as coll
-from .sizing import spread_small
+from .sizing import settled, spread_small
 
 _WORKSPACES: dict = {}
 
@@ -56,10 +57,11 @@ class Workspace:
             self.__dict__[key] = lexical.bm25(self.prepared, self.topics, k=k, params=params).cache()
         return self.__dict__[key]
 
-    def memo(self, key, build):
-        """Cache an arbitrary small derived frame under ``key``."""
+    def memo(self, key, build, settle: bool = False):
+        """Keep a small derived frame under ``key``: cached, or checkpointed
+        to the shared folder when ``settle`` (deep plans)."""
         if key not in self.__dict__:
-            self.__dict__[key] = build().cache()
+            self.__dict__[key] = settled(build()) if settle else build().cache()
         return self.__dict__[key]
 
 
