@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_ws, tokens, with_term_counts
-from ..functions.vectors import dot, norm
+from ..functions.vectors import dot
 from ..plans.sizing import measured
 from .lexical import explode_terms, ranked
 
@@ -64,7 +64,7 @@ def normalized(vecs: DataFrame) -> DataFrame:
         .otherwise(F.col("vec")))
 
 
-def vectors_long(vecs: DataFrame, keys, value_digits: int | None = None) -> DataFrame:
+def vectors_long(vecs: DataFrame, keys) -> DataFrame:
     """``(*keys, dim, value)`` for the non-zero entries of ``vec``."""
     out = vecs.select(*keys, F.posexplode_outer("vec").alias("dim", "value"))
     out = out.filter(F.col("value").isNotNull() & (F.col("value") != 0))
@@ -136,8 +136,7 @@ def _with_doc_vectors(cands: DataFrame, dvecs: DataFrame, max_rows: int = 10_000
     return cands.join(F.broadcast(dv) if small else dv, "docno", "left")
 
 
-def candidate_vectors(cands: DataFrame, texts: DataFrame, dim: int = DIM,
-                      max_rows: int = 10_000_000) -> DataFrame:
+def candidate_vectors(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """Vectors of the distinct candidate documents only.
 
     ``texts`` is ``(docno, text)`` for the candidates (e.g. from P5); each

@@ -231,8 +231,12 @@ def bm25_features(prepared: DataFrame, topics: DataFrame | None, text_col: str =
 
 def bm25_contribution(p: BM25Params) -> Column:
     """One hit's share of the score, from ``bm25_features`` columns."""
-    k1, b, k3 = F.lit(float(p.k1)), F.lit(float(p.b)), F.lit(float(p.k3))
-    qweight = _idf(F.col("n_docs"), F.col("df"), p.idf) * ((k3 + 1) * F.col("qtf") / (k3 + F.col("qtf")))
+    return bm25_contribution_of(F.lit(float(p.k1)), F.lit(float(p.b)), F.lit(float(p.k3)), p.idf)
+
+
+def bm25_contribution_of(k1: Column, b: Column, k3: Column, idf: str = "rsj") -> Column:
+    """The same with the parameters as columns (a parameter grid, M12)."""
+    qweight = _idf(F.col("n_docs"), F.col("df"), idf) * ((k3 + 1) * F.col("qtf") / (k3 + F.col("qtf")))
     kk = k1 * ((F.lit(1.0) - b) + b * F.col("dl") / F.col("avgdl"))
     return qweight * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
 

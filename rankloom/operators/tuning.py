@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import evaluate as ev
-from .lexical import BM25Params, bm25_contribution, bm25_features, ranked
+from .lexical import bm25_contribution_of, bm25_features, ranked
 
 # The interpolation grid 0.0, 0.1, ..., 0.9.
 ALPHA_GRID = tuple(i / 10 for i in range(10))
@@ -55,12 +55,7 @@ def bm25_grid_scan(prepared: DataFrame, topics: DataFrame, qrels: DataFrame, gri
     pts = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"),
                              F.lit(float(k3)).alias("k3")) for (k1, b, k3) in grid])
     g = feats.select("*", F.explode(pts).alias("p")).select("*", "p.k1", "p.b", "p.k3").drop("p")
-    k1, b, k3 = F.col("k1"), F.col("b"), F.col("k3")
-    from .lexical import _idf
-
-    qweight = _idf(F.col("n_docs"), F.col("df"), "rsj") * ((k3 + 1) * F.col("qtf") / (k3 + F.col("qtf")))
-    kk = k1 * ((F.lit(1.0) - b) + b * F.col("dl") / F.col("avgdl"))
-    contrib = qweight * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
+    contrib = bm25_contribution_of(F.col("k1"), F.col("b"), F.col("k3"))
     scores = g.groupBy("k1", "b", "k3", "_q", "docno").agg(F.sum(contrib).alias("score"))
     top = ranked(scores, ["k1", "b", "k3", "_q"], k).join(bc(qkeys), "_q")
     outer = [c for c in keys if c != "qid"]

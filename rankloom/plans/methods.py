@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dense, fusion, rerank, textprep
-from ..operators.lexical import cutoff
 from .workspace import Workspace
 
 QKEYS = ("variant", "qid")
@@ -44,7 +43,7 @@ def query_vectors(ws: Workspace) -> DataFrame:
 
 def candidate_doc_vectors(ws: Workspace, k: int = 100) -> DataFrame:
     c = candidates(ws, k)
-    return ws.memo(("cvecs", k), lambda: dense.candidate_vectors(c, c.select("docno", "text")))
+    return ws.memo(("cvecs", k), lambda: dense.candidate_vectors(c.select("docno", "text")))
 
 
 def cosine_scored(ws: Workspace, k: int = 100) -> DataFrame:

@@ -3,11 +3,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import dense, fusion, rerank
 from ..operators import evaluate as ev
-from ..operators.lexical import cutoff
 from . import methods as M
 from . import sql as Q
 from .catalog import register, rounded, ws
