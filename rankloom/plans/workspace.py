@@ -66,9 +66,12 @@ class Workspace:
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    """The session's workspace for ``sf_dir``; switching folders releases the
+    previous workspace's cached frames, so memory does not accumulate."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     ws = _WORKSPACES.get(key)
     if ws is None:
+        reset()
         ws = _WORKSPACES[key] = Workspace(spark, sf_dir)
     return ws
 

@@ -14,6 +14,7 @@ def spark():
 
     s = (SparkSession.builder.master("local[4]")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .getOrCreate())
