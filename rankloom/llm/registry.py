@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate
+from rankloom.llm import decontaminate, near_dup, topk
 
 QUERIES = {
     "op2_prefix_decontamination": decontaminate.query,
+    "op3_odd_sketch_near_dup": near_dup.query,
+    "op4_histogram_top_k": topk.query,
 }
 
 ORACLE_SQL = {
     "op2_prefix_decontamination": decontaminate.SQL,
+    "op4_histogram_top_k": topk.SQL,
 }
