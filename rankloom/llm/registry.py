@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, near_dup, topk
+from rankloom.llm import decontaminate, near_dup, pii, quality, subwords, topk, toxicity
 
 QUERIES = {
     "op2_prefix_decontamination": decontaminate.query,
     "op3_odd_sketch_near_dup": near_dup.query,
     "op4_histogram_top_k": topk.query,
+    "op7_n_best_pieces": subwords.query,
+    "op8_deobfuscated_pii": pii.query,
+    "op9_nearest_toxic": toxicity.query,
+    "op10_pairwise_quality": quality.query,
 }
 
 ORACLE_SQL = {
