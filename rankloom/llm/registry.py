@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, near_dup, pii, quality, subwords, topk, toxicity
+from rankloom.llm import decontaminate, language, mixing, near_dup, pii, quality, subwords, topk, toxicity
 
 QUERIES = {
     "op2_prefix_decontamination": decontaminate.query,
     "op3_odd_sketch_near_dup": near_dup.query,
     "op4_histogram_top_k": topk.query,
+    "op5_word_first_language": language.query,
+    "op6_context_mixing": mixing.query,
     "op7_n_best_pieces": subwords.query,
     "op8_deobfuscated_pii": pii.query,
     "op9_nearest_toxic": toxicity.query,
