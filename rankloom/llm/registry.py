@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, language, mixing, near_dup, pii, quality, subwords, topk, toxicity
+from rankloom.llm import decontaminate, language, mixing, near_dup, pagetext, pii, quality, subwords, topk, toxicity
 
 QUERIES = {
+    "op1_url_page_differencing": pagetext.query,
     "op2_prefix_decontamination": decontaminate.query,
     "op3_odd_sketch_near_dup": near_dup.query,
     "op4_histogram_top_k": topk.query,
