@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate, near_dup, pii, subwords, toxicity
+from rankloom.llm.common import maybe_broadcast, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,17 +23,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows with a null doc_id are in no group and stay; a repeated row stays once.
     """
-    gone = near_dup.near_duplicates(docs, shingle=5, percent=80).filter("doc_id is not null and not kept").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    once = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
-    once = once.select("doc_id", "r.*").select(*docs.columns)
-    return once.unionByName(kept.filter("doc_id is null"))
+    groups = settle(near_dup.near_duplicates(docs, shingle=5, percent=80).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
+    gone = groups.filter("not kept").select("doc_id")
+    kept = docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    again = maybe_broadcast(groups.filter("kept and n > 1").select("doc_id"), 16)
+    once = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select("doc_id", "r.*").select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten words of a benchmark item go."""
-    hit = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = settle(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id"))
+    return docs.join(maybe_broadcast(hit, 16), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
