@@ -18,7 +18,7 @@ BASELINE = "BM25"
 QUALITY_METRICS = ("RR@10", "nDCG@10", "AP@100")
 RECALL_METRICS = ("R@10", "R@25", "R@50")
 VARIANT_ORDER = ("title", "description", "narrative")
-METHOD_RENAMES = {"BM25 >> SBERT % 100": "BM25 >> MINILM % 100"}
+METHOD_RENAMES = {"BM25 >> MINILM % 100": "BM25 >> SBERT % 100"}
 METRIC_RENAMES = {"mrt": "mrt (ms)"}
 NAME_PREFIX = "BM25 >> "
 NAME_SUFFIX = " % 100"

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import strip_ws, tokens, with_term_counts
 from ..functions.vectors import dot
-from ..plans.sizing import measured
+from ..plans.sizing import BROADCAST_BYTES, measured
 from .lexical import explode_terms, ranked
 
 # The default encoder's width and hash (first 32 bits of md5).
@@ -124,15 +124,15 @@ def encode_with(df: DataFrame, enc: Encoder | str, keys, text_col: str = "text",
     return df.select(*keys, text_col).mapInPandas(run, schema)
 
 
-def _with_query_vectors(cands: DataFrame, qvecs: DataFrame, qkeys, max_rows: int) -> DataFrame:
+def _with_query_vectors(cands: DataFrame, qvecs: DataFrame, qkeys, max_bytes: int) -> DataFrame:
     qv, small = measured(qvecs.select(*qkeys, F.col("vec").alias("qvec"), F.col("norm").alias("qnorm")),
-                         max_rows)
+                         max_bytes)
     return cands.join(F.broadcast(qv) if small else qv, list(qkeys), "left")
 
 
-def _with_doc_vectors(cands: DataFrame, dvecs: DataFrame, max_rows: int = 10_000_000) -> DataFrame:
+def _with_doc_vectors(cands: DataFrame, dvecs: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     dv, small = measured(dvecs.select("docno", F.col("vec").alias("dvec"), F.col("norm").alias("dnorm")),
-                         max_rows)
+                         max_bytes)
     return cands.join(F.broadcast(dv) if small else dv, "docno", "left")
 
 
@@ -148,13 +148,13 @@ def candidate_vectors(texts: DataFrame, dim: int = DIM) -> DataFrame:
 
 def score_vectors(cands: DataFrame, qvecs: DataFrame, dvecs: DataFrame, how: str = "cosine",
                   qkeys=("variant", "qid"), out_col: str = "dense_score",
-                  max_rows: int = 10_000_000) -> DataFrame:
+                  max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Add ``out_col`` = cosine or dot of query and document vectors.
 
     cosine = dot / (|q| |d|), 0 when either norm is 0 or a vector is missing.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    j = _with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_rows), dvecs, max_rows)
+    j = _with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_bytes), dvecs, max_bytes)
     d = dot(F.col("qvec"), F.col("dvec"))
     if how == "cosine":
         s = F.when((F.col("qnorm") > 0) & (F.col("dnorm") > 0), d / (F.col("qnorm") * F.col("dnorm")))
@@ -180,7 +180,7 @@ def passages(corpus_text: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def maxp_scores(cands: DataFrame, qvecs: DataFrame, psg_vecs: DataFrame, qkeys=("variant", "qid"),
-                out_col: str = "dense_score", max_rows: int = 10_000_000) -> DataFrame:
+                out_col: str = "dense_score", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Forward-index MAXP -- max over a document's passages of the cosine.
 
     ``psg_vecs`` is ``(docno, psg, vec, norm)`` for the candidates'
@@ -188,7 +188,7 @@ def maxp_scores(cands: DataFrame, qvecs: DataFrame, psg_vecs: DataFrame, qkeys=(
     one aggregate by (query, docno). A candidate without passages scores 0.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    c = _with_query_vectors(cands.select(*qkeys, "docno"), qvecs, qkeys, max_rows)
+    c = _with_query_vectors(cands.select(*qkeys, "docno"), qvecs, qkeys, max_bytes)
     pv = psg_vecs.select("docno", F.col("vec").alias("pvec"), F.col("norm").alias("pnorm"))
     cos = F.when((F.col("qnorm") > 0) & (F.col("pnorm") > 0),
                  dot(F.col("qvec"), F.col("pvec")) / (F.col("qnorm") * F.col("pnorm"))).otherwise(0.0)
@@ -220,7 +220,7 @@ def token_codes(df: DataFrame, keys, text_col: str = "text", dim: int = DIM,
 
 
 def maxsim_codes(cands: DataFrame, qcodes: DataFrame, dcodes: DataFrame, qkeys=("variant", "qid"),
-                 out_col: str = "li_score", max_rows: int = 10_000_000) -> DataFrame:
+                 out_col: str = "li_score", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """MaxSim = sum over query tokens of the max over document tokens.
 
     For signed one-hot token vectors the max has a closed form: 1 when the
@@ -229,7 +229,7 @@ def maxsim_codes(cands: DataFrame, qcodes: DataFrame, dcodes: DataFrame, qkeys=(
     each candidate costs |q| membership tests on its document's code set.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    qc, small = measured(qcodes.select(*qkeys, F.col("codes").alias("qc")), max_rows)
+    qc, small = measured(qcodes.select(*qkeys, F.col("codes").alias("qc")), max_bytes)
     j = (cands.join(F.broadcast(qc) if small else qc, qkeys, "left")
          .join(dcodes.select("docno", F.col("codes").alias("dc")), "docno", "left"))
 
@@ -262,7 +262,7 @@ def maxsim_dense(cands: DataFrame, qtok: DataFrame, dtok: DataFrame, qkeys=("var
 # ---- end-to-end dense retrieval (D8) ---------------------------------------
 
 def exact_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, qkeys=("variant", "qid"),
-              max_rows: int = 1_000_000) -> DataFrame:
+              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """D8 exact: cosine of every query with every document, top k per query.
 
     The query vectors are broadcast (size measured); each document row is
@@ -271,7 +271,7 @@ def exact_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, qkeys=("variant", "qid
     """
     qkeys = list(qkeys)
     qv, small = measured(qvecs.select(*qkeys, F.col("vec").alias("qvec"), F.col("norm").alias("qnorm")),
-                         max_rows)
+                         max_bytes)
     if not small:
         raise ValueError("query set too large to broadcast for exact kNN; split the topics")
     # Brute force by definition: every document meets every (broadcast,
@@ -285,7 +285,7 @@ def exact_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, qkeys=("variant", "qid
 
 
 def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int = 16, nprobe: int = 4,
-            seed: int = 7, qkeys=("variant", "qid"), max_rows: int = 1_000_000) -> DataFrame:
+            seed: int = 7, qkeys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """D8 approximate: KMeans cells, probe the ``nprobe`` nearest cells,
     equi-join on the cell id, rescore exactly, top k per query."""
     from pyspark.ml.clustering import KMeans
@@ -299,7 +299,7 @@ def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int = 16, nprob
     centers = dvecs.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cell long, center array<double>")
-    qv, small = measured(qvecs.select(*qkeys, "vec", "norm"), max_rows)
+    qv, small = measured(qvecs.select(*qkeys, "vec", "norm"), max_bytes)
     w = Window.partitionBy(*qkeys).orderBy(F.col("cd").desc(), F.col("cell"))
     probes = (qv.crossJoin(F.broadcast(centers))  # queries x n_cells centroids
               .withColumn("cd", dot(F.col("vec"), F.col("center")))

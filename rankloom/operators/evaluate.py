@@ -13,8 +13,10 @@ query, ranks start at 1, order = rounded score desc, docno desc):
   counts 0, a query without judgments is ignored, R = 0 gives 0.
 
 All metrics of all runs (keys such as ``method`` and ``variant``) come out
-of one pass over the run: one group-by for the per-query sums (AP from the
-sorted ranks of the relevant hits), one group-by for the means.
+of one pass over the run: it is joined with the relevant judgments, the hits
+are numbered by rank within their query (the running count that AP needs) and
+summed by query, and the sums are averaged. Every (run key, judged query) has
+a row, also where the run has no judged query at all.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import measured
+from ..plans.sizing import BROADCAST_BYTES, measured
 
 # The metric set of the main experiment and its names.
 MAIN_METRICS = ("RR@10", "nDCG@10", "AP@100", "R@10", "R@25", "R@50")
@@ -60,75 +62,56 @@ def _within(k: int | None) -> Column:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
-              keys=("method", "variant"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """M8: ``(*keys, qid, <one column per measure>)`` for every query of the
-    run that is also judged.
-
-    One pass over the run: a left join with the (measured, broadcast)
-    relevant judgments, then one aggregate per (keys, qid). AP needs the
-    running count of relevant hits; it comes from the sorted list of the
-    ranks of relevant hits, which has at most R entries per query, so no
-    window over the run is needed and a query that retrieved a third of
-    the corpus adds no more than R values to its group's state.
+              keys=("method", "variant"), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """M8: ``(*keys, qid, <one column per measure>)`` for every key of the run
+    and every judged query; 0 where the run has nothing for the query.
+
+    Only relevant hits take part (an inner join with the measured, broadcast
+    judgments), so a query that retrieved a third of the corpus brings at most
+    R rows to its group. The result has keys x judged queries rows.
     """
     ms = [parse_measure(m) if isinstance(m, str) else m for m in measures]
     keys = [k for k in keys if k in run.columns]
     if "rank" not in run.columns:
         from .lexical import ranked
         run = ranked(run, [*keys, "qid"], None)
-    qrels, small = measured(qrels.select("qid", "docno", "rel"), max_broadcast_rows)
+    qrels, small = measured(qrels.select("qid", "docno", "rel"), max_bytes)
     rel_q = qrels.filter(F.col("rel") >= 1).withColumn("rel", F.col("rel").cast("double"))
-    jq = F.broadcast(rel_q) if small else rel_q
-    judged = run.select(*keys, "qid", "docno", "rank").join(jq, ["qid", "docno"], "left")
-    isrel = F.col("rel").isNotNull()
+    hits = run.select(*keys, "qid", "docno", "rank").join(F.broadcast(rel_q) if small else rel_q, ["qid", "docno"])
+    deepest = None if any(m.k is None for m in ms) else max(m.k for m in ms)
+    if deepest is not None:
+        hits = hits.filter(F.col("rank") <= deepest)
+    w = Window.partitionBy(*keys, "qid").orderBy("rank")
+    hits = hits.withColumn("_c", F.row_number().over(w))
     sums = []
     for i, m in enumerate(ms):
-        cond = _within(m.k) & isrel
-        if m.kind == "RR":
-            e = F.max(F.when(cond, F.lit(1.0) / F.col("rank")).otherwise(F.lit(0.0)))
-        elif m.kind in ("P", "R"):
-            e = F.sum(F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0)))
-        elif m.kind == "AP":
-            e = F.lit(0.0)  # from the rank list below
-        else:  # nDCG
-            e = F.sum(F.when(cond, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(F.lit(0.0)))
-        sums.append(e.alias(f"_s{i}"))
-    extra = []
-    if any(m.kind == "AP" for m in ms):
-        extra.append(F.sort_array(F.collect_list(F.when(isrel, F.col("rank")))).alias("_rr"))
-    if any(m.kind == "P" and m.k is None for m in ms):
-        extra.append(F.count(F.lit(1)).alias("_n"))
-    agg = judged.groupBy(*keys, "qid").agg(*sums, *extra)
-    for i, m in enumerate(ms):
-        if m.kind == "AP":
-            # sum over the j-th relevant hit (1-based) at rank r <= k of j / r
-            ap = F.aggregate(
-                F.transform(F.col("_rr"), lambda r, j: F.when(_rank_ok(r, m.k), (j + 1) / r).otherwise(0.0)),
-                F.lit(0.0), lambda a, x: a + x)
-            agg = agg.withColumn(f"_s{i}", ap.cast("double"))
+        value = {"RR": F.lit(1.0) / F.col("rank"), "P": F.lit(1.0), "R": F.lit(1.0), "AP": F.col("_c") / F.col("rank"),
+                 "nDCG": F.col("rel") / F.log2(F.col("rank") + 1)}[m.kind]
+        value = F.when(_within(m.k), value).otherwise(F.lit(0.0))
+        sums.append((F.max(value) if m.kind == "RR" else F.sum(value)).alias(f"_s{i}"))
+    agg = hits.groupBy(*keys, "qid").agg(*sums)
     ideal = _ideal(qrels, ms)
-    stats = F.broadcast(ideal) if small else ideal
-    joined = agg.join(stats, "qid")
+    ideal = F.broadcast(ideal) if small else ideal
+    # Every run key meets every judged query: the rows of the result.
+    grid = run.select(*keys).distinct().crossJoin(ideal) if keys else ideal
+    joined = grid.join(agg, [*keys, "qid"], "left")
+    if any(m.kind == "P" and m.k is None for m in ms):
+        joined = joined.join(run.groupBy(*keys, "qid").agg(F.count(F.lit(1)).alias("_n")), [*keys, "qid"], "left")
     outs = []
     for i, m in enumerate(ms):
-        s, r = F.col(f"_s{i}"), F.col("_R")
+        s, r = F.coalesce(F.col(f"_s{i}"), F.lit(0.0)), F.col("_R")
         if m.kind == "RR":
-            v = F.when(r > 0, s).otherwise(F.lit(0.0))
+            v = F.when(r > 0, s)
         elif m.kind == "P":
-            v = F.when(r > 0, s / F.lit(float(m.k))).otherwise(F.lit(0.0)) if m.k else \
-                F.when(r > 0, s / F.col("_n")).otherwise(F.lit(0.0))
+            v = F.when(r > 0, s / F.lit(float(m.k))) if m.k else F.when((r > 0) & (F.col("_n") > 0), s / F.col("_n"))
         elif m.kind in ("R", "AP"):
-            v = F.when(r > 0, s / r).otherwise(F.lit(0.0))
+            v = F.when(r > 0, s / r)
         else:
-            v = F.when(F.col(f"_i{i}") > 0, s / F.col(f"_i{i}")).otherwise(F.lit(0.0))
-        outs.append(v.cast("double").alias(m.name))
+            v = F.when(F.col(f"_i{i}") > 0, s / F.col(f"_i{i}"))
+        outs.append(F.coalesce(v, F.lit(0.0)).cast("double").alias(m.name))
     return joined.select(*keys, "qid", *outs)
 
 
-def _rank_ok(r, k):
-    return F.lit(True) if k is None else r <= k
-
-
 def _ideal(qrels: DataFrame, ms) -> DataFrame:
     """Per judged query: ``_R`` and the ideal DCG of each nDCG measure.
 

@@ -1,13 +1,13 @@
 """Pseudo-relevance feedback (D9 ranker, D10 reranker).
 
 For every query the ``fb_docs`` best documents of a first-stage run are
-taken as feedback. Their terms are weighted by how often they occur in
-the feedback documents times their collection IDF (the representative
-tokens of the feedback set, each weighted by IDF), and the ``fb_terms``
-heaviest are added to the query with weight ``beta``.
+taken as feedback. Their terms are ranked by how often they occur in the
+feedback documents times their collection IDF; the ``fb_terms`` heaviest are
+added to the query, each with the weight ``beta * idf``.
 
-All steps are joins and windows over bounded groups: a query's feedback
-set holds ``fb_docs`` documents, and its expansion ``fb_terms`` terms.
+Document frequencies, N and the feedback documents' terms come from the index,
+so nothing is tokenised here. A query's feedback set holds ``fb_docs``
+documents and its expansion ``fb_terms`` terms, so every group is bounded.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import measured
-from .lexical import BM25Params, bm25_weighted, doc_terms, explode_terms, query_terms, ranked
+from ..plans.sizing import BROADCAST_BYTES, measured
+from .lexical import BM25Params, Index, as_index, bm25_weighted, query_terms, ranked
 
 # Feedback defaults.
 FB_DOCS = 3
@@ -24,60 +24,55 @@ FB_TERMS = 10
 BETA = 1.0
 
 
-def expansion_terms(run: DataFrame, prepared: DataFrame, fb_docs: int = FB_DOCS,
+# Digits kept when term weights are compared.
+WEIGHT_DIGITS = 9
+
+
+def expansion_terms(run: DataFrame, source: Index | DataFrame, fb_docs: int = FB_DOCS,
                     fb_terms: int = FB_TERMS, keys=("variant", "qid"),
-                    max_rows: int = 5_000_000) -> DataFrame:
-    """``(*keys, term, weight)``: the ``fb_terms`` heaviest feedback terms per query."""
+                    max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(*keys, term, weight, idf)``: the ``fb_terms`` heaviest feedback terms per query."""
+    index = as_index(source)
     keys = [k for k in keys if k in run.columns]
-    fb = run.filter(F.col("rank") <= fb_docs).select(*keys, "docno")
-    fb, small = measured(fb, max_rows)
-    fb_docnos = fb.select("docno").distinct()
-    fb_text = prepared.join(F.broadcast(fb_docnos) if small else fb_docnos, "docno", "left_semi")
-    terms = explode_terms(doc_terms(fb_text), "docno")            # (docno, term, tf)
-    counts = (fb.join(terms, "docno").groupBy(*keys, "term")
-              .agg(F.sum("tf").cast("double").alias("cnt")))
-    vocab, vsmall = measured(counts.select("term").distinct(), max_rows)
-    # Collection statistics for the feedback vocabulary: one pass, no token shuffle.
-    all_terms = explode_terms(doc_terms(prepared), "docno")
-    df = (all_terms.join(F.broadcast(vocab) if vsmall else vocab, "term", "left_semi")
-          .groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")))
-    n = prepared.agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
+    fb, small = measured(run.filter(F.col("rank") <= fb_docs).select(*keys, "docno"), max_bytes)
+    terms = index.postings.join(F.broadcast(fb) if small else fb, "docno")
+    counts = terms.groupBy(*keys, "term").agg(F.sum("tf").cast("double").alias("cnt"))
     idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1))
-    weighted = counts.join(df, "term").crossJoin(n).withColumn("weight", F.col("cnt") * idf)  # n: one row
-    w = Window.partitionBy(*keys).orderBy(F.col("weight").desc(), F.col("term"))
+    weighted = (counts.join(index.term_stats, "term").crossJoin(F.broadcast(index.coll_stats.select("n_docs")))  # one row
+                .withColumn("idf", idf).withColumn("weight", F.col("cnt") * F.col("idf")))
+    w = Window.partitionBy(*keys).orderBy(F.round("weight", WEIGHT_DIGITS).desc(), F.col("term"))
     return (weighted.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= fb_terms)
-            .select(*keys, "term", "weight"))
+            .select(*keys, "term", "weight", "idf"))
 
 
 def expanded_query_terms(topics: DataFrame, exp: DataFrame, beta: float = BETA,
                          keys=("variant", "qid")) -> DataFrame:
-    """Original ``qtf`` plus ``beta`` for each expansion term (weights kept by rank)."""
+    """Original ``qtf`` plus ``beta * idf`` for each expansion term."""
     keys = [k for k in keys if k in topics.columns]
     qt = query_terms(topics, keys).withColumn("qtf", F.col("qtf").cast("double"))
-    ex = exp.select(*keys, "term", F.lit(float(beta)).alias("qtf"))
+    ex = exp.select(*keys, "term", (F.lit(float(beta)) * F.col("idf")).alias("qtf"))
     return qt.unionByName(ex).groupBy(*keys, "term").agg(F.sum("qtf").alias("qtf"))
 
 
-def prf_ranker(prepared: DataFrame, topics: DataFrame, first: DataFrame, k: int = 100,
+def prf_ranker(source: Index | DataFrame, topics: DataFrame, first: DataFrame, k: int = 100,
                fb_docs: int = FB_DOCS, fb_terms: int = FB_TERMS, beta: float = BETA,
                params: BM25Params | None = None) -> DataFrame:
     """Retrieve again with the expanded query."""
-    exp = expansion_terms(first, prepared, fb_docs, fb_terms)
-    return bm25_weighted(prepared, expanded_query_terms(topics, exp, beta), k, params)
+    exp = expansion_terms(first, source, fb_docs, fb_terms)
+    return bm25_weighted(source, expanded_query_terms(topics, exp, beta), k, params)
 
 
-def prf_reranker(prepared: DataFrame, topics: DataFrame, first: DataFrame,
+def prf_reranker(source: Index | DataFrame, topics: DataFrame, first: DataFrame,
                  fb_docs: int = FB_DOCS, fb_terms: int = FB_TERMS, beta: float = BETA,
                  params: BM25Params | None = None, keys=("variant", "qid")) -> DataFrame:
-    """Rescore the same candidates with the expanded query.
+    """Rescore the same candidates, and only them, with the expanded query.
 
-    The expanded scores are computed over the whole collection (so that the
-    statistics are the collection's) and joined back to the candidates;
-    a candidate without any expanded-query term scores 0.
+    Statistics are the collection's; a candidate without any expanded-query
+    term scores 0.
     """
     keys = [k for k in keys if k in first.columns]
-    exp = expansion_terms(first, prepared, fb_docs, fb_terms)
-    rescored = bm25_weighted(prepared, expanded_query_terms(topics, exp, beta), None, params)
+    exp = expansion_terms(first, source, fb_docs, fb_terms)
+    rescored = bm25_weighted(source, expanded_query_terms(topics, exp, beta), None, params, within=first)
     out = (first.drop("score", "rank")
            .join(rescored.select(*keys, "docno", "score"), [*keys, "docno"], "left")
            .withColumn("score", F.coalesce(F.col("score"), F.lit(0.0))))

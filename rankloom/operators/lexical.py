@@ -1,33 +1,37 @@
 """Lexical index tables and BM25 retrieval.
 
-Plan shape of ``bm25`` (one scan of the corpus, one large shuffle):
-
-1. Each document row is tokenised and its term frequencies are counted
-   inside the row (``term_counts``), so token occurrences are never
-   exploded one by one.
-2. Only terms of the query vocabulary survive (broadcast semi-join, the
-   vocabulary's size is checked first), plus one header row per
-   document that carries its length for the collection statistics.
-3. Those rows are hash-partitioned on ``docno`` once and persisted. The
-   statistics (N, avgdl, df) and the scoring read the same rows, and the
-   per-(query, document) sum needs no second shuffle because the rows
-   are already clustered by ``docno``.
-4. Top-k per query is ``row_number() <= k``, which Spark plans as a
-   partial ``WindowGroupLimit`` before the shuffle on the query key, so
-   a query that matches a third of the corpus still ships only k rows
-   per partition.
+The index is built once and searched many times (``Index``):
+
+- ``postings`` (docno, term, tf, dl), sorted by term inside every file, so a
+  lookup of few terms skips row groups; a frequent term is spread over all
+  files and is never one task's work;
+- ``term_stats`` (term, df) and ``coll_stats`` (one row: n_docs, total_len,
+  avgdl).
+
+``build_index`` makes them in one pass in which each document's term
+frequencies are counted inside its row; ``store_index`` keeps them as Parquet
+in the shared folder. Plan shape of ``bm25`` on an index:
+
+1. the postings scan is restricted to the query vocabulary (a broadcast
+   semi-join; its bytes are measured first);
+2. the restricted postings are hash-partitioned on ``docno`` once, so the
+   per-(query, document) sums need no second shuffle;
+3. the query side (term, weight, df, collection statistics) is broadcast onto
+   them, or joined by term beyond the byte bound (AQE splits frequent terms);
+4. top-k per query is ``row_number() <= k``, which Spark plans as a partial
+   ``WindowGroupLimit`` before the shuffle on the query key, so a query that
+   matches a third of the corpus still ships only k rows per partition.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, with_term_counts
-from ..plans.sizing import measured
+from ..plans.sizing import BROADCAST_BYTES, measured
 
 # BM25 defaults of the surveyed search engine.
 K1 = 1.2
@@ -38,15 +42,6 @@ K3 = 8.0
 SCORE_DIGITS = 6
 
 
-_PERSISTED: list = []
-
-
-def release() -> None:
-    """Unpersist the intermediate tables kept by earlier ``bm25`` calls."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-
-
 @dataclass(frozen=True)
 class BM25Params:
     k1: float = K1
@@ -160,73 +155,106 @@ def cutoff(run: DataFrame, k: int, keys=("variant", "qid")) -> DataFrame:
     return ranked(run.drop("rank") if "rank" in run.columns else run, keys, k)
 
 
-def bm25_hits(prepared: DataFrame, vocab: DataFrame, text_col: str = "text") -> DataFrame:
-    """Vocabulary-restricted postings plus one header row per document.
+@dataclass(frozen=True)
+class Index:
+    """A searchable index: see the module's description."""
+
+    postings: DataFrame
+    term_stats: DataFrame
+    coll_stats: DataFrame
+
+
+def _postings_of(doc_terms_: DataFrame, stop_words: DataFrame | None) -> DataFrame:
+    out = explode_terms(doc_terms_, "docno", "dl")
+    if stop_words is not None:  # a stated list of words, measured like every broadcast
+        words, small = measured(stop_words.select("term").distinct())
+        out = out.join(F.broadcast(words) if small else words, "term", "left_anti")
+    return out.select("docno", "term", "tf", "dl")
+
+
+def _term_stats(postings_: DataFrame) -> DataFrame:
+    return postings_.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+
+
+def _coll_stats(sizes: DataFrame) -> DataFrame:
+    return sizes.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total_len"),
+                     F.avg("dl").cast("double").alias("avgdl"))
+
 
-    ``(docno, dl, term, tf)``; the header row has ``term`` NULL. Output is
-    hash-partitioned on ``docno`` so later per-document aggregates reuse it.
+def build_index(prepared: DataFrame, text_col: str = "text", stop_words: DataFrame | None = None) -> Index:
+    """The index as derived frames, nothing stored (small collections, tests).
+
+    Document lengths count all tokens; ``stop_words`` (term) are left out of
+    the postings only.
     """
     dt = doc_terms(prepared, text_col)
-    header = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
-    rows = explode_terms(dt.withColumn("terms", F.concat(header, F.col("terms"))), "docno", "dl",
-                         keep_null_term=True)
-    flagged = rows.join(vocab.select("term", F.lit(True).alias("_in_vocab")), "term", "left")
-    return (flagged.filter(F.col("term").isNull() | F.col("_in_vocab"))
-            .drop("_in_vocab")
-            .repartition("docno"))
-
-
-def _query_keys(qt: DataFrame, keys) -> DataFrame:
-    """``(*keys, _q)``: a dense BIGINT surrogate per query.
-
-    The heavy join, aggregate and window then hash and compare one long
-    instead of (string, long) pairs. The table has at most as many rows as
-    the measured query-term table, so its single-partition window is
-    bounded.
+    post = _postings_of(dt, stop_words)
+    return Index(post, _term_stats(post), _coll_stats(dt.select("dl")))
+
+
+def store_index(prepared: DataFrame, key_parts, text_col: str = "text", stop_words: DataFrame | None = None) -> Index:
+    """The index under the key of its inputs, built where it is missing.
+
+    The texts are tokenised once: a table of each document's term counts is
+    stored first, and the postings and statistics are made from it.
     """
-    w = Window.orderBy(*keys)
-    return qt.select(*keys).distinct().withColumn("_q", F.row_number().over(w).cast("long"))
+    from ..sources.results import materialize
+
+    docs = materialize(lambda: doc_terms(prepared, text_col), "doc-terms", key_parts, prepared.sparkSession)
+    post = materialize(lambda: _postings_of(docs, stop_words).sortWithinPartitions("term", "docno"), "postings", key_parts, prepared.sparkSession)
+    terms = materialize(lambda: _term_stats(post), "term-stats", key_parts, prepared.sparkSession)
+    coll = materialize(lambda: _coll_stats(docs.select("dl")), "coll-stats", key_parts, prepared.sparkSession)
+    return Index(post, terms, coll)
+
 
+def as_index(source: Index | DataFrame, text_col: str = "text") -> Index:
+    """An index as it is; prepared texts as an index that is not stored."""
+    return source if isinstance(source, Index) else build_index(source, text_col)
 
-def bm25_features(prepared: DataFrame, topics: DataFrame | None, text_col: str = "text",
-                  keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000,
-                  qterms: DataFrame | None = None):
+
+def field_index(corpus: DataFrame, weights: dict[str, float]) -> Index:
+    """L2: an index over several fields; tf and dl are weighted sums over the fields."""
+    fields = list(weights)
+    fp = field_postings(corpus, fields, weights)
+    w = sum((F.lit(float(weights[f])) * F.size(F.coalesce(tokens(f), F.array().cast("array<string>"))) for f in fields), F.lit(0.0))
+    sizes = corpus.select("docno", w.alias("dl"))
+    post = weighted_tf(fp).join(sizes, "docno")
+    return Index(post, _term_stats(post), _coll_stats(sizes))
+
+
+def bm25_features(source: Index | DataFrame, topics: DataFrame | None, text_col: str = "text",
+                  keys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES,
+                  qterms: DataFrame | None = None, within: DataFrame | None = None):
     """Parameter-free BM25 inputs, one row per (query, document, term) hit.
 
     Returns ``(feats, qkeys, bc)``: ``feats`` is ``(_q, docno, term, tf, dl,
     df, n_docs, avgdl, qtf)``, ``qkeys`` maps ``(*keys) -> _q`` and ``bc``
     is the broadcast hint that the size check allowed. Any BM25 parameter
     setting (or a grid of them, M12) is a projection plus one aggregate
-    over these rows.
+    over these rows. ``qterms`` (keys, term, qtf) may be given directly, e.g.
+    an expanded query with fractional weights (D9); ``within`` (keys, docno)
+    restricts the hits to those pairs before anything is scored (D10).
     """
     keys = list(keys)
+    index = as_index(source, text_col)
     # The query side is measured once; vocabulary, query keys and query
-    # weights have at most as many rows as the query terms, so the same
-    # bound covers all of them.
-    # ``qterms`` (keys, term, qtf) may be given directly, e.g. an expanded
-    # query with fractional weights.
-    qt, small = measured(qterms if qterms is not None else query_terms(topics, keys),
-                         max_broadcast_rows)
+    # weights have at most as many rows as the query terms.
+    qt, small = measured(qterms if qterms is not None else query_terms(topics, keys), max_bytes)
     bc = F.broadcast if small else (lambda d: d)
-    qkeys = _query_keys(qt, keys).cache()
-    _PERSISTED.append(qkeys)
+    # The heavy join, aggregate and window hash and compare one long instead
+    # of the keys.
+    q = F.xxhash64(*keys).alias("_q")
+    qkeys = qt.select(*keys, q).distinct()
     vocab = bc(qt.select("term").distinct())
-    # One pass over the corpus feeds three consumers (N/avgdl, df, scores).
-    # Spark does not reuse the exchange across them (column pruning makes
-    # the branches differ), so the restricted hits are persisted; the
-    # cached relation keeps its docno partitioning.
-    hits = bm25_hits(prepared, vocab, text_col).persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(hits)
-    coll = hits.filter(F.col("term").isNull()).agg(
-        F.count(F.lit(1)).cast("double").alias("n_docs"),
-        F.avg("dl").cast("double").alias("avgdl"))
-    postings_q = hits.filter(F.col("term").isNotNull())
-    dfs = postings_q.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    # Query side: (_q, term, qtf, df, n_docs, avgdl); small, broadcast.
-    qside = (qt.join(bc(qkeys), keys).join(dfs, "term").crossJoin(coll)  # coll: one row
-             .select("_q", "term", "qtf", "df", "n_docs", "avgdl"))
-    feats = postings_q.join(bc(qside), "term")
-    return feats, qkeys, bc
+    dfs = index.term_stats.join(vocab, "term", "left_semi")
+    qside = bc(qt.select(q, "term", "qtf").join(bc(dfs), "term").crossJoin(F.broadcast(index.coll_stats.select("n_docs", "avgdl"))))  # one row
+    hits = index.postings.join(vocab, "term", "left_semi")
+    if within is not None:
+        pairs = within.select(F.xxhash64(*keys).alias("_q"), "docno").distinct()
+        docnos, few = measured(pairs.select("docno").distinct(), max_bytes)
+        hits = hits.join(F.broadcast(docnos) if few else docnos, "docno", "left_semi").repartition("docno")
+        return hits.join(qside, "term").join(pairs, ["docno", "_q"], "left_semi"), qkeys, bc
+    return hits.repartition("docno").join(qside, "term"), qkeys, bc
 
 
 def bm25_contribution(p: BM25Params) -> Column:
@@ -241,46 +269,37 @@ def bm25_contribution_of(k1: Column, b: Column, k3: Column, idf: str = "rsj") ->
     return qweight * ((k1 + 1) * F.col("tf") / (kk + F.col("tf")))
 
 
-def _bm25_q(prepared: DataFrame, topics: DataFrame | None, p: BM25Params, text_col: str,
-            keys, max_broadcast_rows: int, qterms: DataFrame | None = None):
-    """``(_q, docno, score)`` plus the ``(*keys, _q)`` table and its broadcast hint."""
-    feats, qkeys, bc = bm25_features(prepared, topics, text_col, keys, max_broadcast_rows, qterms)
-    scores = feats.groupBy("_q", "docno").agg(F.sum(bm25_contribution(p)).alias("score"))
+def bm25_scores(source: Index | DataFrame, topics: DataFrame | None, params: BM25Params | None = None,
+                text_col: str = "text", keys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES,
+                qterms: DataFrame | None = None, within: DataFrame | None = None):
+    """``(_q, docno, score)`` of every match, the ``(*keys, _q)`` table and its broadcast hint."""
+    feats, qkeys, bc = bm25_features(source, topics, text_col, keys, max_bytes, qterms, within)
+    scores = feats.groupBy("_q", "docno").agg(F.sum(bm25_contribution(params or BM25Params())).alias("score"))
     return scores, qkeys, bc
 
 
-def bm25_scores(prepared: DataFrame, topics: DataFrame, params: BM25Params | None = None,
-                text_col: str = "text", keys=("variant", "qid"),
-                max_broadcast_rows: int = 5_000_000) -> DataFrame:
-    """All matching ``(*keys, docno, score)`` for the topics, unranked."""
-    keys = [k for k in keys if k in topics.columns]
-    scores, qkeys, bc = _bm25_q(prepared, topics, params or BM25Params(), text_col, keys,
-                                max_broadcast_rows)
-    return scores.join(bc(qkeys), "_q").select(*keys, "docno", "score")
-
-
-def bm25(prepared: DataFrame, topics: DataFrame, k: int | None = 1000,
+def bm25(source: Index | DataFrame, topics: DataFrame, k: int | None = 1000,
          params: BM25Params | None = None, text_col: str = "text",
-         keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
+         keys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Run ``(*keys, docno, score, rank)``, top ``k`` per query.
 
-    ``k=None`` returns every matching document (no cutoff). Ranking runs
-    on the surrogate query key; the keys are joined back to the (at most
-    k rows per query) result.
+    ``source`` is an index, or prepared texts (indexed on the fly). ``k=None``
+    returns every matching document (no cutoff). Ranking runs on the surrogate
+    query key; the keys are joined back to the (at most k rows per query)
+    result.
     """
     keys = [c for c in keys if c in topics.columns]
-    scores, qkeys, bc = _bm25_q(prepared, topics, params or BM25Params(), text_col, keys,
-                                max_broadcast_rows)
+    scores, qkeys, bc = bm25_scores(source, topics, params, text_col, keys, max_bytes)
     top = ranked(scores, ["_q"], k)
     return top.join(bc(qkeys), "_q").select(*keys, "docno", "score", "rank")
 
 
-def bm25_weighted(prepared: DataFrame, qterms: DataFrame, k: int | None = 1000,
+def bm25_weighted(source: Index | DataFrame, qterms: DataFrame, k: int | None = 1000,
                   params: BM25Params | None = None, text_col: str = "text",
-                  keys=("variant", "qid"), max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                  keys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES,
+                  within: DataFrame | None = None) -> DataFrame:
     """BM25 for explicit ``(*keys, term, qtf)`` query terms (qtf may be fractional)."""
     keys = [c for c in keys if c in qterms.columns]
-    scores, qkeys, bc = _bm25_q(prepared, None, params or BM25Params(), text_col, keys,
-                                max_broadcast_rows, qterms)
+    scores, qkeys, bc = bm25_scores(source, None, params, text_col, keys, max_bytes, qterms, within)
     top = ranked(scores, ["_q"], k)
     return top.join(bc(qkeys), "_q").select(*keys, "docno", "score", "rank")

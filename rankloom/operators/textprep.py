@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws, tokens
-from ..plans.sizing import measured
+from ..plans.sizing import BROADCAST_BYTES, measured
 
 
 def _blank_to_null(c):
@@ -34,13 +34,13 @@ def prepare_concat(corpus: DataFrame, sep: str = " ", drop_empty: bool = False,
 
 
 def _lookup(corpus: DataFrame, candidates: DataFrame, cols, order_col: str | None,
-            max_rows: int) -> tuple[DataFrame, bool]:
+            max_bytes: int) -> DataFrame:
     """Corpus rows whose docno is a candidate, one row per docno.
 
     The candidates' docnos are measured and broadcast into a semi-join,
     so the corpus is filtered during its scan and never shuffled.
     """
-    cand, small = measured(candidates.select("docno").distinct(), max_rows)
+    cand, small = measured(candidates.select("docno").distinct(), max_bytes)
     lookup = corpus.filter(F.col("docno").isNotNull())
     if dict(corpus.dtypes).get("docno") == "string":
         lookup = lookup.filter(F.col("docno") != "")
@@ -52,24 +52,25 @@ def _lookup(corpus: DataFrame, candidates: DataFrame, cols, order_col: str | Non
                   .select("docno", *[F.col(f"_r.{c}").alias(c) for c in cols]))
     else:
         lookup = lookup.select("docno", *cols)
-    return lookup, small
+    return lookup
 
 
 def attach_text(candidates: DataFrame, corpus: DataFrame, order_col: str | None = None,
-                max_rows: int = 10_000_000) -> DataFrame:
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """P5: ``text`` = abstract, else title, else '' (also for unknown docnos)."""
-    lookup, small = _lookup(corpus, candidates, ["title", "abstract"], order_col, max_rows)
+    lookup = _lookup(corpus, candidates, ["title", "abstract"], order_col, max_bytes)
     lookup = lookup.select("docno", F.coalesce(_blank_to_null("abstract"), _blank_to_null("title"),
                                                F.lit("")).alias("_text"))
+    lookup, small = measured(lookup, max_bytes)
     base = candidates.drop("text") if "text" in candidates.columns else candidates
     return (base.join(F.broadcast(lookup) if small else lookup, "docno", "left")
             .withColumn("text", F.coalesce(F.col("_text"), F.lit(""))).drop("_text"))
 
 
 def attach_field(candidates: DataFrame, corpus: DataFrame, field: str,
-                 max_rows: int = 10_000_000) -> DataFrame:
+                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Attach one stored field of the corpus (NULL when unknown)."""
-    lookup, small = _lookup(corpus, candidates, [field], None, max_rows)
+    lookup, small = measured(_lookup(corpus, candidates, [field], None, max_bytes), max_bytes)
     base = candidates.drop(field) if field in candidates.columns else candidates
     return base.join(F.broadcast(lookup) if small else lookup, "docno", "left")
 

@@ -42,7 +42,7 @@ def best_row(scan: DataFrame, param_cols, measure: str = "map", keys=("variant",
     return scan.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
 
 
-def bm25_grid_scan(prepared: DataFrame, topics: DataFrame, qrels: DataFrame, grid,
+def bm25_grid_scan(source, topics: DataFrame, qrels: DataFrame, grid,
                    measure: str = "map", k: int = 100, keys=("variant", "qid")) -> DataFrame:
     """BM25 evaluated at every (k1, b, k3) of ``grid``.
 
@@ -51,7 +51,7 @@ def bm25_grid_scan(prepared: DataFrame, topics: DataFrame, qrels: DataFrame, gri
     key of the same aggregate, ranking and evaluation.
     """
     keys = [c for c in keys if c in topics.columns]
-    feats, qkeys, bc = bm25_features(prepared, topics, keys=keys)
+    feats, qkeys, bc = bm25_features(source, topics, keys=keys)
     pts = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"),
                              F.lit(float(k3)).alias("k3")) for (k1, b, k3) in grid])
     g = feats.select("*", F.explode(pts).alias("p")).select("*", "p.k1", "p.b", "p.k3").drop("p")

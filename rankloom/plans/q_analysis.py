@@ -11,13 +11,13 @@ from ..sources import results as R
 from . import methods as M
 from . import sql as Q
 from .catalog import register, rounded, ws
-from .experiment import EXP_METRICS, measure_mrt, metrics_long
+from .experiment import EXP_METRICS, PUBLISHED_MRT, comparison_long, measure_mrt, metrics_long, published_mrt, published_names
 from .q_dense import CAND_BASE, METHODS_SQL
 
 W = Q.with_
 
 MT = (*CAND_BASE, METHODS_SQL, Q.QRELS, Q.metric_ctes("exp_run", ["method", "variant"], EXP_METRICS),
-      "mt AS (SELECT method, variant, metric, round(value, 6) AS value FROM ev)")
+      "mt AS MATERIALIZED (SELECT method, variant, metric, round(value, 6) AS value FROM ev)")
 METHOD_SET = sorted(M.METHODS)
 
 
@@ -29,19 +29,27 @@ def _q(s: str) -> str:
     return s.replace("'", "''")
 
 
-# ---- A1-A5 ------------------------------------------------------------------
+_names = " ".join(f"WHEN '{_q(a)}' THEN '{_q(b)}'" for a, b in M.PUBLISHED.items())
+_times = ", ".join(f"('{v}', '{_q(m)}', {t!r}::DOUBLE)" for (v, m), t in PUBLISHED_MRT.items())
+#: The metrics under published labels (mp), and with the published response times (mc).
+MC = (*MT, f"""mp AS (SELECT variant, CASE method {_names} ELSE method END AS method, metric, value FROM mt),
+times(variant, method, mrt) AS (VALUES {_times}),
+mc AS MATERIALIZED (
+  SELECT variant, method, metric, value FROM mp
+  UNION ALL
+  SELECT t.variant, t.method, 'mrt', t.mrt FROM times t
+  JOIN (SELECT DISTINCT variant, method FROM mp) p ON p.variant = t.variant AND p.method = t.method)""")
 
-_ren_method = " ".join(f"WHEN method = '{_q(a)}' THEN '{_q(b)}'" for a, b in A.METHOD_RENAMES.items())
-_ren_metric = " ".join(f"WHEN metric = '{_q(a)}' THEN '{_q(b)}'" for a, b in A.METRIC_RENAMES.items())
 
+# ---- A1-A5 ------------------------------------------------------------------
 
-@register("a1_label_variants", W(*MT) + f"""
+@register("a1_label_variants", W(*MC) + """
 SELECT upper(substr(variant, 1, 1)) || substr(variant, 2) AS query_type, variant,
-       CASE {_ren_method} ELSE method END AS method,
-       CASE {_ren_metric} ELSE metric END AS metric, value
-FROM mt""")
+       CASE WHEN method = 'BM25 >> MINILM % 100' THEN 'BM25 >> SBERT % 100' ELSE method END AS method,
+       CASE WHEN metric = 'mrt' THEN 'mrt (ms)' ELSE metric END AS metric, value
+FROM mc""")
 def a1_label_variants(spark, sf_dir):
-    return A.label(_long(spark, sf_dir)).select("query_type", "variant", "method", "metric", "value")
+    return A.label(comparison_long(ws(spark, sf_dir))).select("query_type", "variant", "method", "metric", "value")
 
 
 _order = " ".join(f"WHEN '{v}' THEN {i}" for i, v in enumerate(A.VARIANT_ORDER))
@@ -98,20 +106,20 @@ def a7_rank_methods(spark, sf_dir):
 _PCT = """pct AS (
   SELECT m.variant, m.method, m.metric, m.value, b.value AS base_value,
          (m.value - b.value) / nullif(b.value, 0) * 100.0::DOUBLE AS pct
-  FROM mt m JOIN mt b ON b.variant = m.variant AND b.metric = m.metric AND b.method = 'BM25')"""
+  FROM mc m JOIN mc b ON b.variant = m.variant AND b.metric = m.metric AND b.method = 'BM25')"""
 
 
-@register("a8_pct_vs_baseline", W(*MT, _PCT) + "SELECT variant, method, metric, round(pct, 6) AS pct FROM pct")
+@register("a8_pct_vs_baseline", W(*MC, _PCT) + "SELECT variant, method, metric, round(pct, 6) AS pct FROM pct")
 def a8_pct_vs_baseline(spark, sf_dir):
-    return rounded(A.pct_vs_baseline(_long(spark, sf_dir)).select("variant", "method", "metric", "pct"))
+    return rounded(A.pct_vs_baseline(comparison_long(ws(spark, sf_dir))).select("variant", "method", "metric", "pct"))
 
 
 _QM = ", ".join(f"'{m}'" for m in A.QUALITY_METRICS)
 
 
-@register("a9_pct_quality", W(*MT, _PCT) + f"SELECT variant, method, metric, round(pct, 6) AS pct FROM pct WHERE metric IN ({_QM})")
+@register("a9_pct_quality", W(*MC, _PCT) + f"SELECT variant, method, metric, round(pct, 6) AS pct FROM pct WHERE metric IN ({_QM})")
 def a9_pct_quality(spark, sf_dir):
-    out = A.pct_vs_baseline(_long(spark, sf_dir), metrics=A.QUALITY_METRICS)
+    out = A.pct_vs_baseline(comparison_long(ws(spark, sf_dir)), metrics=A.QUALITY_METRICS)
     return rounded(out.select("variant", "method", "metric", "pct"))
 
 
@@ -124,28 +132,35 @@ def a10_clean_names(spark, sf_dir):
     return A.clean_names(names).select("full_name", "method")
 
 
-@register("a11_improvements_long", W(*MT, _PCT) + f"""
+@register("a11_improvements_long", W(*MC, _PCT) + f"""
 SELECT variant, {_CLEAN} AS method, metric, round(pct, 6) AS pct
 FROM pct WHERE metric IN ({_QM}) AND method <> 'BM25'""")
 def a11_improvements_long(spark, sf_dir):
-    return rounded(A.improvements(_long(spark, sf_dir)))
+    return rounded(A.improvements(comparison_long(ws(spark, sf_dir))))
 
 
-# ---- A12, A13, M7: response time (measured, so rows-only checks) ----------
+# ---- M7: measured response time (rows only); A12, A13 on published times ----
 
 @register("m7_mrt")
 def m7_mrt(spark, sf_dir):
     return measure_mrt(ws(spark, sf_dir))
 
 
-@register("a12_improvements_with_mrt")
+@register("a12_improvements_with_mrt", W(*MC, _PCT) + f"""
+SELECT p.variant, {_CLEAN.replace("method", "p.method")} AS method, p.metric, round(p.pct, 6) AS pct, round(t.mrt, 6) AS mrt
+FROM pct p LEFT JOIN times t ON t.variant = p.variant AND t.method = p.method
+WHERE p.metric IN ({_QM}) AND p.method <> 'BM25'""")
 def a12_improvements_with_mrt(spark, sf_dir):
-    return A.with_response_time(A.improvements(_long(spark, sf_dir)), measure_mrt(ws(spark, sf_dir)))
+    long = comparison_long(ws(spark, sf_dir))
+    return rounded(A.with_response_time(A.improvements(long), published_mrt(long)))
 
 
-@register("a13_quality_vs_cost")
+@register("a13_quality_vs_cost", W(*MC) + """
+SELECT p.variant, p.method, p.value AS quality, round(t.mrt, 6) AS mrt
+FROM mp p LEFT JOIN times t ON t.variant = p.variant AND t.method = p.method WHERE p.metric = 'nDCG@10'""")
 def a13_quality_vs_cost(spark, sf_dir):
-    return A.quality_vs_cost(_long(spark, sf_dir), measure_mrt(ws(spark, sf_dir)))
+    long = published_names(_long(spark, sf_dir))
+    return rounded(A.quality_vs_cost(long, published_mrt(long)))
 
 
 # ---- A14 --------------------------------------------------------------------
@@ -207,7 +222,6 @@ def s10_tsv_table(spark, sf_dir):
 
 @register("s11_trec_run", W(*Q.BASE, Q.bm25_ctes(depth=100)) + """
 SELECT concat_ws(' ', qid::VARCHAR, 'Q0', docno::VARCHAR, rank::VARCHAR, printf('%.6f', round(score, 6)), 'BM25') AS line
-FROM bm25 WHERE variant = 'description'""")
+FROM bm25""")
 def s11_trec_run(spark, sf_dir):
-    run = ws(spark, sf_dir).bm25(100).filter(F.col("variant") == "description")
-    return R.trec_run_lines(run, "BM25")
+    return R.trec_run_lines(ws(spark, sf_dir).bm25(100), "BM25")

@@ -122,12 +122,12 @@ METHODS_SQL = f"""{VEC_SCORES},
 {POINT},
 {POINTED},
 {rerank_sql('vscored', 'dotv', 'dot_run', 100)},
-exp_run AS (
+exp_run AS MATERIALIZED (
   SELECT 'BM25' AS method, variant, qid, docno, score, rank FROM cand
-  UNION ALL SELECT 'BM25 >> TCT-ColBERT % 100', variant, qid, docno, score, rank FROM li_run
-  UNION ALL SELECT 'BM25 >> MINILM % 100', variant, qid, docno, score, rank FROM fused
-  UNION ALL SELECT 'BM25 >> MonoT5 % 100', variant, qid, docno, score, rank FROM pointed
-  UNION ALL SELECT 'BM25 >> TasB % 100', variant, qid, docno, score, rank FROM dot_run)"""
+  UNION ALL SELECT '{M.LATE}', variant, qid, docno, score, rank FROM li_run
+  UNION ALL SELECT '{M.FUSED}', variant, qid, docno, score, rank FROM fused
+  UNION ALL SELECT '{M.COVERED}', variant, qid, docno, score, rank FROM pointed
+  UNION ALL SELECT '{M.DOTTED}', variant, qid, docno, score, rank FROM dot_run)"""
 
 
 # ---- D1, D2: encoders -------------------------------------------------------
@@ -234,7 +234,7 @@ EXP_METRICS = list(ev.MAIN_METRICS)
           + "SELECT method, metric, round(value, 6) AS value FROM ev")
 def m9_experiment_description(spark, sf_dir):
     w = ws(spark, sf_dir)
-    run = M.experiment_run(w, variants=["description"])
+    run = M.experiment_run(w.only("description"))
     return rounded(ev.evaluate(run, w.qrels, EXP_METRICS, keys=("method",)))
 
 

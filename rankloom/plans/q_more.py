@@ -10,6 +10,7 @@ from ..operators import dense, feedback, fusion, lexical, textprep
 from . import methods as M
 from . import sql as Q
 from .catalog import register, rounded, ws
+from .sizing import checked_broadcast
 from .q_dense import CAND_BASE, RUN, _codes, hashed_sql, rerank_sql
 
 W = Q.with_
@@ -130,7 +131,7 @@ def d5_maxp_interpolation(spark, sf_dir):
     w = ws(spark, sf_dir)
     cands = M.candidates(w)
     docs = w.documents.select(F.col("doc_id").alias("docno"), "text")
-    docs = docs.join(F.broadcast(cands.select("docno").distinct()), "docno", "left_semi")
+    docs = docs.join(checked_broadcast(cands.select("docno").distinct()), "docno", "left_semi")
     pv = dense.hashed_vectors(dense.passages(docs), ["docno", "psg"])
     scored = dense.maxp_scores(cands, M.query_vectors(w), pv)
     return rounded(fusion.interpolate(scored, "dense_score", 0.2, k=100).select(*M.RUN_COLS))
@@ -181,13 +182,47 @@ def d8_ivf_knn_top10(spark, sf_dir):
 
 # ---- D9, D10: pseudo-relevance feedback ------------------------------------------
 
-@register("d9_prf_ranker")
+FEEDBACK = """fb AS (SELECT variant, qid, docno FROM bm25 WHERE rank <= 3),
+all_post AS (
+  SELECT docno, term, count(*)::BIGINT AS tf
+  FROM (SELECT docno, unnest(toks) AS term FROM bm25_docs) x GROUP BY docno, term),
+all_df AS (SELECT term, count(*)::DOUBLE AS df FROM all_post GROUP BY term),
+fb_terms AS (
+  SELECT f.variant, f.qid, p.term, sum(p.tf)::DOUBLE AS cnt
+  FROM fb f JOIN all_post p ON p.docno = f.docno GROUP BY f.variant, f.qid, p.term),
+fb_w AS (
+  SELECT t.variant, t.qid, t.term, ln((c.n_docs + 1) / (d.df + 1)) AS idf,
+         row_number() OVER (PARTITION BY t.variant, t.qid
+           ORDER BY round(t.cnt * ln((c.n_docs + 1) / (d.df + 1)), 9) DESC, t.term) AS r
+  FROM fb_terms t JOIN all_df d ON d.term = t.term CROSS JOIN bm25_coll c),
+eq AS (
+  SELECT variant, qid, term, sum(qtf) AS qtf FROM (
+    SELECT variant, qid, term, qtf::DOUBLE AS qtf FROM bm25_qt
+    UNION ALL SELECT variant, qid, term, idf FROM fb_w WHERE r <= 10) x
+  GROUP BY variant, qid, term),
+ex_sc AS (
+  SELECT q.variant, q.qid, p.docno,
+         sum(log2((c.n_docs - d.df + 0.5) / (d.df + 0.5)) * (9.0::DOUBLE * q.qtf / (8.0::DOUBLE + q.qtf))
+             * (2.2::DOUBLE * p.tf / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * s.dl / c.avgdl) + p.tf))) AS score
+  FROM eq q JOIN all_post p ON p.term = q.term JOIN all_df d ON d.term = q.term
+  JOIN bm25_dstat s ON s.docno = p.docno CROSS JOIN bm25_coll c
+  GROUP BY q.variant, q.qid, p.docno)"""
+
+
+@register("d9_prf_ranker", W(*Q.BASE, Q.bm25_ctes(depth=100), FEEDBACK) + """
+SELECT variant, qid, docno, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY variant, qid ORDER BY round(score, 6) DESC, docno DESC)::BIGINT AS rank
+  FROM ex_sc) x WHERE rank <= 100""")
 def d9_prf_ranker(spark, sf_dir):
     w = ws(spark, sf_dir)
-    return rounded(feedback.prf_ranker(w.prepared, w.topics, w.bm25(100), k=100))
+    return rounded(feedback.prf_ranker(w.index, w.topics, w.bm25(100), k=100))
 
 
-@register("d10_prf_reranker")
+@register("d10_prf_reranker", W(*Q.BASE, Q.bm25_ctes(depth=100), FEEDBACK) + """
+SELECT variant, qid, docno, round(score, 6) AS score,
+       row_number() OVER (PARTITION BY variant, qid ORDER BY round(score, 6) DESC, docno DESC)::BIGINT AS rank
+FROM (SELECT b.variant, b.qid, b.docno, coalesce(e.score, 0.0) AS score
+      FROM bm25 b LEFT JOIN ex_sc e ON e.variant = b.variant AND e.qid = b.qid AND e.docno = b.docno) x""")
 def d10_prf_reranker(spark, sf_dir):
     w = ws(spark, sf_dir)
-    return rounded(feedback.prf_reranker(w.prepared, w.topics, w.bm25(100)).select(*M.RUN_COLS))
+    return rounded(feedback.prf_reranker(w.index, w.topics, w.bm25(100)).select(*M.RUN_COLS))

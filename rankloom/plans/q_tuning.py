@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import tuning
 from . import methods as M
 from . import sql as Q
@@ -58,8 +56,7 @@ def _bm25_grid_sql() -> str:
     grid = " UNION ALL ".join(
         f"SELECT {float(k1)!r}::DOUBLE AS k1, {float(b)!r}::DOUBLE AS b, {float(k3)!r}::DOUBLE AS k3"
         for k1, b, k3 in BM25_GRID)
-    topics_d = "topics_d AS (SELECT * FROM topics WHERE variant = 'description')"
-    return W(*Q.BASE, topics_d, Q.bm25_ctes(topics="topics_d", depth=100), Q.QRELS, f"""g AS ({grid}),
+    return W(*Q.BASE, Q.bm25_ctes(depth=100), Q.QRELS, f"""g AS ({grid}),
 feat AS (
   SELECT q.variant, q.qid, p.docno, q.qtf::DOUBLE AS qtf, p.tf::DOUBLE AS tf, f.df, s.dl::DOUBLE AS dl,
          c.n_docs, c.avgdl
@@ -81,8 +78,7 @@ grun AS (
 @register("m12_bm25_grid", _bm25_grid_sql())
 def m12_bm25_grid(spark, sf_dir):
     w = ws(spark, sf_dir)
-    topics = w.topics.filter(F.col("variant") == "description")
-    return rounded(tuning.bm25_grid_scan(w.prepared, topics, w.qrels, BM25_GRID))
+    return rounded(tuning.bm25_grid_scan(w.index, w.topics, w.qrels, BM25_GRID))
 
 
 def _fold_sql() -> str:

@@ -1,15 +1,28 @@
 """Size checks in front of every broadcast.
 
-A side is broadcast only after its row count has been measured against a
-bound. Beyond the bound the plain DataFrame is returned and Spark plans a
-shuffle join (AQE may still convert it at run time from real sizes).
-The measured side is cached, since the count already materialised it.
+A side is broadcast only after its bytes have been measured against a bound.
+Beyond the bound the plain DataFrame is returned and Spark plans a shuffle
+join (AQE may still convert it at run time from real sizes). A measured side
+is cached, since the measurement has already materialised it, and released
+with the workspace (``release``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Largest side that is broadcast unless a caller says otherwise.
+BROADCAST_BYTES = 128 << 20
+
+_MEASURED: list[DataFrame] = []
+
+
+def release() -> None:
+    """Unpersist the sides that earlier measurements cached."""
+    while _MEASURED:
+        _MEASURED.pop().unpersist()
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -24,24 +37,36 @@ def settled(df: DataFrame) -> DataFrame:
     from ..session import checkpoint_dir
 
     checkpoint_dir(df.sparkSession)  # read from the session; set only when unset
-    # Persist first: the reliable checkpoint writes in a second job, which
-    # would otherwise recompute the whole plan.
-    kept = df.persist()
-    out = kept.checkpoint(eager=True)
-    kept.unpersist()
-    return out
+    return df.checkpoint(eager=True)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when ``df.count() <= max_rows``, else ``df``."""
-    out, small = measured(df, max_rows)
-    return F.broadcast(out) if small else out
+def _bytes_of(col: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(col) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.aggregate(F.transform(col, lambda x: _bytes_of(x, kind.elementType)),
+                               F.lit(16).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+        return F.size(col) * 8 + 16
+    if isinstance(kind, T.StructType):
+        return sum((F.coalesce(_bytes_of(col[f.name], f.dataType), F.lit(8)) for f in kind.fields), F.lit(8))
+    return F.lit(8)
 
 
-def measured(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
-    """Cache ``df``, count it once, and say whether it is within ``max_rows``."""
+def measured(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """Cache ``df``, add up its bytes once, and say whether it is within ``max_bytes``."""
     out = df.cache()
-    return out, out.count() <= max_rows
+    _MEASURED.append(out)
+    each = sum((F.coalesce(_bytes_of(F.col(f"`{f.name}`"), f.dataType), F.lit(8)).cast("long")
+                for f in df.schema.fields), F.lit(16).cast("long"))
+    total = out.agg(F.coalesce(F.sum(each), F.lit(0)).alias("b")).first()["b"]
+    return out, total <= max_bytes
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its measured size is within ``max_bytes``, else ``df``."""
+    out, small = measured(df, max_bytes)
+    return F.broadcast(out) if small else out
 
 
 def spread_small(df: DataFrame, max_rows: int = 2_000_000, key: str | None = None) -> DataFrame:

@@ -126,6 +126,10 @@ def metric_ctes(run: str, keys: list[str], measures: list[str], name: str = "ev"
     ideal_cols = (",\n         " + ",\n         ".join(ideals)) if ideals else ""
     per_q = ",\n         ".join(f"({v})::DOUBLE AS m{i}" for i, v in enumerate(vals))
     group = f" GROUP BY {kl}" if keys else ""
+    # Every run key with every judged query; what the run lacks counts 0.
+    grid = f"(SELECT * FROM (SELECT DISTINCT {kl} FROM {run}) k CROSS JOIN {name}_ideal) g" if keys else f"{name}_ideal"
+    filled = ", ".join(f"coalesce(s{i}, 0.0::DOUBLE) AS s{i}" for i in range(len(ms)))
+    ideal_names = "".join(f", i{i}" for i, m in enumerate(ms) if m.kind == "nDCG")
     means = "\n    UNION ALL\n    ".join(
         f"SELECT {kc}'{m.name}' AS metric, sum(m{i}) / (SELECT n FROM {name}_nq) AS value FROM {name}_pq{group}"
         for i, m in enumerate(ms))
@@ -145,9 +149,10 @@ def metric_ctes(run: str, keys: list[str], measures: list[str], name: str = "ev"
   FROM (SELECT qid, docno, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, docno DESC) AS pos FROM {qrels}) x
   GROUP BY qid),
 {name}_pq AS (
-  SELECT {kc}s.qid,
+  SELECT {kc}qid,
          {per_q}
-  FROM {name}_sums s JOIN {name}_ideal USING (qid)),
+  FROM (SELECT {kc}qid, R{ideal_names}, {filled}
+        FROM {grid} LEFT JOIN {name}_sums USING ({kc}qid)) y),
 {name}_nq AS (SELECT count(DISTINCT qid)::DOUBLE AS n FROM {qrels}),
 {name} AS (
     {means})"""

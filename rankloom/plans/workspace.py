@@ -14,17 +14,38 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import __version__
 from ..operators import lexical, textprep
 from ..sources import collection as coll
-from .sizing import settled, spread_small
+from .sizing import release, settled, spread_small
 
 _WORKSPACES: dict = {}
 
 
 class Workspace:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, variant: str | None = None):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.variant = variant  # one wording only, or all
+
+    def only(self, variant: str, fresh: bool = False) -> Workspace:
+        """A workspace of one wording over the same stored index; ``fresh``: with nothing kept."""
+        key = ("only", variant)
+        if fresh or key not in self.__dict__:
+            own = Workspace(self.spark, self.sf_dir, variant)
+            own.__dict__["index"] = self.index
+            if fresh:
+                return own
+            self.__dict__[key] = own
+        return self.__dict__[key]
+
+    def release(self) -> None:
+        """Unpersist what this workspace keeps in memory."""
+        for v in list(self.__dict__.values()):
+            if isinstance(v, Workspace):
+                v.release()
+            elif isinstance(v, DataFrame) and v.is_cached:
+                v.unpersist()
 
     def table(self, name: str) -> DataFrame:
         return coll.table(self.spark, self.sf_dir, name)
@@ -44,17 +65,23 @@ class Workspace:
 
     @cached_property
     def topics(self) -> DataFrame:
-        return coll.topics_from_benchmark(self.table("benchmark")).cache()
+        topics = coll.topics_from_benchmark(self.table("benchmark"))
+        return (topics if self.variant is None else topics.filter(topics.variant == self.variant)).cache()
 
     @cached_property
     def qrels(self) -> DataFrame:
         return coll.qrels_from_containment(self.documents, self.table("benchmark"),
                                            self.table("labels")).cache()
 
+    @cached_property
+    def index(self) -> lexical.Index:
+        """The stored lexical index of this folder's corpus, built at most once."""
+        return lexical.store_index(self.prepared, (self.sf_dir, self.table("documents").count(), "joined text", __version__))
+
     def bm25(self, k: int | None = 100, params: lexical.BM25Params | None = None) -> DataFrame:
         key = ("bm25", k, params)
         if key not in self.__dict__:
-            self.__dict__[key] = lexical.bm25(self.prepared, self.topics, k=k, params=params).cache()
+            self.__dict__[key] = lexical.bm25(self.index, self.topics, k=k, params=params).cache()
         return self.__dict__[key]
 
     def memo(self, key, build, settle: bool = False):
@@ -79,8 +106,6 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 def reset() -> None:
     """Forget all workspaces (their cached frames are unpersisted)."""
     for ws in _WORKSPACES.values():
-        for v in list(ws.__dict__.values()):
-            if isinstance(v, DataFrame) and v.is_cached:
-                v.unpersist()
+        ws.release()
     _WORKSPACES.clear()
-    lexical.release()
+    release()

@@ -19,14 +19,15 @@ DEFAULT_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "rankloom", extra_conf: dict | None = None) -> SparkSession:
     """Build (or fetch) a session with AQE on and the UI off."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions is not None:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.setdefault("spark.driver.memory", os.environ.get("RANKLOOM_DRIVER_MEMORY", "16g"))
     conf.update(extra_conf or {})
     for k, v in conf.items():
@@ -40,8 +41,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and is read, never
-    overridden. Only when it is unset (local tests) a fresh folder is
-    created and registered on the context.
+    overridden; without it a cluster session gets a clear error, as each
+    machine has a disk of its own. Only a local session (one machine, as in
+    tests) gets a fresh folder when the setting is missing.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -51,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="rankloom-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import first_tokens, strip_ws
-from ..plans.sizing import measured
+from ..plans.sizing import BROADCAST_BYTES, measured
 from .containment import contains_pairs
 
 # The three query wordings and the number of leading
@@ -81,11 +81,11 @@ def repair_query_column(topics: DataFrame, source_column: str = "description") -
 
 
 def qrels_from_containment(documents: DataFrame, benchmark: DataFrame,
-                           labels: DataFrame, max_rows: int = 10_000_000) -> DataFrame:
+                           labels: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(qid, docno, rel)``; rel 2, or 1 where the label's quality is 0."""
     pairs = contains_pairs(documents.select(F.col("doc_id").alias("docno"), "text"),
                            benchmark.select(F.col("item_id").alias("qid"), "text"))
-    pairs, small = measured(pairs, max_rows)
+    pairs, small = measured(pairs, max_bytes)
     # Only the labels of matched documents are needed: filter the label
     # scan by the (measured, broadcast) matched docnos before the join.
     matched = pairs.select("docno").distinct()

@@ -1,93 +1,89 @@
-"""Exact substring containment between a corpus and a bounded pattern set.
-
-A document is paired with a pattern when the pattern's whole text occurs
-in the document's text. Each task builds one Aho-Corasick automaton over
-the patterns and scans every document once, so the work is linear in the
-corpus instead of documents x patterns, and no pair table is formed.
-
-The patterns travel to the executors as a broadcast variable. Their size
-is measured first; a set larger than ``max_bytes`` is split into chunks
-that each fit, and one pass per chunk is made. Results stay exact.
+"""Exact substring containment between a corpus and a pattern set.
+
+A document is paired with a pattern when the pattern's whole text occurs in
+the document's text. A pattern's inner words (all but its first and last,
+which may be cut in the document) occur as whole words in such a document, so
+a hash of its first inner words is an equi-join key: documents' word shingles
+are joined on it, and ``contains`` confirms the candidates on the full texts.
+The work is linear in the corpus and no document x pattern pairs are formed.
+
+Patterns of fewer than three words have no inner word; each document checks
+them in its row, against a list that is measured before it is broadcast and
+split when it is too large.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-DEFAULT_MAX_PATTERN_BYTES = 64 * 1024 * 1024
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(bc, key: str):
-    """One automaton per pattern chunk per Python worker (``key`` is unique per chunk)."""
-    auto = _AUTOMATA.get(key)
-    if auto is None:
-        import ahocorasick
-
-        auto = ahocorasick.Automaton()
-        for text, ids in bc.value.items():
-            auto.add_word(text, ids)
-        auto.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = auto
-    return auto
-
 
-def _scan(bc, token: str, doc_key: str, pat_key: str):
-    import pandas as pd
+from ..plans.sizing import BROADCAST_BYTES, checked_broadcast, measured
+
+ANCHOR_WORDS = 3
+_SPACE = "[ \t\r\n]+"
+
+
+def _shingles(words: str, k: int) -> Column:
+    """Hashes of the ``k``-word shingles of an array column."""
+    w = F.col(words)
+    last = F.size(w) - F.lit(k)
+    hashed = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[w[i + F.lit(j)] for j in range(k)]))
+    return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
+
+
+def _by_anchor(docs: DataFrame, long: DataFrame, doc_key: str, pat_key: str, max_bytes: int) -> DataFrame:
+    """Candidate pairs that share the pattern's first inner words."""
+    n = F.least(F.size("inner"), F.lit(ANCHOR_WORDS))
+    words = docs.select(doc_key, F.split("text", _SPACE).alias("words"))
+    out = None
+    for k in range(1, ANCHOR_WORDS + 1):
+        own = long.filter(n == k).select(F.col(pat_key), _shingles("inner", k)[0].alias("anchor"))
+        own, small = measured(own, max_bytes)
+        if own.isEmpty():
+            continue
+        found = words.select(doc_key, F.explode(F.array_distinct(_shingles("words", k))).alias("anchor"))
+        found = found.join(F.broadcast(own) if small else own, "anchor").select(pat_key, doc_key)
+        out = found if out is None else out.unionByName(found)
+    return out
 
-    def run(batches):
-        auto = _automaton(bc, token)
-        for pdf in batches:
-            out_doc, out_pat = [], []
-            for docno, text in zip(pdf[doc_key].tolist(), pdf["text"].tolist()):
-                if not text:
-                    continue
-                found = set()
-                for _, ids in auto.iter(text):
-                    found.update(ids)
-                for pid in found:
-                    out_doc.append(docno)
-                    out_pat.append(pid)
-            yield pd.DataFrame({pat_key: out_pat, doc_key: out_doc})
 
-    return run
+def _short(docs: DataFrame, short: DataFrame, doc_key: str, pat_key: str, max_bytes: int) -> DataFrame | None:
+    size = short.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("bytes")).first()
+    if not size["n"]:
+        return None
+    out = None
+    chunks = max(1, math.ceil(size["bytes"] / max_bytes))
+    for c in range(chunks):
+        chunk = short.filter(F.pmod(F.xxhash64(pat_key), F.lit(chunks)) == c)
+        one = F.broadcast(chunk.agg(F.collect_list(F.struct(pat_key, "text")).alias("pats")))  # one row of at most about max_bytes
+        hit = docs.select(doc_key, "text").crossJoin(one)  # one row
+        hit = hit.select(doc_key, F.explode(F.filter("pats", lambda p: F.contains(F.col("text"), p["text"]))).alias("p"))
+        hit = hit.select(F.col(f"p.{pat_key}").alias(pat_key), doc_key)
+        out = hit if out is None else out.unionByName(hit)
+    return out
 
 
 def contains_pairs(docs: DataFrame, patterns: DataFrame,
                    doc_key: str = "docno", pat_key: str = "qid",
-                   max_bytes: int = DEFAULT_MAX_PATTERN_BYTES) -> DataFrame:
+                   max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``(pat_key, doc_key)`` for every document text containing a pattern text.
 
     ``docs`` has ``(doc_key, text)``, ``patterns`` has ``(pat_key, text)``.
-    Empty or NULL pattern texts are not matched.
+    Empty or NULL texts are not matched.
     """
-    spark = docs.sparkSession
-    pats = patterns.filter(F.col("text").isNotNull() & (F.length("text") > 0))
-    size = pats.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    schema = T.StructType([
-        T.StructField(pat_key, patterns.schema[pat_key].dataType),
-        T.StructField(doc_key, docs.schema[doc_key].dataType),
-    ])
-    chunks = max(1, math.ceil(size["bytes"] / max_bytes))
-    parts = []
-    for c in range(chunks):
-        chunk = pats if chunks == 1 else pats.filter(F.pmod(F.hash(pat_key), F.lit(chunks)) == c)
-        mapping: dict = {}
-        # Bounded by max_bytes (checked above), so it may pass the driver.
-        for row in chunk.select(pat_key, "text").toLocalIterator():
-            mapping.setdefault(row["text"], []).append(row[pat_key])
-        bc = spark.sparkContext.broadcast(mapping)
-        token = uuid.uuid4().hex
-        parts.append(docs.select(doc_key, "text").mapInPandas(_scan(bc, token, doc_key, pat_key), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pats = patterns.filter(F.col("text").isNotNull() & (F.length("text") > 0)).select(pat_key, "text")
+    parts = F.split("text", _SPACE)
+    pats = pats.withColumn("inner", F.when(F.size(parts) > 2, F.slice(parts, F.lit(2), F.size(parts) - 2))
+                           .otherwise(F.array().cast("array<string>")))
+    pairs = _by_anchor(docs, pats.filter(F.size("inner") > 0), doc_key, pat_key, max_bytes)
+    out = _short(docs, pats.filter(F.size("inner") == 0), doc_key, pat_key, max_bytes)
+    if pairs is not None:
+        pairs = pairs.distinct().join(checked_broadcast(pats.select(pat_key, F.col("text").alias("pattern")), max_bytes), pat_key)
+        pairs = docs.select(doc_key, "text").join(checked_broadcast(pairs, max_bytes), doc_key)
+        pairs = pairs.filter(F.contains("text", F.col("pattern"))).select(pat_key, doc_key)
+        out = pairs if out is None else out.unionByName(pairs)
+    if out is None:
+        out = patterns.select(pat_key).crossJoin(docs.select(doc_key)).limit(0)  # no pattern: no pair
+    return out.distinct()
