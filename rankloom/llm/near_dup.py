@@ -5,17 +5,16 @@
    bit, so the XOR of two sketches shows the samples in which they differ) and
    its band keys. Equal word sequences share a fingerprint and are handled as
    one text from here on.
-2. Texts that share a band key are candidates. In rounds, each text of a band
-   is paired with a few pivots of that band (band members that are smallest
-   under a different bit pattern each round, found by a combined aggregate), so
-   a band makes pairs in proportion to its size. Pairs whose sketches put the
-   similarity clearly below the threshold are dropped, the others are confirmed
-   on the full shingle sets, and confirmed links are contracted into
-   components. Only band members outside their pivot's component go on.
-3. What the pivots leave is settled exactly: band members of different
-   components are paired in blocks, with the same sketch and set tests. Texts
-   that are far more unlike than two links from a common pivot cannot be linked
-   and are not listed again, because tested pairs are removed.
+2. Texts that share a band key are candidates. In rounds, texts without a link
+   so far are paired with a few pivots of each of their bands (members that are
+   smallest under a different bit pattern each time, found by a combined
+   aggregate), so a band makes pairs in proportion to its size. Pairs whose
+   sketches put the similarity clearly below the threshold are dropped, the
+   others are confirmed on the full shingle sets.
+3. Confirmed links give components, and what is left is settled exactly: band
+   members of different components meet in blocks, with the same sketch and set
+   tests. A band that lies in one component needs nothing more, which is the
+   usual case, also for groups of thousands.
 
 A missed link needs a pair to share none of the bands (at the threshold less
 than one in 10^7) or a sketch estimate more than five and a half standard
@@ -37,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import is_local_size, settle, shared_folder, table
+from rankloom.llm.common import is_local_size, maybe_broadcast, settle, shared_folder, table
 from rankloom.llm.components import components
 from rankloom.llm.wordhash import mix, shingle_sets
 
 BAND_ROWS = 4
 SKETCH_WORDS = 4  # of 64 bits
-ROUNDS, PIVOTS = 6, 4
+PIVOTS = (4, 12)  # of a band, in each round
 BLOCK = 512
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
@@ -155,60 +154,46 @@ def _with_sketches(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs
 
 
-def links(docs: DataFrame, sig: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
-    """Confirmed (a, b) links between representatives that give their components."""
-    spark = docs.sparkSession
+def linked_components(docs: DataFrame, sig: DataFrame, k: int, percent: int, bands: int) -> DataFrame:
+    """(node, label) of the representatives that have a confirmed link."""
     most = _least_distance(percent, bands * BAND_ROWS)
     reps = sig.filter("fp is not null and doc_id is not null")
     first = reps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    reps = reps.join(first, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"])
-    sketches = reps.select("doc_id", *_SKETCH)
+    reps = _stored(reps.join(first, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"]).select("doc_id", *_SKETCH, "bands"))
+    sketches = maybe_broadcast(reps.select("doc_id", *_SKETCH), 64)
     rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
     shared = rows.groupBy("band").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("band")
-    members = _stored(rows.join(shared, "band", "left_semi"))  # (band, doc); a doc's label starts as itself
-    labels, edges = None, None
-    for step in range(ROUNDS):
-        now = members.withColumn("label", F.col("doc"))
-        if labels is not None:
-            now = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        salts = [((step * PIVOTS + j) * 0x9E3779B97F4A7C15 >> 3) & 0x0FFFFFFFFFFFFFFF if step + j else 0 for j in range(PIVOTS if step else 2)]
+    members = _stored(rows.join(shared, "band", "left_semi"))
+    lonely, edges, used = members, None, 0
+    for n in PIVOTS:
+        salts = [_salt(used + j) for j in range(n)]
+        used += n
         pick = [F.min(F.col("doc").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in salts]
-        split = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.array(*pick).alias("pivots")).filter("x < y").select("band", "pivots")
-        pairs = now.join(split, "band").select("doc", "label", F.explode("pivots").alias("pivot")).filter("doc <> pivot")
+        pivots = members.groupBy("band").agg(F.array(*pick).alias("pivots"))
+        pairs = lonely.join(pivots, "band").select("doc", F.explode("pivots").alias("pivot")).filter("doc <> pivot")
         pairs = pairs.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        if labels is not None:
-            pairs = _across(pairs, labels)
-        pairs = settle(_close(_with_sketches(pairs, sketches), most).select("a", "b"))
-        if pairs.isEmpty():
-            break
-        good = settle(_confirm(pairs, docs, k, percent))
+        close = settle(_close(_with_sketches(pairs, sketches), most).select("a", "b"))
+        good = settle(_confirm(close, docs, k, percent))
         edges = good if edges is None else edges.unionByName(good)
-        labels = components(edges).select(F.col("node").alias("doc"), "label")
-        if step and good.count() * 20 < pairs.count():  # pivots hardly link any more
-            break
-    rest = _rest(members, labels, sketches, most)
-    if not rest.isEmpty():
-        good = _confirm(rest, docs, k, percent)
-        edges = good if edges is None else edges.unionByName(good)
-    return edges if edges is not None else spark.createDataFrame([], rest.schema)
+        linked = edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc"))).distinct()
+        lonely = members.join(maybe_broadcast(linked, 16), "doc", "left_anti")
+    labels = components(edges)
+    rest = settle(_rest(members, labels, sketches, most))
+    return labels if rest.isEmpty() else components(edges.unionByName(_confirm(rest, docs, k, percent)))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    for side in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"l{side}")), side, "left")
-    return pairs.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def _salt(i: int) -> int:
+    """The bit pattern under which the i-th pivot of a band is its smallest member."""
+    return ((i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 2 if i else 0
 
 
-def _rest(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, most: int) -> DataFrame:
+def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
     """All (a, b) of one band and different components with close sketches.
 
     A band's members are dealt into blocks of about ``BLOCK`` by their id's
     hash; each pair of blocks is one group, so a large band is many groups.
     """
-    now = members.withColumn("label", F.col("doc"))
-    if labels is not None:
-        now = members.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    now = members.join(maybe_broadcast(labels.withColumnRenamed("node", "doc"), 24), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     size = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y")
     size = size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     now = now.join(size, "band").join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
@@ -232,7 +217,7 @@ def _rest(members: DataFrame, labels: DataFrame | None, sketches: DataFrame, mos
         a, b = np.concatenate(out_a or [doc[:0]]), np.concatenate(out_b or [doc[:0]])
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
 
-    return settle(now.groupBy("band", "g", "h").applyInArrow(run, f"a {kind}, b {kind}").distinct())
+    return now.groupBy("band", "g", "h").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -245,7 +230,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     docs = documents.select("doc_id", "text")
     bands = band_count(percent)
     sig = _stored(signatures(docs, shingle, bands))
-    low = components(links(docs, sig, shingle, percent, bands))
+    low = linked_components(docs, sig, shingle, percent, bands)
     base = sig.select("doc_id", "n_shingles", "fp")
     first = base.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     first = first.join(low.select(F.col("node").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component"))
