@@ -92,7 +92,7 @@ def plain_spans(t: str) -> dict[str, list[tuple[int, int]]]:
         if m.end() - m.start() >= 7 and "." in m[0]:
             parts = [(g.start(), g.end()) for g in _GROUP.finditer(t, m.start(), m.end())]
             for i in range(0, len(parts) - 3, 4):
-                if all(b - a <= 3 and int(t[a:b]) <= 255 or not t[a:b].strip("0") or int(t[a:b][-18:]) <= 255 and not t[a : b - 18].strip("0") for a, b in parts[i : i + 4]):
+                if all(len(part := t[a:b].lstrip("0")) <= 3 and int(part or "0") <= 255 for a, b in parts[i : i + 4]):
                     out["ip"].append((parts[i][0], parts[i + 3][1]))
     for m in _DIGITS.finditer(t):
         if m.end() - m.start() >= 13:
