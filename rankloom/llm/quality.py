@@ -66,7 +66,7 @@ def features(col: pa.Array) -> np.ndarray:
         for i, a, b in zip(range(row, stop), ends - counts, ends, strict=True):
             hist = np.bincount(data[off[i] : off[i + 1]], minlength=256)
             out.append(_text_features(np.bincount(_CLASS, weights=hist, minlength=len(_CLASSES)), h[a:b], (texts[i] or "").split("\n")))
-    return np.array(out).reshape(len(out), -1)
+    return np.array(out).reshape(len(out), -1 if out else 0)
 
 
 def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict:
@@ -121,7 +121,7 @@ def classify(documents: DataFrame, labels: DataFrame, modulus: int = 5, held_out
     """(doc_id, held_out, score, predicted) of every row of ``documents``."""
     got = _as_features(training_sample(documents, labels, "quality", modulus, held_out, sample)).toArrow()  # at most `sample` rows
     y = got.column("y").to_numpy()
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(y), -1)
+    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(y), -1 if len(y) else 0)
     order = np.lexsort((*x.T, y)) if len(y) else np.zeros(0, int)
     model = documents.sparkSession.sparkContext.broadcast(fit(x[order], y[order]))
 

@@ -71,30 +71,35 @@ def test_mixer_is_a_distribution_and_learns():
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["sun", "moon", "star"]) for _ in range(30)) for _ in range(80)]
     seen = np.zeros(257, np.int64)
-    for _, sym, _, _ in mixing.slices(pa.array(texts)):
-        seen += np.bincount(sym, minlength=257)
+    for _, u, _ in mixing.runs(pa.array(texts)):
+        seen += np.bincount(u.sym, weights=u.count[u.of], minlength=257).astype(np.int64)
     code = mixing.Code(seen + 1)
     counts = [np.zeros(2 << b, np.int64) for b in mixing.BITS]
-    for _, sym, of, _ in mixing.slices(pa.array(texts[20:])):
-        ctx, _ = mixing.contexts(sym, of)
-        for _, at, node, bit in mixing.bits_of(code, sym):
+    for _, u, _ in mixing.runs(pa.array(texts[20:])):
+        ctx, _ = mixing.contexts(u.sym, u.of, u.before)
+        for _, at, node, bit in mixing.bits_of(code, u.sym):
             for c, t in enumerate(counts):
-                np.add.at(t, mixing.slots_of(ctx[c][at], node, c) * 2 + bit, 1)
+                np.add.at(t, mixing.slots_of(ctx[c][at], node, c) * 2 + bit, u.count[u.of[at]])
     m = mixing.Mixer(code, [t.reshape(-1, 2) for t in counts])
     m.learn(texts[:20])
-    # After any start, the probabilities of the end and of all next ASCII characters add up to at most 1.
-    start = "sun mo"
-    nexts = m.log10(pa.array([start])) + 0
-    one = 10 ** nexts[0]
-    total = one + sum(10 ** x for x in m.log10(pa.array([start + chr(c) for c in range(1, 128)])))
-    assert total <= 10 ** m.log10(pa.array(["sun m"]))[0] * 1e6  # sane magnitude
+    # The costs of all symbols after the same bytes belong to one distribution.
+    start = list(b"sun mo")
+    after = []
+    for c in range(257):
+        sym = np.array([*start, c])
+        ctx, kind = mixing.contexts(sym, np.zeros(len(sym), np.int64), np.array([0]))
+        whole = m.costs(sym, np.zeros(len(sym), np.int64), np.array([0]))[0]
+        after.append(math.exp(m.costs(sym[:-1], np.zeros(len(sym) - 1, np.int64), np.array([0]))[0] - whole))
+    assert abs(sum(after) - 1) < 1e-3
     per_byte = -m.log10(pa.array(["moon star sun star"]))[0] * math.log2(10) / 18
     noise = -m.log10(pa.array(["qzkv jxwp bbgh tttt"]))[0] * math.log2(10) / 19
     assert per_byte < 1.5 < 6 < noise
     # A text scored alone, in a batch, and cut into pieces gets the same score.
-    long = "moon sun star " * 90_000
+    long = "moon sun star " * 700_000
     both = m.log10(pa.array(["sun", long, None]))
-    assert abs(both[0] - m.log10(pa.array(["sun"]))[0]) < 1e-3 and both[2] == m.log10(pa.array([""]))[0]
+    assert abs(both[0] - m.log10(pa.array(["sun"]))[0]) < 1e-3
+    short = m.log10(pa.array(["moon sun star " * 1000, "moon sun star " * 2000]))
+    assert abs(both[1] - (short[0] + (short[1] - short[0]) / 1000 * 699_000)) < 1e-3 * abs(both[1]) and both[2] == m.log10(pa.array([""]))[0]
 
 
 def test_quality_held_out(docs, labels):
