@@ -60,7 +60,7 @@ def choose_terms(counts: list[Counter], y: np.ndarray) -> list[str]:
         if yes >= least and yes * n0 > 4 * no * n1:
             p = (yes + no + 1) / (n + 2)
             z = (yes / n1 - no / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z > 4:
+            if z > 2.5:
                 found.append((-z, t))
     return [t for _, t in sorted(found)[:TERMS]]
 
