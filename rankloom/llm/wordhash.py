@@ -31,7 +31,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
+def powers(n: int) -> np.ndarray:
     while len(_POWERS[0]) < n:
         p = _POWERS[0]
         _POWERS[0] = np.concatenate([p, p * (p[-1] * _BASE)])
@@ -64,7 +64,7 @@ def _piece(b: np.ndarray, starts_of_texts: np.ndarray) -> tuple[np.ndarray, np.n
     lens = np.flatnonzero(last) + 1 - starts
     at = np.cumsum(lens) - lens
     pos = np.arange(at[-1] + lens[-1]) - np.repeat(at, lens)
-    val = _LOW[b[tok]] * _powers(int(lens.max()))[pos]
+    val = _LOW[b[tok]] * powers(int(lens.max()))[pos]
     return mix(np.add.reduceat(val, at) ^ (lens.astype(np.uint64) * _LEN)), starts
 
 
