@@ -1,22 +1,33 @@
-"""Column expressions on ARRAY<DOUBLE|FLOAT> vectors (JVM-side)."""
+"""Products of vector columns, in Arrow batches with numpy.
+
+An array lambda in Spark works number by number outside generated code; a
+batch function multiplies whole columns at once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Sum of element-wise products, accumulated in DOUBLE."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
-                       F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """dot / (|a| |b|); 0 when either norm is 0."""
-    na, nb = norm(a), norm(b)
-    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb)).otherwise(F.lit(0.0))
+from pyspark.sql import types as T
+
+
+@F.pandas_udf(T.DoubleType())
+def dot(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Sum of element-wise products in DOUBLE; NULL where a side is NULL."""
+    out = np.full(len(a), np.nan)
+    ok = (a.notna() & b.notna()).to_numpy()
+    if ok.any():
+        x, y = np.stack(a[ok].to_numpy()).astype(np.float64), np.stack(b[ok].to_numpy()).astype(np.float64)
+        out[ok] = (x * y).sum(axis=1)
+    return pd.Series(out).astype(object).where(ok, None)
+
+
+@F.pandas_udf(T.DoubleType())
+def maxsim(q: pd.Series, d: pd.Series) -> pd.Series:
+    """Sum over the vectors of ``q`` of the largest product with a vector of ``d``; NULL without vectors."""
+    def one(x, y):
+        if x is None or y is None or not len(x) or not len(y):
+            return None
+        return float((np.stack(x).astype(np.float64) @ np.stack(y).astype(np.float64).T).max(axis=1).sum())
+    return pd.Series([one(x, y) for x, y in zip(q, d, strict=True)], dtype=object)

@@ -1,29 +1,35 @@
 """Dense vectors and vector scoring.
 
 The default encoder needs no weights: a text's vector is the signed
-feature-hashing of its term frequencies into ``dim`` buckets. It is all
-built-in expressions: per document the term counts are computed in-row,
-exploded in place, and summed into ``dim`` buckets by one aggregation whose
-partial step already completes each document (its rows never leave the
-task), so the shuffle carries one row per document.
-
-Real models plug in through ``Encoder`` objects run by ``mapInPandas``
-(``encode_with``): the model is loaded once per Python worker and called
+feature-hashing of its tokens into ``dim`` buckets. Tokens are cut in the JVM
+and folded into vectors in Arrow batches, row by row, so encoding is map-only.
+
+Real models plug in as ``Encoder`` factories run by ``mapInPandas``
+(``encode_with``): a model is loaded once per Python worker process and called
 on Arrow batches.
+
+Search over all documents (``exact_knn``) scores blocks: the queries are a
+stated set, cut into chunks that are broadcast one after the other, and a task
+multiplies a batch of documents with a chunk and keeps the k best of each
+query. One function serves single vectors, several vectors per document (MAXP)
+and token vectors (MaxSim).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip_ws, tokens, with_term_counts
-from ..functions.vectors import dot
+from ..functions.text import strip_ws, tokens
+from ..functions.vectors import dot, maxsim
 from ..plans.sizing import BROADCAST_BYTES, measured
-from .lexical import explode_terms, ranked
+from .lexical import SCORE_DIGITS, ranked
 
 # The default encoder's width and hash (first 32 bits of md5).
 DIM = 64
@@ -35,26 +41,41 @@ def term_hash(term) -> Column:
     return F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")
 
 
+def _bucket(term: str, dim: int, known: dict) -> tuple[int, int]:
+    got = known.get(term)
+    if got is None:
+        h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+        got = known[term] = (h % dim, 1 if h // dim % 2 == 0 else -1)
+        if len(known) > 200_000:
+            known.clear()
+    return got
+
+
 def hashed_vectors(df: DataFrame, keys, text_col: str = "text", dim: int = DIM) -> DataFrame:
     """``(*keys, vec ARRAY<DOUBLE>, norm DOUBLE)``, raw signed counts.
 
     bucket = h mod dim; the sign is + when (h div dim) is even. ``vec`` is
     not normalised (its entries are integers); ``norm`` is its L2 norm.
-    Rows without tokens get the zero vector.
+    Rows without tokens get the zero vector. A map-only job.
     """
     keys = list(keys)
-    toks = df.select(*keys, tokens(text_col).alias("_toks"))
-    terms = explode_terms(with_term_counts(toks, "_toks"), *keys, keep_null_term=True)
-    h = term_hash("term")
-    signed = F.when(F.floor(h / dim) % 2 == 0, F.col("tf")).otherwise(-F.col("tf"))
-    rows = terms.select(*keys, (h % dim).alias("_b"), signed.cast("double").alias("_v"))
-    sums = rows.groupBy(*keys).agg(*[
-        F.coalesce(F.sum(F.when(F.col("_b") == i, F.col("_v"))), F.lit(0.0)).alias(f"_d{i}")
-        for i in range(dim)])
-    sq = sum((F.col(f"_d{i}") * F.col(f"_d{i}") for i in range(1, dim)),
-             F.col("_d0") * F.col("_d0"))
-    return sums.select(*keys, F.array(*[F.col(f"_d{i}") for i in range(dim)]).alias("vec"),
-                       F.sqrt(sq).alias("norm"))
+
+    def fold(batches):
+        known: dict = {}
+        for pdf in batches:
+            vecs = []
+            for toks in pdf.pop("_toks"):
+                v = np.zeros(dim)
+                for t in toks if toks is not None else ():
+                    at, sign = _bucket(t, dim, known)
+                    v[at] += sign
+                vecs.append(v)
+            pdf["vec"] = vecs
+            pdf["norm"] = [float(np.sqrt(v @ v)) for v in vecs]
+            yield pdf
+
+    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("norm", T.DoubleType())])
+    return df.select(*keys, tokens(text_col).alias("_toks")).mapInPandas(fold, schema)
 
 
 def normalized(vecs: DataFrame) -> DataFrame:
@@ -94,23 +115,35 @@ def encoder(name: str) -> Encoder:
     return ENCODERS[name]()
 
 
-def encode_with(df: DataFrame, enc: Encoder | str, keys, text_col: str = "text",
+#: Models of this Python worker process, by encoder name or factory.
+_LOADED: dict = {}
+
+
+def _model(key, factory: Callable[[], Encoder]) -> Encoder:
+    if key not in _LOADED:
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
+
+def encode_with(df: DataFrame, enc: str | Callable[[], Encoder], keys, text_col: str = "text",
                 batch_size: int = 32) -> DataFrame:
     """D1/D2 with a model: ``(*keys, vec ARRAY<FLOAT>, norm DOUBLE)`` via mapInPandas.
 
-    Arrow batches are re-cut into ``batch_size`` model calls (X4).
+    ``enc`` is a registered name or a factory; the model is made in the worker
+    process, once, and stays for its later tasks. Arrow batches are re-cut into
+    ``batch_size`` model calls (X4).
     """
     keys = list(keys)
-    factory = (lambda: ENCODERS[enc]()) if isinstance(enc, str) else (lambda: enc)
+    factory = ENCODERS[enc] if isinstance(enc, str) else enc
+    name = enc if isinstance(enc, str) else f"{enc.__module__}.{enc.__qualname__}"
     key_fields = [df.schema[k] for k in keys]
     schema = T.StructType(key_fields + [T.StructField("vec", T.ArrayType(T.FloatType())),
                                         T.StructField("norm", T.DoubleType())])
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
+        from rankloom.operators.dense import _model as loaded  # the worker's own cache
 
-        model = factory()
+        model = loaded(name, factory)
         for pdf in batches:
             texts = pdf[text_col].fillna("").tolist()
             mats = [np.asarray(model.encode(texts[i:i + batch_size]), dtype=np.float32)
@@ -119,7 +152,7 @@ def encode_with(df: DataFrame, enc: Encoder | str, keys, text_col: str = "text",
             out = pdf[keys].copy()
             out["vec"] = list(mat)
             out["norm"] = np.linalg.norm(mat.astype(np.float64), axis=1) if len(mat) else []
-            yield pd.DataFrame(out)
+            yield out
 
     return df.select(*keys, text_col).mapInPandas(run, schema)
 
@@ -155,14 +188,15 @@ def score_vectors(cands: DataFrame, qvecs: DataFrame, dvecs: DataFrame, how: str
     """
     qkeys = [k for k in qkeys if k in cands.columns]
     j = _with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_bytes), dvecs, max_bytes)
-    d = dot(F.col("qvec"), F.col("dvec"))
+    j = j.withColumn("_dot", dot(F.col("qvec"), F.col("dvec")))
+    d = F.col("_dot")
     if how == "cosine":
         s = F.when((F.col("qnorm") > 0) & (F.col("dnorm") > 0), d / (F.col("qnorm") * F.col("dnorm")))
     elif how == "dot":
         s = d
     else:
         raise ValueError(how)
-    return j.withColumn(out_col, F.coalesce(s, F.lit(0.0))).drop("qvec", "qnorm", "dvec", "dnorm")
+    return j.withColumn(out_col, F.coalesce(s, F.lit(0.0))).drop("qvec", "qnorm", "dvec", "dnorm", "_dot")
 
 
 def rerank_by(cands: DataFrame, score_col: str, keys=("variant", "qid"), k: int | None = None) -> DataFrame:
@@ -190,9 +224,10 @@ def maxp_scores(cands: DataFrame, qvecs: DataFrame, psg_vecs: DataFrame, qkeys=(
     qkeys = [k for k in qkeys if k in cands.columns]
     c = _with_query_vectors(cands.select(*qkeys, "docno"), qvecs, qkeys, max_bytes)
     pv = psg_vecs.select("docno", F.col("vec").alias("pvec"), F.col("norm").alias("pnorm"))
+    j = c.join(pv, "docno").withColumn("_dot", dot(F.col("qvec"), F.col("pvec")))
     cos = F.when((F.col("qnorm") > 0) & (F.col("pnorm") > 0),
-                 dot(F.col("qvec"), F.col("pvec")) / (F.col("qnorm") * F.col("pnorm"))).otherwise(0.0)
-    scored = c.join(pv, "docno").groupBy(*qkeys, "docno").agg(F.max(cos).alias(out_col))
+                 F.col("_dot") / (F.col("qnorm") * F.col("pnorm"))).otherwise(0.0)
+    scored = j.groupBy(*qkeys, "docno").agg(F.max(cos).alias(out_col))
     return (cands.join(scored, [*qkeys, "docno"], "left")
             .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0.0))))
 
@@ -242,70 +277,141 @@ def maxsim_codes(cands: DataFrame, qcodes: DataFrame, dcodes: DataFrame, qkeys=(
     return j.withColumn(out_col, F.when(valid, s).otherwise(F.lit(0.0))).drop("qc", "dc")
 
 
+def grouped_vectors(vecs: DataFrame, keys) -> DataFrame:
+    """``(*keys, vecs ARRAY<ARRAY<DOUBLE>>)`` by position: the vectors of one text, which are few."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.col("vec").cast("array<double>").alias("vec"))))
+    return vecs.groupBy(*keys).agg(F.transform(rows, lambda r: r["vec"]).alias("vecs"))
+
+
 def maxsim_dense(cands: DataFrame, qtok: DataFrame, dtok: DataFrame, qkeys=("variant", "qid"),
-                 out_col: str = "li_score") -> DataFrame:
+                 out_col: str = "li_score", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """D6 for arbitrary token vectors ``(*keys, pos, vec)`` / ``(docno, pos, vec)``.
 
-    Two aggregates: max of the dot by (query, query position, docno), then
-    the sum by (query, docno). The join is restricted to candidate pairs.
+    A text's vectors stay one array, so a candidate is one row and the maxima
+    are taken inside it; no token pairs are shuffled.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    q = qtok.select(*qkeys, F.col("pos").alias("qpos"), F.col("vec").alias("qv"))
-    d = dtok.select("docno", F.col("vec").alias("dv"))
-    pairs = cands.select(*qkeys, "docno").join(q, qkeys).join(d, "docno")
-    mx = pairs.groupBy(*qkeys, "qpos", "docno").agg(F.max(dot(F.col("qv"), F.col("dv"))).alias("m"))
-    s = mx.groupBy(*qkeys, "docno").agg(F.sum("m").alias(out_col))
-    return (cands.join(s, [*qkeys, "docno"], "left")
-            .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(0.0))))
+    q, small = measured(grouped_vectors(qtok, qkeys).withColumnRenamed("vecs", "_qv"), max_bytes)
+    d = grouped_vectors(dtok, ["docno"]).withColumnRenamed("vecs", "_dv")
+    out = cands.join(F.broadcast(q) if small else q, qkeys, "left").join(d, "docno", "left")
+    return out.withColumn(out_col, F.coalesce(maxsim("_qv", "_dv"), F.lit(0.0))).drop("_qv", "_dv")
 
 
-# ---- end-to-end dense retrieval (D8) ---------------------------------------
+# ---- end-to-end dense retrieval (D5, D6, D8) --------------------------------
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def _best(scores: np.ndarray, order: np.ndarray, k: int) -> np.ndarray:
+    """The k best rows, ties (and all but equal scores) by ``order``."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    # A little below the k-th score, as the final ranking rounds.
+    at = np.flatnonzero(scores >= np.partition(scores, -k)[-k] - 2 * 10.0 ** -SCORE_DIGITS)
+    if len(at) > k:
+        at = at[np.lexsort((order[at], np.round(scores[at], SCORE_DIGITS)))[::-1][:k]]
+    return at
 
-def exact_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, qkeys=("variant", "qid"),
-              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """D8 exact: cosine of every query with every document, top k per query.
 
-    The query vectors are broadcast (size measured); each document row is
-    scored against them where it lies, and ``row_number() <= k`` keeps a
-    partial top k per task before the shuffle on the query key.
+def exact_search(queries: DataFrame, docs: DataFrame, k: int, qkeys=("variant", "qid"), cosine: bool = False,
+                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Every query against every document, top k: ``(*qkeys, docno, score, rank)``.
+
+    Both sides carry ``vecs ARRAY<ARRAY<DOUBLE>>``. The score is the sum over a
+    query's vectors of the largest product with a document's vector: a dot
+    product (or cosine) for single vectors, MAXP for a single query vector,
+    MaxSim in general. The queries go in chunks of at most ``max_bytes``, so any
+    number of them works the same way.
     """
     qkeys = list(qkeys)
-    qv, small = measured(qvecs.select(*qkeys, F.col("vec").alias("qvec"), F.col("norm").alias("qnorm")),
-                         max_bytes)
-    if not small:
-        raise ValueError("query set too large to broadcast for exact kNN; split the topics")
-    # Brute force by definition: every document meets every (broadcast,
-    # measured) query vector where it lies; only the top k per task leave.
-    pairs = (dvecs.select("docno", F.col("vec").alias("dvec"), F.col("norm").alias("dnorm"))
-             .crossJoin(F.broadcast(qv)))
-    s = F.when((F.col("qnorm") > 0) & (F.col("dnorm") > 0),
-               dot(F.col("qvec"), F.col("dvec")) / (F.col("qnorm") * F.col("dnorm"))).otherwise(0.0)
-    scored = pairs.select(*qkeys, "docno", s.alias("score"))
-    return ranked(scored, qkeys, k)
-
-
-def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int = 16, nprobe: int = 4,
+    spark = docs.sparkSession
+    q = queries.select(*qkeys, "vecs")
+    size = q.agg(F.coalesce(F.sum(F.aggregate("vecs", F.lit(0).cast("long"), lambda a, v: a + F.size(v) * 8 + 64)), F.lit(0)).alias("b")).first()["b"]
+    chunks = max(1, math.ceil(size / max_bytes))
+    schema = T.StructType([q.schema[c] for c in qkeys] + [docs.schema["docno"], T.StructField("score", T.DoubleType())])
+    out = None
+    for c in range(chunks):
+        rows = q.filter(F.pmod(F.xxhash64(*qkeys), F.lit(chunks)) == c).collect()  # one chunk: at most about max_bytes
+        rows = [r for r in rows if r["vecs"]]
+        if not rows:
+            continue
+        mat = np.concatenate([np.array(r["vecs"], dtype=np.float64) for r in rows])
+        first = np.cumsum([0] + [len(r["vecs"]) for r in rows])[:-1]
+        held = spark.sparkContext.broadcast(([tuple(r[x] for x in qkeys) for r in rows], first, _unit(mat) if cosine else mat))
+
+        def run(batches):
+            import pandas as pd
+
+            names, first, mat = held.value
+            for pdf in batches:
+                pdf = pdf[[v is not None and len(v) > 0 for v in pdf["vecs"]]]
+                if not len(pdf):
+                    continue
+                d = np.concatenate([np.stack(v).astype(np.float64) for v in pdf["vecs"]])
+                d = _unit(d) if cosine else d
+                at = np.cumsum([0] + [len(v) for v in pdf["vecs"]])[:-1]
+                docno = pdf["docno"].to_numpy()
+                order = np.unique(docno, return_inverse=True)[1]
+                step = max(1, (4 << 20) // max(1, len(d)))  # queries at a time, for bounded memory
+                found = []
+                for lo in range(0, len(names), step):
+                    hi = min(len(names), lo + step)
+                    part = mat[first[lo]:first[hi] if hi < len(names) else len(mat)]
+                    best = np.maximum.reduceat(part @ d.T, at, axis=1)
+                    scores = np.add.reduceat(best, first[lo:hi] - first[lo], axis=0)
+                    for i in range(hi - lo):
+                        top = _best(scores[i], order, k)
+                        found += [(*names[lo + i], docno[j], float(scores[i, j])) for j in top]
+                yield pd.DataFrame(found, columns=[*qkeys, "docno", "score"])
+
+        part = docs.select("docno", "vecs").mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return ranked(out, qkeys, k)
+
+
+def _single(vecs: DataFrame, keys) -> DataFrame:
+    return vecs.select(*keys, F.array(F.col("vec").cast("array<double>")).alias("vecs"))
+
+
+def exact_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, qkeys=("variant", "qid"),
+              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """D8 exact: cosine of every query with every document, top k per query."""
+    return exact_search(_single(qvecs, list(qkeys)), _single(dvecs, ["docno"]), k, qkeys, True, max_bytes)
+
+
+def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int | None = None, nprobe: int | None = None,
             seed: int = 7, qkeys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """D8 approximate: KMeans cells, probe the ``nprobe`` nearest cells,
-    equi-join on the cell id, rescore exactly, top k per query."""
+    equi-join on the cell id, rescore exactly, top k per query.
+
+    ``n_cells`` grows with the square root of the collection and an eighth of
+    the cells is probed unless given; probing all cells is exact.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     qkeys = list(qkeys)
-    unit = (normalized(dvecs).select("docno", array_to_vector("vec").alias("features"))
-            .join(dvecs.select("docno", "vec", "norm"), "docno"))  # raw vectors for exact rescoring
+    if n_cells is None:
+        n_cells = max(2, math.isqrt(dvecs.count()))
+    nprobe = nprobe or max(1, n_cells // 8)
+    raw = dvecs.withColumnRenamed("vec", "raw").withColumn("vec", F.col("raw").cast("array<double>"))
+    unit = normalized(raw).select("docno", array_to_vector("vec").alias("features"), F.col("raw").alias("vec"), "norm")
     model = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(unit)
     cells = model.transform(unit).select("docno", "vec", "norm", F.col("cell").cast("long"))
     centers = dvecs.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
         "cell long, center array<double>")
-    qv, small = measured(qvecs.select(*qkeys, "vec", "norm"), max_bytes)
     w = Window.partitionBy(*qkeys).orderBy(F.col("cd").desc(), F.col("cell"))
-    probes = (qv.crossJoin(F.broadcast(centers))  # queries x n_cells centroids
+    probes = (qvecs.select(*qkeys, "vec", "norm").crossJoin(F.broadcast(centers))  # queries x n_cells centroids
               .withColumn("cd", dot(F.col("vec"), F.col("center")))
               .withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= nprobe)
               .select(*qkeys, "cell", F.col("vec").alias("qvec"), F.col("norm").alias("qnorm")))
+    probes, small = measured(probes, max_bytes)
     j = cells.join(F.broadcast(probes) if small else probes, "cell")
-    s = F.when((F.col("qnorm") > 0) & (F.col("norm") > 0),
-               dot(F.col("qvec"), F.col("vec")) / (F.col("qnorm") * F.col("norm"))).otherwise(0.0)
+    j = j.withColumn("_dot", dot(F.col("qvec"), F.col("vec")))
+    s = F.when((F.col("qnorm") > 0) & (F.col("norm") > 0), F.col("_dot") / (F.col("qnorm") * F.col("norm"))).otherwise(0.0)
     return ranked(j.select(*qkeys, "docno", s.alias("score")), qkeys, k)

@@ -48,3 +48,4 @@ from . import q_dense  # noqa: E402,F401
 from . import q_tuning  # noqa: E402,F401
 from . import q_analysis  # noqa: E402,F401
 from . import q_more  # noqa: E402,F401
+from . import q_vectors  # noqa: E402,F401
