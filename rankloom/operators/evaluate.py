@@ -153,12 +153,3 @@ def evaluate(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
                                      (F.col(f"`{n}`") / F.col("_nq")).alias("value")) for n in names]))
         .alias("mv"))
     return long.select(*keys, "mv.metric", "mv.value")
-
-
-def evaluate_wide(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
-                  keys=("method", "variant")) -> DataFrame:
-    """The same means, one column per measure."""
-    keys = [k for k in keys if k in run.columns]
-    names = [m if isinstance(m, str) else m.name for m in measures]
-    long = evaluate(run, qrels, measures, keys)
-    return (long.groupBy(*keys).pivot("metric", names).agg(F.first("value")))

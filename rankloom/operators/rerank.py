@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
-from .lexical import ranked
+from .fusion import compose
+from .lexical import cutoff, ranked
 
 QKEYS = ("variant", "qid")
 
@@ -43,14 +44,15 @@ def pointwise(df: DataFrame, text_field: str = "text", keys=QKEYS, k: int | None
     return ranked(out.drop("rank"), _keys(out, keys), k)
 
 
-def pairwise(df: DataFrame, keys=QKEYS, score_col: str = "score", k: int | None = None) -> DataFrame:
+def pairwise(df: DataFrame, keys=QKEYS, score_col: str = "score", depth: int = 10, k: int | None = None) -> DataFrame:
     """score_a = sum over b != a of sigmoid(s_a - s_b), per query.
 
-    Meant for a cut run (the reference uses the top 10): each query's
-    scores are gathered by a window over that bounded group, so no pair
-    rows and no self-join are materialised.
+    Only the ``depth`` best of each query take part (the reference uses 10), so
+    a query's scores, gathered by a window, are a bounded group and no pair
+    rows are made.
     """
     ks = _keys(df, keys)
+    df = ranked(df.drop("rank"), ks, depth)
     w = Window.partitionBy(*ks)
     peers = F.collect_list(F.struct(F.col("docno").alias("d"), F.col(score_col).alias("s"))).over(w)
     me_s, me_d = F.col(score_col), F.col("docno")
@@ -65,14 +67,48 @@ def pairwise(df: DataFrame, keys=QKEYS, score_col: str = "score", k: int | None
     return ranked(out.drop("rank"), ks, k)
 
 
+def pairwise_with(df: DataFrame, scorer, text_field: str = "text", keys=QKEYS, depth: int = 10,
+                  k: int | None = None, batch_size: int = 32) -> DataFrame:
+    """X2 with a model: ``scorer(queries, texts_a, texts_b) -> scores`` of every ordered pair.
+
+    ``scorer`` is a factory, called once per Python worker process. The
+    ``depth`` best of each query meet in an equi-join on the query
+    (depth x (depth - 1) rows), and a document's new score is the sum of its
+    pair scores.
+    """
+    ks = _keys(df, keys)
+    top = ranked(df.drop("rank"), ks, depth)
+    other = top.select(*ks, F.col("docno").alias("_other"), F.col(text_field).alias("_text_b"))
+    pairs = top.select(*ks, "docno", "query", F.col(text_field).alias("_text_a")).join(other, ks).filter("docno <> _other")
+    schema = T.StructType([pairs.schema[c] for c in (*ks, "docno")] + [T.StructField("_pair", T.DoubleType())])
+    name = f"{scorer.__module__}.{scorer.__qualname__}"
+
+    def run(batches):
+        import numpy as np
+
+        from rankloom.operators.dense import _model
+
+        fn = _model(name, scorer)
+        for pdf in batches:
+            cols = [pdf[c].fillna("").tolist() for c in ("query", "_text_a", "_text_b")]
+            scores = []
+            for i in range(0, len(pdf), batch_size):
+                scores.extend(np.asarray(fn(*(c[i:i + batch_size] for c in cols)), dtype=float))
+            out = pdf[[*ks, "docno"]].copy()
+            out["_pair"] = scores
+            yield out
+
+    sums = pairs.mapInPandas(run, schema).groupBy(*ks, "docno").agg(F.sum("_pair").alias("pairwise"))
+    out = top.drop("rank").join(sums, [*ks, "docno"], "left")
+    return ranked(out.withColumn("score", F.coalesce("pairwise", F.lit(0.0))), ks, k)
+
+
 def cascade(run: DataFrame, first_k: int = 100, second_k: int = 10, text_field: str = "text",
             keys=QKEYS) -> DataFrame:
     """First stage cut to ``first_k`` -> pointwise -> top ``second_k`` -> pairwise."""
-    from .lexical import cutoff
-
     ks = _keys(run, keys)
-    first = cutoff(run, first_k, ks)
-    return pairwise(pointwise(first, text_field, ks, second_k), ks)
+    return compose(run, lambda d: cutoff(d, first_k, ks), lambda d: pointwise(d, text_field, ks, second_k),
+                   lambda d: pairwise(d, ks, depth=second_k))
 
 
 def score_pairs_with(df: DataFrame, scorer, text_field: str = "text", out_col: str = "model_score",
@@ -80,14 +116,17 @@ def score_pairs_with(df: DataFrame, scorer, text_field: str = "text", out_col: s
     """X1 with a model: ``scorer(queries, texts) -> scores`` in Arrow batches.
 
     ``scorer`` is a zero-argument factory returning a callable; it runs
-    once per Python worker.
+    once per Python worker process.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())])
+    name = f"{scorer.__module__}.{scorer.__qualname__}"
 
     def run(batches):
         import numpy as np
 
-        fn = scorer()
+        from rankloom.operators.dense import _model
+
+        fn = _model(name, scorer)
         for pdf in batches:
             qs = pdf["query"].fillna("").tolist()
             ts = pdf[text_field].fillna("").tolist()

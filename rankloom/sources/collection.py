@@ -10,8 +10,6 @@ topic's whole text (grade 2, or 1 where ``labels.quality = 0``).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,10 +64,6 @@ def topics_from_benchmark(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def topics_variant(topics: DataFrame, variant: str) -> DataFrame:
-    """S3: one wording, as ``(qid, query)``."""
-    return topics.filter(F.col("variant") == variant).select("qid", "query")
-
 
 def repair_query_column(topics: DataFrame, source_column: str = "description") -> DataFrame:
     """A topics frame without ``query`` takes it from a named column."""
@@ -94,23 +88,3 @@ def qrels_from_containment(documents: DataFrame, benchmark: DataFrame,
     return (pairs.join(F.broadcast(lab) if small else lab, "docno", "left")
             .select("qid", "docno",
                     F.when(F.col("quality") == 0, F.lit(1)).otherwise(F.lit(2)).cast("long").alias("rel")))
-
-
-@dataclass
-class Collection:
-    """The three inputs of every experiment, as lazy DataFrames."""
-
-    corpus: DataFrame
-    topics: DataFrame
-    qrels: DataFrame
-
-
-def load_collection(spark: SparkSession, sf_dir: str) -> Collection:
-    documents = table(spark, sf_dir, "documents")
-    benchmark = table(spark, sf_dir, "benchmark")
-    labels = table(spark, sf_dir, "labels")
-    return Collection(
-        corpus=corpus_from_documents(documents),
-        topics=topics_from_benchmark(benchmark),
-        qrels=qrels_from_containment(documents, benchmark, labels),
-    )

@@ -38,9 +38,17 @@ def test_containment_matches_brute_force(spark):
         f"JOIN '{SF_SMALL}/documents.parquet' d ON contains(d.text, b.text)").fetchall())
     got = sorted((r["qid"], r["docno"]) for r in contains_pairs(docs, pats).collect())
     assert got == want and len(want) > 0
-    # A tiny broadcast budget forces several chunks; the result must not change.
-    chunked = sorted((r["qid"], r["docno"]) for r in contains_pairs(docs, pats, max_bytes=2000).collect())
-    assert chunked == want
+    # Without a broadcast budget the joins shuffle; the result must not change.
+    assert sorted((r["qid"], r["docno"]) for r in contains_pairs(docs, pats, max_bytes=1).collect()) == want
+
+
+def test_containment_of_short_and_odd_patterns(spark):
+    docs = spark.createDataFrame([(1, "xfoo bar baz quxy"), (2, "foo\nbar  baz"), (3, None), (4, "a foo bar")], "docno long, text string")
+    pats = spark.createDataFrame([(1, "foo bar baz qux"), (2, "oo b"), (3, "foo"), (4, ""), (5, None), (6, " bar baz"), (7, "bar  baz"), (8, "foo bar")], "qid long, text string")
+    want = sorted((p, d) for p, t in [tuple(r) for r in pats.collect()] for d, x in [tuple(r) for r in docs.collect()] if t and x and t in x)
+    for size in (1, 1 << 20):
+        assert sorted((r["qid"], r["docno"]) for r in contains_pairs(docs, pats, max_bytes=size).collect()) == want
+    assert contains_pairs(docs, pats.filter("qid = 4")).count() == 0
 
 
 def test_run_invariants(w):
@@ -100,15 +108,15 @@ def test_ivf_recall_against_exact(w):
     exact = {(r["qid"], r["docno"]) for r in dense.exact_knn(qv, dv, 10).collect()}
     full = {(r["qid"], r["docno"]) for r in dense.ivf_knn(qv, dv, 10, n_cells=4, nprobe=4).collect()}
     assert full == exact  # probing every cell is exact
-    approx = {(r["qid"], r["docno"]) for r in dense.ivf_knn(qv, dv, 10, n_cells=4, nprobe=2).collect()}
-    assert len(approx & exact) / len(exact) >= 0.5
+    approx = {(r["qid"], r["docno"]) for r in dense.ivf_knn(qv, dv, 10, n_cells=4, nprobe=3).collect()}
+    assert len(approx & exact) / len(exact) >= 0.85
 
 
 def test_prf_reranker_keeps_candidates(w):
     first = w.bm25(100)
-    rr = feedback.prf_reranker(w.prepared, w.topics, first)
+    rr = feedback.prf_reranker(w.index, w.topics, first)
     assert rr.select("variant", "qid", "docno").exceptAll(first.select("variant", "qid", "docno")).count() == 0
-    exp = feedback.expansion_terms(first, w.prepared).groupBy("variant", "qid").count().collect()
+    exp = feedback.expansion_terms(first, w.index).groupBy("variant", "qid").count().collect()
     assert all(r["count"] <= feedback.FB_TERMS for r in exp)
 
 
@@ -126,3 +134,43 @@ def test_results_json_roundtrip_and_store(spark, w):
     assert s1.count() == s2.count() == long.count()
     with pytest.raises(FileNotFoundError):
         results.require(spark, path + "-missing")
+
+
+def test_bm25_reads_the_stored_index(w):
+    run = lexical.bm25(w.index, w.topics, k=20)
+    plan = run._jdf.queryExecution().optimizedPlan().toString()  # noqa: SLF001
+    assert "documents.parquet" not in plan and "sort_array" not in plan  # no corpus scan, no term counting
+    stored = sorted(tuple(r) for r in run.collect())
+    direct = sorted(tuple(r) for r in lexical.bm25(w.prepared, w.topics, k=20).collect())
+    assert [(a[:3], a[4], round(a[3], 6)) for a in stored] == [(a[:3], a[4], round(a[3], 6)) for a in direct]
+
+
+def test_results_do_not_depend_on_broadcasts(w):
+    from rankloom.operators import textprep
+
+    run = w.bm25(20).filter("variant = 'title'")
+    key = lambda df, c: sorted((r["qid"], r["docno"], r[c]) for r in df.collect())
+    texts = textprep.attach_text(run, w.corpus)
+    assert key(texts, "text") == key(textprep.attach_text(run, w.corpus, max_bytes=0), "text")
+    qv, dv = M.query_vectors(w), dense.candidate_vectors(texts.select("docno", "text"))
+    assert key(dense.score_vectors(texts, qv, dv), "dense_score") == key(dense.score_vectors(texts, qv, dv, max_bytes=0), "dense_score")
+    psg = dense.hashed_vectors(dense.passages(texts.select("docno", "text").dropDuplicates(["docno"])), ["docno", "psg"])
+    assert key(dense.maxp_scores(run, qv, psg), "dense_score") == key(dense.maxp_scores(run, qv, psg, max_bytes=0), "dense_score")
+    assert sorted(map(tuple, lexical.bm25(w.index, w.topics, 5, max_bytes=0).select("variant", "qid", "docno", "rank").collect())) == \
+        sorted(map(tuple, lexical.bm25(w.index, w.topics, 5).select("variant", "qid", "docno", "rank").collect()))
+
+
+def test_rerankers_keep_the_depth_they_are_given(w):
+    deep = w.only("description")
+    want = {r["qid"]: r["count"] for r in deep.bm25(150).groupBy("qid").count().collect()}
+    assert max(want.values()) > 100
+    for name, run in M.method_runs(deep, 150).items():
+        assert {r["qid"]: r["count"] for r in run.groupBy("qid").count().collect()} == want, name
+
+
+def test_reset_releases_every_cached_table(spark):
+    wsmod.reset()
+    own = wsmod.workspace(spark, SF_SMALL)
+    M.candidates(own).count()
+    wsmod.reset()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0  # noqa: SLF001
