@@ -166,3 +166,21 @@ SELECT variant, qid, docno, round(score, 6) AS score, rank FROM (
 def l2_bm25_fields(spark, sf_dir):
     w = ws(spark, sf_dir)
     return rounded(lexical.bm25(lexical.field_index(w.corpus, FIELD_WEIGHTS), w.topics, 100))
+
+
+# ---- S9: the stored index ----------------------------------------------------------
+
+@register("s9_index_tables", W(*Q.BASE[:2], f"""toks AS (SELECT docno, {Q.tok('text')} AS toks FROM prepared),
+post AS (SELECT DISTINCT docno, term FROM (SELECT docno, unnest(toks) AS term FROM toks) x)""") + """
+SELECT 'postings' AS name, (SELECT count(*) FROM post)::BIGINT AS n
+UNION ALL SELECT 'terms', (SELECT count(DISTINCT term) FROM post)::BIGINT
+UNION ALL SELECT 'documents', (SELECT count(*) FROM toks)::BIGINT
+UNION ALL SELECT 'tokens', (SELECT sum(len(toks)) FROM toks)::BIGINT""")
+def s9_index_tables(spark, sf_dir):
+    """Builds the index where it is missing; the sizes of its tables."""
+    i = ws(spark, sf_dir).index
+    size = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+    coll = i.coll_stats.select(F.explode(F.array(
+        F.struct(F.lit("documents").alias("name"), F.col("n_docs").cast("long").alias("n")),
+        F.struct(F.lit("tokens").alias("name"), F.col("total_len").alias("n")))).alias("x")).select("x.name", "x.n")
+    return size(i.postings, "postings").unionByName(size(i.term_stats, "terms")).unionByName(coll)
