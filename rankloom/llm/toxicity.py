@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import id_bucket, table
 from rankloom.llm.labelled import training_sample
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 12_000, 600, 15, 32
+SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 600, 15, 32
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,19 +47,22 @@ def _terms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def choose_terms(counts: list[Counter], y: np.ndarray) -> list[str]:
+def choose_terms(texts: list[str], y: np.ndarray) -> list[str]:
     """At most ``TERMS`` terms that toxic examples have more often, by z-score."""
-    share: dict[str, list[int]] = {}
-    for c, label in zip(counts, y.tolist(), strict=True):
-        for t in {t for w in c for t in _terms(w)}:
-            share.setdefault(t, [0, 0])[label] += 1
     n1, n0, n = max(1, int(y.sum())), max(1, int((y == 0).sum())), max(1, len(y))
     least = max(3, n1 // 200)
+    yes: Counter = Counter()
+    for t in (t for t, label in zip(texts, y.tolist(), strict=True) if label):
+        yes.update({x for w in term_counts(t) for x in _terms(w)})
+    yes = Counter({t: k for t, k in yes.items() if k >= least})
+    no: Counter = Counter()
+    for t in (t for t, label in zip(texts, y.tolist(), strict=True) if not label):
+        no.update({x for w in term_counts(t) for x in _terms(w) if x in yes})
     found = []
-    for t, (no, yes) in share.items():
-        if yes >= least and yes * n0 > 4 * no * n1:
-            p = (yes + no + 1) / (n + 2)
-            z = (yes / n1 - no / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    for t, k in yes.items():
+        if k * n0 > 4 * no[t] * n1:
+            p = (k + no[t] + 1) / (n + 2)
+            z = (k / n1 - no[t] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
             if z > 2.5:
                 found.append((-z, t))
     return [t for _, t in sorted(found)[:TERMS]]
@@ -70,13 +73,13 @@ class Vectors:
 
     def __init__(self, terms: list[str], idf: np.ndarray):
         self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
-        self.longest = max((len(t) for t in terms), default=0)
 
-    def __call__(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, ascending, and how often it has them."""
         tf: dict[int, int] = {}
         rest = 0
         get = self.terms.get
-        for w, n in counts.items():
+        for w, n in words.items():
             hit = [i for t in _terms(w) if (i := get(t)) is not None]
             for i in hit:
                 tf[i] = tf.get(i, 0) + n
@@ -85,9 +88,15 @@ class Vectors:
         if rest:
             tf[len(self.terms)] = rest
         at = np.array(sorted(tf), dtype=np.int64)
-        w = np.array([1 + np.log(tf[i]) for i in at]) * self.idf[at] if len(at) else np.zeros(0)
+        return at, np.array([tf[i] for i in at], dtype=float)
+
+    def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(tf)) * self.idf[at] if len(at) else np.zeros(0)
         return at, w / max(1e-12, np.sqrt((w * w).sum()))
 
+    def __call__(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+        return self.weigh(*self.counts(words))
+
 
 class Index:
     """Postings by term, examples in blocks, the highest weight of each term in each block."""
@@ -151,16 +160,14 @@ def _vote(sims: np.ndarray, y: np.ndarray) -> float:
 
 class Model:
     def __init__(self, texts: list[str], y: np.ndarray):
-        counts = [term_counts(t) for t in texts]
         self.empty = len(y) == 0
-        self.terms = choose_terms(counts, y)
+        self.terms = choose_terms(texts, y)
         n_terms = len(self.terms) + 1
-        flat = Vectors(self.terms, np.ones(n_terms))
-        df = np.zeros(n_terms)
-        for c in counts:
-            df[flat(c)[0]] += 1
-        self.vectors = Vectors(self.terms, np.log(1 + len(y) / (1 + df)))
-        vectors = [self.vectors(c) for c in counts]
+        self.vectors = Vectors(self.terms, np.ones(n_terms))
+        counts = [self.vectors.counts(term_counts(t)) for t in texts]
+        df = np.bincount(np.concatenate([at for at, _ in counts] or [np.zeros(0, np.int64)]), minlength=n_terms)
+        self.vectors.idf = np.log(1 + len(y) / (1 + df))
+        vectors = [self.vectors.weigh(at, tf) for at, tf in counts]
         self.index = Index(vectors, y, n_terms)
         plain = np.array([not len(at) or at[0] == n_terms - 1 for at, _ in vectors], dtype=bool)
         self.plain = float(y[plain].mean()) if plain.any() else float(y.mean()) if len(y) else 0.0
