@@ -43,12 +43,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def is_local_size(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
-    """Whether ``df`` at ``row_bytes`` a row stays under ``limit`` bytes.
-
-    Counts at most the rows that would fit, so the check itself is bounded.
-    """
-    most = limit // row_bytes
-    return df.limit(most + 1).count() <= most
+    """Whether ``df`` at ``row_bytes`` a row stays under ``limit`` bytes, by a count of its rows."""
+    return df.count() * row_bytes <= limit
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
