@@ -224,4 +224,6 @@ def s10_tsv_table(spark, sf_dir):
 SELECT concat_ws(' ', qid::VARCHAR, 'Q0', docno::VARCHAR, rank::VARCHAR, printf('%.6f', round(score, 6)), 'BM25') AS line
 FROM bm25""")
 def s11_trec_run(spark, sf_dir):
-    return R.trec_run_lines(ws(spark, sf_dir).bm25(100), "BM25")
+    path = R.scratch_path(spark, "trec")
+    R.write_trec_run(ws(spark, sf_dir).bm25(100), path, "BM25")
+    return spark.read.text(path).withColumnRenamed("value", "line")
