@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_prefix_decontamination": decontaminate.SQL,
+    "op3_odd_sketch_near_dup": near_dup.SQL,
     "op4_histogram_top_k": topk.SQL,
 }
