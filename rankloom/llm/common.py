@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder as Parquet, whose columns can be pruned, and read it back."""
+    spark = df.sparkSession
+    to = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(to)
+    return spark.read.schema(df.schema).parquet(to)
+
+
 def is_local_size(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """Whether ``df`` at ``row_bytes`` a row stays under ``limit`` bytes, by a count of its rows."""
     return df.count() * row_bytes <= limit

@@ -29,14 +29,13 @@ are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import is_local_size, maybe_broadcast, settle, shared_folder, table
+from rankloom.llm.common import is_local_size, maybe_broadcast, settle, stored, table
 from rankloom.llm.components import components
 from rankloom.llm.wordhash import mix, shingle_sets
 
@@ -101,14 +100,6 @@ def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp binary, n_shingles bigint, {sketch}, bands array<bigint>")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """Write to the shared folder as Parquet (columns can be pruned) and read back."""
-    spark = df.sparkSession
-    to = f"{shared_folder(spark)}/near-dup-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(to)
-    return spark.read.schema(df.schema).parquet(to)
-
-
 def _least_distance(percent: int, samples: int) -> int:
     """The most differing sketch bits that a pair at the threshold may show."""
     t = percent / 100
@@ -159,11 +150,11 @@ def linked_components(docs: DataFrame, sig: DataFrame, k: int, percent: int, ban
     most = _least_distance(percent, bands * BAND_ROWS)
     reps = sig.filter("fp is not null and doc_id is not null")
     first = reps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    reps = _stored(reps.join(first, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"]).select("doc_id", *_SKETCH, "bands"))
+    reps = stored(reps.join(first, ["fp", "doc_id"], "left_semi").dropDuplicates(["fp", "doc_id"]).select("doc_id", *_SKETCH, "bands"), "near-dup")
     sketches = maybe_broadcast(reps.select("doc_id", *_SKETCH), 64)
     rows = reps.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
     shared = rows.groupBy("band").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x < y").select("band")
-    members = _stored(rows.join(shared, "band", "left_semi"))
+    members = stored(rows.join(shared, "band", "left_semi"), "near-dup")
     lonely, edges, used = members, None, 0
     for n in PIVOTS:
         salts = [_salt(used + j) for j in range(n)]
@@ -229,7 +220,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     """
     docs = documents.select("doc_id", "text")
     bands = band_count(percent)
-    sig = _stored(signatures(docs, shingle, bands))
+    sig = stored(signatures(docs, shingle, bands), "near-dup")
     low = linked_components(docs, sig, shingle, percent, bands)
     base = sig.select("doc_id", "n_shingles", "fp")
     first = base.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
