@@ -16,6 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     plain join keys whose minimum is combined before the shuffle.
     """
     e = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = settle(e)
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -12,8 +12,9 @@
    sketches put the similarity clearly below the threshold are dropped, the
    others are confirmed on the full shingle sets.
 3. Confirmed links give components, and what is left is settled exactly: band
-   members of different components meet in blocks, with the same sketch and set
-   tests. A band that lies in one component needs nothing more, which is the
+   members of different components meet in blocks, which test all their pairs by
+   sketches and then on the full sets (a matrix product where many pairs are
+   close) and return only links that join components. A band that lies in one component needs nothing more, which is the
    usual case, also for groups of thousands.
 
 A missed link needs a pair to share none of the bands (at the threshold less
@@ -42,7 +43,7 @@ from rankloom.llm.wordhash import mix, shingle_sets
 BAND_ROWS = 4
 SKETCH_WORDS = 4  # of 64 bits
 PIVOTS = (4, 12)  # of a band, in each round
-BLOCK = 512
+BLOCK = 1024
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
@@ -168,9 +169,9 @@ def linked_components(docs: DataFrame, sig: DataFrame, k: int, percent: int, ban
         edges = good if edges is None else edges.unionByName(good)
         linked = edges.select(F.col("a").alias("doc")).unionByName(edges.select(F.col("b").alias("doc"))).distinct()
         lonely = members.join(maybe_broadcast(linked, 16), "doc", "left_anti")
-    labels = components(edges)
-    rest = settle(_rest(members, labels, sketches, most))
-    return labels if rest.isEmpty() else components(edges.unionByName(_confirm(rest, docs, k, percent)))
+    labels = settle(components(edges))
+    rest = settle(_rest(members, labels, sketches, docs, most, k, percent))
+    return labels if rest.isEmpty() else components(edges.unionByName(rest))
 
 
 def _salt(i: int) -> int:
@@ -178,19 +179,71 @@ def _salt(i: int) -> int:
     return ((i * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 2 if i else 0
 
 
-def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int) -> DataFrame:
-    """All (a, b) of one band and different components with close sketches.
+def _shared_counts(left: list[np.ndarray], right: list[np.ndarray], close: np.ndarray) -> np.ndarray:
+    """The sizes of the intersections of sorted sets, for the (left, right) pairs marked in ``close``.
+
+    Many pairs go through a product of incidence matrices over the elements
+    that both sides have, few pairs one by one; both are exact.
+    """
+    out = np.zeros(close.shape, dtype=np.int64)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if len(left) * len(right) * len(both) > close.sum() * 2_000_000:
+        for i, j in zip(*np.nonzero(close), strict=True):
+            out[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        return out
+    for at in range(0, len(both), 8192):  # bounded memory
+        part = both[at : at + 8192]
+
+        def rows(sets, part=part):
+            m = np.zeros((len(sets), len(part)), dtype=np.float32)
+            for i, s in enumerate(sets):
+                own = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                col = np.minimum(np.searchsorted(part, own), len(part) - 1)
+                m[i, col[part[col] == own]] = 1
+            return m
+
+        out += (rows(left) @ rows(right).T).astype(np.int64)
+    return out
+
+
+def _joining(labels_a: np.ndarray, labels_b: np.ndarray) -> list[int]:
+    """The positions of links that join labels not joined by links before them."""
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    keep = []
+    _, first = np.unique(np.stack([labels_a, labels_b]), axis=1, return_index=True)
+    for i in np.sort(first).tolist():
+        p, q = root(int(labels_a[i])), root(int(labels_b[i]))
+        if p != q:
+            top[max(p, q)] = min(p, q)
+            keep.append(i)
+    return keep
+
+
+def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, docs: DataFrame, most: int, k: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between different components that share a band.
 
     A band's members are dealt into blocks of about ``BLOCK`` by their id's
-    hash; each pair of blocks is one group, so a large band is many groups.
+    hash; each pair of blocks is one group, so a large band is many groups. A
+    group tests all its pairs by sketches, confirms the close ones on the full
+    sets, and returns the links that join components, at most one a component.
     """
     now = members.join(maybe_broadcast(labels.withColumnRenamed("node", "doc"), 24), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     size = now.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y")
     size = size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    now = now.join(size, "band").join(sketches.withColumnRenamed("doc_id", "doc"), "doc")
+    now = settle(now.join(size, "band"))
+    ids = maybe_broadcast(now.select(F.col("doc").alias("doc_id")).distinct(), 16)
+    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "doc")
+    now = now.join(sketches.withColumnRenamed("doc_id", "doc"), "doc").join(texts, "doc")
     now = now.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     now = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    now = now.select("band", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "doc", "label", *_SKETCH)
+    now = now.select("band", F.least("own", "other").alias("g"), F.greatest("own", "other").alias("h"), "own", "doc", "label", "text", *_SKETCH)
     kind = members.schema["doc"].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:
@@ -198,15 +251,23 @@ def _rest(members: DataFrame, labels: DataFrame, sketches: DataFrame, most: int)
         g, h = t.column("g")[0].as_py(), t.column("h")[0].as_py()
         sk = np.stack([t.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
         left, right = np.flatnonzero(own == g), np.flatnonzero(own == h)
-        out_a, out_b = [], []
+        close = label[left][:, None] != label[right][None, :]
         for at in range(0, len(left), 64):
-            i = left[at : at + 64]
-            differ = np.bitwise_count(sk[i][:, None, :] ^ sk[right][None, :, :]).sum(axis=2, dtype=np.int64)
-            x, y = np.nonzero((differ <= most) & (label[i][:, None] != label[right][None, :]))
-            out_a.append(doc[i][x])
-            out_b.append(doc[right][y])
-        a, b = np.concatenate(out_a or [doc[:0]]), np.concatenate(out_b or [doc[:0]])
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)}).group_by(["a", "b"]).aggregate([])
+            differ = np.bitwise_count(sk[left[at : at + 64]][:, None, :] ^ sk[right][None, :, :]).sum(axis=2, dtype=np.int64)
+            close[at : at + 64] &= differ <= most
+        left, right, close = left[close.any(axis=1)], right[close.any(axis=0)], close[close.any(axis=1)][:, close.any(axis=0)]
+        if not close.any():
+            return pa.table({"a": doc[:0], "b": doc[:0]})
+        need = np.unique(np.concatenate([left, right]))
+        sets = dict(zip(need.tolist(), (s for _, s in shingle_sets(t.column("text").take(pa.array(need)), k)), strict=True))
+        a, b = [sets[i] for i in left.tolist()], [sets[i] for i in right.tolist()]
+        n = _shared_counts(a, b, close)
+        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - n
+        x, y = np.nonzero(close & (100 * n >= percent * union))
+        x, y = left[x], right[y]
+        keep = _joining(label[x], label[y])
+        x, y = doc[x[keep]], doc[y[keep]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return now.groupBy("band", "g", "h").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 

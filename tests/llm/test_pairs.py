@@ -102,6 +102,37 @@ def test_near_duplicates_brute_force(spark, k, percent):
     assert sorted(map(tuple, got.collect())) == op3_brute(rows, k, percent)
 
 
+def test_what_the_pivots_leave(spark, monkeypatch):
+    """One pivot and small blocks: most links come from the exact last step."""
+    monkeypatch.setattr(near_dup, "PIVOTS", (1,))
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(60)]
+    docs = []
+    for i in range(70):  # a star of edits around one text that comes last, and edits of edits
+        own = list(base if i % 3 else docs[-1][1].split() if docs else base)
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = word()
+        docs.append((i, " ".join(own)))
+    docs.append((99, " ".join(base)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(tuple, near_dup.near_duplicates(d, 3, 85).collect()))
+    assert got == op3_brute(docs, 3, 85)
+    assert len({g[2] for g in got}) < len(got)
+
+
+def test_shared_counts_both_ways():
+    rng = np.random.default_rng(3)
+    left = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (5, 90, 200, 1)]
+    right = [np.unique(rng.integers(0, 400, n).astype(np.uint64)) for n in (50, 300, 2)]
+    want = np.array([[len(np.intersect1d(a, b)) for b in right] for a in left])
+    for close in (np.ones((4, 3), bool), want > 10):
+        assert (near_dup._shared_counts(left, right, close)[close] == want[close]).all()
+    many = [left[1]] * 300
+    assert (near_dup._shared_counts(many, many, np.eye(300, dtype=bool))[np.eye(300, dtype=bool)] == len(left[1])).all()
+
+
 def test_near_duplicates_null_ids_and_empty(spark):
     d = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (5, "a b c d")], "doc_id long, text string")
     got = sorted(map(tuple, near_dup.near_duplicates(d, 3, 85).collect()), key=str)
