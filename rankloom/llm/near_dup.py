@@ -42,7 +42,7 @@ from rankloom.llm.wordhash import mix, shingle_sets
 
 BAND_ROWS = 4
 SKETCH_WORDS = 4  # of 64 bits
-PIVOTS = (4, 12)  # of a band, in each round
+PIVOTS = (1, 2)  # of a band, in each round; a text is in many bands
 BLOCK = 1024
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
