@@ -3,10 +3,13 @@
 Plain spans are found in the text as it is. Then a chain of small transducers
 rewrites disguises and keeps, for every character it writes, the source span it
 came from: homoglyphs and full-width forms to ASCII, invisible characters to
-nothing, spelled digits to digits, "at" / "dot" / "plus" disguises to their
-signs. The same detectors run on the rewritten text and their spans are mapped
-back to code points of the source. A span counts as added if it holds something
-rewritten and lies in no plain span of its kind; plain spans always stay.
+nothing, "at" / "dot" / "plus" disguises to their signs, bracketed or bare, also
+mixed with real signs, and runs of spelled digits, numerals and "dot" to digits.
+A full stop between the digits of such a run may part them or not, so both
+readings are searched. The same detectors run on each rewritten text, and their
+length checks alone decide. Their spans are mapped back to code points of the
+source. A span counts as added if it holds something rewritten and lies in no
+plain span and no longer added span of its kind; plain spans always stay.
 
 All scans are linear in the text, also for long runs of digits or letters.
 
@@ -52,15 +55,20 @@ _GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, _GLYPHS))) + "]")
 
 _NUMBER = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _WORD = "(?:" + "|".join(_NUMBER) + ")"
-#: At least seven spelled digits in a row, with or without "plus" before them.
-_SPELLED = re.compile(rf"(?<![A-Za-z])(?:plus[ ,.-]{{1,3}})?{_WORD}(?:[ ,.-]{{1,3}}{_WORD}){{6,}}(?![A-Za-z])", re.I)
-_TOKEN = re.compile(rf"plus|{_WORD}", re.I)
-_OPEN, _CLOSE = r"[ ]{0,2}[\[({<][ ]{0,2}", r"[ ]{0,2}[\])}>][ ]{0,2}"
+_DIGIT = rf"(?:{_WORD}|[0-9]++)(?![A-Za-z])"
+_GAP = r"[\s,.()-]{1,4}"
+_POINT = "(?:dot|point|punkt|punto)"
+#: Digits, spelled or not, with "dot" or full stops between them and "plus" before them.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus{_GAP})?{_DIGIT}(?:{_GAP}(?:{_POINT}{_GAP})?{_DIGIT})++", re.I)
+_TOKEN = re.compile(rf"plus|{_POINT}|{_WORD}|[0-9]++", re.I)
+_OPEN, _CLOSE = r"(?:(?<!\s)\s{1,4})?[\[({<]\s{0,4}", r"\s{0,4}[\])}>]\s{0,4}"
 _SIGN = re.compile(rf"{_OPEN}(?:(at|@)|(dot|punkt|point|punto|\.)){_CLOSE}", re.I)
-_LABEL = r"[A-Za-z0-9-]{1,63}"
-#: name at host dot tld: bare words count only together.
-_BARE = re.compile(rf"(?<=[A-Za-z0-9_%+-]) at (?={_LABEL}(?:(?: dot |\.){_LABEL}){{0,4}} dot [A-Za-z]{{2,24}}(?![A-Za-z]))", re.I)
-_DOT = re.compile(r"(?<=[A-Za-z0-9-]) dot (?=[A-Za-z0-9-])", re.I)
+#: name at host dot tld: a bare "at" counts only before a tail with a disguised dot.
+_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:\s++at\s++|\s*+@\s*+)(?=[A-Za-z0-9-])", re.I)
+_LABEL = r"[A-Za-z0-9-]++"
+_TAIL = re.compile(rf"{_LABEL}(?:(?:\s++dot\s++|\.){_LABEL})++", re.I)
+_DOT = re.compile(rf"(\s++dot\s++|\.)({_LABEL})", re.I)
+_TLD = re.compile(r"[A-Za-z]{2,24}")
 
 
 def _luhn(digits: str) -> bool:
@@ -109,14 +117,14 @@ def plain_spans(t: str) -> dict[str, list[tuple[int, int]]]:
 class _Tape:
     """A text with the source span of each of its characters, rewritten in runs."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, runs: list | None = None):
         self.text = text
-        self.runs = [(0, 0, len(text), False)]  # (start here, source start, source end, rewritten); a kept run is one to one
+        self.runs = runs or [(0, 0, len(text), False)]  # (start here, source start, source end, rewritten); a kept run is one to one
+        self.starts = [r[0] for r in self.runs]
 
     def source(self, start: int, end: int) -> tuple[int, int, bool]:
         """The source span of text[start:end], and whether part of it was rewritten."""
-        starts = [r[0] for r in self.runs]
-        i, j = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+        i, j = bisect_right(self.starts, start) - 1, bisect_right(self.starts, end - 1) - 1
         first, last = self.runs[i], self.runs[j]
         a = first[1] if first[3] else first[1] + start - first[0]
         b = last[2] if last[3] else last[1] + end - last[0]
@@ -130,9 +138,8 @@ class _Tape:
 
         def keep(a: int, b: int) -> None:
             nonlocal here
-            starts = [r[0] for r in self.runs]
             while a < b:
-                i = bisect_right(starts, a) - 1
+                i = bisect_right(self.starts, a) - 1
                 stop = min(b, self.runs[i + 1][0] if i + 1 < len(self.runs) else len(self.text))
                 r = self.runs[i]
                 runs.append((here, r[1], r[2], True) if r[3] else (here, r[1] + a - r[0], r[1] + stop - r[0], False))
@@ -149,19 +156,28 @@ class _Tape:
             at = b
         keep(at, len(self.text))
         self.text, self.runs = "".join(text), runs or [(0, 0, 0, False)]
+        self.starts = [r[0] for r in self.runs]
 
 
 def _glyphs(t: str) -> list[tuple[int, int, str]]:
     return [] if t.isascii() or _GLYPH_SET.isdisjoint(t) else [(m.start(), m.end(), _GLYPHS[ord(m[0])]) for m in _GLYPH.finditer(t)]
 
 
-def _spelled(t: str) -> list[tuple[int, int, str]]:
+def _spelled(t: str, stops: bool) -> list[tuple[int, int, str]]:
+    """Runs of digits as figures; with ``stops``, a full stop between two digits stays one."""
     out = []
     for m in _SPELLED.finditer(t):
         tokens = list(_TOKEN.finditer(t, m.start(), m.end()))
+        if all(w[0][0].isdigit() for w in tokens):
+            continue
         for k, w in enumerate(tokens):  # a digit each, so that every digit keeps its own source span
-            end = tokens[k + 1].start() if k + 1 < len(tokens) else w.end()
-            out.append((w.start(), end, _NUMBER.get(w[0].lower(), "+")))
+            name = w[0].lower()
+            if not name[0].isdigit():
+                out.append((w.start(), w.end(), "+" if name == "plus" else _NUMBER.get(name, ".")))
+            if k + 1 < len(tokens):
+                gap, after = t[w.end() : tokens[k + 1].start()], tokens[k + 1][0].lower()
+                digits = all(x in _NUMBER or x[0].isdigit() for x in (name, after))
+                out.append((w.end(), tokens[k + 1].start(), "." if stops and digits and "." in gap else ""))
     return out
 
 
@@ -169,40 +185,68 @@ def _signs(t: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), "@" if m[1] else ".") for m in _SIGN.finditer(t)]
 
 
-def _bare(t: str) -> list[tuple[int, int, str]]:
-    out = []
-    for m in _BARE.finditer(t):
-        out.append((m.start(), m.end(), "@"))
-        tail = re.compile(rf"{_LABEL}(?:(?: dot |\.){_LABEL}){{1,5}}", re.I).match(t, m.end())
-        out += [(d.start(), d.end(), ".") for d in _DOT.finditer(t, m.end(), tail.end())]
-    return [e for i, e in enumerate(out) if not i or e[0] >= out[i - 1][1]]
+def _bare(tape: _Tape) -> list[tuple[int, int, str]]:
+    t, out = tape.text, []
+    written = {r[0] for r in tape.runs if r[3] and r[2] - r[1] > 1}  # signs that were more than one character
+    for m in _AT.finditer(t):
+        tail = _TAIL.match(t, m.end())
+        dots = list(_DOT.finditer(t, m.end(), tail.end())) if tail else []
+        while dots and not _TLD.fullmatch(dots[-1][2]):
+            dots.pop()
+        if any(d[1] != "." or d.start() in written for d in dots):
+            out.append((m.start(), m.end(), "@"))
+            out += [(d.start(1), d.end(1), ".") for d in dots if d[1] != "."]
+    return [(a, b, new) for a, b, new in out if t[a:b] != new]
 
 
 _GLYPH_SET = frozenset(map(chr, _GLYPHS))
 
 
-def added_spans(t: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
-    """Spans that appear once the text's disguises are undone."""
+def _readings(t: str) -> list[_Tape]:
+    """The rewritten forms of a text."""
     tape = _Tape(t)
     tape.rewrite(_glyphs(tape.text))
     low = tape.text.lower()
-    if sum(map(low.count, _NUMBER)) >= 7:
-        tape.rewrite(_spelled(tape.text))
     if any(c in tape.text for c in "[({<"):
         tape.rewrite(_signs(tape.text))
-    if " dot " in low:
-        tape.rewrite(_bare(tape.text))
-    out = {k: [] for k in KINDS}
-    if len(tape.runs) == 1 and not tape.runs[0][3]:
-        return out
-    for kind, spans in plain_spans(tape.text).items():
-        for a, b in spans:
-            start, end, rewritten = tape.source(a, b)
-            if rewritten and not any(x <= start and end <= y for x, y in plain[kind]):
-                out[kind].append((start, end))
+    if "dot" in low or len(tape.runs) > 1:
+        tape.rewrite(_bare(tape))
+    out = [tape]
+    if any(w in low for w in (*_NUMBER, "plus", "dot", "point", "punkt", "punto")):
+        edits = [_spelled(tape.text, stops) for stops in (False, True)]
+        for e in edits if edits[0] != edits[1] else edits[:1]:
+            if e:
+                out.append(_Tape(tape.text, tape.runs))
+                out[-1].rewrite(e)
+    return [x for x in out if len(x.runs) > 1 or x.runs[0][3]]
+
+
+def added_spans(t: str, plain: dict[str, list[tuple[int, int]]]) -> dict[str, list[tuple[int, int]]]:
+    """Spans that appear once the text's disguises are undone."""
+    found = {k: set() for k in KINDS}
+    for tape in _readings(t):
+        for kind, spans in plain_spans(tape.text).items():
+            for a, b in spans:
+                start, end, rewritten = tape.source(a, b)
+                if rewritten:
+                    found[kind].add((start, end))
+    out = {}
+    for kind, spans in found.items():
+        own, reach = [], -1
+        for start, end in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if end > reach:
+                own.append((start, end))
+                reach = end
+        out[kind] = _outside(own, plain[kind])
     return out
 
 
+def _outside(spans: list[tuple[int, int]], plain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans that lie in none of ``plain``, which is ordered and does not overlap."""
+    starts = [a for a, _ in plain]
+    return [(a, b) for a, b in spans if not (i := bisect_right(starts, a)) or plain[i - 1][1] < b]
+
+
 def find(documents: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, plain>>) in code points, by kind then start."""
 

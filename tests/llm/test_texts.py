@@ -142,6 +142,29 @@ def test_disguises(text, found):
     assert [text[a:b] for k in pii.KINDS for a, b in more[k]] == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ("mail john (at) example dot com now", ["john (at) example dot com"]),
+    ("mail john@example dot com now", ["john@example dot com"]),
+    ("mail john at example [dot] com now", ["john at example [dot] com"]),
+    ("mail john  at\texample\ndot  com now", ["john  at\texample\ndot  com"]),
+    ("mail john at mail dot example.com now", ["john at mail dot example.com"]),
+    ("mail john@mail.example dot com now", ["john@mail.example dot com"]),
+    ("mail john\t[at]\texample\n[dot]\ncom now", ["john\t[at]\texample\n[dot]\ncom"]),
+    ("host one nine two dot one six eight dot zero dot one is up", ["one nine two dot one six eight dot zero dot one"]),
+    ("host 192 dot 168 dot one dot 1 is up", ["192 dot 168 dot one dot 1"]),
+    ("host 192.168.one.one is up", ["192.168.one.one"]),
+    ("host one nine two [dot] 168 [dot] 0 [dot] one is up", ["one nine two [dot] 168 [dot] 0 [dot] one"]),
+    ("call plus one 555 five five five 0100 today", ["plus one 555 five five five 0100"]),
+    ("call +1 five five five (010) 99 nine nine today", ["+1 five five five (010) 99 nine nine"]),
+    ("card 4111 1111 one one one one 1111 ok", ["4111 1111 one one one one 1111"]),
+    ("call plus\tone  five five\nfive zero one two three four", ["plus\tone  five five\nfive zero one two three four"]),
+    ("look at example.com, a polka dot, one 2 three", []), ("version 2 dot one", []), ("six seventy 2 dot 3 dot 4 dot 5x", []),
+])
+def test_mixed_disguises(text, found):
+    more = pii.added_spans(text, pii.plain_spans(text))
+    assert [text[a:b] for k in pii.KINDS for a, b in more[k]] == found
+
+
 def test_pii_table(spark):
     d = spark.createDataFrame([(1, "mail a@b.co or 10.0.0.1", 9), (2, None, 9), (2, "", 9), (3, "x@y.z " * 3000, 9)], "doc_id long, text string, spans int")
     got = sorted(map(tuple, pii.digest(pii.find(d)).collect()), key=str)
