@@ -1,10 +1,10 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-A bounded sample of labelled rows is the example set. The terms are words and
-word beginnings whose share among the toxic examples exceeds their share among
-the others by a z-score; all other words of a text count as one further term,
-so the weight of the telling terms depends on how dense they are. Texts become
-TF-IDF vectors of unit length.
+A bounded sample of labelled rows is the example set. The terms are all words of
+the examples, and the word beginnings that toxic examples have more often; words
+that no example has count as one further term. Texts become TF-IDF vectors of
+unit length, in which a term weighs more the more its share among the toxic
+examples exceeds its share among the others, and never nothing.
 
 The examples lie in an inverted index whose postings are cut into blocks of
 examples, with the highest weight of each term in each block. A query sums
@@ -14,10 +14,10 @@ similarity, so its k neighbours are exact. Their labels vote with weights that
 fall with distance; the vote's log odds are calibrated on the examples, each
 one left out of its own vote. The neighbours are the evidence.
 
-Defined cases: null and empty texts and texts without any word have an empty
-vector and get the share of toxic ones among examples without a telling term;
-without labelled rows every score is 0; ties go to the example with the smaller
-id.
+Defined cases: null and empty texts and texts without any word of an example
+have no neighbour and get the share of toxic ones among such examples, or among
+all if there are none; without labelled rows every score is 0; ties go to the
+example with the smaller id.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import id_bucket, table
 from rankloom.llm.labelled import training_sample
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 600, 15, 32
+SAMPLE, NEIGHBOURS, BLOCK = 8_000, 15, 32
+FLOOR, TELLS = 0.05, 2.5  # the weight of a term that does not tell, and the z-score from which one does
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,32 +48,34 @@ def _terms(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def choose_terms(texts: list[str], y: np.ndarray) -> list[str]:
-    """At most ``TERMS`` terms that toxic examples have more often, by z-score."""
-    n1, n0, n = max(1, int(y.sum())), max(1, int((y == 0).sum())), max(1, len(y))
-    least = max(3, n1 // 200)
+def excess(yes: np.ndarray, no: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The z-score of each term's share among ``n1`` toxic examples over that among ``n0`` others."""
+    p = (yes + no + 1) / (n1 + n0 + 2)
+    return (yes / n1 - no / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def telling_beginnings(texts: list[str], y: np.ndarray) -> list[str]:
+    """The word beginnings that toxic examples have more often, by z-score; whole words are terms anyway."""
+    n1, n0 = max(1, int(y.sum())), max(1, int((y == 0).sum()))
     yes: Counter = Counter()
     for t in (t for t, label in zip(texts, y.tolist(), strict=True) if label):
-        yes.update({x for w in term_counts(t) for x in _terms(w)})
-    yes = Counter({t: k for t, k in yes.items() if k >= least})
+        yes.update({x for w in term_counts(t) for x in _terms(w)[1:]})
+    yes = Counter({t: k for t, k in yes.items() if k >= 3})
     no: Counter = Counter()
     for t in (t for t, label in zip(texts, y.tolist(), strict=True) if not label):
-        no.update({x for w in term_counts(t) for x in _terms(w) if x in yes})
-    found = []
-    for t, k in yes.items():
-        if k * n0 > 4 * no[t] * n1:
-            p = (k + no[t] + 1) / (n + 2)
-            z = (k / n1 - no[t] / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-            if z > 2.5:
-                found.append((-z, t))
-    return [t for _, t in sorted(found)[:TERMS]]
+        no.update({x for w in term_counts(t) for x in _terms(w)[1:] if x in yes})
+    names = sorted(yes)
+    k1, k0 = np.array([yes[t] for t in names], float), np.array([no[t] for t in names], float)
+    keep = (k1 * n0 > 4 * k0 * n1) & (excess(k1, k0, n1, n0) > 2.5)
+    return [t for t, ok in zip(names, keep, strict=True) if ok]
 
 
 class Vectors:
-    """Texts as sparse unit TF-IDF vectors; the last term stands for all other words."""
+    """Texts as sparse unit TF-IDF vectors; the last term stands for the words of no example."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray):
-        self.terms, self.idf = {t: i for i, t in enumerate(terms)}, idf
+    def __init__(self, terms: list[str], idf: np.ndarray, tells: list[bool]):
+        self.terms, self.idf, self.tells = {t: i for i, t in enumerate(terms)}, idf, tells
+        self.beginnings = {t[: PREFIXES[0]] for t in terms if t.endswith("*")}
 
     def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, ascending, and how often it has them."""
@@ -80,15 +83,23 @@ class Vectors:
         rest = 0
         get = self.terms.get
         for w, n in words.items():
-            hit = [i for t in _terms(w) if (i := get(t)) is not None]
-            for i in hit:
-                tf[i] = tf.get(i, 0) + n
-            if not hit:
+            i = get(w)
+            tells = i is not None and self.tells[i]
+            if i is not None:
+                tf[i] = n
+            if w[: PREFIXES[0]] in self.beginnings:
+                for m in PREFIXES:
+                    if len(w) > m and (j := get(w[:m] + "*")) is not None:
+                        tf[j] = tf.get(j, 0) + n
+                        tells = True
+            if not tells:
                 rest += n
         if rest:
             tf[len(self.terms)] = rest
-        at = np.array(sorted(tf), dtype=np.int64)
-        return at, np.array([tf[i] for i in at], dtype=float)
+        at = np.fromiter(tf, np.int64, len(tf))
+        n = np.fromiter(tf.values(), float, len(tf))
+        by = np.argsort(at)
+        return at[by], n[by]
 
     def weigh(self, at: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(tf)) * self.idf[at] if len(at) else np.zeros(0)
@@ -98,6 +109,12 @@ class Vectors:
         return self.weigh(*self.counts(words))
 
 
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges, one after the other, and the size of each range."""
+    size = (stop - start).astype(np.int64)
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size), size
+
+
 class Index:
     """Postings by term, examples in blocks, the highest weight of each term in each block."""
 
@@ -111,28 +128,47 @@ class Index:
         doc = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
         w = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
         by = np.lexsort((doc, term))
-        self.term, self.doc, self.w = term[by], doc[by], w[by]
-        self.start = np.searchsorted(self.term, np.arange(n_terms + 1))
-        self.top = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.top, (self.term, self.doc // BLOCK), self.w)
-
-    def _exact(self, at: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.doc, self.w = doc[by].astype(np.int32), w[by].astype(np.float32)
+        self.start = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
+        self._pair()
+
+    @property
+    def term(self) -> np.ndarray:
+        """The term of each posting."""
+        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+
+    def _pair(self) -> None:
+        """Each (term, block) pair that has postings: its block, where they start, and their highest weight."""
+        term = self.term
+        pair = term * max(1, self.blocks) + self.doc // BLOCK
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        self.top = np.maximum.reduceat(self.w, first) if len(first) else np.zeros(0, np.float32)
+        self.block, self.first = self.doc[first] // BLOCK, np.append(first, len(pair)).astype(np.int32)
+        self.pairs = np.searchsorted(term[first], np.arange(len(self.start))).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        """Without what :meth:`_pair` makes of the postings, so that a broadcast is small."""
+        return {k: v for k, v in vars(self).items() if k not in ("top", "block", "first", "pairs")}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state)
+        self._pair()
+
+    def _exact(self, pairs: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The examples of ``blocks`` (ascending) and their similarities, from those blocks' postings."""
         docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         docs = docs[docs < self.n]
-        sims = np.zeros(len(docs))
-        place = np.full(self.blocks, -1)
-        place[blocks] = np.arange(len(blocks)) * BLOCK
-        for t, x in zip(at, w, strict=True):
-            d, v = self.doc[self.start[t] : self.start[t + 1]], self.w[self.start[t] : self.start[t + 1]]
-            b = place[d // BLOCK]
-            own = b >= 0
-            sims[b[own] + d[own] % BLOCK] += x * v[own]
-        return docs, sims
+        live = np.zeros(self.blocks, bool)
+        live[blocks] = True
+        own = live[self.block[pairs]]
+        post, size = _ranges(self.first[pairs[own]], self.first[pairs[own] + 1])
+        return docs, np.bincount(self.doc[post], weights=np.repeat(w[own], size) * self.w[post], minlength=self.n)[docs]
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(similarities, examples) of the k most similar ones, best first, ties by example."""
-        bound = w @ self.top[at]
+        pairs, size = _ranges(self.pairs[at], self.pairs[at + 1])
+        w = np.repeat(w, size)
+        bound = np.bincount(self.block[pairs], weights=w * self.top[pairs], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         done, step = 0, max(2, 2 * k // BLOCK + 1)
         docs, sims = np.zeros(0, np.int64), np.zeros(0)
@@ -143,7 +179,7 @@ class Index:
             if live <= done:
                 break
             upto = min(done + step, live) if len(sims) < k else live
-            d, s = self._exact(at, w, np.sort(order[done:upto]))
+            d, s = self._exact(pairs, w, np.sort(order[done:upto]))
             keep = d != without
             docs, sims, done = np.concatenate([docs, d[keep]]), np.concatenate([sims, s[keep]]), upto
         best = np.lexsort((docs, -np.round(sims, 9)))[:k]
@@ -151,25 +187,42 @@ class Index:
 
 
 def _vote(sims: np.ndarray, y: np.ndarray) -> float:
-    """Share of toxic neighbours, each weighted by the inverse of its distance."""
+    """Share of toxic neighbours, each weighted by the inverse of its distance; one without a common term is none."""
+    sims, y = sims[sims > 0], y[sims > 0]
     if not len(sims):
         return 0.0
     weight = 1 / (0.05 + np.sqrt(np.maximum(0.0, 2 - 2 * sims)))
     return float((weight * y).sum() / weight.sum())
 
 
+def weight_of(z: np.ndarray) -> np.ndarray:
+    """What a term weighs beside its IDF: ``FLOOR`` or more, growing with its z-score to 1 more."""
+    return FLOOR + np.clip(z - TELLS, 0, 1)
+
+
 class Model:
     def __init__(self, texts: list[str], y: np.ndarray):
         self.empty = len(y) == 0
-        self.terms = choose_terms(texts, y)
+        words: dict[str, int] = {}
+        for t in texts:
+            for w in term_counts(t):
+                words.setdefault(w, len(words))
+        self.terms = [*words, *telling_beginnings(texts, y)]
         n_terms = len(self.terms) + 1
-        self.vectors = Vectors(self.terms, np.ones(n_terms))
+        yes, no = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
+        self.vectors = Vectors(self.terms, np.ones(n_terms), [True] * n_terms)
+        for t, toxic in zip(texts, y.tolist(), strict=True):
+            at, _ = self.vectors.counts(term_counts(t))
+            (yes if toxic else no)[at] += 1
+        z = excess(yes, no, max(1, int(y.sum())), max(1, int((y == 0).sum())))
+        self.vectors.tells = (z > TELLS).tolist()
         counts = [self.vectors.counts(term_counts(t)) for t in texts]
-        df = np.bincount(np.concatenate([at for at, _ in counts] or [np.zeros(0, np.int64)]), minlength=n_terms)
-        self.vectors.idf = np.log(1 + len(y) / (1 + df))
+        rest = sum(len(at) > 0 and at[-1] == n_terms - 1 for at, _ in counts)
+        df = np.append((yes + no)[:-1], rest)
+        self.vectors.idf = np.log(1 + len(y) / (1 + df)) * np.append(weight_of(z)[:-1], 1.0)
         vectors = [self.vectors.weigh(at, tf) for at, tf in counts]
         self.index = Index(vectors, y, n_terms)
-        plain = np.array([not len(at) or at[0] == n_terms - 1 for at, _ in vectors], dtype=bool)
+        plain = np.array([not len(at) for at, _ in vectors], dtype=bool)
         self.plain = float(y[plain].mean()) if plain.any() else float(y.mean()) if len(y) else 0.0
         self.a, self.b = 1.0, 0.0
         votes = np.array([_vote(*self._near(at, w, i)) for i, (at, w) in enumerate(self._in_order(vectors)) if not plain[self.index.order[i]]])
@@ -201,7 +254,7 @@ class Model:
         if self.empty:
             return 0.0, []
         at, w = self.vectors(term_counts(text))
-        if not len(at) or at[0] == len(self.terms):
+        if not len(at) or at[0] == len(self.terms):  # no word, or none that an example has
             return self.plain, []
         sims, docs = self.index.nearest(at, w, NEIGHBOURS)
         s = self.a * self._odds(_vote(sims, self.index.y[docs])) + self.b

@@ -135,6 +135,22 @@ def test_nearest_examples_are_exact():
             assert np.allclose(m.index.nearest(at, w, k)[0], np.sort(x @ q)[::-1][:k])
 
 
+def test_toxicity_rare_telling_words():
+    rng = random.Random(5)
+    words = [a + b for a in ("sky", "sea", "tree", "rock", "sand") for b in ("", "ly", "er", "ing", "ment")]
+    texts = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(400)]
+    y = np.array([int(i % 8 == 0) for i in range(400)])
+    texts = [t + " bad" if toxic else t for t, toxic in zip(texts, y, strict=True)]
+    texts[0] = texts[8] = "zorbel gribnak"  # in two toxic examples only
+    m = toxicity.Model(texts, y)
+    score, evidence = m.score("Gribnak, zorbel!")
+    assert {e for e, _ in evidence[:2]} == {0, 8} and score >= toxicity.THRESHOLD
+    assert set(" ".join(texts).split()) <= set(m.terms)
+    assert len(m.score("sky sea rock")[1]) == toxicity.NEIGHBOURS  # a text without a telling word has neighbours
+    assert m.score("sky sea rock")[0] < toxicity.THRESHOLD
+    assert m.score("unheard of")[1] == []  # no word that an example has
+
+
 def test_toxicity_held_out(docs, labels):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     got = toxicity.classify(docs, labels).collect()
