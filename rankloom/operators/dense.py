@@ -388,8 +388,9 @@ def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int | None = No
     """D8 approximate: KMeans cells, probe the ``nprobe`` nearest cells,
     equi-join on the cell id, rescore exactly, top k per query.
 
-    ``n_cells`` grows with the square root of the collection and an eighth of
-    the cells is probed unless given; probing all cells is exact.
+    ``n_cells`` grows with the square root of the collection and half of the
+    cells are probed unless given, for a recall of at least 0.9 (tested);
+    probing all cells is exact.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -397,7 +398,7 @@ def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int | None = No
     qkeys = list(qkeys)
     if n_cells is None:
         n_cells = max(2, math.isqrt(dvecs.count()))
-    nprobe = nprobe or max(1, n_cells // 8)
+    nprobe = nprobe or -(-n_cells // 2)
     raw = dvecs.withColumnRenamed("vec", "raw").withColumn("vec", F.col("raw").cast("array<double>"))
     unit = normalized(raw).select("docno", array_to_vector("vec").alias("features"), F.col("raw").alias("vec"), "norm")
     model = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(unit)

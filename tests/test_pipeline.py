@@ -112,6 +112,16 @@ def test_ivf_recall_against_exact(w):
     assert len(approx & exact) / len(exact) >= 0.85
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_ivf_recall_of_the_registered_parameters(spark, sf):
+    w = wsmod.workspace(spark, f"/root/testdata/{sf}")
+    qv, dv = M.query_vectors(w), dense.hashed_vectors(w.prepared, ["docno"]).cache()
+    key = lambda df: {(r["variant"], r["qid"], r["docno"]) for r in df.collect()}
+    exact = key(dense.exact_knn(qv, dv, 10))
+    assert len(key(dense.ivf_knn(qv, dv, 10)) & exact) / len(exact) >= 0.9
+    dv.unpersist()
+
+
 def test_prf_reranker_keeps_candidates(w):
     first = w.bm25(100)
     rr = feedback.prf_reranker(w.index, w.topics, first)
