@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, language, mixing, near_dup, pagetext, pii, quality, subwords, topk, toxicity
+from rankloom.llm import decontaminate, language, mixing, near_dup, pagetext, pii, quality, secretscan, subwords, topk, toxicity, variants
 
 QUERIES = {
     "op1_url_page_differencing": pagetext.query,
@@ -15,10 +15,13 @@ QUERIES = {
     "op8_deobfuscated_pii": pii.query,
     "op9_nearest_toxic": toxicity.query,
     "op10_pairwise_quality": quality.query,
+    "op11_token_efficiency_secrets": secretscan.query,
+    "op12_q_chunk_variants": variants.query,
 }
 
 ORACLE_SQL = {
     "op2_prefix_decontamination": decontaminate.SQL,
     "op3_odd_sketch_near_dup": near_dup.SQL,
     "op4_histogram_top_k": topk.SQL,
+    "op12_q_chunk_variants": variants.SQL,
 }
