@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.llm import decontaminate, language, mixing, near_dup, pagetext, pii, quality, secretscan, subwords, topk, toxicity, variants
+from rankloom.llm import decontaminate, language, mixing, near_dup, pagetext, pii, quality, secretscan, subwords, topk, toxicity, turns, variants
 
 QUERIES = {
     "op1_url_page_differencing": pagetext.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pairwise_quality": quality.query,
     "op11_token_efficiency_secrets": secretscan.query,
     "op12_q_chunk_variants": variants.query,
+    "op13_branch_bound_repair": turns.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op3_odd_sketch_near_dup": near_dup.SQL,
     "op4_histogram_top_k": topk.SQL,
     "op12_q_chunk_variants": variants.SQL,
+    "op13_branch_bound_repair": turns.SQL,
 }
