@@ -22,12 +22,14 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import strip_ws, tokens
-from ..functions.vectors import dot, maxsim
+from ..functions.vectors import as_lists, dot, maxsim
 from ..plans.sizing import BROADCAST_BYTES, measured
 from .lexical import SCORE_DIGITS, ranked
 
@@ -56,26 +58,25 @@ def hashed_vectors(df: DataFrame, keys, text_col: str = "text", dim: int = DIM)
 
     bucket = h mod dim; the sign is + when (h div dim) is even. ``vec`` is
     not normalised (its entries are integers); ``norm`` is its L2 norm.
-    Rows without tokens get the zero vector. A map-only job.
+    Rows without tokens get the zero vector. A map-only job: each distinct
+    term of a batch is hashed once, all its tokens are counted at once.
     """
     keys = list(keys)
 
     def fold(batches):
         known: dict = {}
-        for pdf in batches:
-            vecs = []
-            for toks in pdf.pop("_toks"):
-                v = np.zeros(dim)
-                for t in toks if toks is not None else ():
-                    at, sign = _bucket(t, dim, known)
-                    v[at] += sign
-                vecs.append(v)
-            pdf["vec"] = vecs
-            pdf["norm"] = [float(np.sqrt(v @ v)) for v in vecs]
-            yield pdf
+        for b in batches:
+            toks = b.column(len(keys))
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False))
+            terms = toks.flatten().dictionary_encode()
+            place = np.array([_bucket(t, dim, known) for t in terms.dictionary.to_pylist()], dtype=np.int64).reshape(-1, 2)
+            own = place[terms.indices.to_numpy(zero_copy_only=False)]
+            mat = np.bincount(row * dim + own[:, 0], weights=own[:, 1], minlength=b.num_rows * dim).reshape(b.num_rows, dim)
+            cols = [*(b.column(i) for i in range(len(keys))), as_lists(mat), pa.array(np.sqrt((mat * mat).sum(axis=1)))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, "vec", "norm"])
 
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("norm", T.DoubleType())])
-    return df.select(*keys, tokens(text_col).alias("_toks")).mapInPandas(fold, schema)
+    return df.select(*keys, tokens(text_col).alias("_toks")).mapInArrow(fold, schema)
 
 
 def normalized(vecs: DataFrame) -> DataFrame:
@@ -187,7 +188,11 @@ def score_vectors(cands: DataFrame, qvecs: DataFrame, dvecs: DataFrame, how: str
     cosine = dot / (|q| |d|), 0 when either norm is 0 or a vector is missing.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    j = _with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_bytes), dvecs, max_bytes)
+    return _scored(_with_doc_vectors(_with_query_vectors(cands, qvecs, qkeys, max_bytes), dvecs, max_bytes), how, out_col)
+
+
+def _scored(j: DataFrame, how: str, out_col: str) -> DataFrame:
+    """``out_col`` from the joined vectors and norms, which go."""
     j = j.withColumn("_dot", dot(F.col("qvec"), F.col("dvec")))
     d = F.col("_dot")
     if how == "cosine":
@@ -199,6 +204,30 @@ def score_vectors(cands: DataFrame, qvecs: DataFrame, dvecs: DataFrame, how: str
     return j.withColumn(out_col, F.coalesce(s, F.lit(0.0))).drop("qvec", "qnorm", "dvec", "dnorm", "_dot")
 
 
+def stored_rows(stored: DataFrame, cands: DataFrame, row_bytes: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of a stored forward index that a join of candidates on docno needs.
+
+    Few distinct candidates (counted) are looked up by a broadcast semi-join
+    and their rows broadcast; else the index is returned as it is, and its
+    buckets meet the exchanged candidates without an exchange of their own.
+    """
+    docnos = cands.select("docno").distinct()
+    docnos, _ = measured(docnos, max_bytes)
+    if docnos.count() * row_bytes > max_bytes:
+        return stored
+    return F.broadcast(stored.join(F.broadcast(docnos), "docno", "left_semi"))
+
+
+def score_stored(cands: DataFrame, qvecs: DataFrame, stored: DataFrame, how: str = "cosine", qkeys=("variant", "qid"),
+                 out_col: str = "dense_score", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """D3/D4 on a stored forward index ``(docno, vec, norm)``; nothing is encoded here."""
+    rows = stored_rows(stored.select("docno", F.col("vec").alias("dvec"), F.col("norm").alias("dnorm")), cands, DIM * 8 + 32, max_bytes)
+    qkeys = [k for k in qkeys if k in cands.columns]
+    # The vectors of few queries come last: until then a candidate is a narrow row.
+    j = _with_query_vectors(cands.join(rows, "docno", "left"), qvecs, qkeys, max_bytes)
+    return _scored(j, how, out_col)
+
+
 def rerank_by(cands: DataFrame, score_col: str, keys=("variant", "qid"), k: int | None = None) -> DataFrame:
     """the new score becomes ``score``; ranks recomputed per query."""
     keys = [c for c in keys if c in cands.columns]
@@ -222,9 +251,11 @@ def maxp_scores(cands: DataFrame, qvecs: DataFrame, psg_vecs: DataFrame, qkeys=(
     one aggregate by (query, docno). A candidate without passages scores 0.
     """
     qkeys = [k for k in qkeys if k in cands.columns]
-    c = _with_query_vectors(cands.select(*qkeys, "docno"), qvecs, qkeys, max_bytes)
+    # Candidates first meet the passages on docno (a stored index needs no exchange there), then the queries' vectors.
+    pairs, small = measured(cands.select(*qkeys, "docno"), max_bytes)
     pv = psg_vecs.select("docno", F.col("vec").alias("pvec"), F.col("norm").alias("pnorm"))
-    j = c.join(pv, "docno").withColumn("_dot", dot(F.col("qvec"), F.col("pvec")))
+    j = _with_query_vectors(pv.join(F.broadcast(pairs) if small else pairs, "docno"), qvecs, qkeys, max_bytes)
+    j = j.withColumn("_dot", dot(F.col("qvec"), F.col("pvec")))
     cos = F.when((F.col("qnorm") > 0) & (F.col("pnorm") > 0),
                  F.col("_dot") / (F.col("qnorm") * F.col("pnorm"))).otherwise(0.0)
     scored = j.groupBy(*qkeys, "docno").agg(F.max(cos).alias(out_col))
@@ -234,6 +265,13 @@ def maxp_scores(cands: DataFrame, qvecs: DataFrame, psg_vecs: DataFrame, qkeys=(
 
 # ---- late interaction (D6, D7) ---------------------------------------------
 
+def codes_of(toks, dim: int = DIM) -> Column:
+    """The codes of an array of tokens: twice the hash bucket, and one more for a positive sign."""
+    def code(t):
+        return (term_hash(t) % dim) * 2 + F.when(F.floor(term_hash(t) / dim) % 2 == 0, 1).otherwise(0)
+    return F.transform(F.col(toks) if isinstance(toks, str) else toks, code)
+
+
 def token_codes(df: DataFrame, keys, text_col: str = "text", dim: int = DIM,
                 max_tokens: int | None = None, distinct: bool = False) -> DataFrame:
     """Per row, the token vectors of the default token encoder.
@@ -247,8 +285,7 @@ def token_codes(df: DataFrame, keys, text_col: str = "text", dim: int = DIM,
     toks = tokens(text_col)
     if max_tokens is not None:
         toks = F.slice(toks, 1, max_tokens)
-    codes = F.transform(toks, lambda t: (term_hash(t) % dim) * 2
-                        + F.when(F.floor(term_hash(t) / dim) % 2 == 0, 1).otherwise(0))
+    codes = codes_of(toks, dim)
     if distinct:
         codes = F.array_distinct(codes)
     return df.select(*keys, codes.alias("codes"))
@@ -265,8 +302,9 @@ def maxsim_codes(cands: DataFrame, qcodes: DataFrame, dcodes: DataFrame, qkeys=(
     """
     qkeys = [k for k in qkeys if k in cands.columns]
     qc, small = measured(qcodes.select(*qkeys, F.col("codes").alias("qc")), max_bytes)
-    j = (cands.join(F.broadcast(qc) if small else qc, qkeys, "left")
-         .join(dcodes.select("docno", F.col("codes").alias("dc")), "docno", "left"))
+    # The documents' codes first (at most 2 * dim a document), so a stored index is read without an exchange.
+    dc = stored_rows(dcodes.select("docno", F.col("codes").alias("dc")), cands, 16 * DIM + 32, max_bytes)
+    j = cands.join(dc, "docno", "left").join(F.broadcast(qc) if small else qc, qkeys, "left")
 
     def one(c):
         other = F.exists(F.col("dc"), lambda d: F.floor(d / 2) != F.floor(c / 2))
@@ -322,12 +360,14 @@ def exact_search(queries: DataFrame, docs: DataFrame, k: int, qkeys=("variant",
     Both sides carry ``vecs ARRAY<ARRAY<DOUBLE>>``. The score is the sum over a
     query's vectors of the largest product with a document's vector: a dot
     product (or cosine) for single vectors, MAXP for a single query vector,
-    MaxSim in general. The queries go in chunks of at most ``max_bytes``, so any
+    MaxSim in general; ``weights`` of the queries, if there, weigh each of
+    a query's vectors. The queries go in chunks of at most ``max_bytes``, so any
     number of them works the same way.
     """
     qkeys = list(qkeys)
     spark = docs.sparkSession
-    q = queries.select(*qkeys, "vecs")
+    weighted = "weights" in queries.columns
+    q = queries.select(*qkeys, "vecs", *(["weights"] if weighted else []))
     size = q.agg(F.coalesce(F.sum(F.aggregate("vecs", F.lit(0).cast("long"), lambda a, v: a + F.size(v) * 8 + 64)), F.lit(0)).alias("b")).first()["b"]
     chunks = max(1, math.ceil(size / max_bytes))
     schema = T.StructType([q.schema[c] for c in qkeys] + [docs.schema["docno"], T.StructField("score", T.DoubleType())])
@@ -339,12 +379,13 @@ def exact_search(queries: DataFrame, docs: DataFrame, k: int, qkeys=("variant",
             continue
         mat = np.concatenate([np.array(r["vecs"], dtype=np.float64) for r in rows])
         first = np.cumsum([0] + [len(r["vecs"]) for r in rows])[:-1]
-        held = spark.sparkContext.broadcast(([tuple(r[x] for x in qkeys) for r in rows], first, _unit(mat) if cosine else mat))
+        weight = np.concatenate([np.array(r["weights"], dtype=np.float64) for r in rows])[:, None] if weighted else None
+        held = spark.sparkContext.broadcast(([tuple(r[x] for x in qkeys) for r in rows], first, _unit(mat) if cosine else mat, weight))
 
         def run(batches):
             import pandas as pd
 
-            names, first, mat = held.value
+            names, first, mat, weight = held.value
             for pdf in batches:
                 pdf = pdf[[v is not None and len(v) > 0 for v in pdf["vecs"]]]
                 if not len(pdf):
@@ -358,8 +399,9 @@ def exact_search(queries: DataFrame, docs: DataFrame, k: int, qkeys=("variant",
                 found = []
                 for lo in range(0, len(names), step):
                     hi = min(len(names), lo + step)
-                    part = mat[first[lo]:first[hi] if hi < len(names) else len(mat)]
-                    best = np.maximum.reduceat(part @ d.T, at, axis=1)
+                    own = slice(first[lo], first[hi] if hi < len(names) else len(mat))
+                    best = np.maximum.reduceat(mat[own] @ d.T, at, axis=1)
+                    best = best if weight is None else best * weight[own]
                     scores = np.add.reduceat(best, first[lo:hi] - first[lo], axis=0)
                     for i in range(hi - lo):
                         top = _best(scores[i], order, k)

@@ -198,7 +198,7 @@ def store_index(prepared: DataFrame, key_parts, text_col: str = "text", stop_wor
     The texts are tokenised once: a table of each document's term counts is
     stored first, and the postings and statistics are made from it.
     """
-    from ..sources.results import materialize
+    from ..sources.store import materialize
 
     docs = materialize(lambda: doc_terms(prepared, text_col), "doc-terms", key_parts, prepared.sparkSession)
     post = materialize(lambda: _postings_of(docs, stop_words).sortWithinPartitions("term", "docno"), "postings", key_parts, prepared.sparkSession)
@@ -207,6 +207,37 @@ def store_index(prepared: DataFrame, key_parts, text_col: str = "text", stop_wor
     return Index(post, terms, coll)
 
 
+def merged(parts: list[Index], key_parts, spark) -> Index:
+    """One index from those of separate sets of documents; only the statistics are added up and stored."""
+    if len(parts) == 1:
+        return parts[0]
+    from ..sources.store import materialize
+
+    def union(name: str) -> DataFrame:
+        out = getattr(parts[0], name)
+        for p in parts[1:]:
+            out = out.unionByName(getattr(p, name))
+        return out
+
+    terms = materialize(lambda: union("term_stats").groupBy("term").agg(F.sum("df").alias("df")), "term-stats", key_parts, spark)
+    sums = union("coll_stats").agg(F.sum("n_docs").alias("n_docs"), F.sum("total_len").alias("total_len"))
+    coll = materialize(lambda: sums.withColumn("avgdl", F.when(F.col("n_docs") > 0, F.col("total_len") / F.col("n_docs"))), "coll-stats", key_parts, spark)
+    return Index(union("postings"), terms, coll)
+
+
+def store_segments(spark, paths, prepare, key_parts, text_col: str = "text") -> Index:
+    """The stored index of all files below ``paths``; files added since the last call are indexed on their own.
+
+    ``prepare`` makes prepared texts from a list of files. Changed or removed
+    files give a new index of everything.
+    """
+    from ..sources.store import segments
+
+    found = segments(spark, "index", key_parts, *paths)
+    parts = [store_index(prepare(files), (*key_parts, number), text_col) for number, files in found]
+    return merged(parts, (*key_parts, *[number for number, _ in found]), spark)
+
+
 def as_index(source: Index | DataFrame, text_col: str = "text") -> Index:
     """An index as it is; prepared texts as an index that is not stored."""
     return source if isinstance(source, Index) else build_index(source, text_col)

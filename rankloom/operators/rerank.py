@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import tokens
+from ..plans.sizing import BROADCAST_BYTES, measured
 from .fusion import compose
 from .lexical import cutoff, ranked
 
@@ -38,9 +39,33 @@ def coverage_score(df: DataFrame, text_field: str = "text", out_col: str = "poin
                          .otherwise(F.lit(0.0)).cast("double"))
 
 
-def pointwise(df: DataFrame, text_field: str = "text", keys=QKEYS, k: int | None = None) -> DataFrame:
-    """Rescore every candidate independently and re-rank."""
-    out = coverage_score(df, text_field, "pointwise").withColumn("score", F.col("pointwise"))
+def coverage_of(run: DataFrame, topics: DataFrame, stored: DataFrame, out_col: str = "pointwise", keys=QKEYS,
+                max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """X1 default on stored words ``(docno, words)``: each query and each document is tokenised once.
+
+    Unknown documents score 0.
+    """
+    ks = _keys(run, keys)
+    q, small = measured(topics.select(*ks, F.array_distinct(tokens("query")).alias("_qw")), max_bytes)
+    words = stored.select("docno", "words")
+    docnos, some = measured(run.select("docno").distinct(), max_bytes)
+    if some:
+        words = words.join(F.broadcast(docnos), "docno", "left_semi")
+    words, light = measured(words, max_bytes) if some else (words, False)
+    out = run.join(F.broadcast(words) if light else words, "docno", "left").join(F.broadcast(q) if small else q, ks, "left")
+    n = F.size("_qw")
+    share = F.when(n > 0, F.size(F.array_intersect("_qw", "words")) / n)
+    return out.withColumn(out_col, F.coalesce(F.when(F.col("words").isNotNull(), share), F.lit(0.0)).cast("double")).drop("words", "_qw")
+
+
+def pointwise(df: DataFrame, text_field: str = "text", keys=QKEYS, k: int | None = None, scorer=None) -> DataFrame:
+    """Rescore every candidate independently and re-rank.
+
+    ``scorer(df)`` adds ``pointwise``; the default is the coverage of the
+    ``query`` by the candidate's text.
+    """
+    out = scorer(df) if scorer else coverage_score(df, text_field, "pointwise")
+    out = out.withColumn("score", F.col("pointwise"))
     return ranked(out.drop("rank"), _keys(out, keys), k)
 
 
@@ -104,10 +129,10 @@ def pairwise_with(df: DataFrame, scorer, text_field: str = "text", keys=QKEYS, d
 
 
 def cascade(run: DataFrame, first_k: int = 100, second_k: int = 10, text_field: str = "text",
-            keys=QKEYS) -> DataFrame:
+            keys=QKEYS, scorer=None) -> DataFrame:
     """First stage cut to ``first_k`` -> pointwise -> top ``second_k`` -> pairwise."""
     ks = _keys(run, keys)
-    return compose(run, lambda d: cutoff(d, first_k, ks), lambda d: pointwise(d, text_field, ks, second_k),
+    return compose(run, lambda d: cutoff(d, first_k, ks), lambda d: pointwise(d, text_field, ks, second_k, scorer),
                    lambda d: pairwise(d, ks, depth=second_k))
 
 

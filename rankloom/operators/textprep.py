@@ -55,12 +55,16 @@ def _lookup(corpus: DataFrame, candidates: DataFrame, cols, order_col: str | Non
     return lookup
 
 
+def candidate_texts(corpus: DataFrame) -> DataFrame:
+    """P5 for the whole corpus: ``(docno, text)``, the abstract, else the title, else ''."""
+    return corpus.select("docno", F.coalesce(_blank_to_null("abstract"), _blank_to_null("title"), F.lit("")).alias("text"))
+
+
 def attach_text(candidates: DataFrame, corpus: DataFrame, order_col: str | None = None,
                 max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """P5: ``text`` = abstract, else title, else '' (also for unknown docnos)."""
     lookup = _lookup(corpus, candidates, ["title", "abstract"], order_col, max_bytes)
-    lookup = lookup.select("docno", F.coalesce(_blank_to_null("abstract"), _blank_to_null("title"),
-                                               F.lit("")).alias("_text"))
+    lookup = candidate_texts(lookup).withColumnRenamed("text", "_text")
     lookup, small = measured(lookup, max_bytes)
     base = candidates.drop("text") if "text" in candidates.columns else candidates
     return (base.join(F.broadcast(lookup) if small else lookup, "docno", "left")

@@ -1,8 +1,8 @@
 """The experiment's methods as DataFrame -> DataFrame stages.
 
-Every method starts from the same materialised first stage (BM25 top 100
-with query and candidate text attached), so BM25 runs once for all
-methods and all wordings.
+Every method starts from the same materialised first stage (BM25 top 100), so
+BM25 runs once for all methods and all wordings; what the rerankers need of a
+document is read from stored indexes, so no text travels with a candidate.
 """
 
 from __future__ import annotations
@@ -48,38 +48,34 @@ def query_vectors(ws: Workspace) -> DataFrame:
     return ws.memo("qvecs", lambda: dense.hashed_vectors(ws.topics, QKEYS, "query"))
 
 
-def candidate_doc_vectors(ws: Workspace, k: int = 100) -> DataFrame:
-    c = candidates(ws, k)
-    return ws.memo(("cvecs", k), lambda: dense.candidate_vectors(c.select("docno", "text")))
-
-
 def cosine_scored(ws: Workspace, k: int = 100) -> DataFrame:
-    """D3: candidates with ``dense_score`` = cosine(query, P5 text)."""
-    return dense.score_vectors(candidates(ws, k), query_vectors(ws), candidate_doc_vectors(ws, k), "cosine")
+    """D3: the first stage with ``dense_score`` = cosine(query, P5 text), from the stored forward index."""
+    return dense.score_stored(ws.bm25(k), query_vectors(ws), ws.forward, "cosine")
 
 
 def dot_scored(ws: Workspace, k: int = 100) -> DataFrame:
-    """Candidates with ``dense_score`` = dot(query, P5 text)."""
-    return dense.score_vectors(candidates(ws, k), query_vectors(ws), candidate_doc_vectors(ws, k), "dot")
+    """The first stage with ``dense_score`` = dot(query, P5 text)."""
+    return dense.score_stored(ws.bm25(k), query_vectors(ws), ws.forward, "dot")
 
 
 def late_interaction_scored(ws: Workspace, k: int = 100) -> DataFrame:
-    """Candidates with ``li_score`` = MaxSim over token vectors."""
-    c = candidates(ws, k)
-    qc = dense.token_codes(ws.topics, QKEYS, "query")
-    dc = dense.token_codes(c.select("docno", "text").dropDuplicates(["docno"]), ["docno"], "text",
-                           distinct=True)
-    return dense.maxsim_codes(c, qc, dc)
+    """The first stage with ``li_score`` = MaxSim over the stored token codes."""
+    return dense.maxsim_codes(ws.bm25(k), dense.token_codes(ws.topics, QKEYS, "query"), ws.forward_terms)
+
+
+def covered(ws: Workspace, run: DataFrame) -> DataFrame:
+    """``run`` with ``pointwise``, from the stored words of the candidates' texts."""
+    return rerank.coverage_of(run, ws.topics, ws.forward_terms)
 
 
 def method_runs(ws: Workspace, k: int = 100) -> dict[str, DataFrame]:
     """M9: name -> run ``(variant, qid, docno, score, rank)``, each cut at ``k``."""
-    c = candidates(ws, k)
+    c = ws.bm25(k)
     return {
         BM25: c,
         LATE: dense.rerank_by(late_interaction_scored(ws, k), "li_score", QKEYS, k),
         FUSED: fusion.convex_fusion(cosine_scored(ws, k), "dense_score", SBERT_ALPHA, k=k),
-        COVERED: rerank.pointwise(c, "text", QKEYS, k),
+        COVERED: rerank.pointwise(c, keys=QKEYS, k=k, scorer=lambda d: covered(ws, d)),
         DOTTED: dense.rerank_by(dot_scored(ws, k), "dense_score", QKEYS, k),
     }
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import __version__
 from ..operators import analysis as A
 from ..operators import lexical
 from ..sources import results as R
@@ -204,7 +203,7 @@ def s7_s8_results_json(spark, sf_dir):
           + "SELECT variant, qid, docno, round(score, 6) AS score, rank FROM bm25")
 def s9_materialized_bm25(spark, sf_dir):
     w = ws(spark, sf_dir)
-    stored = R.materialize(w.bm25(100), "bm25", (w.sf_dir, 100, lexical.BM25Params(), __version__))
+    stored = R.materialize(w.bm25(100), "bm25", (*w.state("documents", "benchmark"), 100, lexical.BM25Params()))
     return rounded(stored)
 
 

@@ -172,7 +172,7 @@ def d4_dot_rerank(spark, sf_dir):
 @register("f1_minmax_norm", W(*CAND_BASE, VEC_SCORES, FUSION)
           + "SELECT variant, qid, docno, round(bm25_norm, 6) AS bm25_norm FROM fused_in")
 def f1_minmax_norm(spark, sf_dir):
-    c = M.candidates(ws(spark, sf_dir))
+    c = ws(spark, sf_dir).bm25(100)
     return rounded(fusion.minmax_norm(c, "score", "bm25_norm").select("variant", "qid", "docno", "bm25_norm"))
 
 
@@ -203,22 +203,27 @@ def d6_late_interaction(spark, sf_dir):
 
 # ---- X1-X3: pointwise, pairwise, cascade ------------------------------------
 
+def _pointwise(w, k):
+    return rerank.pointwise(w.bm25(100), k=k, scorer=lambda d: M.covered(w, d))
+
+
 @register("x1_pointwise", W(*CAND_BASE, POINT, POINTED) + f"SELECT {RUN} FROM pointed")
 def x1_pointwise(spark, sf_dir):
-    return rounded(rerank.pointwise(M.candidates(ws(spark, sf_dir)), k=100).select(*M.RUN_COLS))
+    return rounded(_pointwise(ws(spark, sf_dir), 100).select(*M.RUN_COLS))
 
 
 @register("x2_pairwise_top10", W(*CAND_BASE, POINT, POINTED, PAIR, PAIRED)
           + f"SELECT {RUN} FROM paired")
 def x2_pairwise_top10(spark, sf_dir):
-    pw = rerank.pointwise(M.candidates(ws(spark, sf_dir)), k=10)
+    pw = _pointwise(ws(spark, sf_dir), 10)
     return rounded(rerank.pairwise(pw).select(*M.RUN_COLS))
 
 
 @register("x3_cascade", W(*CAND_BASE, POINT, POINTED, PAIR, PAIRED)
           + f"SELECT {RUN}, round(pointwise_score, 6) AS pointwise_score FROM paired")
 def x3_cascade(spark, sf_dir):
-    out = rerank.cascade(M.candidates(ws(spark, sf_dir)), 100, 10)
+    w = ws(spark, sf_dir)
+    out = rerank.cascade(w.bm25(100), 100, 10, scorer=lambda d: M.covered(w, d))
     return rounded(out.select(*M.RUN_COLS, "pointwise_score"))
 
 

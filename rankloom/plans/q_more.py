@@ -10,7 +10,6 @@ from ..operators import dense, feedback, fusion, lexical, textprep
 from . import methods as M
 from . import sql as Q
 from .catalog import register, rounded, ws
-from .sizing import checked_broadcast
 from .q_dense import CAND_BASE, RUN, _codes, hashed_sql, rerank_sql
 
 W = Q.with_
@@ -129,11 +128,7 @@ ff AS (
 @register("d5_maxp_interpolation", D5_SQL)
 def d5_maxp_interpolation(spark, sf_dir):
     w = ws(spark, sf_dir)
-    cands = M.candidates(w)
-    docs = w.documents.select(F.col("doc_id").alias("docno"), "text")
-    docs = docs.join(checked_broadcast(cands.select("docno").distinct()), "docno", "left_semi")
-    pv = dense.hashed_vectors(dense.passages(docs), ["docno", "psg"])
-    scored = dense.maxp_scores(cands, M.query_vectors(w), pv)
+    scored = dense.maxp_scores(w.bm25(100), M.query_vectors(w), w.forward_passages)
     return rounded(fusion.interpolate(scored, "dense_score", 0.2, k=100).select(*M.RUN_COLS))
 
 

@@ -13,10 +13,13 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import __version__
-from ..operators import lexical, textprep
+from ..functions.text import tokens
+from ..operators import dense, lexical, multivector, textprep
 from ..sources import collection as coll
+from ..sources.store import bucketed, fingerprint
 from .sizing import release, settled, spread_small
 
 _WORKSPACES: dict = {}
@@ -33,7 +36,8 @@ class Workspace:
         key = ("only", variant)
         if fresh or key not in self.__dict__:
             own = Workspace(self.spark, self.sf_dir, variant)
-            own.__dict__["index"] = self.index
+            self.state("documents")
+            own.__dict__ |= {"index": self.index, ("state", "documents"): self.__dict__[("state", "documents")]}
             if fresh:
                 return own
             self.__dict__[key] = own
@@ -73,10 +77,55 @@ class Workspace:
         return coll.qrels_from_containment(self.documents, self.table("benchmark"),
                                            self.table("labels")).cache()
 
+    def state(self, *names: str) -> tuple:
+        """What a stored table made from these tables is keyed by: their files' paths, sizes and times."""
+        return (*[self.memo_value(("state", n), lambda n=n: fingerprint(self.spark, f"{self.sf_dir}/{n}.parquet")) for n in names], __version__)
+
+    def memo_value(self, key, build):
+        if key not in self.__dict__:
+            self.__dict__[key] = build()
+        return self.__dict__[key]
+
     @cached_property
     def index(self) -> lexical.Index:
-        """The stored lexical index of this folder's corpus, built at most once."""
-        return lexical.store_index(self.prepared, (self.sf_dir, self.table("documents").count(), "joined text", __version__))
+        """The stored lexical index of this folder's corpus, built where it is missing; files added later extend it."""
+        def prepare(files):
+            documents = spread_small(self.spark.read.parquet(*files), key="doc_id")
+            return textprep.prepare_joined(coll.corpus_from_documents(documents))
+
+        path = f"{self.sf_dir}/documents.parquet"
+        return lexical.store_segments(self.spark, [path], prepare, (path, "joined text", __version__))
+
+    @cached_property
+    def forward(self) -> DataFrame:
+        """The stored forward index ``(docno, vec, norm)`` of the candidates' texts (P5), bucketed by docno."""
+        def build():
+            return dense.hashed_vectors(textprep.candidate_texts(self.corpus), ["docno"])
+
+        return bucketed(build, "forward", (*self.state("documents"), "candidate text", "hashed", dense.DIM), self.spark, "docno")
+
+    @cached_property
+    def forward_passages(self) -> DataFrame:
+        """The same for every passage, ``(docno, psg, vec, norm)``."""
+        def build():
+            texts = self.documents.select(F.col("doc_id").alias("docno"), "text")
+            return dense.hashed_vectors(dense.passages(texts), ["docno", "psg"])
+
+        return bucketed(build, "forward-passages", (*self.state("documents"), "passages", "hashed", dense.DIM), self.spark, "docno")
+
+    @cached_property
+    def forward_terms(self) -> DataFrame:
+        """``(docno, words, codes)``, the distinct words of the candidates' texts and their token vectors' codes."""
+        def build():
+            words = textprep.candidate_texts(self.corpus).select("docno", F.array_distinct(tokens("text")).alias("words"))
+            return words.withColumn("codes", F.array_distinct(dense.codes_of("words")))
+
+        return bucketed(build, "forward-terms", (*self.state("documents"), "candidate text", "codes", dense.DIM), self.spark, "docno")
+
+    @cached_property
+    def token_index(self) -> DataFrame:
+        """The stored multi-vector index of ``tok_vectors``, a document a row: ``(docno, tokens)``, bucketed by docno."""
+        return bucketed(lambda: multivector.token_rows(self.table("embeddings")), "token-index", (*self.state("embeddings"), "fours"), self.spark, "docno")
 
     def bm25(self, k: int | None = 100, params: lexical.BM25Params | None = None) -> DataFrame:
         key = ("bm25", k, params)

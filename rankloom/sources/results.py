@@ -1,4 +1,4 @@
-"""Result sinks and sources.
+"""Result sinks and sources (S6-S8, S10, S11; S9 is in ``store``).
 
 All writes go below the shared folder named by ``spark.checkpoint.dir``
 (see ``rankloom.session.checkpoint_dir``) unless a path is given.
@@ -6,13 +6,13 @@ All writes go below the shared folder named by ``spark.checkpoint.dir``
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from .store import materialize, require  # noqa: F401 -- S9, part of this module's interface
 
 RESULTS_SCHEMA = "map<string, map<string, double>>"
 
@@ -75,31 +75,3 @@ def trec_run_lines(run: DataFrame, tag: str, digits: int = 6) -> DataFrame:
 
 def write_trec_run(run: DataFrame, path: str, tag: str) -> None:
     trec_run_lines(run, tag).write.mode("overwrite").text(path)
-
-
-def _complete(spark: SparkSession, path: str) -> bool:
-    """Whether a finished write lies at ``path``: the committer's ``_SUCCESS`` is there."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")  # noqa: SLF001 -- PySpark has no call that asks a store for a file
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)  # noqa: SLF001
-
-
-def materialize(df, name: str, key_parts, spark: SparkSession | None = None) -> DataFrame:
-    """Compute once -- write ``df`` as Parquet under a key of its inputs
-    and parameters, or read it back when that key was already written.
-
-    ``df`` is a frame or a function that makes one (called only if needed).
-    ``_SUCCESS`` is written last, so a store that broke off is built again.
-    """
-    spark = spark or df.sparkSession
-    key = hashlib.sha1(repr(tuple(key_parts)).encode()).hexdigest()[:16]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/rankloom-store/{name}-{key}"
-    if not _complete(spark, path):
-        (df() if callable(df) else df).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def require(spark: SparkSession, path: str) -> DataFrame:
-    """A build that must already exist is a clear error, not a silent rebuild."""
-    if not _complete(spark, path):
-        raise FileNotFoundError(f"required stored table is missing: {path}")
-    return spark.read.parquet(path)
