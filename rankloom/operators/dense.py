@@ -24,7 +24,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -427,34 +427,14 @@ def exact_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, qkeys=("variant", "qid
 
 def ivf_knn(qvecs: DataFrame, dvecs: DataFrame, k: int, n_cells: int | None = None, nprobe: int | None = None,
             seed: int = 7, qkeys=("variant", "qid"), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """D8 approximate: KMeans cells, probe the ``nprobe`` nearest cells,
-    equi-join on the cell id, rescore exactly, top k per query.
+    """D8 approximate: the ``nprobe`` nearest cells of each query (see ``cells``), rescored exactly, top k.
 
-    ``n_cells`` grows with the square root of the collection and half of the
-    cells are probed unless given, for a recall of at least 0.9 (tested);
-    probing all cells is exact.
+    Unless given, ``n_cells`` grows with the square root of the collection and
+    ``nprobe`` is the smallest number with enough recall, measured on a sample
+    of the queries; probing all cells is exact.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from . import cells
 
-    qkeys = list(qkeys)
-    if n_cells is None:
-        n_cells = max(2, math.isqrt(dvecs.count()))
-    nprobe = nprobe or -(-n_cells // 2)
-    raw = dvecs.withColumnRenamed("vec", "raw").withColumn("vec", F.col("raw").cast("array<double>"))
-    unit = normalized(raw).select("docno", array_to_vector("vec").alias("features"), F.col("raw").alias("vec"), "norm")
-    model = KMeans(k=n_cells, seed=seed, featuresCol="features", predictionCol="cell").fit(unit)
-    cells = model.transform(unit).select("docno", "vec", "norm", F.col("cell").cast("long"))
-    centers = dvecs.sparkSession.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "cell long, center array<double>")
-    w = Window.partitionBy(*qkeys).orderBy(F.col("cd").desc(), F.col("cell"))
-    probes = (qvecs.select(*qkeys, "vec", "norm").crossJoin(F.broadcast(centers))  # queries x n_cells centroids
-              .withColumn("cd", dot(F.col("vec"), F.col("center")))
-              .withColumn("_p", F.row_number().over(w)).filter(F.col("_p") <= nprobe)
-              .select(*qkeys, "cell", F.col("vec").alias("qvec"), F.col("norm").alias("qnorm")))
-    probes, small = measured(probes, max_bytes)
-    j = cells.join(F.broadcast(probes) if small else probes, "cell")
-    j = j.withColumn("_dot", dot(F.col("qvec"), F.col("vec")))
-    s = F.when((F.col("qnorm") > 0) & (F.col("norm") > 0), F.col("_dot") / (F.col("qnorm") * F.col("norm"))).otherwise(0.0)
-    return ranked(j.select(*qkeys, "docno", s.alias("score")), qkeys, k)
+    found = cells.build(dvecs, n_cells, seed)
+    nprobe = nprobe or cells.enough(found, qvecs, k, qkeys=qkeys)
+    return cells.search(found, qvecs, k, nprobe, qkeys=qkeys, max_bytes=max_bytes)

@@ -84,6 +84,24 @@ def rerank(cands: DataFrame, queries: DataFrame, index: DataFrame, qkeys=("qid",
     return ranked(out, qkeys, k)
 
 
+def token_vectors(index: DataFrame) -> DataFrame:
+    """``(docno, vec)``, a row for every token vector, to build cells over."""
+    return index.select("docno", F.explode("tokens").alias("t")).select("docno", F.col("t.vec").alias("vec"))
+
+
+def propose(queries: DataFrame, cells, per_vector: int, probe: int | None = None, qkeys=("qid",)) -> DataFrame:
+    """D8 over tokens: ``(*qkeys, docno)``, the documents of the ``per_vector`` most similar tokens of each query vector.
+
+    ``cells`` is built over ``token_vectors``; exact MaxSim (``rerank``) decides.
+    """
+    from . import cells as C
+
+    each = queries.select(*qkeys, F.posexplode("vecs").alias("pos", "vec"))
+    keys = (*qkeys, "pos")
+    probe = probe or C.enough(cells, each, per_vector, qkeys=keys)
+    return C.search(cells, each, per_vector, probe, qkeys=keys).select(*qkeys, "docno").distinct()
+
+
 def _row_bytes(index: DataFrame) -> int:
     """The largest row of the index, so that a broadcast is bounded by the number of rows looked up."""
     size = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + 8 * F.size(t["vec"]) + F.octet_length(t["term"]) + 64)

@@ -1,4 +1,4 @@
-"""Stored vector indexes and feedback on token vectors.
+"""Stored vector indexes, cells, and feedback on token vectors.
 
 Queries are every 25th document of ``tok_vectors``; the first stage is MaxSim,
 its ten best are the candidates and the three best the feedback. A document has
@@ -10,13 +10,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import multivector
+from ..operators import cells, dense, multivector
+from . import methods as M
 from . import sql as Q
 from .catalog import register, rounded, ws
+from .q_more import EXACT_KNN
 from .q_vectors import K, OUT, VECTORS, _top
 
 W = Q.with_
 CLUSTERS, ADDED, ROUNDS = 6, 3, 3
+PER_VECTOR = 40  # similar tokens of each query vector, whose documents are ranked
 HOW = {"fb_docs": 3, "clusters": CLUSTERS, "fb_embs": ADDED, "rounds": ROUNDS}
 
 _ABS = "list_transform(vec, lambda x: abs(x))"
@@ -115,3 +118,39 @@ def s9_forward_tables(spark, sf_dir):
     size = lambda df, n, name: df.agg(F.coalesce(n, F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("name"), "n")
     return (size(w.forward, F.count(F.lit(1)), "vectors").unionByName(size(w.forward_passages, F.count(F.lit(1)), "passages"))
             .unionByName(size(w.forward_terms, F.sum(F.size("words")), "words")))
+
+
+# ---- D8: cells -----------------------------------------------------------------------
+
+FIRST_CELLS = 4  # cells of the exact search's first round
+
+
+def _cells(w):
+    v = w.memo("dvecs", lambda: dense.hashed_vectors(w.prepared, ["docno"]))
+    return w.memo_value("cells", lambda: cells.build(v))
+
+
+@register("d8_bounded_knn_top10", EXACT_KNN)
+def d8_bounded_knn_top10(spark, sf_dir):
+    """The exact result from cells: near ones first, then those whose bound reaches the tenth similarity."""
+    w = ws(spark, sf_dir)
+    return rounded(cells.search(_cells(w), M.query_vectors(w), K, FIRST_CELLS, exact=True))
+
+
+@register("d8_cells_visited")
+def d8_cells_visited(spark, sf_dir):
+    """The share of cells that the bounds leave to each query."""
+    w = ws(spark, sf_dir)
+    q = M.query_vectors(w)
+    run = w.memo("bounded", lambda: cells.search(_cells(w), q, K, FIRST_CELLS, exact=True), settle=True)
+    return rounded(cells.visited(_cells(w), q, run, K, FIRST_CELLS))
+
+
+@register("d8_token_cells_top10")
+def d8_token_cells_top10(spark, sf_dir):
+    """Token cells propose documents, exact MaxSim ranks them (its recall is tested)."""
+    queries, _, index = _first(spark, sf_dir)
+    w = ws(spark, sf_dir)
+    found = w.memo_value("token cells", lambda: cells.build(multivector.token_vectors(index)))
+    cands = multivector.propose(queries, found, PER_VECTOR)
+    return rounded(multivector.rerank(cands, queries, index, k=K).select("qid", "docno", "score", "rank"))

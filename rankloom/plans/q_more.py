@@ -147,7 +147,7 @@ def d7_token_index(spark, sf_dir):
 
 # ---- D8: end-to-end dense retrieval ------------------------------------------------
 
-@register("d8_exact_knn_top10", W(*Q.BASE[:3], hashed_sql("dv", "prepared", "docno"),
+EXACT_KNN = W(*Q.BASE[:3], hashed_sql("dv", "prepared", "docno"),
                                    hashed_sql("qv", "topics", "variant, qid", "query"), """dotp AS (
   SELECT q.variant, q.qid, d.docno, sum(q.value * d.value) AS dp
   FROM qv q JOIN dv d ON d.dim = q.dim GROUP BY q.variant, q.qid, d.docno),
@@ -161,7 +161,10 @@ sc AS (
 r AS (
   SELECT * FROM (SELECT variant, qid, docno, nscore AS score,
     row_number() OVER (PARTITION BY variant, qid ORDER BY round(nscore, 6) DESC, docno DESC)::BIGINT AS rank
-    FROM sc) y WHERE rank <= 10)""") + f"SELECT {RUN} FROM r")
+    FROM sc) y WHERE rank <= 10)""") + f"SELECT {RUN} FROM r"
+
+
+@register("d8_exact_knn_top10", EXACT_KNN)
 def d8_exact_knn_top10(spark, sf_dir):
     w = ws(spark, sf_dir)
     dv = dense.hashed_vectors(w.prepared, ["docno"])

@@ -102,14 +102,12 @@ def test_split_topics_union_equals_joint_run(w):
     assert sorted(parts) == joint
 
 
-def test_ivf_recall_against_exact(w):
+def test_probing_every_cell_is_exact(w):
     qv = M.query_vectors(w).filter(F.col("variant") == "narrative")
     dv = dense.hashed_vectors(w.prepared, ["docno"]).cache()
     exact = {(r["qid"], r["docno"]) for r in dense.exact_knn(qv, dv, 10).collect()}
     full = {(r["qid"], r["docno"]) for r in dense.ivf_knn(qv, dv, 10, n_cells=4, nprobe=4).collect()}
     assert full == exact  # probing every cell is exact
-    approx = {(r["qid"], r["docno"]) for r in dense.ivf_knn(qv, dv, 10, n_cells=4, nprobe=3).collect()}
-    assert len(approx & exact) / len(exact) >= 0.85
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
