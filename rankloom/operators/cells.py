@@ -87,17 +87,22 @@ def build(dvecs: DataFrame, n_cells: int | None = None, seed: int = 7, copies: i
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    dvecs = dvecs.filter("vec is not null")
     n = dvecs.count()
-    n_cells = max(1, min(n_cells or max(2, math.isqrt(n)), n))
+    n_cells = n_cells or max(2, math.isqrt(n))
     vec = F.col("vec").cast("array<double>")
     length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, x: a + x * x))
-    sample = dvecs.filter("vec is not null").withColumn("_h", F.xxhash64("docno"))
+    sample = dvecs
     if n > FIT_ROWS * n_cells:
-        sample = sample.filter(F.pmod("_h", F.lit(1 << 20)) < math.ceil((1 << 20) * FIT_ROWS * n_cells / n))
-    unit = sample.select(array_to_vector(F.transform(vec, lambda x: x / F.when(length > 0, length).otherwise(1.0))).alias("features"))
-    if not unit.limit(1).count():
-        return Cells(keep(_place(dvecs, np.zeros((1, 1)), 1)), np.zeros((1, 1)), np.zeros(1))
-    centers = _unit(np.array(KMeans(k=n_cells, seed=seed, featuresCol="features").fit(unit).clusterCenters()))
+        sample = sample.filter(F.pmod(F.xxhash64("docno"), F.lit(1 << 20)) < math.ceil((1 << 20) * FIT_ROWS * n_cells / n))
+    # Equal vectors once: copies do not draw the centres to themselves.
+    unit = settled(sample.select(F.transform(vec, lambda x: x / F.when(length > 0, length).otherwise(1.0)).alias("v")).distinct())
+    if unit.count() <= n_cells:
+        points = [r["v"] for r in unit.orderBy("v").collect()]  # at most n_cells rows
+        centers = np.array(points, dtype=np.float64) if points else np.zeros((1, 1))
+    else:
+        model = KMeans(k=n_cells, seed=seed, featuresCol="features").fit(unit.select(array_to_vector("v").alias("features")))
+        centers = _unit(np.array(model.clusterCenters()))
     placed = _place(dvecs, centers, min(copies, len(centers)))
     placed = keep(placed.repartitionByRange("cell", "docno").sortWithinPartitions("cell"))
     return Cells(placed, centers, _radii(placed, centers))
