@@ -62,10 +62,13 @@ def _within(k: int | None) -> Column:
 
 
 def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
-              keys=("method", "variant"), max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+              keys=("method", "variant"), max_bytes: int = BROADCAST_BYTES, known: DataFrame | None = None) -> DataFrame:
     """M8: ``(*keys, qid, <one column per measure>)`` for every key of the run
     and every judged query; 0 where the run has nothing for the query.
 
+    ``known`` lists the keys where the caller has them (a grid, the methods);
+    else they are found by an aggregate over the run.
+
     Only relevant hits take part (an inner join with the measured, broadcast
     judgments), so a query that retrieved a third of the corpus brings at most
     R rows to its group. The result has keys x judged queries rows.
@@ -93,7 +96,8 @@ def per_query(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
     ideal = _ideal(qrels, ms)
     ideal = F.broadcast(ideal) if small else ideal
     # Every run key meets every judged query: the rows of the result.
-    grid = run.select(*keys).distinct().crossJoin(ideal) if keys else ideal
+    known = known.select(*keys) if known is not None else run.select(*keys).distinct()
+    grid = known.crossJoin(ideal) if keys else ideal
     joined = grid.join(agg, [*keys, "qid"], "left")
     if any(m.kind == "P" and m.k is None for m in ms):
         joined = joined.join(run.groupBy(*keys, "qid").agg(F.count(F.lit(1)).alias("_n")), [*keys, "qid"], "left")
@@ -139,11 +143,11 @@ def _ideal(qrels: DataFrame, ms) -> DataFrame:
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, measures=MAIN_METRICS,
-             keys=("method", "variant")) -> DataFrame:
+             keys=("method", "variant"), known: DataFrame | None = None) -> DataFrame:
     """``(*keys, metric, value)`` -- means over all judged queries."""
     keys = [k for k in keys if k in run.columns]
     names = [m if isinstance(m, str) else m.name for m in measures]
-    pq = per_query(run, qrels, measures, keys)
+    pq = per_query(run, qrels, measures, keys, known=known)
     n_q = qrels.agg(F.countDistinct("qid").cast("double").alias("_nq"))
     sums = pq.groupBy(*keys).agg(*[F.sum(F.col(f"`{n}`")).alias(n) for n in names])
     means = sums.crossJoin(F.broadcast(n_q))  # n_q is a single row

@@ -140,8 +140,12 @@ def ranked(df: DataFrame, keys, k: int | None, score: str = "score",
     """``rank`` = 1.. per ``keys`` by rounded score desc, docno desc.
 
     With ``k`` given only the first k rows per key are kept; Spark turns
-    ``row_number() <= k`` into a partial + final ``WindowGroupLimit``.
+    ``row_number() <= k`` into a partial + final ``WindowGroupLimit``, up to a
+    limit of the session (1000). A deeper cut gets its partial top k from
+    ``partial_top``.
     """
+    if k is not None and k > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")):
+        df = partial_top(df, keys, k, score, docno)
     w = Window.partitionBy(*keys).orderBy(F.round(score, SCORE_DIGITS).desc(), F.col(docno).desc())
     out = df.withColumn("rank", F.row_number().over(w).cast("long"))
     if k is not None:
@@ -149,6 +153,56 @@ def ranked(df: DataFrame, keys, k: int | None, score: str = "score",
     return out
 
 
+#: Rows that a task holds before it lets go of what cannot be among the best.
+HELD = 1 << 20
+
+
+def partial_top(df: DataFrame, keys, k: int, score: str = "score", docno: str = "docno") -> DataFrame:
+    """``df`` without rows that k others of their key and partition come before; a map-only step.
+
+    Works on Arrow batches in numpy. A task holds at most about ``HELD`` rows:
+    if that many survive, they are passed on and it starts anew, so the result
+    may have more than k rows a key and partition, never fewer than it should.
+    Ranking rounds scores, so a margin below the k-th score stays as well.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys = list(keys)
+    names = df.columns
+    rows = df.withColumn("_k", F.xxhash64(*keys))
+
+    def best(t: pa.Table) -> pa.Table:
+        key, s = t.column("_k").to_numpy(), t.column(score).to_numpy().astype(np.float64)
+        place = np.unique(t.column(docno).to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        s = np.where(np.isnan(s), -np.inf, s)
+        order = np.lexsort((-place, -s, key))
+        key, s = key[order], s[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        at = np.repeat(start, np.diff(np.append(start, len(key))))
+        rank = np.arange(len(key)) - at
+        kth = np.where(np.repeat(np.diff(np.append(start, len(key))), np.diff(np.append(start, len(key)))) >= k, s[np.minimum(at + k - 1, len(s) - 1)], -np.inf)
+        equal = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (s[1:] != s[:-1])))
+        among = np.arange(len(key)) - np.repeat(equal, np.diff(np.append(equal, len(key))))
+        return t.take(pa.array(order[(rank < k) | (s >= kth - 2 * 10.0 ** -SCORE_DIGITS) & (among < k)]))
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            n += b.num_rows
+            if n > 2 * HELD:
+                t = best(pa.concat_tables(held))
+                if t.num_rows > HELD:
+                    yield from t.drop_columns(["_k"]).to_batches()
+                    t = t.slice(0, 0)
+                held, n = [t], t.num_rows
+        if held:
+            yield from best(pa.concat_tables(held)).drop_columns(["_k"]).to_batches()
+
+    return rows.mapInArrow(run, df.select(*names).schema)
+
+
 def cutoff(run: DataFrame, k: int, keys=("variant", "qid")) -> DataFrame:
     """``% k`` -- keep the top k of every query, ranks recomputed."""
     keys = [c for c in keys if c in run.columns]

@@ -9,11 +9,18 @@ smallest parameter value on ties.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..plans.sizing import BROADCAST_BYTES, measured
 from . import evaluate as ev
-from .lexical import bm25_contribution_of, bm25_features, ranked
+from .lexical import SCORE_DIGITS, bm25_contribution_of, bm25_features, ranked
 
 # The interpolation grid 0.0, 0.1, ..., 0.9.
 ALPHA_GRID = tuple(i / 10 for i in range(10))
@@ -30,7 +37,8 @@ def alpha_scan(scored: DataFrame, qrels: DataFrame, dense_col: str = "dense_scor
     g = scored.select(*keys, "qid", "docno", "score", dense_col, _grid_column(alphas, "alpha"))
     g = g.withColumn("score", F.col("alpha") * F.col("score") + (F.lit(1.0) - F.col("alpha")) * F.col(dense_col))
     run = ranked(g, [*keys, "alpha", "qid"], k)
-    res = ev.evaluate(run, qrels, [measure], keys=(*keys, "alpha"))
+    grid = scored.select(*keys).distinct().select(*keys, _grid_column(alphas, "alpha"))
+    res = ev.evaluate(run, qrels, [measure], keys=(*keys, "alpha"), known=grid)
     return res.select(*keys, "alpha", F.col("value").alias(measure))
 
 
@@ -59,7 +67,125 @@ def bm25_grid_scan(source, topics: DataFrame, qrels: DataFrame, grid,
     scores = g.groupBy("k1", "b", "k3", "_q", "docno").agg(F.sum(contrib).alias("score"))
     top = ranked(scores, ["k1", "b", "k3", "_q"], k).join(bc(qkeys), "_q")
     outer = [c for c in keys if c != "qid"]
-    res = ev.evaluate(top, qrels, [measure], keys=(*outer, "k1", "b", "k3"))
+    known = topics.select(*outer).distinct().select(*outer, F.explode(pts).alias("p")).select(*outer, "p.k1", "p.b", "p.k3")
+    res = ev.evaluate(top, qrels, [measure], keys=(*outer, "k1", "b", "k3"), known=known)
+    return res.select(*outer, "k1", "b", "k3", F.col("value").alias(measure))
+
+
+# ---- large grids by counting ranks -------------------------------------------------
+
+#: Rows of hits whose settings are computed at a time.
+SLICE = 2048
+
+
+def settings(k1s, bs, k3s) -> list[tuple[float, float, float]]:
+    """All (k1, b, k3), in the order of the score vectors."""
+    return [(float(k1), float(b), float(k3)) for k1 in k1s for b in bs for k3 in k3s]
+
+
+def _score_vectors(batches, k1s, bs, k3s):
+    """``(query, docno, scores)`` arrays of sorted hits: a pair's scores under every setting.
+
+    A hit's share is a factor of k3 times a factor of (k1, b), so a batch is
+    one product; the last pair of a batch waits for the next one.
+    """
+    k1, b = (x.ravel() for x in np.meshgrid(np.array(k1s, float), np.array(bs, float), indexing="ij"))
+    k3 = np.array(k3s, float)
+    rest = None
+    for part in batches:
+        for lo in range(0, part.num_rows, SLICE):
+            cols = {n: part.column(n).to_numpy(zero_copy_only=False)[lo:lo + SLICE] for n in ("_q", "docno", "tf", "dl", "df", "n_docs", "avgdl", "qtf")}
+            tf, qtf = cols["tf"].astype(float)[:, None], cols["qtf"].astype(float)[:, None]
+            idf = np.log2((cols["n_docs"] - cols["df"] + 0.5) / (cols["df"] + 0.5))[:, None]
+            ratio = (cols["dl"] / cols["avgdl"])[:, None]
+            own = ((k1 + 1) * tf / (k1 * ((1 - b) + b * ratio) + tf))[:, :, None] * (idf * ((k3 + 1) * qtf / (k3 + qtf)))[:, None, :]
+            q, d, v = cols["_q"], cols["docno"], own.reshape(len(tf), -1)
+            if rest is not None:
+                q, d, v = np.append(rest[0], q), np.append(rest[1], d), np.vstack([rest[2], v])
+            first = np.flatnonzero(np.append(True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])))
+            v, q, d = np.add.reduceat(v, first, axis=0), q[first], d[first]
+            rest = q[-1:], d[-1:], v[-1:]
+            if len(q) > 1:
+                yield q[:-1], d[:-1], v[:-1]
+    if rest is not None:
+        yield rest
+
+
+def bm25_grid_ranks(source, topics: DataFrame, qrels: DataFrame, k1s, bs, k3s, keys=("variant", "qid"),
+                    max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``(*keys, docno, k1, b, k3, rank)`` of the relevant documents that match, under every setting.
+
+    No run is made: a document's rank is one more than the number of documents
+    of the query that score higher (or as high, with a larger docno). The
+    relevant pairs' scores are computed first and broadcast, in chunks of
+    queries of at most ``max_bytes``; one pass over the hits then computes each
+    pair's scores under all settings as a vector and counts how often it beats
+    them. Only counts, one for each relevant pair and setting, are shuffled.
+    """
+    keys = [c for c in keys if c in topics.columns]
+    grid = settings(k1s, bs, k3s)
+    feats, qkeys, bc = bm25_features(source, topics, keys=keys)
+    feats = feats.select("_q", "docno", "tf", "dl", "df", "n_docs", "avgdl", "qtf")
+    pairs = qrels.filter(F.col("rel") >= 1).select("qid", "docno").distinct().join(bc(qkeys), "qid").select("_q", "docno")
+    pairs, small = measured(pairs, max_bytes)
+    pairs = F.broadcast(pairs) if small else pairs
+    kind = feats.schema["docno"]
+
+    def vectors(batches):
+        for q, d, v in _score_vectors(batches, k1s, bs, k3s):
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(list(v), pa.list_(pa.float64()))], names=["_q", "docno", "scores"])
+
+    schema = T.StructType([T.StructField("_q", T.LongType()), kind, T.StructField("scores", T.ArrayType(T.DoubleType()))])
+    wanted = feats.join(pairs, ["_q", "docno"], "left_semi").sortWithinPartitions("_q", "docno").mapInArrow(vectors, schema).cache()
+    chunks = max(1, math.ceil(wanted.count() * (8 * len(grid) + 64) / max_bytes))
+    out = None
+    for c in range(chunks):
+        mine = F.pmod(F.xxhash64("_q"), F.lit(chunks)) == c
+        rows = wanted.filter(mine).collect()  # one chunk: at most about max_bytes
+        if not rows:
+            continue
+        by_query: dict = {}
+        for r in rows:
+            by_query.setdefault(r["_q"], []).append((r["docno"], r["scores"]))
+        by_query = {q: (np.array([d for d, _ in v]), np.round(np.array([s for _, s in v]), SCORE_DIGITS)) for q, v in by_query.items()}
+        held = topics.sparkSession.sparkContext.broadcast(by_query)
+        judged = topics.sparkSession.createDataFrame([(q,) for q in by_query], "_q long")
+        ranks = feats.filter(mine).join(F.broadcast(judged), "_q", "left_semi").sortWithinPartitions("_q", "docno")  # queries of this chunk
+
+        def count(batches):
+            known = held.value
+            above = {q: np.zeros(s.shape, np.int64) for q, (_, s) in known.items()}
+            for q, d, v in _score_vectors(batches, k1s, bs, k3s):
+                v = np.round(v, SCORE_DIGITS)
+                edges = np.append(np.flatnonzero(np.append(True, q[1:] != q[:-1])), len(q))
+                for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                    docs, scores = known[q[lo]]
+                    for i, doc in enumerate(docs):
+                        above[q[lo]][i] += (v[lo:hi] > scores[i]).sum(axis=0) + ((v[lo:hi] == scores[i]) & (d[lo:hi] > doc)[:, None]).sum(axis=0)
+            flat = [(q, docs[i], n) for q, (docs, _) in known.items() for i, n in enumerate(above[q]) if n.any()]
+            yield pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in flat], pa.int64()), pa.array([d for _, d, _ in flat], to_arrow_type(kind.dataType)),
+                                              pa.array([n for _, _, n in flat], pa.list_(pa.int64()))], names=["_q", "docno", "above"])
+
+        counted = T.StructType([T.StructField("_q", T.LongType()), kind, T.StructField("above", T.ArrayType(T.LongType()))])
+        each = ranks.mapInArrow(count, counted).select("_q", "docno", F.posexplode("above").alias("_s", "above")).groupBy("_q", "docno", "_s").agg(F.sum("above").alias("above"))
+        every = wanted.filter(mine).select("_q", "docno", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("_s"))
+        part = every.join(each, ["_q", "docno", "_s"], "left").select("_q", "docno", "_s", (F.coalesce("above", F.lit(0)) + 1).alias("rank"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = wanted.select("_q", "docno", F.lit(0).alias("_s"), F.lit(0).cast("long").alias("rank")).limit(0)
+    points = F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(k3).alias("k3")) for k1, b, k3 in grid])
+    return out.withColumn("p", points[F.col("_s")]).join(bc(qkeys), "_q").select(*keys, "docno", "p.k1", "p.b", "p.k3", "rank")
+
+
+def bm25_large_grid(source, topics: DataFrame, qrels: DataFrame, k1s, bs, k3s, measure: str = "map", k: int = 1000,
+                    keys=("variant", "qid")) -> DataFrame:
+    """``(*outer keys, k1, b, k3, <measure>)`` of every setting, from the relevant documents' ranks within ``k``."""
+    keys = [c for c in keys if c in topics.columns]
+    outer = [c for c in keys if c != "qid"]
+    hits = bm25_grid_ranks(source, topics, qrels, k1s, bs, k3s, keys).filter(F.col("rank") <= k)
+    point = F.explode(F.array(*[F.struct(F.lit(k1).alias("k1"), F.lit(b).alias("b"), F.lit(k3).alias("k3")) for k1, b, k3 in settings(k1s, bs, k3s)])).alias("p")
+    known = topics.select(*outer).distinct().select(*outer, point).select(*outer, "p.k1", "p.b", "p.k3")
+    res = ev.evaluate(hits, qrels, [measure], keys=(*outer, "k1", "b", "k3"), known=known)
     return res.select(*outer, "k1", "b", "k3", F.col("value").alias(measure))
 
 

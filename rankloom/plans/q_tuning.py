@@ -81,6 +81,38 @@ def m12_bm25_grid(spark, sf_dir):
     return rounded(tuning.bm25_grid_scan(w.index, w.topics, w.qrels, BM25_GRID))
 
 
+# The reference's whole grid, 11 x 7 x 9 = 693 settings.
+ALL_B = tuple(i / 10 for i in range(11))
+ALL_K1 = (0.3, 0.6, 0.9, 1.2, 1.4, 1.6, 2.0)
+ALL_K3 = (0.5, 2.0, 4.0, 6.0, 8.0, 10.0, 12.0, 14.0, 20.0)
+
+
+@register("m12_bm25_grid_693")
+def m12_bm25_grid_693(spark, sf_dir):
+    """Every setting of the grid on every wording (tested against single runs: too slow in SQL)."""
+    w = ws(spark, sf_dir)
+    return rounded(tuning.bm25_large_grid(w.index, w.topics, w.qrels, ALL_K1, ALL_B, ALL_K3, k=100))
+
+
+@register("m12_bm25_grid_693_best")
+def m12_bm25_grid_693_best(spark, sf_dir):
+    """The best setting of each wording."""
+    w = ws(spark, sf_dir)
+    scan = tuning.bm25_large_grid(w.index, w.topics, w.qrels, ALL_K1, ALL_B, ALL_K3, k=100)
+    return rounded(tuning.best_row(scan, ["k1", "b", "k3"]))
+
+
+def _grid_of_counts() -> tuple:
+    return tuple(sorted({k1 for k1, _, _ in BM25_GRID})), tuple(sorted({b for _, b, _ in BM25_GRID})), tuple(sorted({k3 for _, _, k3 in BM25_GRID}))
+
+
+@register("m12_bm25_grid_by_ranks", _bm25_grid_sql())
+def m12_bm25_grid_by_ranks(spark, sf_dir):
+    """The small grid, by the same counting of ranks."""
+    w = ws(spark, sf_dir)
+    return rounded(tuning.bm25_large_grid(w.index, w.topics, w.qrels, *_grid_of_counts(), k=100))
+
+
 def _fold_sql() -> str:
     parts = [GRID]
     finals = []
