@@ -6,13 +6,17 @@ that no example has count as one further term. Texts become TF-IDF vectors of
 unit length, in which a term weighs more the more its share among the toxic
 examples exceeds its share among the others, and never nothing.
 
-The examples lie in an inverted index whose postings are cut into blocks of
-examples, with the highest weight of each term in each block. A query sums
-those maxima into an upper bound for every block, scores the most promising
-blocks exactly, and goes on only to blocks whose bound reaches the k-th best
-similarity, so its k neighbours are exact. Their labels vote with weights that
+The examples lie in blocks. Terms of many examples are rows of weights, summed
+for all examples at once; the others are in an inverted index with the highest
+weight of each term in each block. A query adds those maxima to each block's
+best sum of frequent terms, which bounds the block, reads the postings of the
+most promising blocks, and goes on only to blocks whose bound reaches the k-th
+best similarity; what comes near the k-th is computed again in double precision,
+so its k neighbours are exact. Their labels vote with weights that
 fall with distance; the vote's log odds are calibrated on the examples, each
-one left out of its own vote. The neighbours are the evidence.
+one left out of its own vote. The neighbours are the evidence. The model is
+fitted in one task (its sample is bounded) and passes through the driver as
+bytes.
 
 Defined cases: null and empty texts and texts without any word of an example
 have no neighbour and get the share of toxic ones among such examples, or among
@@ -22,6 +26,7 @@ example with the smaller id.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 
@@ -33,7 +38,10 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import id_bucket, table
 from rankloom.llm.labelled import training_sample
 
-SAMPLE, NEIGHBOURS, BLOCK = 8_000, 15, 32
+SAMPLE, NEIGHBOURS, BLOCK = 8_000, 15, 4
+FREQUENT = 16  # terms of at least one in so many examples are kept as rows of weights
+KNOWN, TOGETHER = 200_000, 32  # words whose terms a worker keeps, texts multiplied at a time
+SLACK = 1e-4  # more than the error of a sum in single precision
 FLOOR, TELLS = 0.05, 2.5  # the weight of a term that does not tell, and the z-score from which one does
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
@@ -76,24 +84,36 @@ class Vectors:
     def __init__(self, terms: list[str], idf: np.ndarray, tells: list[bool]):
         self.terms, self.idf, self.tells = {t: i for i, t in enumerate(terms)}, idf, tells
         self.beginnings = {t[: PREFIXES[0]] for t in terms if t.endswith("*")}
+        self.known: dict[str, tuple] = {}  # the terms of words met lately
+
+    def __getstate__(self) -> dict:
+        return vars(self) | {"known": {}}
+
+    def _of(self, word: str) -> tuple[int, tuple[int, ...], bool]:
+        """A word's own term (or -1), the beginnings it has, and whether it counts as one of the rest."""
+        i = self.terms.get(word, -1)
+        more: tuple[int, ...] = ()
+        if word[: PREFIXES[0]] in self.beginnings:
+            more = tuple(j for m in PREFIXES if len(word) > m and (j := self.terms.get(word[:m] + "*")) is not None)
+        return i, more, not more and (i < 0 or not self.tells[i])
 
     def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, ascending, and how often it has them."""
         tf: dict[int, int] = {}
-        rest = 0
-        get = self.terms.get
+        known, rest = self.known, 0
+        if len(known) > KNOWN:
+            known.clear()
         for w, n in words.items():
-            i = get(w)
-            tells = i is not None and self.tells[i]
-            if i is not None:
+            own = known.get(w)
+            if own is None:
+                own = known[w] = self._of(w)
+            i, more, plain = own
+            if i >= 0:
                 tf[i] = n
-            if w[: PREFIXES[0]] in self.beginnings:
-                for m in PREFIXES:
-                    if len(w) > m and (j := get(w[:m] + "*")) is not None:
-                        tf[j] = tf.get(j, 0) + n
-                        tells = True
-            if not tells:
+            if plain:
                 rest += n
+            for j in more:
+                tf[j] = tf.get(j, 0) + n
         if rest:
             tf[len(self.terms)] = rest
         at = np.fromiter(tf, np.int64, len(tf))
@@ -116,7 +136,7 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Index:
-    """Postings by term, examples in blocks, the highest weight of each term in each block."""
+    """Examples in blocks; dense weights of frequent terms, postings with block maxima of the others."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_terms: int):
         # Examples with the same leading terms lie together, so block maxima are tight.
@@ -130,58 +150,97 @@ class Index:
         by = np.lexsort((doc, term))
         self.doc, self.w = doc[by].astype(np.int32), w[by].astype(np.float32)
         self.start = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
-        self._pair()
+        self._derive()
 
     @property
     def term(self) -> np.ndarray:
         """The term of each posting."""
-        return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
-
-    def _pair(self) -> None:
-        """Each (term, block) pair that has postings: its block, where they start, and their highest weight."""
-        term = self.term
-        pair = term * max(1, self.blocks) + self.doc // BLOCK
+        return np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))
+
+    def _derive(self) -> None:
+        """What follows from the postings: rows of frequent terms, (term, block) pairs of the others, and the vectors again."""
+        term, df = self.term, np.diff(self.start)
+        often = np.flatnonzero(df >= max(BLOCK, self.n // FREQUENT))
+        self.row = np.full(len(df), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        dense = self.row[term] >= 0
+        self.dense[self.row[term[dense]], self.doc[dense]] = self.w[dense]
+        # Each (rare term, block) that has postings: its block, where they start, and their highest weight.
+        self.rare_doc, self.rare_w = self.doc[~dense], self.w[~dense]
+        pair = term[~dense].astype(np.int64) * max(1, self.blocks) + self.rare_doc // BLOCK
         first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
-        self.top = np.maximum.reduceat(self.w, first) if len(first) else np.zeros(0, np.float32)
-        self.block, self.first = self.doc[first] // BLOCK, np.append(first, len(pair)).astype(np.int32)
-        self.pairs = np.searchsorted(term[first], np.arange(len(self.start))).astype(np.int32)
+        self.top = np.maximum.reduceat(self.rare_w, first) if len(first) else np.zeros(0, np.float32)
+        self.block, self.first = self.rare_doc[first] // BLOCK, np.append(first, len(pair)).astype(np.int32)
+        self.pairs = np.searchsorted(term[~dense][first], np.arange(len(self.start))).astype(np.int32)
+        self.scratch = np.zeros(len(df))
+        by = np.argsort(self.doc, kind="stable")
+        self.own_term, self.own_w = term[by], self.w[by]
+        self.own = np.searchsorted(self.doc[by], np.arange(self.n + 1)).astype(np.int32)
 
     def __getstate__(self) -> dict:
-        """Without what :meth:`_pair` makes of the postings, so that a broadcast is small."""
-        return {k: v for k, v in vars(self).items() if k not in ("top", "block", "first", "pairs")}
+        """The postings alone, so that a broadcast is small."""
+        return {k: vars(self)[k] for k in ("order", "y", "n", "blocks", "doc", "w", "start")}
 
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state)
-        self._pair()
+        self._derive()
 
-    def _exact(self, pairs: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The examples of ``blocks`` (ascending) and their similarities, from those blocks' postings."""
+    def _block_sims(self, part: np.ndarray, pairs: np.ndarray, w: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The examples of ``blocks`` and their similarities: the frequent terms' part and the postings of ``pairs``, which lie in those blocks."""
         docs = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         docs = docs[docs < self.n]
-        live = np.zeros(self.blocks, bool)
-        live[blocks] = True
-        own = live[self.block[pairs]]
-        post, size = _ranges(self.first[pairs[own]], self.first[pairs[own] + 1])
-        return docs, np.bincount(self.doc[post], weights=np.repeat(w[own], size) * self.w[post], minlength=self.n)[docs]
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(similarities, examples) of the k most similar ones, best first, ties by example."""
-        pairs, size = _ranges(self.pairs[at], self.pairs[at + 1])
-        w = np.repeat(w, size)
-        bound = np.bincount(self.block[pairs], weights=w * self.top[pairs], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        done, step = 0, max(2, 2 * k // BLOCK + 1)
-        docs, sims = np.zeros(0, np.int64), np.zeros(0)
-        while done < self.blocks:
-            kth = np.sort(sims)[-k] if len(sims) >= k else -1.0
-            # Bounds fall along the order; those that may still matter are a prefix of it.
-            live = int(np.searchsorted(-bound[order], -(kth - 1e-9), "right"))
-            if live <= done:
-                break
-            upto = min(done + step, live) if len(sims) < k else live
-            d, s = self._exact(pairs, w, np.sort(order[done:upto]))
+        post, size = _ranges(self.first[pairs], self.first[pairs + 1])
+        return docs, part[docs] + np.bincount(self.rare_doc[post], weights=np.repeat(w, size) * self.rare_w[post], minlength=self.n)[docs]
+
+    def _exact(self, at: np.ndarray, w: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Similarities in double precision, from the examples' own vectors."""
+        q = self.scratch
+        q[at] = w
+        post, size = _ranges(self.own[docs], self.own[docs + 1])
+        out = np.bincount(np.repeat(np.arange(len(docs)), size), weights=q[self.own_term[post]] * self.own_w[post], minlength=len(docs))
+        q[at] = 0.0
+        return out
+
+    def parts(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The frequent terms' share of the similarities of some texts with all examples, in one product."""
+        q = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for i, (at, w) in enumerate(vectors):
+            rows = self.row[at]
+            q[i, rows[rows >= 0]] = w[rows >= 0]
+        return q @ self.dense
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int, without: int = -1, seen: list | None = None, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(similarities, examples) of the k most similar ones, best first, ties by example.
+
+        ``seen`` gets the number of blocks whose postings were read; ``part``
+        is the text's row of :meth:`parts`.
+        """
+        part = self.parts([(at, w)])[0] if part is None else part
+        rare = self.row[at] < 0
+        pairs, size = _ranges(self.pairs[at[rare]], self.pairs[at[rare] + 1])
+        by_pair, home = np.repeat(w[rare], size), self.block[pairs]
+        bound = part.reshape(self.blocks, BLOCK).max(axis=1, initial=0.0) + np.bincount(home, weights=by_pair * self.top[pairs], minlength=self.blocks)
+        # The most promising blocks, then all others whose bound reaches the k-th best so far.
+        todo, docs, sims = np.ones(self.blocks, bool), np.zeros(0, np.int64), np.zeros(0)
+        take = min(self.blocks, max(2, 4 * k // BLOCK + 1))
+        blocks = np.argpartition(-bound, take - 1)[:take] if take else np.zeros(0, np.int64)
+        done = 0
+        while len(blocks):
+            now = np.zeros(self.blocks, bool)
+            now[blocks] = True
+            todo &= ~now
+            own = now[home]
+            d, s = self._block_sims(part, pairs[own], by_pair[own], blocks)
             keep = d != without
-            docs, sims, done = np.concatenate([docs, d[keep]]), np.concatenate([sims, s[keep]]), upto
+            docs, sims, done = np.concatenate([docs, d[keep]]), np.concatenate([sims, s[keep]]), done + len(blocks)
+            kth = np.partition(sims, -k)[-k] if len(sims) >= k else -1.0
+            blocks = np.flatnonzero(todo & (bound >= kth - SLACK))
+        if seen is not None:
+            seen.append(done)
+        if len(sims) > k:  # single precision picks out, double precision decides
+            docs = docs[sims >= np.partition(sims, -k)[-k] - SLACK]
+        sims = self._exact(at, w, docs)
         best = np.lexsort((docs, -np.round(sims, 9)))[:k]
         return sims[best], docs[best]
 
@@ -215,7 +274,7 @@ class Model:
             at, _ = self.vectors.counts(term_counts(t))
             (yes if toxic else no)[at] += 1
         z = excess(yes, no, max(1, int(y.sum())), max(1, int((y == 0).sum())))
-        self.vectors.tells = (z > TELLS).tolist()
+        self.vectors.tells, self.vectors.known = (z > TELLS).tolist(), {}
         counts = [self.vectors.counts(term_counts(t)) for t in texts]
         rest = sum(len(at) > 0 and at[-1] == n_terms - 1 for at, _ in counts)
         df = np.append((yes + no)[:-1], rest)
@@ -225,7 +284,9 @@ class Model:
         plain = np.array([not len(at) for at, _ in vectors], dtype=bool)
         self.plain = float(y[plain].mean()) if plain.any() else float(y.mean()) if len(y) else 0.0
         self.a, self.b = 1.0, 0.0
-        votes = np.array([_vote(*self._near(at, w, i)) for i, (at, w) in enumerate(self._in_order(vectors)) if not plain[self.index.order[i]]])
+        learn = [i for i in range(len(vectors)) if not plain[self.index.order[i]]]
+        found = self._nearest([vectors[self.index.order[i]] for i in learn], learn)
+        votes = np.array([_vote(sims, self.index.y[docs]) for sims, docs in found])
         own = self.index.y[~plain[self.index.order]] if len(y) else y
         if len(own) and own.min() != own.max():
             s = self._odds(votes)
@@ -238,12 +299,14 @@ class Model:
                 a, b = np.array([a, b]) - np.linalg.solve(h, g)
             self.a, self.b = max(0.05, float(a)), float(b)
 
-    def _in_order(self, vectors):
-        return [vectors[i] for i in self.index.order]
-
-    def _near(self, at, w, without=-1):
-        sims, docs = self.index.nearest(at, w, NEIGHBOURS, without)
-        return sims, self.index.y[docs]
+    def _nearest(self, vectors: list, without: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The neighbours of each vector, a few texts multiplied at a time."""
+        out = []
+        for lo in range(0, len(vectors), TOGETHER):
+            some = vectors[lo : lo + TOGETHER]
+            for i, ((at, w), part) in enumerate(zip(some, self.index.parts(some), strict=True), lo):
+                out.append(self.index.nearest(at, w, NEIGHBOURS, without[i] if without else -1, part=part))
+        return out
 
     @staticmethod
     def _odds(vote):
@@ -251,31 +314,57 @@ class Model:
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """The calibrated score of a text and its (example, similarity) evidence."""
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """The calibrated score and the evidence of every text."""
         if self.empty:
-            return 0.0, []
-        at, w = self.vectors(term_counts(text))
-        if not len(at) or at[0] == len(self.terms):  # no word, or none that an example has
-            return self.plain, []
-        sims, docs = self.index.nearest(at, w, NEIGHBOURS)
-        s = self.a * self._odds(_vote(sims, self.index.y[docs])) + self.b
-        return float(1 / (1 + np.exp(-np.clip(s, -30, 30)))), [(int(self.index.order[d]), float(x)) for d, x in zip(docs, sims, strict=True)]
+            return [(0.0, [])] * len(texts)
+        vectors = [self.vectors(term_counts(t)) for t in texts]
+        # A text without words, or without one that an example has, has no neighbour.
+        some = [i for i, (at, _) in enumerate(vectors) if len(at) and at[0] != len(self.terms)]
+        out: list = [(self.plain, [])] * len(texts)
+        for i, (sims, docs) in zip(some, self._nearest([vectors[i] for i in some]), strict=True):
+            s = self.a * self._odds(_vote(sims, self.index.y[docs])) + self.b
+            out[i] = float(1 / (1 + np.exp(-np.clip(s, -30, 30)))), [(int(self.index.order[d]), float(x)) for d, x in zip(docs, sims, strict=True)]
+        return out
+
 
+class Packed:
+    """A pickled (model, ids) that unpickles, in a worker, as what it holds; the driver only passes the bytes on."""
+
+    def __init__(self, data: bytes):
+        self.data = data
+
+    def __reduce__(self):
+        return pickle.loads, (self.data,)
+
+    def open(self) -> tuple[Model, list]:
+        return pickle.loads(self.data)
+
+
+def fit(documents: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample: int = SAMPLE) -> Packed:
+    """The model of a bounded sample (at most ``sample`` rows, so one task) and the doc_ids of its examples."""
+
+    def run(it):
+        rows = sorted((r for b in it for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True)), key=lambda r: r[0])
+        model = Model([t for _, t, _ in rows], np.array([y for _, _, y in rows], dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((model, [d for d, _, _ in rows]))], pa.binary())})
 
-def fit(documents: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, sample: int = SAMPLE) -> tuple[Model, list]:
-    """The model of a bounded sample, and the doc_ids of its examples."""
-    got = training_sample(documents, labels, "toxic", modulus, held_out, sample).sort("doc_id").toArrow()  # at most `sample` rows
-    return Model(got.column("text").to_pylist(), got.column("y").to_numpy().astype(np.int64)), got.column("doc_id").to_pylist()
+    rows = training_sample(documents, labels, "toxic", modulus, held_out, sample).coalesce(1).mapInArrow(run, "model binary").collect()  # one row, or none without examples
+    return Packed(rows[0]["model"] if rows else pickle.dumps((Model([], np.zeros(0, np.int64)), [])))
 
 
-def scores(documents: DataFrame, model: Model, ids: list) -> DataFrame:
+def scores(documents: DataFrame, packed: Packed) -> DataFrame:
     """``documents``' doc_id with score and evidence, the nearest examples' (doc_id, similarity)."""
-    held = documents.sparkSession.sparkContext.broadcast((model, ids))
+    held = documents.sparkSession.sparkContext.broadcast(packed)
 
     def run(it):
         model, ids = held.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
         for b in it:
-            found = [model.score(b.column("text")[i].as_py()) for i in range(b.num_rows)]
+            texts = b.column("text")
+            found = [x for lo in range(0, b.num_rows, TOGETHER) for x in model.scores(texts[lo : lo + TOGETHER].to_pylist())]
             evidence = [[{"doc_id": ids[e], "similarity": s} for e, s in ev[:3]] for _, ev in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -285,20 +374,20 @@ def scores(documents: DataFrame, model: Model, ids: list) -> DataFrame:
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of ``documents``."""
-    model, ids = fit(documents, labels)
-    out = scores(documents, model, ids)
+    out = scores(documents, fit(documents, labels))
     return out.select("doc_id", (id_bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents``, all columns, that are not predicted toxic."""
-    model, _ = fit(documents, labels)
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
 
     def run(it):
+        model, _ = held.value
         for b in it:
-            texts = b.column("text").to_pylist()
-            yield b.filter(pa.array([held.value.score(t)[0] < THRESHOLD for t in texts], pa.bool_()))
+            texts = b.column("text")
+            found = [x for lo in range(0, b.num_rows, TOGETHER) for x in model.scores(texts[lo : lo + TOGETHER].to_pylist())]
+            yield b.filter(pa.array([s < THRESHOLD for s, _ in found], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -1,6 +1,7 @@
 """Language, scoring and classification operators: held-out results, brute force, defined cases."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -51,6 +52,57 @@ def test_language_backoff_and_defined_cases(spark):
     assert language.identify(d.limit(0), m).count() == 0
 
 
+def test_language_brute_force(spark):
+    """Words, then n-grams from the longest known: every text's winner and score from plain counts."""
+    rng = random.Random(12)
+    stock = {"en": ["the", "house", "garden", "and", "tree"], "de": ["das", "haus", "garten", "und", "baum"], "fr": ["la", "maison", "jardin", "et", "arbre"]}
+    rows = [(i, " ".join(rng.choices(stock[lang], k=rng.randint(1, 12))), lang) for i, lang in enumerate(rng.choices(list(stock), k=90))]
+    rows += [(200, "", "en"), (201, None, "de"), (202, "same same", None), (203, "Haus " * 30000, "de"), (204, rows[0][1], rows[0][2]), (204, rows[0][1], rows[0][2])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = [(t, lang) for i, t, lang in rows if lang is not None and bucket(i, 4) != 2]
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    cut = lambda w, n: [x[i : i + n] for x in [w if n == 1 else f"<{w}>"] for i in range(len(x) - n + 1)]
+    count = {n: Counter() for n in range(6)}
+    for t, lang in learn:
+        for w in words(t):
+            count[0][w, lang] += 1
+            for n in range(1, 6):
+                for g in cut(w, n):
+                    count[n][g, lang] += 1
+    langs = sorted({lang for _, lang in learn})
+    prior = Counter(lang for _, lang in learn)
+
+    def log(n, f, lang):
+        kinds = len({x for x, _ in count[n]})
+        return math.log((count[n][f, lang] + 0.5) / (sum(k for (_, la), k in count[n].items() if la == lang) + 0.5 * kinds + 1))
+
+    known = {n: {f for f, _ in count[n]} for n in count}
+
+    def score(t, lang):
+        total = math.log(prior[lang] / len(learn))
+        for w, times in Counter(words(t)).items():
+            if w in known[0]:
+                total += times * log(0, w, lang)
+                continue
+            for n in range(min(5, len(w) + 2), 0, -1):
+                own = [g for g in cut(w, n) if g in known[n]]
+                if own:
+                    total += times * sum(log(n, g, lang) for g in own) / len(own)
+                    break
+        return total
+
+    texts = [t for _, t, _ in rows[:30]] + [None, "", "123", "hausgarden", "xyzzy", "Tree und jardin", "das la the", "maisonhaus ½"]
+    m = language.fit(d)
+    for t in texts:
+        got, share = m.predict(t)
+        if not any(c.isalpha() for c in t or ""):
+            assert (got, share) == ("und", 0.0)
+            continue
+        by = [score(t, lang) for lang in langs]
+        best = max(range(len(langs)), key=lambda i: (round(by[i], 9), -i))
+        assert got == langs[best] and abs(share - 1 / sum(math.exp(x - by[best]) for x in by)) < 1e-9
+
+
 def test_base_score_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["the", "The", "cat", "dög", "x\ty"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "new words only here", "b " * 40000]
@@ -119,6 +171,28 @@ def test_quality_defined_cases(spark):
     assert quality.classify(d.limit(0), lab).count() == 0
 
 
+def test_pairwise_quality_brute_force():
+    """The weights minimise the stated loss, the cut is the quantile, the score is 0.3 at the cut."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 5))
+    y = (x @ np.array([2.0, -1.0, 0.0, 0.5, 0.0]) + rng.normal(size=400) > 0.4).astype(int)
+    m = quality.fit(x, y)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    few, many, sign = (np.flatnonzero(y == 0), np.flatnonzero(y == 1), -1.0) if (y == 0).sum() <= (y == 1).sum() else (np.flatnonzero(y == 1), np.flatnonzero(y == 0), 1.0)
+    i = np.repeat(few, quality.PAIRS_EACH)
+    d = sign * (z[i] - z[np.random.default_rng(7).choice(many, len(i))])
+    loss = lambda w: sum(math.log1p(math.exp(-float(v @ w))) for v in d) + 0.001 * len(d) * float(w @ w)
+    least = loss(m["w"])
+    for j in range(5):
+        for step in (0.01, -0.01):
+            assert loss(m["w"] + step * np.eye(5)[j]) > least
+    s = z @ m["w"]
+    assert abs(m["cut"] - np.quantile(s, (y == 0).mean())) < 1e-9
+    p = quality.score(m, x)
+    assert ((p >= quality.THRESHOLD) == (s >= m["cut"] - 1e-12)).all() and (np.argsort(p, kind="stable") == np.argsort(s, kind="stable")).all()
+    assert np.mean((p >= quality.THRESHOLD) == y) > 0.85
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(4)
     words = ["bad", "worse", "fine", "nice", "sky", "sea", "tree", "rock"]
@@ -135,6 +209,28 @@ def test_nearest_examples_are_exact():
             assert np.allclose(m.index.nearest(at, w, k)[0], np.sort(x @ q)[::-1][:k])
 
 
+def test_nearest_examples_ties_and_frequent_terms():
+    rng = random.Random(8)
+    common = [a + b for a in ("sky", "sea", "tree", "rock", "sand") for b in ("", "ly", "er", "ing", "ment")]
+    texts = [" ".join([*rng.sample(common, 12), f"own{chr(97 + i % 26)}{chr(97 + i % 23)}", *(["idiot"] if i % 10 == 0 else [])]) for i in range(500)]
+    texts += texts[:100]  # equal texts, so equal similarities
+    y = np.array([int("idiot" in t) for t in texts])
+    m = toxicity.Model(texts, y)
+    assert 0 < len(m.index.dense) < len(m.terms)  # both kinds of terms take part
+    x = np.zeros((m.index.n, len(m.terms) + 1))
+    x[m.index.doc, m.index.term] = m.index.w
+    for t in texts[::7] + ["sky idiot", "ownab unheard", "sea"]:
+        at, w = m.vectors(toxicity.term_counts(t))
+        q = np.zeros(x.shape[1])
+        q[at] = w
+        sims = x @ q
+        want = np.lexsort((np.arange(m.index.n), -np.round(sims, 9)))[:15]
+        got = m.index.nearest(at, w, 15)
+        assert got[1].tolist() == want.tolist() and np.allclose(got[0], sims[want])
+        again = pickle.loads(pickle.dumps(m.index)).nearest(at, w, 15)
+        assert again[1].tolist() == want.tolist()
+
+
 def test_toxicity_rare_telling_words():
     rng = random.Random(5)
     words = [a + b for a in ("sky", "sea", "tree", "rock", "sand") for b in ("", "ly", "er", "ing", "ment")]
