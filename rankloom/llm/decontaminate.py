@@ -12,8 +12,9 @@ Everything is DataFrame expressions; no Python code runs on executors.
 
 Defined cases: null and empty texts have no words and give zero counts; an
 item without words has no window; equal windows of several items, repeated
-items and repeated document rows each give their own result; further columns
-of either table are ignored.
+items and repeated document rows each give their own result; a row with a null
+doc_id is checked like any other; an item with a null item_id hits words but is
+not counted or listed; further columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -47,9 +48,16 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return ws.groupBy("w").agg(F.collect_set("item_id").alias("item_ids")).withColumn("len", F.size("w"))
 
 
-def decontaminate(documents: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
+def clean_rows(documents: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5) -> DataFrame:
+    """The rows of ``documents``, all columns, that hold no window of an item."""
+    found = decontaminate(documents, items, window, shingle, F.struct(*[F.col(f"`{c}`") for c in documents.columns]))
+    return found.filter("not contaminated").select("carried.*")
+
+
+def decontaminate(documents: DataFrame, items: DataFrame, window: int = 10, shingle: int = 5, carry: Column | None = None) -> DataFrame:
     """One row per document row: (doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated, item_ids, hit_spans); ``hit_spans`` are the (start, len) of the occurrences."""
+    contaminated, item_ids, hit_spans); ``hit_spans`` are the (start, len) of the
+    occurrences. ``carry``, a column of ``documents``, comes along as ``carried``."""
     docs = documents.select("doc_id", "text")
     wins = settle(item_windows(items, window))
     # Shingles of a window shorter than `shingle` words are the window itself.
@@ -79,12 +87,15 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = 10, shin
         hits = hits.filter((start >= 0) & (start + F.col("len") <= F.col("n")))
         cands = hits.groupBy("doc_id").agg(F.collect_set(F.struct(start.alias("start"), "w", "item_ids")).alias("cands"))
         cands = settle(cands)
-    found = tokens.join(maybe_broadcast(cands, 4096), "doc_id", "left")
+    cands = maybe_broadcast(cands.withColumnRenamed("doc_id", "id"), 4096)
+    carried = [] if carry is None else ["carried"]
+    rows = tokens if carry is None else documents.select("doc_id", words(F.col("text")).alias("toks"), carry.alias("carried"))
+    found = rows.join(cands, F.col("doc_id").eqNullSafe(F.col("id")), "left")
     toks = F.col("toks")
     same = lambda c: F.slice(toks, c["start"] + 1, F.size(c["w"])) == c["w"]
-    found = found.select("doc_id", F.size("toks").cast("long").alias("n_words"), F.filter("cands", same).alias("hits"))
+    found = found.select("doc_id", F.size("toks").cast("long").alias("n_words"), F.filter("cands", same).alias("hits"), *carried)
     spans = F.array_sort(F.array_distinct(F.transform("hits", lambda c: F.struct(c["start"].alias("start"), F.size(c["w"]).alias("len")))))
-    found = found.select("doc_id", "n_words", spans.alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["item_ids"])))).alias("item_ids"))
+    found = found.select("doc_id", "n_words", spans.alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda c: c["item_ids"])))).alias("item_ids"), *carried)
     union = F.aggregate(
         "hit_spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
@@ -99,7 +110,7 @@ def decontaminate(documents: DataFrame, items: DataFrame, window: int = 10, shin
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
-        ids.alias("item_ids"), F.coalesce("hit_spans", F.array().cast("array<struct<start:int,len:int>>")).alias("hit_spans"),
+        ids.alias("item_ids"), F.coalesce("hit_spans", F.array().cast("array<struct<start:int,len:int>>")).alias("hit_spans"), *carried,
     )
 
 
@@ -121,7 +132,7 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
      h AS (SELECT g.doc_id, g.s, g.l, win.item_id FROM g JOIN win ON g.win = win.win AND g.l = win.l),
      p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
            FROM (SELECT DISTINCT doc_id, unnest(range(s, s + l)) AS pos FROM h) GROUP BY doc_id),
-     i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+     i AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
            FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(i.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(i.ids, '')) AS items_sha256,

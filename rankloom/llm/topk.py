@@ -62,9 +62,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 def _scores(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Exact integer products; by floating point while all sums stay exact in it."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * q.shape[1]
+    near = q.astype(np.float64) @ m.T.astype(np.float64)
     if most < 2**52:
-        return (q.astype(np.float64) @ m.T.astype(np.float64)).astype(np.int64)
-    return q @ m.T
+        return near.astype(np.int64)
+    if np.abs(near).max(initial=0) >= 2**61:
+        raise OverflowError("the inner product of two vectors is beyond 61 bits; scale the components down")
+    return q @ m.T  # partial sums may wrap, the result does not
 
 
 def _batches(it: Iterator[pa.RecordBatch], q_ids: np.ndarray, q: np.ndarray):

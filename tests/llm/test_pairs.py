@@ -53,6 +53,19 @@ def test_decontamination_brute_force(spark):
     assert sum(x[-1] for x in want) >= 5
 
 
+def test_decontamination_null_ids(spark):
+    words = " ".join(f"w{i}" for i in range(14))
+    docs = [(None, words), (None, "clean text"), (1, words + " more"), (None, None), (2, "x " + words), (2, "clean again")]
+    d = spark.createDataFrame([(*r, 7, "t") for r in docs], "doc_id long, text string, id long, carried string")
+    b = spark.createDataFrame([(None, words), (5, "w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")], "item_id long, text string")
+    got = decontaminate.decontaminate(d, b).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 14, 14, 1, True), (None, 2, 0, 0, False), (1, 15, 14, 1, True), (None, 0, 0, 0, False), (2, 15, 14, 1, True), (2, 2, 0, 0, False)], key=str)
+    kept = decontaminate.clean_rows(d, b)
+    assert kept.columns == d.columns and sorted(str(r["text"]) for r in kept.collect()) == ["None", "clean again", "clean text"]
+    nobody = decontaminate.decontaminate(d, b.filter("item_id is null")).filter("contaminated").select("n_items", "items_sha256").collect()
+    assert len(nobody) == 3 and all(r["n_items"] == 0 and r["items_sha256"] == hashlib.sha256(b"").hexdigest() for r in nobody)
+
+
 def test_decontamination_empty_tables(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     b = spark.createDataFrame([], "item_id long, text string")
@@ -184,6 +197,17 @@ def test_top_k_brute_force(spark, block):
     assert got == op4_brute(usable, 10, 5)
 
 
+def test_top_k_large_components(spark):
+    rows = [(50 * i, [1.5e6 * (i + 1), -3.1e5 * i, 7.0]) for i in range(4)] + [(i, [2.0e6 - i, 1.0, -5.5e5]) for i in range(1, 9)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(d)
+    got = sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 50 = 0"), 5).collect()))
+    assert got == op4_brute({i: [int(np.floor(256 * x)) for x in e] for i, e in rows}, 50, 5)
+    far = topk.integer_vectors(spark.createDataFrame([(0, [3e15]), (1, [3e15])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="beyond 61 bits"):
+        topk.top_k(far, far.filter("vec_id = 0"), 5).collect()
+
+
 def test_top_k_few_rows(spark):
     d = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [1.0, 2.0]), (50, [3e9, 1e9])], "vec_id long, embedding array<double>")
     v = topk.integer_vectors(d)
