@@ -58,6 +58,7 @@ _CHROME_NAME = re.compile(
 )
 _OUTER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|footer|foot|legal|side|aside|rail)(?=$|[\s_-])", re.I)
 _INLINE_AD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*)(?=$|[\s_-])", re.I)
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|have|with|without|no|is|not|hide|show)[-_][\w-]*", re.I)  # names that tell of something else: has-sidebar
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CONTENT_NAME = re.compile(r"^(?:article|main|content|main-?content|article-?(?:body|content|text)|post-?(?:body|content|text)?|entry-?(?:body|content|text)?|story-?(?:body|text)?|body-?text)$", re.I)
 
@@ -73,7 +74,7 @@ def _zone(tag: str, attributes: str, outer: int) -> int:
     role = _ROLES.get(found.get("role", "").lower())
     if role is not None:
         return role
-    names = _CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}".strip())
+    names = _STATE.sub("", _CAMEL.sub("-", f"{found.get('class', '')} {found.get('id', '')}")).strip()
     if names and tag not in ("html", "body", "article", "main"):
         if tag in _INLINE:
             return CHROME if _INLINE_AD.search(names) else outer

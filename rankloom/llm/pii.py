@@ -53,21 +53,29 @@ for _zero in (0x0660, 0x06F0, 0x0966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F
 _GLYPHS |= {ord(c): "" for c in _HIDDEN}
 _GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, _GLYPHS))) + "]")
 
-_NUMBER = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_WORD = "(?:" + "|".join(_NUMBER) + ")"
-_DIGIT = rf"(?:{_WORD}|[0-9]++)(?![A-Za-z])"
+# Digits and signs in English, French, German and Spanish.
+_NUMBER = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+_PLUS = ("plus", "más")
+_WORD = "(?:" + "|".join(sorted(_NUMBER, key=len, reverse=True)) + ")"
+_DIGIT = rf"(?:{_WORD}|[0-9]++)(?![A-Za-zÀ-ÿ])"
 _GAP = r"[\s,.()-]{1,4}"
 _POINT = "(?:dot|point|punkt|punto)"
+_AT_WORD = "(?:at|arroba|arobase)"
 #: Digits, spelled or not, with "dot" or full stops between them and "plus" before them.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:plus{_GAP})?{_DIGIT}(?:{_GAP}(?:{_POINT}{_GAP})?{_DIGIT})++", re.I)
-_TOKEN = re.compile(rf"plus|{_POINT}|{_WORD}|[0-9]++", re.I)
+_SPELLED = re.compile(rf"(?<![A-Za-zÀ-ÿ0-9])(?:(?:{'|'.join(_PLUS)}){_GAP})?{_DIGIT}(?:{_GAP}(?:{_POINT}{_GAP})?{_DIGIT})++", re.I)
+_TOKEN = re.compile(rf"{'|'.join(_PLUS)}|{_POINT}|{_WORD}|[0-9]++", re.I)
 _OPEN, _CLOSE = r"(?:(?<!\s)\s{1,4})?[\[({<]\s{0,4}", r"\s{0,4}[\])}>]\s{0,4}"
-_SIGN = re.compile(rf"{_OPEN}(?:(at|@)|(dot|punkt|point|punto|\.)){_CLOSE}", re.I)
+_SIGN = re.compile(rf"{_OPEN}(?:({_AT_WORD}|@)|({_POINT}|\.)){_CLOSE}", re.I)
 #: name at host dot tld: a bare "at" counts only before a tail with a disguised dot.
-_AT = re.compile(r"(?<=[A-Za-z0-9_%+-])(?:\s++at\s++|\s*+@\s*+)(?=[A-Za-z0-9-])", re.I)
+_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:\s++{_AT_WORD}\s++|\s*+@\s*+)(?=[A-Za-z0-9-])", re.I)
 _LABEL = r"[A-Za-z0-9-]++"
-_TAIL = re.compile(rf"{_LABEL}(?:(?:\s++dot\s++|\.){_LABEL})++", re.I)
-_DOT = re.compile(rf"(\s++dot\s++|\.)({_LABEL})", re.I)
+_TAIL = re.compile(rf"{_LABEL}(?:(?:\s++{_POINT}\s++|\.){_LABEL})++", re.I)
+_DOT = re.compile(rf"(\s++{_POINT}\s++|\.)({_LABEL})", re.I)
 _TLD = re.compile(r"[A-Za-z]{2,24}")
 
 
@@ -173,7 +181,7 @@ def _spelled(t: str, stops: bool) -> list[tuple[int, int, str]]:
         for k, w in enumerate(tokens):  # a digit each, so that every digit keeps its own source span
             name = w[0].lower()
             if not name[0].isdigit():
-                out.append((w.start(), w.end(), "+" if name == "plus" else _NUMBER.get(name, ".")))
+                out.append((w.start(), w.end(), "+" if name in _PLUS else _NUMBER.get(name, ".")))
             if k + 1 < len(tokens):
                 gap, after = t[w.end() : tokens[k + 1].start()], tokens[k + 1][0].lower()
                 digits = all(x in _NUMBER or x[0].isdigit() for x in (name, after))
@@ -199,6 +207,7 @@ def _bare(tape: _Tape) -> list[tuple[int, int, str]]:
     return [(a, b, new) for a, b, new in out if t[a:b] != new]
 
 
+_POINTS = ("dot", "point", "punkt", "punto")
 _GLYPH_SET = frozenset(map(chr, _GLYPHS))
 
 
@@ -209,10 +218,10 @@ def _readings(t: str) -> list[_Tape]:
     low = tape.text.lower()
     if any(c in tape.text for c in "[({<"):
         tape.rewrite(_signs(tape.text))
-    if "dot" in low or len(tape.runs) > 1:
+    if any(w in low for w in _POINTS) or len(tape.runs) > 1:
         tape.rewrite(_bare(tape))
     out = [tape]
-    if any(w in low for w in (*_NUMBER, "plus", "dot", "point", "punkt", "punto")):
+    if any(w in low for w in _NUMBER):
         edits = [_spelled(tape.text, stops) for stops in (False, True)]
         for e in edits if edits[0] != edits[1] else edits[:1]:
             if e:

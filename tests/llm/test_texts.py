@@ -38,6 +38,12 @@ def test_marked_page():
     assert pagetext.main_text(pagetext.blocks("<article><p>x < 3 <p"), None) == "x < 3"
 
 
+def test_state_names_hide_nothing():
+    page = '<body class="has-sidebar"><div class="page with-sidebar no_banner isHidden"><article><p>kept</p></article><div class="sidebar">gone</div></div></body>'
+    assert pagetext.main_text(pagetext.blocks(page), None) == "kept"
+    assert pagetext.main_text(pagetext.blocks('<div class="has-ads sidebar"><article><p>gone</p></article></div><main><p>kept</p></main>'), None) == "kept"
+
+
 def test_unmarked_pages_lose_shared_lines():
     page = lambda i: pagetext.blocks(f"<div>Home</div><div>Story {i}</div><p>text {i}</p><div>Bye</div>")
     assert pagetext.main_text(page(1), page(2)) == "Story 1 text 1"
@@ -158,6 +164,13 @@ def test_disguises(text, found):
     ("call +1 five five five (010) 99 nine nine today", ["+1 five five five (010) 99 nine nine"]),
     ("card 4111 1111 one one one one 1111 ok", ["4111 1111 one one one one 1111"]),
     ("call plus\tone  five five\nfive zero one two three four", ["plus\tone  five five\nfive zero one two three four"]),
+    ("écrivez à jean arobase exemple point fr merci", ["jean arobase exemple point fr"]),
+    ("schreibt an uwe at beispiel punkt de heute", ["uwe at beispiel punkt de"]),
+    ("escribe a ana (arroba) ejemplo (punto) es hoy", ["ana (arroba) ejemplo (punto) es"]),
+    ("appelez plus trois trois un deux trois quatre cinq six sept huit neuf ce soir", ["plus trois trois un deux trois quatre cinq six sept huit neuf"]),
+    ("llama más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho ya", ["más tres cuatro nueve uno dos tres cuatro cinco seis siete ocho"]),
+    ("Rechner zehn eins neun zwei punkt eins sechs acht punkt null punkt fünf hier", ["eins neun zwei punkt eins sechs acht punkt null punkt fünf"]), ("Rechner 10 punkt null punkt null punkt fünf hier", ["10 punkt null punkt null punkt fünf"]),
+    ("un jour, deux fois, trois points", []), ("a un punto dos", []), ("neuf.", []),
     ("look at example.com, a polka dot, one 2 three", []), ("version 2 dot one", []), ("six seventy 2 dot 3 dot 4 dot 5x", []),
 ])
 def test_mixed_disguises(text, found):
