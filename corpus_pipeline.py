@@ -14,14 +14,20 @@ from rankloom.llm.common import maybe_broadcast, settle, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go; it learns from ``labels``."""
+    """Documents that the toxicity classifier rejects go; it learns from ``labels``.
+
+    Null and empty texts and texts without a word of an example get the share
+    of toxic ones among such examples; without labels all rows stay. Rows with
+    null or repeated ids and extra columns stay as they are.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays.
 
-    Rows with a null doc_id are in no group and stay; a repeated row stays once.
+    Rows with a null doc_id are in no group and stay; a repeated row stays once;
+    null and empty texts are like nothing else.
     """
     groups = settle(near_dup.near_duplicates(docs, shingle=5, percent=80).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")))
     gone = groups.filter("not kept").select("doc_id")
@@ -32,13 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten words of a benchmark item go."""
-    hit = settle(decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id"))
-    return docs.join(maybe_broadcast(hit, 16), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold a window of ten words of a benchmark item go, whatever their id; null and empty texts stay."""
+    return decontaminate.clean_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind; ``n_chars`` follows the text."""
+    """Personal data in the texts is replaced by its kind; ``n_chars`` follows the text; a null text stays null."""
     out = pii.redact(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -46,7 +51,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_chars, n_pieces, scores, ids_sha256, round_trip) of every text."""
+    """(doc_id, n_chars, n_pieces, scores, ids_sha256, round_trip) of every row; null texts have no pieces."""
     return subwords.digests(docs)
 
 
