@@ -198,7 +198,7 @@ def test_top_k_brute_force(spark, block):
 
 
 def test_top_k_large_components(spark):
-    rows = [(50 * i, [1.5e6 * (i + 1), -3.1e5 * i, 7.0]) for i in range(4)] + [(i, [2.0e6 - i, 1.0, -5.5e5]) for i in range(1, 9)]
+    rows = [(50 * i, [1.0e6 * (i + 1), -3.1e5 * i, 7.0]) for i in range(4)] + [(i, [2.0e6 - i, 1.0, -5.5e5]) for i in range(1, 9)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     v = topk.integer_vectors(d)
     got = sorted(map(tuple, topk.top_k(v, v.filter("vec_id % 50 = 0"), 5).collect()))
