@@ -18,7 +18,8 @@ Nothing is sampled and no task holds more than its own batch of scores.
 Defined cases: null vectors and vectors with null or non-finite components
 take no part; a repeated vec_id counts once, with its smallest vector; missing
 trailing components of a shorter vector count as 0; a query with fewer than k
-candidates returns all of them; an empty table returns no rows.
+candidates returns all of them; an empty table returns no rows; a score beyond
+61 bits (components of some 10^6) is an error.
 """
 
 from __future__ import annotations
@@ -59,13 +60,13 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _scores(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point while all sums stay exact in it."""
+def _scores(q: np.ndarray, m: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    """Exact integer products; by floating point while all sums stay exact in it. A candidate's score has at most 61 bits."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(m).max(initial=0)) * q.shape[1]
     near = q.astype(np.float64) @ m.T.astype(np.float64)
     if most < 2**52:
         return near.astype(np.int64)
-    if np.abs(near).max(initial=0) >= 2**61:
+    if (np.abs(near[ok]) >= 2**61).any():
         raise OverflowError("the inner product of two vectors is beyond 61 bits; scale the components down")
     return q @ m.T  # partial sums may wrap, the result does not
 
@@ -77,8 +78,8 @@ def _batches(it: Iterator[pa.RecordBatch], q_ids: np.ndarray, q: np.ndarray):
         for at in range(0, b.num_rows, step):
             part = b.slice(at, step)
             ids = part.column("vec_id").to_numpy(zero_copy_only=False)
-            s = _scores(q, _matrix(part.column("v"), q.shape[1]))
-            yield ids, s, ids[None, :] != q_ids[:, None]
+            ok = ids[None, :] != q_ids[:, None]
+            yield ids, _scores(q, _matrix(part.column("v"), q.shape[1]), ok), ok
 
 
 def _bounds(rows: DataFrame, bc) -> DataFrame:
