@@ -3,9 +3,9 @@
 Input: ``(variant, method, metric, value)`` as written by the experiment
 (M9/M10), possibly with ``qid`` or parameter columns; it grows with
 methods x parameters x topics, so every step is a DataFrame job. Windows
-are partitioned by ``(variant, metric)``; only the comparison across
-methods within one partition is global to it, and a partition holds one
-row per method.
+are partitioned by ``(*keys, metric)``, ``keys`` being the wording unless a
+table per topic or parameter needs more; a partition holds one row per
+method.
 """
 
 from __future__ import annotations
@@ -67,30 +67,29 @@ def unpivot_metrics(wide: DataFrame, metrics, ids=("variant", "method")) -> Data
     return wide.unpivot(list(ids), [f"`{m}`" for m in metrics], "metric", "value")
 
 
-def minmax_across_methods(long: DataFrame) -> DataFrame:
-    """(v - min) / (max - min) across methods per (variant, metric); 0/0 is NULL."""
-    w = Window.partitionBy("variant", "metric")
+def minmax_across_methods(long: DataFrame, keys=("variant",)) -> DataFrame:
+    """(v - min) / (max - min) across methods per (*keys, metric); 0/0 is NULL."""
+    w = Window.partitionBy(*keys, "metric")
     mn, mx = F.min("value").over(w), F.max("value").over(w)
     return long.withColumn("norm_value", F.try_divide(F.col("value") - mn, mx - mn))
 
 
-def rank_methods(long: DataFrame) -> DataFrame:
-    """1 = best per (variant, metric); ties share the average of their ranks."""
-    w = Window.partitionBy("variant", "metric").orderBy(F.col("value").desc())
-    peers = Window.partitionBy("variant", "metric", "value")
+def rank_methods(long: DataFrame, keys=("variant",)) -> DataFrame:
+    """1 = best per (*keys, metric); ties share the average of their ranks."""
+    w = Window.partitionBy(*keys, "metric").orderBy(F.col("value").desc())
+    peers = Window.partitionBy(*keys, "metric", "value")
     return long.withColumn("rank", F.rank().over(w).cast("double")
                            + (F.count(F.lit(1)).over(peers) - 1) / F.lit(2.0))
 
 
-def pct_vs_baseline(long: DataFrame, baseline: str = BASELINE, metrics=None) -> DataFrame:
+def pct_vs_baseline(long: DataFrame, baseline: str = BASELINE, metrics=None, keys=("variant",)) -> DataFrame:
     """Percent change of every method against the baseline row.
 
-    A join of the long table with its own baseline rows on (variant,
-    metric) -- one row per key on the baseline side.
+    A join of the long table with its own baseline rows on (*keys, metric)
+    -- one row per key on the baseline side.
     """
-    base = long.filter(F.col("method") == baseline).select(
-        "variant", "metric", F.col("value").alias("base_value"))
-    out = long.join(base, ["variant", "metric"])
+    base = long.filter(F.col("method") == baseline).select(*keys, "metric", F.col("value").alias("base_value"))
+    out = long.join(base, [*keys, "metric"])
     if metrics is not None:
         out = out.filter(F.col("metric").isin(list(metrics)))
     return out.withColumn("pct", F.try_divide(F.col("value") - F.col("base_value"),
@@ -103,10 +102,9 @@ def clean_names(df: DataFrame, baseline: str = BASELINE) -> DataFrame:
     return df.filter(F.col("method") != baseline).withColumn("method", name)
 
 
-def improvements(long: DataFrame, metrics=QUALITY_METRICS, baseline: str = BASELINE) -> DataFrame:
-    """``(variant, method, metric, pct)`` for the non-baseline methods."""
-    return clean_names(pct_vs_baseline(long, baseline, metrics), baseline).select(
-        "variant", "method", "metric", "pct")
+def improvements(long: DataFrame, metrics=QUALITY_METRICS, baseline: str = BASELINE, keys=("variant",)) -> DataFrame:
+    """``(*keys, method, metric, pct)`` for the non-baseline methods."""
+    return clean_names(pct_vs_baseline(long, baseline, metrics, keys), baseline).select(*keys, "method", "metric", "pct")
 
 
 def with_response_time(imp: DataFrame, mrt: DataFrame) -> DataFrame:
@@ -122,8 +120,8 @@ def quality_vs_cost(long: DataFrame, mrt: DataFrame, metric: str = "nDCG@10") ->
         .orderBy("variant", F.col("quality").desc(), "method")
 
 
-def metric_by_variant(long: DataFrame, metric: str, methods: DataFrame) -> DataFrame:
-    """``(method, title, description, narrative)`` for the methods in ``methods``."""
+def metric_by_variant(long: DataFrame, metric: str, methods: DataFrame, keys=()) -> DataFrame:
+    """``(*keys, method, title, description, narrative)`` for the methods in ``methods``."""
     present = long.join(methods.select("method").distinct(), "method", "left_semi")
     return (present.filter(F.col("metric") == metric)
-            .groupBy("method").pivot("variant", list(VARIANT_ORDER)).agg(F.first("value")))
+            .groupBy(*keys, "method").pivot("variant", list(VARIANT_ORDER)).agg(F.first("value")))

@@ -50,3 +50,4 @@ from . import q_analysis  # noqa: E402,F401
 from . import q_more  # noqa: E402,F401
 from . import q_vectors  # noqa: E402,F401
 from . import q_feedback  # noqa: E402,F401
+from . import q_pages  # noqa: E402,F401

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
-from ..operators import lexical
 from ..sources import results as R
 from . import methods as M
 from . import sql as Q
@@ -187,24 +186,20 @@ UNION ALL SELECT 'postings', (SELECT count(*) FROM (SELECT DISTINCT docno, t FRO
     (SELECT docno, unnest({Q.tok('text')}) AS t FROM prepared) x) y)::BIGINT
 UNION ALL SELECT 'bm25_top100', (SELECT count(*) FROM bm25)::BIGINT""")
 def s6_counts(spark, sf_dir):
-    w = ws(spark, sf_dir)
-    return R.profile({"documents": w.table("documents"), "topics": w.topics, "qrels": w.qrels,
-                      "postings": lexical.postings(w.prepared), "bm25_top100": w.bm25(100)})
+    return ws(spark, sf_dir).counts()
 
 
 @register("s7_s8_results_json", W(*MT) + "SELECT variant, method, metric, value FROM mt")
 def s7_s8_results_json(spark, sf_dir):
     path = R.scratch_path(spark, "results-json")
-    R.write_results_json(_long(spark, sf_dir), path)
+    R.write_results_json(_long(spark, sf_dir), path, "results")
     return R.read_results_json(spark, path).select("variant", "method", "metric", "value")
 
 
 @register("s9_materialized_bm25", W(*Q.BASE, Q.bm25_ctes(depth=100))
           + "SELECT variant, qid, docno, round(score, 6) AS score, rank FROM bm25")
 def s9_materialized_bm25(spark, sf_dir):
-    w = ws(spark, sf_dir)
-    stored = R.materialize(w.bm25(100), "bm25", (*w.state("documents", "benchmark"), 100, lexical.BM25Params()))
-    return rounded(stored)
+    return rounded(ws(spark, sf_dir).stored_run)
 
 
 _tsv_cols = ", ".join(f"max(CASE WHEN metric = '{m}' THEN value END) AS \"{m}\"" for m in EXP_METRICS)

@@ -22,7 +22,7 @@ def s3_topics(spark, sf_dir):
 
 @register("s5_qrels", W(Q.QRELS) + "SELECT qid, docno, rel FROM qrels")
 def s5_qrels(spark, sf_dir):
-    return ws(spark, sf_dir).qrels
+    return ws(spark, sf_dir).judged()
 
 
 @register("p1_prepared_text", W(Q.CORPUS, Q.PREPARED) + "SELECT docno, text FROM prepared")

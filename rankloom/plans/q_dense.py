@@ -29,7 +29,7 @@ def hashed_sql(name: str, src: str, keys: str, text: str = "text") -> str:
 {name}_norm AS (SELECT {keys}, sqrt(sum(value * value)) AS norm FROM {name} GROUP BY {keys})"""
 
 
-CAND = """cand AS (
+CAND = """cand AS MATERIALIZED (
   SELECT b.variant, b.qid, b.docno, b.score, b.rank, t.query,
          coalesce(nullif(k.abstract, ''), nullif(k.title, ''), '') AS text
   FROM bm25 b JOIN topics t ON t.variant = b.variant AND t.qid = b.qid
@@ -37,7 +37,7 @@ CAND = """cand AS (
 
 CAND_BASE = (*Q.BASE, Q.bm25_ctes(depth=100), CAND)
 
-VEC_SCORES = f"""cdocs AS (SELECT DISTINCT docno, text FROM cand),
+VEC_SCORES = f"""cdocs AS MATERIALIZED (SELECT DISTINCT docno, text FROM cand),
 {hashed_sql('dv', 'cdocs', 'docno')},
 {hashed_sql('qv', 'topics', 'variant, qid', 'query')},
 dotp AS (
@@ -45,7 +45,7 @@ dotp AS (
   FROM cand c JOIN qv q ON q.variant = c.variant AND q.qid = c.qid
   JOIN dv d ON d.docno = c.docno AND d.dim = q.dim
   GROUP BY c.variant, c.qid, c.docno),
-vscored AS (
+vscored AS MATERIALIZED (
   SELECT c.*, coalesce(p.dp, 0.0) AS dotv,
          CASE WHEN qn.norm > 0 AND dn.norm > 0 THEN coalesce(p.dp, 0.0) / (qn.norm * dn.norm) ELSE 0.0 END AS cosv
   FROM cand c
@@ -85,14 +85,15 @@ LATE = f"""qcl AS (
   SELECT variant, qid, unnest({_codes(Q.tok('query'))}) AS code,
          generate_subscripts({_codes(Q.tok('query'))}, 1) AS qpos
   FROM topics),
-dcl AS (SELECT DISTINCT docno, unnest({_codes(Q.tok('text'))}) AS code FROM (SELECT DISTINCT docno, text FROM cand) x),
+dcl AS MATERIALIZED (SELECT DISTINCT docno, unnest({_codes(Q.tok('text'))}) AS code FROM (SELECT DISTINCT docno, text FROM cand) x),
 dstat AS (SELECT docno, count(DISTINCT code // 2) AS nb, min(code // 2) AS b0 FROM dcl GROUP BY docno),
 li_parts AS (
   SELECT c.variant, c.qid, c.docno,
-         CASE WHEN EXISTS (SELECT 1 FROM dcl d WHERE d.docno = c.docno AND d.code = q.code) THEN 1.0::DOUBLE
+         CASE WHEN d.code IS NOT NULL THEN 1.0::DOUBLE
               WHEN s.nb > 1 OR s.b0 <> q.code // 2 THEN 0.0::DOUBLE ELSE -1.0::DOUBLE END AS v
   FROM cand c JOIN qcl q ON q.variant = c.variant AND q.qid = c.qid
-  JOIN dstat s ON s.docno = c.docno),
+  JOIN dstat s ON s.docno = c.docno
+  LEFT JOIN dcl d ON d.docno = c.docno AND d.code = q.code),
 li_sum AS (SELECT variant, qid, docno, sum(v) AS li FROM li_parts GROUP BY variant, qid, docno),
 li_scored AS (
   SELECT c.*, coalesce(l.li, 0.0::DOUBLE) AS li_score FROM cand c

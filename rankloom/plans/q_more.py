@@ -71,6 +71,16 @@ def p10_length_limits(spark, sf_dir):
                     F.length(textprep.truncate_chars("text", 4096)).cast("long").alias("n_chars_4096"))
 
 
+@register("p10_cut_texts", W(*Q.BASE[:2]) + f"""
+SELECT docno, md5(array_to_string({Q.tok('text')}[1:512], ' ')) AS tokens_512, md5(substr(text, 1, 4096)) AS chars_4096,
+       md5(substr(text, 1, 2048)) AS chars_2048 FROM prepared""")
+def p10_cut_texts(spark, sf_dir):
+    """The cut texts themselves, as hashes."""
+    p = ws(spark, sf_dir).prepared
+    return p.select("docno", F.md5(F.array_join(textprep.truncate_tokens("text", 512), " ")).alias("tokens_512"),
+                    *[F.md5(textprep.truncate_chars("text", n)).alias(f"chars_{n}") for n in (4096, 2048)])
+
+
 @register("p10_query_token_limit", W(Q.TOPICS) + f"""
 SELECT variant, qid, len({Q.tok('query')}[1:36])::BIGINT AS n_tokens_36 FROM topics""")
 def p10_query_token_limit(spark, sf_dir):

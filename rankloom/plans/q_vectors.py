@@ -15,6 +15,7 @@ from ..operators import evaluate as ev
 from . import methods as M
 from . import sql as Q
 from .catalog import register, rounded, ws
+from .sizing import join_hot
 from .q_dense import CAND, RUN, VEC_SCORES, rerank_sql
 
 W = Q.with_
@@ -56,6 +57,11 @@ def _groups(vectors):
     return dense.grouped_vectors(four, ["docno"])
 
 
+def _same_label(q, v):
+    """The judged pairs: by definition all vectors of a query's label, one of ten."""
+    return join_hot(v.select("docno", "label"), q.select("qid", "label"), "label", "docno").filter("qid <> docno")
+
+
 @register("d8_vectors_knn_top10", W(VECTORS, KNN, _top("r", "sims")) + OUT)
 def d8_vectors_knn_top10(spark, sf_dir):
     v = _vectors(spark, sf_dir)
@@ -76,7 +82,7 @@ def d3_vectors_rerank(spark, sf_dir):
     """Candidates: the judged documents of each query vector; reranked by dot product."""
     v = _vectors(spark, sf_dir)
     q = _queries(v)
-    cands = q.select("qid", "label").join(v.select("docno", "label"), "label").filter("qid <> docno").select("qid", "docno", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+    cands = _same_label(q, v).select("qid", "docno", F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
     scored = dense.score_vectors(cands, q, v, "dot", ("qid",))
     return rounded(dense.rerank_by(scored, "dense_score", ("qid",), K).select("qid", "docno", "score", "rank"))
 
@@ -110,7 +116,7 @@ def m8_vectors_metrics(spark, sf_dir):
     """Dense retrieval judged by labels (a query's own vector is not relevant)."""
     v = _vectors(spark, sf_dir)
     q = _queries(v)
-    rel = q.select("qid", "label").join(v.select("docno", "label"), "label").filter("qid <> docno").select("qid", "docno", F.lit(1).alias("rel"))
+    rel = _same_label(q, v).select("qid", "docno", F.lit(1).alias("rel"))
     return rounded(ev.evaluate(dense.exact_knn(q, v, K, ("qid",)), rel, ["RR@10", "nDCG@10", "P@10", "AP@10"], keys=()))
 
 

@@ -69,12 +69,30 @@ def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(out) if small else out
 
 
-def spread_small(df: DataFrame, max_rows: int = 2_000_000, key: str | None = None) -> DataFrame:
+SALTS = 32
+
+
+def join_hot(large: DataFrame, small: DataFrame, key: str, salt_by: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """An inner join on a key of few values: ``small`` is broadcast if it is measured to be small, else both sides are salted.
+
+    A salted key's rows of ``large`` go to ``SALTS`` tasks by ``salt_by``, each of
+    which gets that key's rows of ``small``.
+    """
+    side, fits = measured(small, max_bytes)
+    if fits:
+        return large.join(F.broadcast(side), key)
+    salted = large.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [key, "_salt"]).drop("_salt")
+
+
+def spread_small(df: DataFrame, max_rows: int = 2_000_000, key: str | None = None, max_bytes: int = 1 << 30) -> DataFrame:
     """Spread a small input over all cores before per-row heavy work.
 
     A small table often arrives as one file with one row group, i.e. one
-    task. When the (metadata-cheap) row count is at most ``max_rows`` the
-    rows are hash-partitioned (on ``key`` if given) over the default
+    task. When the (metadata-cheap) row count is at most ``max_rows`` and, if
+    that is many, the texts add up to at most ``max_bytes``, the rows are
+    hash-partitioned (on ``key`` if given) over the default
     parallelism; the shuffle is small by construction. Larger inputs are
     returned unchanged: their scan is already split across many tasks,
     and shuffling them whole would cost more than it buys.
@@ -82,5 +100,10 @@ def spread_small(df: DataFrame, max_rows: int = 2_000_000, key: str | None = Non
     n = df.count()
     if n > max_rows:
         return df
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if n > 20_000 and wide:
+        each = sum((F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)).cast("long") for c in wide), F.lit(0).cast("long"))
+        if (df.agg(F.sum(each).alias("b")).first()["b"] or 0) > max_bytes:
+            return df
     parts = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(parts, key) if key else df.repartition(parts)

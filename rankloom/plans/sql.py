@@ -34,7 +34,7 @@ TOPICS = f"""topics AS (
   UNION ALL
   SELECT item_id AS qid, 'narrative' AS variant, text AS query FROM benchmark)"""
 
-QRELS = """qrels AS (
+QRELS = """qrels AS MATERIALIZED (
   SELECT b.item_id AS qid, d.doc_id AS docno,
          (CASE WHEN l.quality = 0 THEN 1 ELSE 2 END)::BIGINT AS rel
   FROM benchmark b
@@ -52,14 +52,14 @@ def bm25_ctes(k1: float = 1.2, b: float = 0.75, k3: float = 8.0, depth: int | No
         idf_e = "ln(1 + (c.n_docs - f.df + 0.5) / (f.df + 0.5))"
     cut = f"WHERE rank <= {depth}" if depth is not None else ""
     d = lambda v: f"{float(v)!r}::DOUBLE"
-    return f"""{name}_docs AS (SELECT docno, {tok('text')} AS toks FROM {prepared}),
+    return f"""{name}_docs AS MATERIALIZED (SELECT docno, {tok('text')} AS toks FROM {prepared}),
 {name}_dstat AS (SELECT docno, len(toks)::BIGINT AS dl FROM {name}_docs),
 {name}_coll AS (SELECT count(*)::DOUBLE AS n_docs, avg(dl)::DOUBLE AS avgdl FROM {name}_dstat),
-{name}_qt AS (
+{name}_qt AS MATERIALIZED (
   SELECT variant, qid, term, count(*)::BIGINT AS qtf
   FROM (SELECT variant, qid, unnest({tok('query')}) AS term FROM {topics}) x
   GROUP BY variant, qid, term),
-{name}_post AS (
+{name}_post AS MATERIALIZED (
   SELECT docno, term, count(*)::BIGINT AS tf
   FROM (SELECT docno, unnest(toks) AS term FROM {name}_docs) x
   WHERE term IN (SELECT term FROM {name}_qt)
@@ -79,7 +79,7 @@ def bm25_ctes(k1: float = 1.2, b: float = 0.75, k3: float = 8.0, depth: int | No
   SELECT variant, qid, docno, score,
          row_number() OVER (PARTITION BY variant, qid ORDER BY round(score, 6) DESC, docno DESC)::BIGINT AS rank
   FROM {name}_scores),
-{name} AS (SELECT variant, qid, docno, score, rank FROM {name}_ranked {cut})"""
+{name} AS MATERIALIZED (SELECT variant, qid, docno, score, rank FROM {name}_ranked {cut})"""
 
 
 def with_(*ctes: str) -> str:

@@ -19,7 +19,7 @@ from .. import __version__
 from ..functions.text import tokens
 from ..operators import dense, lexical, multivector, textprep
 from ..sources import collection as coll
-from ..sources.store import bucketed, fingerprint
+from ..sources.store import bucketed, fingerprint, materialize, segments, stored_count
 from .sizing import release, settled, spread_small
 
 _WORKSPACES: dict = {}
@@ -72,10 +72,42 @@ class Workspace:
         topics = coll.topics_from_benchmark(self.table("benchmark"))
         return (topics if self.variant is None else topics.filter(topics.variant == self.variant)).cache()
 
+    def judged(self) -> DataFrame:
+        """The judgments, derived anew."""
+        return coll.qrels_from_containment(self.documents, self.table("benchmark"), self.table("labels"))
+
+    @property
+    def qrels_key(self) -> tuple:
+        return self.state("documents", "benchmark", "labels")
+
     @cached_property
     def qrels(self) -> DataFrame:
-        return coll.qrels_from_containment(self.documents, self.table("benchmark"),
-                                           self.table("labels")).cache()
+        """The stored judgments, derived where they are missing."""
+        return materialize(self.judged, "qrels", self.qrels_key, self.spark).cache()
+
+    @property
+    def run_key(self) -> tuple:
+        return (*self.state("documents", "benchmark"), 100, lexical.BM25Params())
+
+    @cached_property
+    def stored_run(self) -> DataFrame:
+        """The stored run of BM25 % 100."""
+        return materialize(lambda: self.bm25(100), "bm25", self.run_key, self.spark)
+
+    def counts(self) -> DataFrame:
+        """``(name, n)`` of the tables; what is stored was counted while it was written."""
+        parts = self.index_parts
+        self.index, self.qrels, self.stored_run  # noqa: B018 -- built where they are missing
+        def total(name, stored):
+            rows = None
+            for key in parts:
+                one = stored_count(self.spark, stored, key)
+                rows = one if rows is None else rows.unionByName(one)
+            return rows.agg(F.sum("n").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = total("documents", "doc-terms").unionByName(total("postings", "postings"))
+        out = out.unionByName(stored_count(self.spark, "qrels", self.qrels_key))
+        out = out.unionByName(stored_count(self.spark, "bm25", self.run_key).select(F.lit("bm25_top100").alias("name"), "n"))
+        return out.unionByName(self.topics.agg(F.count(F.lit(1)).alias("n")).select(F.lit("topics").alias("name"), "n"))
 
     def state(self, *names: str) -> tuple:
         """What a stored table made from these tables is keyed by: their files' paths, sizes and times."""
@@ -89,12 +121,19 @@ class Workspace:
     @cached_property
     def index(self) -> lexical.Index:
         """The stored lexical index of this folder's corpus, built where it is missing; files added later extend it."""
-        def prepare(files):
-            documents = spread_small(self.spark.read.parquet(*files), key="doc_id")
-            return textprep.prepare_joined(coll.corpus_from_documents(documents))
+        return lexical.merged([lexical.store_index(self._prepare(files), key) for key, files in zip(self.index_parts, self._segments, strict=True)], tuple(self.index_parts), self.spark)
+
+    def _prepare(self, files: list[str]) -> DataFrame:
+        return textprep.prepare_joined(coll.corpus_from_documents(spread_small(self.spark.read.parquet(*files), key="doc_id")))
 
+    @cached_property
+    def index_parts(self) -> list[tuple]:
+        """The keys of the index's segments."""
         path = f"{self.sf_dir}/documents.parquet"
-        return lexical.store_segments(self.spark, [path], prepare, (path, "joined text", __version__))
+        key = (path, "joined text", __version__)
+        found = segments(self.spark, "index", key, path)
+        self._segments = [files for _, files in found]
+        return [(*key, number) for number, _ in found]
 
     @cached_property
     def forward(self) -> DataFrame:

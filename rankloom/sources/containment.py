@@ -33,20 +33,18 @@ def _shingles(words: str, k: int) -> Column:
     return F.when(last >= 0, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def _by_anchor(docs: DataFrame, long: DataFrame, doc_key: str, pat_key: str, max_bytes: int) -> DataFrame:
-    """Candidate pairs that share the pattern's first inner words."""
+def _by_anchor(docs: DataFrame, long: DataFrame, doc_key: str, pat_key: str, max_bytes: int) -> DataFrame | None:
+    """Candidate pairs that share the pattern's first inner words: one scan for all anchor lengths."""
     n = F.least(F.size("inner"), F.lit(ANCHOR_WORDS))
+    anchor = F.coalesce(*[F.when(n == k, F.get(_shingles("inner", k), F.lit(0))) for k in range(1, ANCHOR_WORDS + 1)])
+    own, small = measured(long.select(pat_key, anchor.alias("anchor"), n.alias("n")), max_bytes)
+    lengths = sorted(r["n"] for r in own.select("n").distinct().collect())  # at most ANCHOR_WORDS rows
+    if not lengths:
+        return None
     words = docs.select(doc_key, F.split("text", _SPACE).alias("words"))
-    out = None
-    for k in range(1, ANCHOR_WORDS + 1):
-        own = long.filter(n == k).select(F.col(pat_key), _shingles("inner", k)[0].alias("anchor"))
-        own, small = measured(own, max_bytes)
-        if own.isEmpty():
-            continue
-        found = words.select(doc_key, F.explode(F.array_distinct(_shingles("words", k))).alias("anchor"))
-        found = found.join(F.broadcast(own) if small else own, "anchor").select(pat_key, doc_key)
-        out = found if out is None else out.unionByName(found)
-    return out
+    # Hashes of different numbers of words differ, so the lengths share one column.
+    found = words.select(doc_key, F.explode(F.concat(*[_shingles("words", k) for k in lengths])).alias("anchor"))
+    return found.join(F.broadcast(own) if small else own, "anchor").select(pat_key, doc_key)
 
 
 def _short(docs: DataFrame, short: DataFrame, doc_key: str, pat_key: str, max_bytes: int) -> DataFrame | None:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .store import materialize, require  # noqa: F401 -- S9, part of this module's interface
+from .collection import VARIANTS
+from .store import file_system, materialize, require  # noqa: F401 -- S9, part of this module's interface
 
 RESULTS_SCHEMA = "map<string, map<string, double>>"
 
@@ -32,26 +33,41 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def write_results_json(long: DataFrame, path: str) -> None:
-    """One JSON document per variant: ``{method: {metric: value}}``.
+def write_results_json(long: DataFrame, path: str, prefix: str = "results") -> list[str]:
+    """One file per wording, ``<path>/<prefix>_<variant>.json``: ``{method: {metric: value}}``.
 
-    Partitioned by ``variant`` (a folder per variant). A variant's document
-    has one entry per method and metric, so each group is bounded.
+    A file that is there already is kept as it is. The names of the files
+    written are returned. A wording's document has one entry per method and
+    metric, so each group is bounded.
     """
+    spark = long.sparkSession
     per_method = long.groupBy("variant", "method").agg(
         F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
     per_variant = per_method.groupBy("variant").agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("method", "m")))).alias("value"))
-    per_variant.write.mode("overwrite").partitionBy("variant").text(path)
-
-
-def read_results_json(spark: SparkSession, path: str) -> DataFrame:
-    """Back to the long table ``(variant, method, metric, value)``.
-
-    The variant comes from the partition folder name.
+    side = f"{path}/_{prefix}-{uuid.uuid4().hex}"
+    per_variant.select("variant", "value").write.partitionBy("variant").text(side)
+    written = []
+    for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(side).select("path", "variant").collect():  # one row a wording
+        name = f"{prefix}_{r['variant']}.json"
+        target, fs = file_system(spark, f"{path}/{name}")
+        source, _ = file_system(spark, r["path"])
+        if not fs.exists(target) and fs.rename(source, target):
+            written.append(name)
+    rest, fs = file_system(spark, side)
+    fs.delete(rest, True)
+    return sorted(written)
+
+
+def read_results_json(spark: SparkSession, path: str, variants=VARIANTS) -> DataFrame:
+    """The files of a folder as ``(variant, method, metric, value)``, the wording taken from each file's name.
+
+    Files whose name has no known wording are left out; a file may be laid out
+    over many lines.
     """
-    raw = spark.read.option("wholetext", True).text(path)
-    nested = raw.select("variant", F.from_json("value", RESULTS_SCHEMA).alias("r"))
+    raw = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+    named = F.regexp_extract("_metadata.file_name", f"({'|'.join(variants)})", 1)
+    nested = raw.select(named.alias("variant"), F.from_json("value", RESULTS_SCHEMA).alias("r")).filter("variant <> ''")
     per_method = nested.select("variant", F.explode("r").alias("method", "m"))
     return per_method.select("variant", "method", F.explode("m").alias("metric", "value"))
 

@@ -16,11 +16,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+#: A folder inside a stored table that readers of the table pass over: its number of rows.
+COUNTS, COUNT = "_rows", "name string, n long"
+
 
 def files_of(spark: SparkSession, *paths: str) -> DataFrame:
     """``(path, length, modified)`` of the data files below ``paths``, from a listing."""
@@ -35,14 +38,14 @@ def fingerprint(spark: SparkSession, *paths: str) -> str:
     return f"{r['n']}-{r['x']}-{r['s']}"
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 -- PySpark has no call for files of a store
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
 
 
 def complete(spark: SparkSession, path: str) -> bool:
     """Whether a finished write lies at ``path``: the committer's ``_SUCCESS`` is there."""
-    mark, fs = _fs(spark, f"{path}/_SUCCESS")
+    mark, fs = file_system(spark, f"{path}/_SUCCESS")
     return fs.exists(mark)
 
 
@@ -51,8 +54,8 @@ def publish(spark: SparkSession, path: str, write) -> None:
     parent, name = path.rsplit("/", 1)
     side = f"{parent}/_{name}-{uuid.uuid4().hex}"
     write(side)
-    target, fs = _fs(spark, path)
-    source, _ = _fs(spark, side)
+    target, fs = file_system(spark, path)
+    source, _ = file_system(spark, side)
     if not complete(spark, path):
         if fs.exists(target):
             fs.delete(target, True)  # what an earlier version of this store left unfinished
@@ -77,10 +80,21 @@ def materialize(df, name: str, key_parts, spark: SparkSession | None = None) ->
     spark = spark or df.sparkSession
     path = store_path(spark, name, key_parts)
     if not complete(spark, path):
-        publish(spark, path, (df() if callable(df) else df).write.parquet)
+        def write(side: str) -> None:
+            rows, seen = (df() if callable(df) else df), Observation(f"rows-{uuid.uuid4().hex}")
+            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(side)
+            count = spark.createDataFrame([(name, int(seen.get["n"]))], COUNT).coalesce(1)
+            count.write.parquet(f"{side}/{COUNTS}")
+
+        publish(spark, path, write)
     return spark.read.parquet(path)
 
 
+def stored_count(spark: SparkSession, name: str, key_parts) -> DataFrame:
+    """``(name, n)`` of a materialized table, as it was observed while the table was written; nothing is scanned."""
+    return spark.read.schema(COUNT).parquet(f"{store_path(spark, name, key_parts)}/{COUNTS}")
+
+
 def require(spark: SparkSession, path: str) -> DataFrame:
     """A build that must already exist is a clear error, not a silent rebuild."""
     if not complete(spark, path):
@@ -150,7 +164,7 @@ def _number(files: set) -> int:
 
 
 def _names(spark: SparkSession, root: str) -> list[str]:
-    p, fs = _fs(spark, root)
+    p, fs = file_system(spark, root)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith("_")) if fs.exists(p) else []
 
 
