@@ -58,7 +58,7 @@ def measure_mrt(ws: Workspace) -> DataFrame:
             for name in M.METHODS:
                 own = ws.only(variant, fresh=True)
                 t0 = time.perf_counter()
-                M.method_runs(own)[name].write.format("noop").mode("overwrite").save()
+                M.method_run(own, name).write.format("noop").mode("overwrite").save()
                 rows.append((variant, name, 1000.0 * (time.perf_counter() - t0) / max(n, 1)))
                 own.release()
         return ws.spark.createDataFrame(rows, "variant string, method string, mrt double")

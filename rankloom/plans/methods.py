@@ -68,16 +68,23 @@ def covered(ws: Workspace, run: DataFrame) -> DataFrame:
     return rerank.coverage_of(run, ws.topics, ws.forward_terms)
 
 
+_BUILD = {
+    BM25: lambda ws, k: ws.bm25(k),
+    LATE: lambda ws, k: dense.rerank_by(late_interaction_scored(ws, k), "li_score", QKEYS, k),
+    FUSED: lambda ws, k: fusion.convex_fusion(cosine_scored(ws, k), "dense_score", SBERT_ALPHA, k=k),
+    COVERED: lambda ws, k: rerank.pointwise(ws.bm25(k), keys=QKEYS, k=k, scorer=lambda d: covered(ws, d)),
+    DOTTED: lambda ws, k: dense.rerank_by(dot_scored(ws, k), "dense_score", QKEYS, k),
+}
+
+
+def method_run(ws: Workspace, name: str, k: int = 100) -> DataFrame:
+    """One method's run ``(variant, qid, docno, score, rank)``, cut at ``k``."""
+    return _BUILD[name](ws, k)
+
+
 def method_runs(ws: Workspace, k: int = 100) -> dict[str, DataFrame]:
-    """M9: name -> run ``(variant, qid, docno, score, rank)``, each cut at ``k``."""
-    c = ws.bm25(k)
-    return {
-        BM25: c,
-        LATE: dense.rerank_by(late_interaction_scored(ws, k), "li_score", QKEYS, k),
-        FUSED: fusion.convex_fusion(cosine_scored(ws, k), "dense_score", SBERT_ALPHA, k=k),
-        COVERED: rerank.pointwise(c, keys=QKEYS, k=k, scorer=lambda d: covered(ws, d)),
-        DOTTED: dense.rerank_by(dot_scored(ws, k), "dense_score", QKEYS, k),
-    }
+    """M9: name -> run, for all methods."""
+    return {name: method_run(ws, name, k) for name in METHODS}
 
 
 def experiment_run(ws: Workspace, k: int = 100) -> DataFrame:
