@@ -81,7 +81,7 @@ def m12_bm25_grid(spark, sf_dir):
     return rounded(tuning.bm25_grid_scan(w.index, w.topics, w.qrels, BM25_GRID))
 
 
-# The reference's whole grid, 11 x 7 x 9 = 693 settings.
+# The whole grid, 11 x 7 x 9 = 693 settings.
 ALL_B = tuple(i / 10 for i in range(11))
 ALL_K1 = (0.3, 0.6, 0.9, 1.2, 1.4, 1.6, 2.0)
 ALL_K3 = (0.5, 2.0, 4.0, 6.0, 8.0, 10.0, 12.0, 14.0, 20.0)

@@ -66,16 +66,16 @@ PUBLISHED = """{
 
 
 def test_result_files_by_name(spark, tmp_path, w):
-    (tmp_path / "trec_covid_results_title.json").write_text(PUBLISHED)
+    (tmp_path / "published_results_title.json").write_text(PUBLISHED)
     (tmp_path / "notes.json").write_text("{}")
     got = {(r["variant"], r["method"], r["metric"]): r["value"] for r in results.read_results_json(spark, str(tmp_path)).collect()}
     assert got[("title", "BM25", "AP@100")] == 0.07607961158827084 and len(got) == 5
     long = spark.createDataFrame([("title", "X", "m", 1.0), ("narrative", "BM25 >> x", "RR@10", 0.25), ("narrative", "Y", "RR@10", 0.5)], "variant string, method string, metric string, value double")
-    assert results.write_results_json(long, str(tmp_path), "trec_covid_results") == ["trec_covid_results_narrative.json"]  # the other is there
-    assert json.loads((tmp_path / "trec_covid_results_narrative.json").read_text()) == {"BM25 >> x": {"RR@10": 0.25}, "Y": {"RR@10": 0.5}}
-    assert (tmp_path / "trec_covid_results_title.json").read_text() == PUBLISHED
+    assert results.write_results_json(long, str(tmp_path), "published_results") == ["published_results_narrative.json"]  # the other is there
+    assert json.loads((tmp_path / "published_results_narrative.json").read_text()) == {"BM25 >> x": {"RR@10": 0.25}, "Y": {"RR@10": 0.5}}
+    assert (tmp_path / "published_results_title.json").read_text() == PUBLISHED
     assert results.read_results_json(spark, str(tmp_path)).count() == 7
-    assert sorted(n for n in os.listdir(tmp_path) if not n.startswith(".")) == ["notes.json", "trec_covid_results_narrative.json", "trec_covid_results_title.json"]
+    assert sorted(n for n in os.listdir(tmp_path) if not n.startswith(".")) == ["notes.json", "published_results_narrative.json", "published_results_title.json"]
 
 
 def test_counts_are_read_not_made(w):
