@@ -40,7 +40,7 @@ from rankloom.llm.labelled import training_sample
 
 SAMPLE, NEIGHBOURS, BLOCK = 8_000, 15, 4
 FREQUENT = 16  # terms of at least one in so many examples are kept as rows of weights
-KNOWN, TOGETHER = 200_000, 32  # words whose terms a worker keeps, texts multiplied at a time
+KNOWN, TOGETHER = 50_000, 32  # words whose terms a worker keeps, texts multiplied at a time
 SLACK = 1e-4  # more than the error of a sum in single precision
 FLOOR, TELLS = 0.05, 2.5  # the weight of a term that does not tell, and the z-score from which one does
 THRESHOLD = 0.3
@@ -144,43 +144,40 @@ class Index:
         self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), dtype=np.int64)
         self.y = y[self.order]
         self.n, self.blocks = len(y), -(-len(y) // BLOCK)
-        term = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)])
-        doc = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in self.order])
-        w = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)])
-        by = np.lexsort((doc, term))
-        self.doc, self.w = doc[by].astype(np.int32), w[by].astype(np.float32)
-        self.start = np.searchsorted(term[by], np.arange(n_terms + 1)).astype(np.int32)
+        self.terms = n_terms
+        self.own_term = np.concatenate([vectors[i][0].astype(np.int32) for i in self.order] or [np.zeros(0, np.int32)])
+        self.own_w = np.concatenate([vectors[i][1].astype(np.float32) for i in self.order] or [np.zeros(0, np.float32)])
+        self.own = np.cumsum([0] + [len(vectors[i][0]) for i in self.order]).astype(np.int32)
         self._derive()
 
     @property
-    def term(self) -> np.ndarray:
-        """The term of each posting."""
-        return np.repeat(np.arange(len(self.start) - 1, dtype=np.int32), np.diff(self.start))
+    def doc(self) -> np.ndarray:
+        """The example of each of ``own_term`` and ``own_w``."""
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.own))
 
     def _derive(self) -> None:
-        """What follows from the postings: rows of frequent terms, (term, block) pairs of the others, and the vectors again."""
-        term, df = self.term, np.diff(self.start)
+        """What follows from the examples' vectors: rows of frequent terms, postings and (term, block) pairs of the others."""
+        df = np.bincount(self.own_term, minlength=self.terms)
         often = np.flatnonzero(df >= max(BLOCK, self.n // FREQUENT))
         self.row = np.full(len(df), -1, np.int32)
         self.row[often] = np.arange(len(often))
         self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        dense = self.row[term] >= 0
-        self.dense[self.row[term[dense]], self.doc[dense]] = self.w[dense]
+        doc, row = self.doc, self.row[self.own_term]
+        self.dense[row[row >= 0], doc[row >= 0]] = self.own_w[row >= 0]
+        rare = np.flatnonzero(row < 0)
+        rare = rare[np.argsort(self.own_term[rare], kind="stable")]  # by term, then example
+        term, self.rare_doc, self.rare_w = self.own_term[rare], doc[rare], self.own_w[rare]
         # Each (rare term, block) that has postings: its block, where they start, and their highest weight.
-        self.rare_doc, self.rare_w = self.doc[~dense], self.w[~dense]
-        pair = term[~dense].astype(np.int64) * max(1, self.blocks) + self.rare_doc // BLOCK
-        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])[: len(pair)])
+        block = self.rare_doc // BLOCK
+        first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
         self.top = np.maximum.reduceat(self.rare_w, first) if len(first) else np.zeros(0, np.float32)
-        self.block, self.first = self.rare_doc[first] // BLOCK, np.append(first, len(pair)).astype(np.int32)
-        self.pairs = np.searchsorted(term[~dense][first], np.arange(len(self.start))).astype(np.int32)
-        self.scratch = np.zeros(len(df))
-        by = np.argsort(self.doc, kind="stable")
-        self.own_term, self.own_w = term[by], self.w[by]
-        self.own = np.searchsorted(self.doc[by], np.arange(self.n + 1)).astype(np.int32)
+        self.block, self.first = block[first], np.append(first, len(term)).astype(np.int32)
+        self.pairs = np.searchsorted(term[first], np.arange(self.terms + 1)).astype(np.int32)
+        self.scratch = np.zeros(self.terms)
 
     def __getstate__(self) -> dict:
-        """The postings alone, so that a broadcast is small."""
-        return {k: vars(self)[k] for k in ("order", "y", "n", "blocks", "doc", "w", "start")}
+        """The vectors alone, so that a broadcast is small."""
+        return {k: vars(self)[k] for k in ("order", "y", "n", "blocks", "terms", "own_term", "own_w", "own")}
 
     def __setstate__(self, state: dict) -> None:
         vars(self).update(state)
@@ -385,9 +382,9 @@ def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
     def run(it):
         model, _ = held.value
         for b in it:
-            texts = b.column("text")
-            found = [x for lo in range(0, b.num_rows, TOGETHER) for x in model.scores(texts[lo : lo + TOGETHER].to_pylist())]
-            yield b.filter(pa.array([s < THRESHOLD for s, _ in found], pa.bool_()))
+            for lo in range(0, b.num_rows, TOGETHER):  # small pieces out, as the batch and the model fill the worker
+                some = b.slice(lo, TOGETHER)
+                yield some.filter(pa.array([s < THRESHOLD for s, _ in model.scores(some.column("text").to_pylist())], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -200,7 +200,7 @@ def test_nearest_examples_are_exact():
     y = np.array([int("bad" in t or "worse" in t) for t in texts])
     m = toxicity.Model(texts, y)
     x = np.zeros((m.index.n, len(m.terms) + 1))
-    x[m.index.doc, m.index.term] = m.index.w
+    x[m.index.doc, m.index.own_term] = m.index.own_w
     for t in texts[:60] + ["bad sky", "worse"]:
         at, w = m.vectors(toxicity.term_counts(t))
         q = np.zeros(x.shape[1])
@@ -218,7 +218,7 @@ def test_nearest_examples_ties_and_frequent_terms():
     m = toxicity.Model(texts, y)
     assert 0 < len(m.index.dense) < len(m.terms)  # both kinds of terms take part
     x = np.zeros((m.index.n, len(m.terms) + 1))
-    x[m.index.doc, m.index.term] = m.index.w
+    x[m.index.doc, m.index.own_term] = m.index.own_w
     for t in texts[::7] + ["sky idiot", "ownab unheard", "sea"]:
         at, w = m.vectors(toxicity.term_counts(t))
         q = np.zeros(x.shape[1])
