@@ -176,3 +176,41 @@ def test_hot_key_join(spark):
     rows = lambda df: sorted((r["qid"], r["docno"]) for r in df.collect())
     assert rows(sizing.join_hot(large, small, "label", "docno")) == rows(sizing.join_hot(large, small, "label", "docno", max_bytes=0)) == rows(large.join(small, "label"))
     sizing.release()
+
+
+def test_blocks_score_as_the_joins_do(spark, monkeypatch):
+    """Blocks of few documents and queries, docnos that repeat or are null, terms without a score: the rows of the hit joins."""
+    from rankloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "QUERIES", 3)
+    texts = ["a b", "a a c", "b", "c c d", "d e a", "a", "zz", "a b c d e f", "f f f", "b c", "a b"]
+    docs = spark.createDataFrame([*((i, t) for i, t in enumerate(texts)), (3, "a c"), (None, "b d"), (None, "e")], "docno long, text string")
+    topics = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "c c d", "e", "zz f", "none", "", "a b c d e f", "b b b"])], "qid long, query string")
+    index = lexical.build_index(docs)
+    for k in (1, 3, 100):
+        key = lambda df: sorted((r["qid"], str(r["docno"]), r["rank"], round(r["score"], 6)) for r in df.collect())
+        assert key(lexical.bm25(index, topics, k, keys=("qid",))) == key(lexical.bm25(index, topics, k, keys=("qid",), max_bytes=0))
+    rel = spark.createDataFrame([(0, 10, 1), (1, 3, 1), (6, 7, 2), (6, 0, 1), (7, 9, 1)], "qid long, docno long, rel long")
+    grid = [(k1, b, k3) for k1 in (0.3, 1.2) for b in (0.0, 0.75) for k3 in (0.5, 8.0)]
+    maps = [{(r["k1"], r["b"], r["k3"]): round(r["map"], 9) for r in df.collect()} for df in (
+        tuning.bm25_grid_scan(index, topics, rel, grid, k=5, keys=("qid",)), tuning.bm25_grid_scan(index, topics, rel, grid, k=5, keys=("qid",), max_bytes=0),
+        tuning.bm25_large_grid(index, topics, rel, (0.3, 1.2), (0.0, 0.75), (0.5, 8.0), k=5, keys=("qid",)))]
+    assert len(maps[0]) == 8 and maps[0] == maps[1] == maps[2]
+
+
+def test_document_blocks_follow_documents_not_batches(monkeypatch):
+    import pyarrow as pa
+
+    from rankloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "DOCS", 2)
+    t = pa.table({"docno": pa.array([None, None, "a", "b", "b", "b", "c"]), "_t": pa.array([0, 1, 0, 0, 1, 2, 1], pa.int32()), "tf": [1, 2, 3, 4, 5, 6, 7], "dl": [9] * 7})
+    want = [([None, "a"], [0, 0, 1], [1, 2, 3]), (["b", "c"], [0, 0, 0, 1], [4, 5, 6, 7])]
+    for size in (1, 2, 3, 7):
+        assert [(d.to_pylist(), r.tolist(), tf.tolist()) for d, r, _, tf, _ in blocks.document_blocks(t.to_batches(max_chunksize=size))] == want
+
+
+def test_no_row_is_made_for_a_hit_of_a_query(spark, w):
+    run = lexical.bm25(w.index, w.topics, 20)
+    plan = run._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert "MapInArrow" in plan and "sum(" not in plan  # no aggregate by (query, document)
