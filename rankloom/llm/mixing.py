@@ -15,12 +15,14 @@ its contexts as a class (punctuation and line end of the unit before), so the
 cost of a unit depends on its bytes and that class only: each distinct unit of
 a run of texts is coded once, and its bits are counted once with its frequency.
 
-Learning: the slots count every learning text, summed over the cluster in
-chunks; the code, the mixing weights and the refining table are learned online,
-in passes over a bounded sample of learning texts (at most ``SAMPLE`` texts of
-at most ``SAMPLE_CHARS`` characters) whose counts are left out of the slots, as
-what they predict must be new to them. Scoring uses the learned state as it is,
-so a score depends on neither order nor partition.
+Learning: the distinct units of all learning texts are grouped on the cluster,
+with their frequency and the number of texts that have them. The code, the
+slots, the mixing weights (Newton steps on sums over all bits) and the refining
+table all come from every unit. What a unit predicts must be new to it, so while
+weights and table are learned, its mean frequency in a text is taken off the
+counts of its own bits. Only sums of a fixed size reach the driver. Scoring uses
+the learned state as it is, so a score depends on neither order nor partition;
+the costs of the most frequent units (a fixed number) are computed once.
 
 The base score needs the corpus count of every token. The most frequent tokens
 (a fixed number) are broadcast; the others are looked up by a join, summed by
@@ -49,8 +51,10 @@ END_TOKEN = 0x5DEECE66D1234567
 END = 256
 BITS = (14, 16, 18, 20, 21)  # log2 of the slots of each context
 CHUNK = 1 << 15
-SAMPLE, SAMPLE_CHARS, PASSES, BATCH = 200, 8_000, 3, 2048
-FREQUENT = 400_000
+ROUNDS, RIDGE = 2, 4.0  # Newton steps for the weights, and what their start is worth
+START = 0.3  # the weight of each context before learning
+FREQUENT, FREQUENT_UNITS = 400_000, 300_000
+BITS_AT_ONCE = 1 << 20  # bytes of units that are coded at once
 STEPS = 25  # of the refining table
 LIMIT = 12.0
 _SLICE = 4 << 20
@@ -131,13 +135,25 @@ _LAST[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 3
 START_CLASS, CLASSES = 0, 16
 
 
+def _plain_keys(data: np.ndarray, start: np.ndarray, size: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    val = (data.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[pos]
+    return mix(np.add.reduceat(val, start) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
+def unit_keys(data: np.ndarray, off: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The hashes of units that lie one after the other, none of them empty, as in ``Units``."""
+    size = np.diff(off)
+    pos = np.arange(size.sum()) - np.repeat(off[:-1] - off[0], size)
+    return mix(_plain_keys(data[off[0] : off[-1]], off[:-1] - off[0], size, pos) + before.astype(np.uint64))
+
+
 class Units:
     """The distinct units of a run of texts.
 
     sym, of: the units' bytes, one after the other, and the unit of each;
     before: the class before each unit; count: how often it occurs;
     text, unit: the text and the unit of every occurrence; last: the class
-    at the end of every text.
+    at the end of every text; key: the units' hashes, ascending.
     """
 
     def __init__(self, data: np.ndarray, off: np.ndarray, first_class: int = START_CLASS):
@@ -145,6 +161,7 @@ class Units:
         self.last = np.full(n, first_class)
         if not len(data):
             self.sym = self.of = self.before = self.count = self.text = self.unit = np.zeros(0, np.int64)
+            self.key = np.zeros(0, np.uint64)
             return
         space = _KIND[data] == 1
         begin = ~space
@@ -153,8 +170,7 @@ class Units:
         start = np.flatnonzero(begin)
         size = np.diff(np.append(start, len(data)))
         pos = np.arange(len(data)) - np.repeat(start, size)
-        val = (data.astype(np.uint64) + np.uint64(1)) * powers(int(size.max()))[pos]
-        key = mix(np.add.reduceat(val, start) ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        key = _plain_keys(data, start, size, pos)
         # The class that each unit leaves behind, from its last word byte and its first white space.
         words = np.add.reduceat((~space).astype(np.int64), start)
         end = start + np.maximum(words - 1, 0)
@@ -169,12 +185,18 @@ class Units:
         before[lead] = first_class
         ends = np.flatnonzero(np.append(lead[1:], True))
         self.last[text[ends]] = leaves[ends]
-        _, first, self.unit, self.count = np.unique(mix(key + before.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
+        self.key, first, self.unit, self.count = np.unique(mix(key + before.astype(np.uint64)), return_index=True, return_inverse=True, return_counts=True)
         self.text, self.before = text, before[first]
         size = size[first]
         self.of = np.repeat(np.arange(len(first)), size)
         self.sym = data[np.arange(len(self.of)) - np.repeat(np.cumsum(size) - size - start[first], size)].astype(np.int64)
 
+    def texts(self) -> np.ndarray:
+        """In how many texts each unit occurs."""
+        pairs = np.sort(self.unit * (len(self.last) + 1) + self.text)
+        new = np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]
+        return np.bincount(pairs[new] // (len(self.last) + 1), minlength=len(self.before))
+
 
 def runs(col: pa.Array):
     """(first row, Units, whether a text of the run goes on in the next one): whole texts in runs of rows.
@@ -249,26 +271,76 @@ def bits_of(code: Code, sym: np.ndarray):
         yield d, at, code.node[d, sym[at]], code.bit[d, sym[at]]
 
 
-def slot_counts(rows: DataFrame, code: Code) -> list[np.ndarray]:
-    """[slot, bit] counts of each context over the texts of ``rows``, a fixed number of them."""
-    sc = rows.sparkSession.sparkContext
-    held = sc.broadcast(code)
+def distinct_units(rows: DataFrame) -> DataFrame:
+    """(unit, before, n, texts): the distinct units of all texts, how often they occur and in how many texts; an end is an empty unit."""
 
-    def count(it):
-        total = [np.zeros(2 << b, np.int32) for b in BITS]
+    def run(it):
         for b in it:
             for _, u, more in runs(b.column("text")):
-                parts = [(u.sym, u.of, u.before, u.count)]
-                if not more:
-                    seen = np.bincount(u.last, minlength=CLASSES)
-                    cls = np.flatnonzero(seen)
-                    parts.append((*ends(cls), seen[cls]))
-                for sym, of, before, n in parts:
-                    ctx, _ = contexts(sym, of, before)
-                    for _, at, node, bit in bits_of(held.value, sym):
-                        times = n[of[at]].astype(np.int32)
-                        for c, t in enumerate(total):
-                            np.add.at(t, slots_of(ctx[c][at], node, c) * 2 + bit, times)
+                size = np.bincount(u.of, minlength=len(u.before))
+                at = np.append(0, np.cumsum(size)).astype(np.int32)
+                cls = np.zeros(0, np.int64) if more else np.unique(u.last)
+                n = np.zeros(0, np.int64) if more else np.bincount(u.last)[cls]
+                at = np.append(at, np.full(len(cls), at[-1], np.int32))
+                units = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(u.sym.astype(np.uint8))])
+                before, count, texts = np.append(u.before, cls), np.append(u.count, n), np.append(u.texts(), n)
+                whole = pa.table({"unit": units, "before": pa.array(before, pa.int32()), "n": pa.array(count, pa.int64()), "texts": pa.array(texts, pa.int64())})
+                yield from whole.to_batches(max_chunksize=1 << 16)
+
+    found = rows.select("text").mapInArrow(run, "unit binary, before int, n long, texts long")
+    return found.groupBy("unit", "before").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+
+
+def pieces(batch: pa.RecordBatch):
+    """(sym, of, before, n, less) of the units of a batch, a bounded number of bytes at a time; ``less`` is a unit's mean frequency in the texts that have it."""
+    col = batch.column("unit")
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None else np.zeros(0, np.uint8)
+    before, n, texts = (batch.column(x).to_numpy().astype(np.int64) for x in ("before", "n", "texts"))
+    less = (n / np.maximum(texts, 1)).astype(np.float32)
+    end = off[1:] == off[:-1]
+    lo = 0
+    while lo < len(col):
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + BITS_AT_ONCE, "right")) - 1)
+        plain, last = lo + np.flatnonzero(~end[lo:hi]), lo + np.flatnonzero(end[lo:hi])
+        if len(plain):
+            sym = data[off[lo] : off[hi]].astype(np.int64)
+            yield sym, np.repeat(np.arange(len(plain)), off[plain + 1] - off[plain]), before[plain], n[plain], less[plain]
+        if len(last):
+            yield *ends(before[last]), n[last], less[last]
+        lo = hi
+
+
+def symbol_counts(units: DataFrame) -> np.ndarray:
+    """How often each byte and the end occur."""
+
+    def run(it):
+        seen = np.zeros(257, np.int64)
+        for b in it:
+            for sym, of, _, n, _ in pieces(b):
+                seen += np.rint(np.bincount(sym, weights=n[of], minlength=257)).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"sym": np.arange(257, dtype=np.int32), "n": seen})
+
+    out = np.zeros(257, np.int64)
+    for r in units.mapInArrow(run, "sym int, n long").groupBy("sym").agg(F.sum("n").alias("n")).collect():  # 257 symbols
+        out[r.sym] = r.n
+    return out
+
+
+def slot_counts(units: DataFrame, code: Code) -> list[np.ndarray]:
+    """[slot, bit] counts of each context over ``units``, a fixed number of them."""
+    sc = units.sparkSession.sparkContext
+    held = sc.broadcast(code)
+
+    def count(it):
+        total = [np.zeros(2 << b, np.int64) for b in BITS]
+        for batch in it:
+            for sym, of, before, n, _ in pieces(batch):
+                ctx, _ = contexts(sym, of, before)
+                for _, at, node, bit in bits_of(held.value, sym):
+                    times = n[of[at]]
+                    for c, t in enumerate(total):
+                        np.add.at(t, slots_of(ctx[c][at], node, c) * 2 + bit, times)
         for c, t in enumerate(total):
             for k in range(0, len(t), CHUNK):
                 if t[k : k + CHUNK].any():
@@ -278,14 +350,14 @@ def slot_counts(rows: DataFrame, code: Code) -> list[np.ndarray]:
         total: dict[tuple[int, int], np.ndarray] = {}
         for b in it:
             for c, k, raw in zip(*(b.column(x).to_pylist() for x in ("context", "at", "counts")), strict=True):
-                own = np.frombuffer(zlib.decompress(raw), np.int32)
-                total[c, k] = total[c, k] + own if (c, k) in total else own.astype(np.int64)
+                own = np.frombuffer(zlib.decompress(raw), np.int64)
+                total[c, k] = total[c, k] + own if (c, k) in total else own
         for (c, k), own in total.items():  # beyond what an int holds, a count says no more
             own = np.minimum(own, np.iinfo(np.int32).max).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"context": pa.array([c], pa.int32()), "at": pa.array([k], pa.int32()), "counts": [own.tobytes()]})
 
     kind = "context int, at int, counts binary"
-    summed = rows.select("text").mapInArrow(count, kind).repartition("context", "at").mapInArrow(add, kind)
+    summed = units.mapInArrow(count, kind).repartition("context", "at").mapInArrow(add, kind)
     out = [np.zeros(2 << b, np.int32) for b in BITS]
     for r in summed.collect():  # the slots: their number is fixed
         own = np.frombuffer(r.counts, np.int32)
@@ -293,18 +365,101 @@ def slot_counts(rows: DataFrame, code: Code) -> list[np.ndarray]:
     return [t.reshape(-1, 2) for t in out]
 
 
+_PAIRS = [(i, j) for i in range(len(BITS) + 1) for j in range(i, len(BITS) + 1)]
+SUMS = len(BITS) + 1 + len(_PAIRS)  # of a gate: its gradient and the upper half of its second derivatives
+
+
+def _steps(z: np.ndarray) -> np.ndarray:
+    return np.rint((z + LIMIT) * ((STEPS - 1) / (2 * LIMIT))).astype(np.int64)
+
+
 class Mixer:
     """Slots, mixing weights and the refining table, with what scoring needs of them."""
 
     def __init__(self, code: Code, counts: list[np.ndarray]):
         self.code = code
-        self.slots = [np.log((t[:, 1] + 0.4) / (t[:, 0] + 0.4)).astype(np.float32) for t in counts]
-        self.seen = [np.searchsorted([1, 4, 32], t.sum(axis=1), "right").astype(np.int8) for t in counts[-2:]]
-        self.weights = np.full((GATES, len(BITS) + 1), 0.3, np.float32)
+        self.counts = [t.astype(np.float32) for t in counts]  # until all is learned
+        self.weights = np.full((GATES, len(BITS) + 1), START, np.float32)
         self.weights[:, -1] = 0
         self.refine = np.tile(np.linspace(-LIMIT, LIMIT, STEPS), (code.nodes, 1)).astype(np.float32)
         steps = np.arange(-LIMIT * 128, LIMIT * 128 + 1) / 128
         self.cost = np.log1p(np.exp(steps)).astype(np.float32)  # of a bit of 0 at these log odds
+        self.slots = [np.log((t[:, 1] + 0.4) / (t[:, 0] + 0.4)).astype(np.float32) for t in counts]
+        self.seen = [np.searchsorted([1, 4, 32], t.sum(axis=1), "right").astype(np.int8) for t in counts[-2:]]
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.float32)  # hashes of frequent units, ascending, and their costs
+
+    def new_to(self, sym, of, before, n, less):
+        """By code depth: (log odds of each context and 1, gate, node, bit, frequency) of the units' bits, as if ``less`` occurrences of them were not counted."""
+        ctx, kind = contexts(sym, of, before)
+        for d, at, node, bit in bits_of(self.code, sym):
+            off = less[of[at]]
+            x, seen = np.ones((len(BITS) + 1, len(at)), np.float32), []
+            for c, t in enumerate(self.counts):
+                both = t[slots_of(ctx[c][at], node, c)]
+                c1, c0 = np.maximum(both[:, 1] - off * bit, 0), np.maximum(both[:, 0] - off * (1 - bit), 0)
+                x[c] = np.log((c1 + np.float32(0.4)) / (c0 + np.float32(0.4)))
+                if c >= len(BITS) - 2:
+                    seen.append(np.searchsorted(np.array([1, 4, 32], np.float32), np.rint(c0 + c1), "right"))
+            yield x, (seen[0] * 4 + seen[1]) * 32 + (min(d, 7) * 4 + kind[at]), node.astype(np.int64), bit, n[of[at]].astype(np.float64)
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        z = np.zeros(len(gate), np.float32)
+        for own, w in zip(x, self.weights.T, strict=True):
+            z += w[gate] * own
+        return np.clip(z, -LIMIT, LIMIT)
+
+    def sums(self, *units) -> np.ndarray:
+        """[gate, SUMS] first and second derivatives of the units' cost at the present weights."""
+        out = np.zeros((GATES, SUMS))
+        for x, gate, _, bit, n in self.new_to(*units):
+            p = 1 / (1 + np.exp(-self.mixed(x, gate)))
+            err, v = (p - bit) * n, p * (1 - p) * n
+            for i, own in enumerate(x):
+                out[:, i] += np.bincount(gate, weights=err * own, minlength=GATES)
+                some = v * own
+                for k, (a, b) in enumerate(_PAIRS):
+                    if a == i:
+                        out[:, len(x) + k] += np.bincount(gate, weights=some * x[b], minlength=GATES)
+        return out
+
+    def step(self, sums: np.ndarray) -> None:
+        """One Newton step of every gate's weights; a gate without bits keeps its start."""
+        m = len(BITS) + 1
+        start = np.append(np.full(m - 1, START), 0.0)
+        w = self.weights.astype(np.float64)
+        h = np.zeros((GATES, m, m))
+        for k, (a, b) in enumerate(_PAIRS):
+            h[:, a, b] = h[:, b, a] = sums[:, m + k]
+        h += np.eye(m) * RIDGE
+        change = np.linalg.solve(h, (sums[:, :m] + RIDGE * (w - start))[..., None])[..., 0]
+        self.weights = np.round(w - np.clip(change, -1, 1), 4).astype(np.float32)
+
+    def cells(self, *units) -> np.ndarray:
+        """[2, cell] how often the bit is 1, and how often it is met, by (code node, step of the mixed log odds)."""
+        out = np.zeros((2, self.code.nodes * STEPS))
+        for x, gate, node, bit, n in self.new_to(*units):
+            cell = node * STEPS + _steps(self.mixed(x, gate))
+            out[0] += np.bincount(cell, weights=n * bit, minlength=out.shape[1])
+            out[1] += np.bincount(cell, weights=n, minlength=out.shape[1])
+        return out
+
+    def calibrate(self, cells: np.ndarray) -> None:
+        """The refining table; each cell starts at its own log odds, worth 8 observations."""
+        ones, n = cells
+        prior = 1 / (1 + np.exp(-np.tile(np.linspace(-LIMIT, LIMIT, STEPS), self.code.nodes)))
+        p = np.clip((ones + 8 * prior) / (n + 8), 1e-6, 1 - 1e-6)
+        self.refine = np.round(np.log(p / (1 - p)), 4).reshape(self.code.nodes, STEPS).astype(np.float32)
+
+    def learn(self, texts: list[str]) -> None:
+        """Weights and refining table from ``texts`` that the slots have not counted."""
+        parts = []
+        for _, u, _ in runs(pa.array(texts, pa.string())):
+            for sym, of, before, n in ((u.sym, u.of, u.before, u.count), (*ends(u.last), np.ones(len(u.last), np.int64))):
+                parts.append((sym, of, before, n, np.zeros(len(before), np.float32)))
+        if parts:
+            for _ in range(ROUNDS):
+                self.step(sum(self.sums(*p) for p in parts))
+            self.calibrate(sum(self.cells(*p) for p in parts))
 
     def inputs(self, ctx, at, node, d: int, kind) -> tuple[list[np.ndarray], np.ndarray]:
         """The log odds of each context and the gate, for bits at one code depth."""
@@ -314,51 +469,7 @@ class Mixer:
 
     def refined(self, z: np.ndarray, node: np.ndarray) -> np.ndarray:
         z = np.clip(z, -LIMIT, LIMIT)
-        step = np.rint((z + LIMIT) * ((STEPS - 1) / (2 * LIMIT))).astype(np.int64)
-        return 0.5 * (z + self.refine[node, step])
-
-    def learn(self, texts: list[str]) -> None:
-        """Online passes over ``texts`` for the weights, then the refining table."""
-        if not texts:
-            return
-        x, gate, node, bit = [], [], [], []
-        for _, u, _ in runs(pa.array(texts, pa.string())):
-            size = np.bincount(u.of, minlength=len(u.before))
-            start = np.cumsum(size) - size
-            # Every occurrence of every unit, as learning follows the texts.
-            of = np.repeat(np.arange(len(u.unit)), size[u.unit])
-            sym = u.sym[np.arange(len(of)) - np.repeat(np.cumsum(size[u.unit]) - size[u.unit] - start[u.unit], size[u.unit])]
-            for sym, of, before in ((sym, of, u.before[u.unit]), ends(u.last)):
-                ctx, kind = contexts(sym, of, before)
-                for d, at, nd, b in bits_of(self.code, sym):
-                    own, g = self.inputs(ctx, at, nd, d, kind)
-                    x.append(np.stack([*own, np.ones(len(at), np.float32)]))
-                    gate.append(g)
-                    node.append(nd)
-                    bit.append(b)
-        x, gate, node, bit = np.concatenate(x, axis=1), np.concatenate(gate), np.concatenate(node).astype(np.int64), np.concatenate(bit)
-        order = np.random.default_rng(11).permutation(len(gate))
-        w = self.weights.astype(np.float64)
-        for turn in range(PASSES):
-            rate = 0.01 / (1 + turn)
-            for k in range(0, len(order), BATCH):
-                i = order[k : k + BATCH]
-                own, g = x[:, i], gate[i]
-                z = np.clip((w[g] * own.T).sum(axis=1), -LIMIT, LIMIT)
-                err = bit[i] - 1 / (1 + np.exp(-z))
-                n = np.bincount(g, minlength=GATES)
-                for c in range(len(own)):
-                    w[:, c] += rate * np.bincount(g, weights=err * own[c], minlength=GATES) / np.sqrt(np.maximum(1, n))
-        self.weights = w.astype(np.float32)
-        z = np.clip((self.weights[gate] * x.T).sum(axis=1), -LIMIT, LIMIT)
-        step = np.rint((z + LIMIT) * ((STEPS - 1) / (2 * LIMIT))).astype(np.int64)
-        cell = node * STEPS + step
-        ones = np.bincount(cell, weights=bit, minlength=self.code.nodes * STEPS)
-        n = np.bincount(cell, minlength=self.code.nodes * STEPS)
-        # Each cell starts at its own log odds, worth 8 observations.
-        prior = 1 / (1 + np.exp(-np.tile(np.linspace(-LIMIT, LIMIT, STEPS), self.code.nodes)))
-        p = np.clip((ones + 8 * prior) / (n + 8), 1e-6, 1 - 1e-6)
-        self.refine = np.log(p / (1 - p)).reshape(self.code.nodes, STEPS).astype(np.float32)
+        return 0.5 * (z + self.refine[node, _steps(z)])
 
     def costs(self, sym: np.ndarray, of: np.ndarray, before: np.ndarray) -> np.ndarray:
         """The cost in nats of each unit."""
@@ -374,12 +485,26 @@ class Mixer:
             total[at] += self.cost[np.rint((z + LIMIT) * 128).astype(np.int64)]
         return np.bincount(of, weights=total, minlength=len(before))
 
+    def unit_costs(self, u: Units) -> np.ndarray:
+        """The cost of each unit of a run; only those that are not known are coded."""
+        keys, costs = self.known
+        out = np.zeros(len(u.key))
+        new = np.ones(len(u.key), bool)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, u.key), len(keys) - 1)
+            new = keys[at] != u.key
+            out[~new] = costs[at[~new]]
+        if new.any():
+            own = new[u.of]
+            out[new] = self.costs(u.sym[own], (np.cumsum(new) - 1)[u.of[own]], u.before[new])
+        return out
+
     def log10(self, col: pa.Array) -> np.ndarray:
         """log10 of the probability of each text."""
         out = np.zeros(len(col))
         last = self.costs(*ends(np.arange(CLASSES)))
         for row, u, more in runs(col):
-            found = np.bincount(u.text, weights=self.costs(u.sym, u.of, u.before)[u.unit], minlength=len(u.last)) if len(u.sym) else np.zeros(len(u.last))
+            found = np.bincount(u.text, weights=self.unit_costs(u)[u.unit], minlength=len(u.last)) if len(u.sym) else np.zeros(len(u.last))
             if not more:
                 found = found + last[u.last]
             out[row : row + len(found)] -= found / np.log(10)
@@ -409,20 +534,50 @@ def token_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def fit(learning: DataFrame, sample: int = SAMPLE) -> Mixer:
-    """A mixer from the texts of ``learning`` (doc_id, text)."""
-    known = learning.filter("doc_id is not null and text is not null").filter(F.length("text") <= SAMPLE_CHARS)
-    ids = [r.doc_id for r in known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]  # at most `sample`
-    picked = known.filter(F.col("doc_id").isin(ids)) if ids else known.limit(0)
-    texts = [r.text for r in picked.orderBy("doc_id", "text").limit(sample).collect()]
-    seen = np.zeros(257, np.int64)
-    for _, u, _ in runs(pa.array(texts, pa.string())):
-        seen += np.bincount(u.sym, weights=u.count[u.of], minlength=257).astype(np.int64)
-    seen[END] += len(texts)
-    code = Code(seen * 4 + 1)
-    rest = learning.filter(~F.coalesce(F.col("doc_id").isin(ids), F.lit(False))) if ids else learning
-    mixer = Mixer(code, slot_counts(rest, code))
-    mixer.learn(texts)
+def _summed(units: DataFrame, mixer: Mixer, of, shape: tuple[int, int]) -> np.ndarray:
+    """``of(mixer, *units)``, an array of a fixed shape, summed over all units on the cluster."""
+    held = units.sparkSession.sparkContext.broadcast(mixer)
+
+    def run(it):
+        total = np.zeros(shape)
+        for b in it:
+            for p in pieces(b):
+                total += of(held.value, *p)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "x": total.ravel()[at]})
+
+    out = np.zeros(shape)
+    found = units.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toArrow()  # a row a place of the array
+    out.ravel()[found.column("at").to_numpy()] = found.column("x").to_numpy()
+    held.destroy()
+    return out
+
+
+def fit(learning: DataFrame, frequent: int = FREQUENT_UNITS) -> Mixer:
+    """A mixer from all texts of ``learning`` (text)."""
+    units = stored(distinct_units(learning), "mixing-units")
+    code = Code(symbol_counts(units) * 4 + 1)
+    mixer = Mixer(code, slot_counts(units, code))
+    for _ in range(ROUNDS):
+        mixer.step(_summed(units, mixer, Mixer.sums, (GATES, SUMS)))
+    mixer.calibrate(_summed(units, mixer, Mixer.cells, (2, code.nodes * STEPS)))
+    mixer.counts = []
+    held = units.sparkSession.sparkContext.broadcast(mixer)
+
+    def known(it):
+        for b in it:
+            for lo in range(0, b.num_rows, 1 << 14):
+                some = b.slice(lo, 1 << 14)
+                data, off = column_bytes(some.column("unit").cast(pa.large_binary()).view(pa.large_string()))
+                sym, of = data[off[0] : off[-1]].astype(np.int64), np.repeat(np.arange(some.num_rows), np.diff(off))
+                before = some.column("before").to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_pydict({"key": unit_keys(data, off, before).view(np.int64), "cost": held.value.costs(sym, of, before)})
+
+    top = units.filter(F.length("unit") > 0).orderBy(F.desc("n"), "unit", "before").limit(frequent).select("unit", "before")
+    found = top.mapInArrow(known, "key long, cost double").toArrow()  # at most `frequent` rows
+    keys = found.column("key").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    mixer.known = keys[order], found.column("cost").to_numpy()[order].astype(np.float32)
     return mixer
 
 

@@ -154,6 +154,33 @@ def test_mixer_is_a_distribution_and_learns():
     assert abs(both[1] - (short[0] + (short[1] - short[0]) / 1000 * 699_000)) < 1e-3 * abs(both[1]) and both[2] == m.log10(pa.array([""]))[0]
 
 
+def test_mixer_is_fitted_on_every_text(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["sun", "moon", "star"]) for _ in range(2_500)) for _ in range(6)]  # all above 8,000 characters
+    texts += [" ".join(rng.choice(["red", "green", "blue"]) for _ in range(20)) for _ in range(230)] + ["\u00e9t\u00e9 \u00e9t\u00e9", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    units = {(bytes(r.unit), r.before): (r.n, r.texts) for r in mixing.distinct_units(d).collect()}
+    want: dict = {}
+    for t in texts:
+        u = mixing.Units(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))
+        for i in range(len(u.before)):
+            key = bytes(u.sym[u.of == i].astype(np.uint8)), int(u.before[i])
+            n, k = want.get(key, (0, 0))
+            want[key] = n + int(u.count[i]), k + 1
+        key = b"", int(u.last[0])
+        want[key] = tuple(x + 1 for x in want.get(key, (0, 0)))
+    assert units == want
+    seen = mixing.symbol_counts(mixing.distinct_units(d))
+    assert seen[mixing.END] == len(texts) and seen[:256].sum() == sum(len((t or "").encode()) for t in texts)
+    # The long texts alone: weights, code and table are learned from them too, and known costs change no score.
+    m, plain = mixing.fit(d.limit(0)), mixing.fit(d.filter("length(text) > 8000"), 0)
+    fitted = mixing.fit(d.filter("length(text) > 8000").repartition(3))
+    assert not (m.weights != np.append(np.full(5, np.float32(mixing.START)), np.float32(0))).any() and (plain.weights != m.weights).any()
+    assert len(plain.known[0]) == 0 < len(fitted.known[0])
+    col = pa.array(["sun moon star", "sun blue", None])
+    assert np.allclose(plain.log10(col), fitted.log10(col), atol=1e-4)
+
+
 def test_quality_held_out(docs, labels):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     got = quality.classify(docs, labels).collect()
