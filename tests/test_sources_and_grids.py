@@ -214,3 +214,27 @@ def test_no_row_is_made_for_a_hit_of_a_query(spark, w):
     run = lexical.bm25(w.index, w.topics, 20)
     plan = run._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
     assert "MapInArrow" in plan and "sum(" not in plan  # no aggregate by (query, document)
+
+
+def test_field_postings_are_put_together_in_parts_of_a_fixed_size(spark, monkeypatch):
+    from rankloom.operators import lexical
+
+    rows = [(f"d{i}", f"red fox {i % 7}", "the fox and the hen " * (1 + i % 3)) for i in range(300)] + [("e", None, ""), ("f", "hen", None)]
+    corpus = spark.createDataFrame(rows, "docno string, title string, abstract string")
+    weights = {"title": 2.0, "abstract": 1.0}
+    n_bytes = sum(len(t or "") + len(a or "") for _, t, a in rows)
+    monkeypatch.setattr(lexical, "FIELD_BYTES", n_bytes // 60)
+    index = lexical.field_index(corpus, weights)
+    want = {}
+    for docno, title, abstract in rows:
+        words = [(w, 2.0) for w in (title or "").split()] + [(w, 1.0) for w in (abstract or "").split()]
+        for w, x in words:
+            want[docno, w] = want.get((docno, w), 0.0) + x
+    length = {}
+    for (docno, _), x in want.items():
+        length[docno] = length.get(docno, 0.0) + x
+    assert {(r.docno, r.term): (r.tf, r.dl) for r in index.postings.collect()} == {k: (x, length[k[0]]) for k, x in want.items()}
+    plan = index.postings._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001 -- the plan's text
+    assert "REPARTITION_BY_NUM" in plan and (", 60)" in plan or ", 61)" in plan)
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 2  # texts and lengths by docno, no exchange of postings
+    assert index.coll_stats.first()["n_docs"] == len(rows)
