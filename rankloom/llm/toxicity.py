@@ -100,12 +100,15 @@ class Vectors:
     def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, ascending, and how often it has them."""
         tf: dict[int, int] = {}
-        known, rest = self.known, 0
+        known, terms, beginnings, rest = self.known, self.terms, self.beginnings, 0
         if len(known) > KNOWN:
             known.clear()
         for w, n in words.items():
             own = known.get(w)
             if own is None:
+                if w not in terms and w[: PREFIXES[0]] not in beginnings:  # most new words: nothing to keep
+                    rest += n
+                    continue
                 own = known[w] = self._of(w)
             i, more, plain = own
             if i >= 0:
@@ -217,7 +220,10 @@ class Index:
         rare = self.row[at] < 0
         pairs, size = _ranges(self.pairs[at[rare]], self.pairs[at[rare] + 1])
         by_pair, home = np.repeat(w[rare], size), self.block[pairs]
-        bound = part.reshape(self.blocks, BLOCK).max(axis=1, initial=0.0) + np.bincount(home, weights=by_pair * self.top[pairs], minlength=self.blocks)
+        best = np.zeros(self.blocks, part.dtype)
+        for i in range(BLOCK):  # a few long rows are quicker than many short ones
+            np.maximum(best, part[i::BLOCK], out=best)
+        bound = best + np.bincount(home, weights=by_pair * self.top[pairs], minlength=self.blocks)
         # The most promising blocks, then all others whose bound reaches the k-th best so far.
         todo, docs, sims = np.ones(self.blocks, bool), np.zeros(0, np.int64), np.zeros(0)
         take = min(self.blocks, max(2, 4 * k // BLOCK + 1))
@@ -238,8 +244,8 @@ class Index:
         if len(sims) > k:  # single precision picks out, double precision decides
             docs = docs[sims >= np.partition(sims, -k)[-k] - SLACK]
         sims = self._exact(at, w, docs)
-        best = np.lexsort((docs, -np.round(sims, 9)))[:k]
-        return sims[best], docs[best]
+        first = np.lexsort((docs, -np.round(sims, 9)))[:k]
+        return sims[first], docs[first]
 
 
 def _vote(sims: np.ndarray, y: np.ndarray) -> float:
