@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def give_back() -> None:
+    """Returns what a Python worker has freed to the system; workers live on between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def is_local_size(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> bool:
     """Whether ``df`` at ``row_bytes`` a row stays under ``limit`` bytes, by a count of its rows."""
     return df.count() * row_bytes <= limit

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import table
+from rankloom.llm.common import give_back, table
 from rankloom.llm.wordhash import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -327,6 +327,7 @@ def digests(documents: DataFrame, n: int = 4, model: str = MODEL) -> DataFrame:
                     out["scores"].append([s / MICRO for s, _ in rows])
                     out["ids_sha256"].append([hashlib.sha256(i.astype("<i4").tobytes()).hexdigest() for _, i in rows])
                     out["round_trip"].append(same)
+                give_back()
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), **out})
 
     kind = documents.schema["doc_id"].dataType.simpleString()

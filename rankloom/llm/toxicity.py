@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import id_bucket, table
+from rankloom.llm.common import give_back, id_bucket, table
 from rankloom.llm.labelled import training_sample
 
 SAMPLE, NEIGHBOURS, BLOCK = 8_000, 15, 4
@@ -81,35 +81,43 @@ def telling_beginnings(texts: list[str], y: np.ndarray) -> list[str]:
 class Vectors:
     """Texts as sparse unit TF-IDF vectors; the last term stands for the words of no example."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, tells: list[bool]):
-        self.terms, self.idf, self.tells = {t: i for i, t in enumerate(terms)}, idf, tells
-        self.beginnings = {t[: PREFIXES[0]] for t in terms if t.endswith("*")}
+    def __init__(self, terms: list[str], idf: np.ndarray, tells: np.ndarray):
+        self.idf, self.tells = idf, tells
+        self._name(terms)
+
+    def _name(self, terms: list[str]) -> None:
+        self.terms = dict(zip(terms, range(len(terms)), strict=True))
+        # The beginnings by their first letters, so that a word meets only those near it.
+        self.beginnings: dict[str, list[tuple[str, int]]] = {}
+        for i, t in enumerate(terms):
+            if t.endswith("*"):
+                self.beginnings.setdefault(t[: PREFIXES[0]], []).append((t[:-1], i))
         self.known: dict[str, tuple] = {}  # the terms of words met lately
 
-    def __getstate__(self) -> dict:
-        return vars(self) | {"known": {}}
+    def __getstate__(self) -> tuple:
+        """The terms as one string (they are letters and ``*``), so that a worker makes no list of a pickle's many strings."""
+        return "\n".join(self.terms), self.idf, self.tells
 
-    def _of(self, word: str) -> tuple[int, tuple[int, ...], bool]:
-        """A word's own term (or -1), the beginnings it has, and whether it counts as one of the rest."""
-        i = self.terms.get(word, -1)
-        more: tuple[int, ...] = ()
-        if word[: PREFIXES[0]] in self.beginnings:
-            more = tuple(j for m in PREFIXES if len(word) > m and (j := self.terms.get(word[:m] + "*")) is not None)
-        return i, more, not more and (i < 0 or not self.tells[i])
+    def __setstate__(self, state: tuple) -> None:
+        names, self.idf, self.tells = state
+        self._name(names.split("\n") if names else [])
 
     def counts(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
         """The terms of a text, ascending, and how often it has them."""
         tf: dict[int, int] = {}
-        known, terms, beginnings, rest = self.known, self.terms, self.beginnings, 0
+        known, terms, beginnings, first, rest = self.known, self.terms, self.beginnings, PREFIXES[0], 0
         if len(known) > KNOWN:
             known.clear()
         for w, n in words.items():
             own = known.get(w)
             if own is None:
-                if w not in terms and w[: PREFIXES[0]] not in beginnings:  # most new words: nothing to keep
+                i, near = terms.get(w, -1), beginnings.get(w[:first], ())
+                more = [j for b, j in near if w.startswith(b) and w != b]
+                if i < 0 and not more:  # most new words: nothing to keep
                     rest += n
                     continue
-                own = known[w] = self._of(w)
+                # A word's own term (or -1), the beginnings it has, and whether it counts as one of the rest.
+                own = known[w] = i, more, not more and not self.tells[i]
             i, more, plain = own
             if i >= 0:
                 tf[i] = n
@@ -119,8 +127,8 @@ class Vectors:
                 tf[j] = tf.get(j, 0) + n
         if rest:
             tf[len(self.terms)] = rest
-        at = np.fromiter(tf, np.int64, len(tf))
-        n = np.fromiter(tf.values(), float, len(tf))
+        at = np.fromiter(tf, np.int32, len(tf))
+        n = np.fromiter(tf.values(), np.int32, len(tf))
         by = np.argsort(at)
         return at[by], n[by]
 
@@ -141,16 +149,18 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Index:
     """Examples in blocks; dense weights of frequent terms, postings with block maxima of the others."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, n_terms: int):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], weigh, y: np.ndarray, n_terms: int):
         # Examples with the same leading terms lie together, so block maxima are tight.
-        lead = [tuple(at[np.argsort(-w, kind="stable")][:3].tolist()) for at, w in vectors]
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], i)), dtype=np.int64)
+        lead = [tuple(at[np.argsort(-w, kind="stable")][:3].tolist()) for at, w in (weigh(*c) for c in counts)]
+        self.order = np.array(sorted(range(len(counts)), key=lambda i: (lead[i], i)), dtype=np.int64)
         self.y = y[self.order]
         self.n, self.blocks = len(y), -(-len(y) // BLOCK)
         self.terms = n_terms
-        self.own_term = np.concatenate([vectors[i][0].astype(np.int32) for i in self.order] or [np.zeros(0, np.int32)])
-        self.own_w = np.concatenate([vectors[i][1].astype(np.float32) for i in self.order] or [np.zeros(0, np.float32)])
-        self.own = np.cumsum([0] + [len(vectors[i][0]) for i in self.order]).astype(np.int32)
+        self.own = np.cumsum([0] + [len(counts[i][0]) for i in self.order]).astype(np.int32)
+        self.own_term, self.own_w = np.zeros(self.own[-1], np.int32), np.zeros(self.own[-1], np.float32)
+        for at, i in enumerate(self.order):
+            own = slice(self.own[at], self.own[at + 1])
+            self.own_term[own], self.own_w[own] = weigh(*counts[i])
         self._derive()
 
     @property
@@ -167,9 +177,10 @@ class Index:
         self.dense = np.zeros((len(often), self.blocks * BLOCK), np.float32)
         doc, row = self.doc, self.row[self.own_term]
         self.dense[row[row >= 0], doc[row >= 0]] = self.own_w[row >= 0]
-        rare = np.flatnonzero(row < 0)
+        rare = np.flatnonzero(row < 0).astype(np.int32)
         rare = rare[np.argsort(self.own_term[rare], kind="stable")]  # by term, then example
         term, self.rare_doc, self.rare_w = self.own_term[rare], doc[rare], self.own_w[rare]
+        del rare, doc, row
         # Each (rare term, block) that has postings: its block, where they start, and their highest weight.
         block = self.rare_doc // BLOCK
         first = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
@@ -269,27 +280,31 @@ class Model:
         for t in texts:
             for w in term_counts(t):
                 words.setdefault(w, len(words))
-        self.terms = [*words, *telling_beginnings(texts, y)]
-        n_terms = len(self.terms) + 1
+        terms = [*words, *telling_beginnings(texts, y)]
+        n_terms = len(terms) + 1
         yes, no = np.zeros(n_terms, np.int64), np.zeros(n_terms, np.int64)
-        self.vectors = Vectors(self.terms, np.ones(n_terms), [True] * n_terms)
+        self.vectors = Vectors(terms, np.ones(n_terms), np.ones(n_terms, bool))
+        del words, terms
         for t, toxic in zip(texts, y.tolist(), strict=True):
             at, _ = self.vectors.counts(term_counts(t))
             (yes if toxic else no)[at] += 1
         z = excess(yes, no, max(1, int(y.sum())), max(1, int((y == 0).sum())))
-        self.vectors.tells, self.vectors.known = (z > TELLS).tolist(), {}
+        self.vectors.tells, self.vectors.known = z > TELLS, {}
         counts = [self.vectors.counts(term_counts(t)) for t in texts]
         rest = sum(len(at) > 0 and at[-1] == n_terms - 1 for at, _ in counts)
         df = np.append((yes + no)[:-1], rest)
         self.vectors.idf = np.log(1 + len(y) / (1 + df)) * np.append(weight_of(z)[:-1], 1.0)
-        vectors = [self.vectors.weigh(at, tf) for at, tf in counts]
-        self.index = Index(vectors, y, n_terms)
-        plain = np.array([not len(at) for at, _ in vectors], dtype=bool)
+        # The weights in double precision are made again where they are needed: all at once they are the most memory of the fit.
+        self.index = Index(counts, self.vectors.weigh, y, n_terms)
+        plain = np.array([not len(at) for at, _ in counts], dtype=bool)
         self.plain = float(y[plain].mean()) if plain.any() else float(y.mean()) if len(y) else 0.0
         self.a, self.b = 1.0, 0.0
-        learn = [i for i in range(len(vectors)) if not plain[self.index.order[i]]]
-        found = self._nearest([vectors[self.index.order[i]] for i in learn], learn)
-        votes = np.array([_vote(sims, self.index.y[docs]) for sims, docs in found])
+        learn = [i for i in range(len(counts)) if not plain[self.index.order[i]]]
+        votes = np.zeros(len(learn))
+        for lo in range(0, len(learn), TOGETHER):
+            some = learn[lo : lo + TOGETHER]
+            found = self._nearest([self.vectors.weigh(*counts[self.index.order[i]]) for i in some], some)
+            votes[lo : lo + len(some)] = [_vote(sims, self.index.y[docs]) for sims, docs in found]
         own = self.index.y[~plain[self.index.order]] if len(y) else y
         if len(own) and own.min() != own.max():
             s = self._odds(votes)
@@ -311,6 +326,10 @@ class Model:
                 out.append(self.index.nearest(at, w, NEIGHBOURS, without[i] if without else -1, part=part))
         return out
 
+    @property
+    def terms(self) -> list[str]:
+        return list(self.vectors.terms)
+
     @staticmethod
     def _odds(vote):
         return np.log((vote + 0.02) / (1.02 - vote))
@@ -325,7 +344,7 @@ class Model:
             return [(0.0, [])] * len(texts)
         vectors = [self.vectors(term_counts(t)) for t in texts]
         # A text without words, or without one that an example has, has no neighbour.
-        some = [i for i, (at, _) in enumerate(vectors) if len(at) and at[0] != len(self.terms)]
+        some = [i for i, (at, _) in enumerate(vectors) if len(at) and at[0] != len(self.vectors.terms)]
         out: list = [(self.plain, [])] * len(texts)
         for i, (sims, docs) in zip(some, self._nearest([vectors[i] for i in some]), strict=True):
             s = self.a * self._odds(_vote(sims, self.index.y[docs])) + self.b
@@ -352,7 +371,10 @@ def fit(documents: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     def run(it):
         rows = sorted((r for b in it for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True)), key=lambda r: r[0])
         model = Model([t for _, t, _ in rows], np.array([y for _, _, y in rows], dtype=np.int64))
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps((model, [d for d, _, _ in rows]))], pa.binary())})
+        packed = pa.array([pickle.dumps((model, [d for d, _, _ in rows]))], pa.binary())
+        del rows, model
+        give_back()
+        yield pa.RecordBatch.from_pydict({"model": packed})
 
     rows = training_sample(documents, labels, "toxic", modulus, held_out, sample).coalesce(1).mapInArrow(run, "model binary").collect()  # one row, or none without examples
     return Packed(rows[0]["model"] if rows else pickle.dumps((Model([], np.zeros(0, np.int64)), [])))
@@ -364,6 +386,7 @@ def scores(documents: DataFrame, packed: Packed) -> DataFrame:
 
     def run(it):
         model, ids = held.value
+        give_back()
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64())]))
         for b in it:
             texts = b.column("text")
@@ -387,10 +410,12 @@ def keep_clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(it):
         model, _ = held.value
+        give_back()
         for b in it:
             for lo in range(0, b.num_rows, TOGETHER):  # small pieces out, as the batch and the model fill the worker
                 some = b.slice(lo, TOGETHER)
                 yield some.filter(pa.array([s < THRESHOLD for s, _ in model.scores(some.column("text").to_pylist())], pa.bool_()))
+            give_back()
 
     return documents.mapInArrow(run, documents.schema)
 
