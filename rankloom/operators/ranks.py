@@ -29,7 +29,7 @@ from .blocks import document_blocks, document_part, k3_weight, query_blocks
 #: Pairs whose scores are computed at a time.
 PAIRS = 2048
 #: Pairs that a task holds before it lets go of what cannot be among the best.
-HELD = 1 << 17
+HELD = 1 << 16
 #: Scores, or places of a block's look-up table, at a time.
 CELLS = 1 << 22
 #: Values of b that are bounded together lie this close.
